@@ -25,6 +25,19 @@ def tokenizers(folder: str = "/opt"):
     return public_tokenizers
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    return language.identify(_t(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    got = decontaminate.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     from . import bpe
 

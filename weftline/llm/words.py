@@ -84,6 +84,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
+    weight = mix(np.arange(1, k + 1, dtype=np.uint64)) | _U(1)  # unrelated odd weights, so that order counts
     for j in range(k):
-        total += h[j : j + n] * _U((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+        total += h[j : j + n] * weight[j]
     return mix(total + _U(k))

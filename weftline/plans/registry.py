@@ -1,0 +1,7 @@
+"""All registered queries of the retrieval, evaluation, run-log and deal jobs, with the SQL that states the same."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "lexical_summary"

@@ -44,6 +44,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..shared import fresh_path
+    from . import archive
+
+    folder = fresh_path(spark, "warc")
+    archive.write_archive(_t(spark, sf_dir, "pages"), folder, min_bytes=0)
+    got = archive.read_archive(spark, folder)
+    return got.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    got = line_dedup.remove_boilerplate(_t(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("_wl_lines").alias("n_lines"), F.col("_wl_removed").alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     from . import bpe
 
@@ -57,4 +74,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {k: v for k, v in vars(sys.modules[__name__]).items() if k.startswith("op") and k[2:3].isdigit()}
-ORACLE: dict[str, str] = {}
+
+ORACLE: dict[str, str] = {
+    # Copies of one payload share its bytes, so text equality stands for digest equality
+    "op6_warc": """
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+            (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(b, 5 * CAST(i AS INT) + 1, 5))::BIT::INT AS INT), 1), '' ORDER BY i)
+                FROM (SELECT bits AS b), range(32) r(i)) AS payload_digest,
+            CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = least_id THEN NULL ELSE least_id END AS refers_to
+        FROM (SELECT *, CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)""",
+    "op7_line_dedup": """
+        WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, CAST(i AS INT) AS i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
+                   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+        b AS (SELECT bare, min(struct_pack(d := doc_id, i := i)) AS first FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 6),
+        k AS (SELECT l.*, b.bare IS NOT NULL AND NOT (b.first.d = l.doc_id AND b.first.i = l.i) AS gone FROM l LEFT JOIN b ON b.bare = l.bare),
+        r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t) AS text_sha256 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
+}

@@ -31,3 +31,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a durable table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for name in df.inputFiles():
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        break

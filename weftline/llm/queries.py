@@ -38,6 +38,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules, sampling
+
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    # the trusted target: a bounded sample of the documents labelled good (4,096 ids are broadcast)
+    chosen = sampling.bounded_sample(labels.where("quality = 1").select("doc_id", F.lit("good").alias("y")), "doc_id", "y", 4096)
+    target = spark.createDataFrame([(k,) for k, _ in chosen], "doc_id long")
+    return quality_rules.judge(docs, target)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -79,11 +89,10 @@ ORACLE: dict[str, str] = {
     # Copies of one payload share its bytes, so text equality stands for digest equality
     "op6_warc": """
         SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
-            (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(b, 5 * CAST(i AS INT) + 1, 5))::BIT::INT AS INT), 1), '' ORDER BY i)
-                FROM (SELECT bits AS b), range(32) r(i)) AS payload_digest,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
             CASE WHEN page_id = least_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = least_id THEN NULL ELSE least_id END AS refers_to
-        FROM (SELECT *, CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)""",
+        FROM (SELECT *, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)""",
     "op7_line_dedup": """
         WITH l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, CAST(i AS INT) AS i, ls[i] AS line, trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
                    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),

@@ -38,6 +38,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_model
+    from .sampling import fold
+
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    known = labels.where((fold("doc_id", 5) != 0) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    got = quality_model.classify(docs, docs.select("doc_id", "text"), known)
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules, sampling
 

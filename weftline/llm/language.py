@@ -165,8 +165,10 @@ def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndar
     return out, np.where(letters > 0, size, 0)
 
 
-def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1: how much lower the winner's estimate is than the runner-up's), bits_per_char."""
+def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000, keep_text: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1: how much lower the winner's estimate is than the runner-up's), bits_per_char.
+
+    With keep_text, the text comes along, so that a filter on the verdict needs no join. doc_id may be a struct of columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and characters a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +195,15 @@ def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000) -> Data
                     score, rate = np.where(size > 0, np.clip(sure, 0, 1), 0.0), np.where(size > 0, low, 0.0)
                 else:
                     pred, score, rate = ["und"] * (stop - start), np.zeros(stop - start), np.zeros(stop - start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_char"])
+                cols = [batch.column(0).slice(start, stop - start), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+                names = ["doc_id", "lang_pred", "score", "bits_per_char"]
+                if keep_text:
+                    cols, names = [*cols, batch.column(1).slice(start, stop - start)], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
                 start = stop
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_char double" + ", text string" * keep_text)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

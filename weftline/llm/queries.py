@@ -81,6 +81,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("_wl_lines").alias("n_lines"), F.col("_wl_removed").alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 
+#: Listed url rules, longest match first in effect.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_rules
+
+    return url_rules.judge(_t(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .sampling import fold
+
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    known = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    got = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "text"), known))
+    return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     from . import bpe
 

@@ -50,7 +50,7 @@ def blocks(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]
     for i, text in enumerate(texts):
         run.append(b"" if text is None else text.encode())
         held += len(run[-1]) + 1
-        if held >= size:
+        if held >= size or len(run) >= 2048:
             yield first, run
             run, first, held = [], i + 1, 0
     if run:

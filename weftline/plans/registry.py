@@ -2,6 +2,283 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import chunk_id, token_estimate, tokens
+from ..operators import checks, deals, eligibility, fusion, lexical, metrics, runs, vectors
+
+FIELDS = {"text": 1, "source": 2}
 FLAGSHIP = "lexical_summary"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- roles of the tables: `documents` are the corpus, `benchmark` the queries, `labels.toxic` marks what is forbidden
+
+
+def _bm25_top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    terms = lexical.query_terms(_t(spark, d, "benchmark"), "item_id", "text")
+    return lexical.top(lexical.bm25(_t(spark, d, "documents"), "doc_id", FIELDS, terms, "item_id"), "item_id", [F.desc("score"), "doc_id"], k)
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Gold of the test role: documents that hold a line of the item, of 12 characters or more."""
+    line = lambda t, k: _t(spark, d, t).select(k, F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 12")
+    return line("documents", "doc_id").join(line("benchmark", "item_id"), "line").select("item_id", "doc_id").distinct()
+
+
+def tokenize(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+def postings_df(spark, d):
+    return lexical.postings(_t(spark, d, "documents"), "doc_id", FIELDS).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def bm25_topk(spark, d):
+    return _bm25_top(spark, d, 5).select("item_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+def matched_terms(spark, d):
+    return _bm25_top(spark, d, 5).select("item_id", "doc_id", F.array_join("matched_terms", " ").alias("matched"))
+
+
+def _scores(spark, d):
+    forbidden = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return metrics.case_scores(_t(spark, d, "benchmark"), _bm25_top(spark, d, 5), _gold(spark, d), "item_id", "doc_id", forbidden)
+
+
+def case_scores(spark, d):
+    return _scores(spark, d).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def lexical_summary(spark, d):
+    return metrics.method_summary(_scores(spark, d).withColumn("method", F.lit("lexical")))
+
+
+def reason_counts(spark, d):
+    return metrics.reason_counts(_scores(spark, d).withColumn("method", F.lit("lexical")), ["method"])
+
+
+def recall_ceiling(spark, d):
+    return metrics.recall_ceiling(_gold(spark, d), "item_id")
+
+
+def expected_ranks(spark, d):
+    return metrics.expected_ranks(_gold(spark, d), _bm25_top(spark, d, 20), "item_id", "doc_id")
+
+
+def cosine_topk(spark, d):
+    e = _t(spark, d, "embeddings")
+    got = vectors.cosine_topk(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    return got.select("query_id", "rank", F.round("score", 4).alias("score"))
+
+
+def validate_vectors(spark, d):
+    e = _t(spark, d, "embeddings").withColumn("ok", vectors.valid("embedding", 64))
+    return e.groupBy("label", "ok").agg(F.count("*").alias("n_vectors"))
+
+
+def rrf_many(spark, d):
+    """Two lists of event types a user: by count and by total value."""
+    e = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    lists = {"count": lexical.top(e, "user_id", [F.desc("n"), "event_type"], 3), "value": lexical.top(e, "user_id", [F.desc("v"), "event_type"], 3)}
+    return fusion.rrf(lists, "user_id", "event_type", k=5).select("user_id", "event_type", F.round("score", 6).alias("score"), "rank", "count_rank", "value_rank")
+
+
+def parent_child_topk(spark, d):
+    """Customers of a nation by balance, opened to at most two orders each by price."""
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("p"), "c_acctbal")
+    ranked = lexical.top(c, "q", [F.desc("c_acctbal"), "p"], 10)
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("p"), F.col("o_orderkey").alias("o"), "o_totalprice")
+    own = ranked.select("q", "p").join(o, "p").select("q", "o", "o_totalprice")
+    ranks = lexical.top(own, "q", [F.desc("o_totalprice"), "o"], 20)
+    return fusion.children_of(ranked, o.select("p", "o"), ranks, "q", "p", "o", 2)
+
+
+# --- eligibility: parts are candidates (brand, type and size give their scopes), nations are queries
+
+
+def _candidates(spark, d):
+    p = _t(spark, d, "part")
+    a = [F.col("p_partkey") % 5, F.col("p_partkey") % 7, F.col("p_size") % 5]
+    return p.select("p_partkey", F.array_distinct(F.array(a[0], a[1])).alias("applicable"), F.array(a[2]).alias("excluded"), (F.col("p_partkey") % 11 == 0).alias("is_global"), F.element_at(F.array(*map(F.lit, ["primary", "all", "global", "overlap"])), (F.col("p_partkey") % 4 + 1).cast("int")).alias("mode"), a[0].alias("first"))
+
+
+def _pairs(spark, d):
+    q = _t(spark, d, "nation").select("n_nationkey", F.array_distinct(F.array(F.col("n_nationkey").cast("long") % 5, F.col("n_nationkey").cast("long") % 3)).alias("scope"))
+    return _candidates(spark, d).crossJoin(F.broadcast(q))  # nations are 25
+
+
+def runtime_eligibility(spark, d):
+    p = _pairs(spark, d).withColumn("reasons", eligibility.runtime_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.col("is_global")))
+    return p.groupBy("n_nationkey", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n_candidates"))
+
+
+def confusion_metrics(spark, d):
+    p = _pairs(spark, d).withColumn("boundary", F.size(eligibility.boundary_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.array(F.lit(6).cast("long")), F.col("is_global"))) > 0)
+    p = p.select("n_nationkey", "mode", (~F.col("boundary")).alias("relevant"), F.col("boundary").alias("violating"), eligibility.mode_allows(F.col("mode"), F.col("first"), F.col("applicable"), F.col("scope")).alias("ok"))
+    return eligibility.confusion(p, F.col("ok"), ["n_nationkey", "mode"])
+
+
+# --- run log: events are runs; the user's remainder names the model, the event type the node
+
+
+def _runs(spark, d):
+    e = _t(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    cost = runs.request_cost((k * 1000).cast("decimal(18,0)"), (k * 100).cast("decimal(18,0)"), F.lit("0.3").cast("decimal(9,3)"), F.lit("1.2").cast("decimal(9,3)")).cast("double")
+    return e.select("event_id", "ts", F.col("event_type").alias("node"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("value").alias("latency"), k.alias("tokens"), cost.alias("cost"), (F.col("value") < 450).alias("fast"), (k < 90).alias("small"), F.when(F.col("user_id") % 4 > 0, F.concat(F.lit("e"), (F.col("user_id") % 4).cast("string"))).alias("error_type"))
+
+
+def _summary(spark, d):
+    return runs.node_model_summary(_runs(spark, d), {"fast": 0.9, "small": 0.85})
+
+
+def node_model_summary(spark, d):
+    return _summary(spark, d).select("node", "model", "n_runs", F.round("fast_rate", 4).alias("fast_rate"), F.round("small_rate", 4).alias("small_rate"), F.round("mean_latency", 2).alias("mean_latency"), "tokens", F.round("cost", 4).alias("cost"), F.array_join("reasons", ",").alias("reasons"), "eligible")
+
+
+def routing_table(spark, d):
+    return runs.routing_table(_summary(spark, d), 10)
+
+
+def failure_counts(spark, d):
+    return runs.failure_counts(_runs(spark, d), ~F.col("fast"))
+
+
+def budget_cutoff(spark, d):
+    kept = runs.budget_cutoff(_runs(spark, d).withColumn("cost", F.col("tokens")), ["node", "model"], ["ts", "event_id"], 5000)
+    return kept.groupBy("node", "model").agg(F.count("*").alias("n_run"), F.sum("tokens").alias("tokens"))
+
+
+def best_by_dimension(spark, d):
+    m = _runs(spark, d).groupBy("model").agg(F.round(F.avg("latency"), 4).alias("latency"), F.round(F.avg("tokens"), 4).cast("double").alias("tokens"))
+    return runs.best_by_dimension(m, ["latency", "tokens"], "model")
+
+
+# --- checks
+
+
+def duplicate_keys(spark, d):
+    docs = _t(spark, d, "documents").select(F.md5("text").alias("key"), "doc_id")
+    return checks.duplicate_keys(docs, "key", "doc_id")
+
+
+def manifest(spark, d):
+    return checks.manifest(_t(spark, d, "documents"), "source")
+
+
+def content_hash(spark, d):
+    return checks.content_hash(_t(spark, d, "documents"), ["doc_id", "text", "lang"])
+
+
+def diff_tables(spark, d):
+    a, b = _t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), _t(spark, d, "documents")
+    b = b.where("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")).alias("lang"), "source", (F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("long")).alias("n_chars"))
+    return checks.diff(a, b, "doc_id", ["lang", "source", "n_chars"])
+
+
+MARKS = ["rights reserved", "@", "akia", "password", "secret"]
+
+
+def unsafe_values(spark, d):
+    return checks.unsafe_values(_t(spark, d, "documents"), "doc_id", "text", MARKS).withColumn("marks", F.array_join("marks", ","))
+
+
+def chunk_ids(spark, d):
+    """Lines as chunks, with ids and token estimates."""
+    x = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    return x.select("doc_id", F.col("i").cast("long").alias("i"), chunk_id(F.col("doc_id"), F.col("i"), F.col("content")).alias("chunk_id"), token_estimate(F.col("content")).cast("long").alias("token_estimate"))
+
+
+# --- deals: orders are cases, their lines give needs, pains and impacts
+
+
+def deal_scores(spark, d):
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("needs"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("pains"), F.sum((F.col("l_quantity") > 40).cast("long")).alias("impacts"))
+    total = (deals.business_need(F.col("needs"), F.col("pains"), F.col("impacts")) * 5).cast("long")
+    return li.select(F.col("l_orderkey").alias("case_id"), total.alias("total"), deals.level(total).alias("level"))
+
+
+def deal_limiters(spark, d):
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("need"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("pain"))
+    long = li.unpivot(["l_orderkey"], ["need", "pain"], "dimension", "points").withColumn("weight", F.lit(4))
+    return deals.limiters(long, "l_orderkey")
+
+
+def source_index(spark, d):
+    s = deals.source_index(_t(spark, d, "conversations"), "conv_id", "turn", F.col("role"))
+    return s.groupBy("case_id").agg(F.count("*").alias("n_sources"), F.sum(F.col("verified").cast("long")).alias("n_verified"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
+
+
+_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk runtime_eligibility confusion_metrics node_model_summary routing_table failure_counts budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids deal_scores deal_limiters source_index"
+QUERIES = {n: globals()[n] for n in _NAMES.split()}
+
+_TOK = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
+_POST = f"""tok AS (SELECT doc_id, unnest({_TOK.format("coalesce(text, '')")}) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest({_TOK.format("coalesce(source, '')")}), 2 FROM documents),
+    post AS (SELECT doc_id, term, sum(w) AS tf FROM tok GROUP BY ALL)"""
+_BM25 = f"""{_POST}, len AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS length FROM documents d LEFT JOIN post USING (doc_id) GROUP BY 1),
+    st AS (SELECT count(*) AS n, greatest(avg(length), 1) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    q AS (SELECT item_id, t AS term, count(*) AS times, min(i) AS pos FROM (SELECT item_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT item_id, {_TOK.format("text")} AS ts FROM benchmark)) GROUP BY ALL),
+    sc AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score, string_agg(term, ' ' ORDER BY pos, term) AS matched
+           FROM q JOIN df USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL HAVING score > 0),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+    gold AS (SELECT DISTINCT item_id, doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) USING (line) WHERE length(line) >= 12)"""
+_CASES = f"""{_BM25}, m AS (SELECT r.*, g.doc_id IS NOT NULL AS rel, l.doc_id IS NOT NULL AS bad FROM rk r LEFT JOIN gold g USING (item_id, doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) WHERE rank <= 5),
+    a AS (SELECT item_id, count(DISTINCT CASE WHEN rel AND rank <= 1 THEN doc_id END) h1, count(DISTINCT CASE WHEN rel AND rank <= 3 THEN doc_id END) h3, count(DISTINCT CASE WHEN rel THEN doc_id END) h5, count(*) FILTER (rank <= 3) r3, count(*) r5, min(rank) FILTER (rel) f, bool_or(bad) bad FROM m GROUP BY 1),
+    g AS (SELECT item_id, count(*) n FROM gold GROUP BY 1),
+    cs AS (SELECT b.item_id, coalesce(h1 / n, 0) recall_1, coalesce(h3 / n, 0) recall_3, coalesce(h5 / n, 0) recall_5, coalesce(h3 / r3, 0) precision_3, coalesce(h5 / r5, 0) precision_5, coalesce(1 / f, 0) reciprocal_rank, coalesce(h5, 0) relevant_hits, coalesce(bad, false) forbidden_hit,
+        list_filter([CASE WHEN coalesce(h5 / n, 0) < 1 THEN 'recall_below_one' END, CASE WHEN coalesce(bad, false) THEN 'forbidden_hit' END, CASE WHEN coalesce(h5, 0) < 1 THEN 'too_few_hits' END], lambda x: x IS NOT NULL) AS rs
+        FROM benchmark b LEFT JOIN a USING (item_id) LEFT JOIN g USING (item_id))"""
+_RUNS = """r AS (SELECT *, bad_k AS tokens, round_even((bad_k * 1000 * 0.3 + bad_k * 100 * 1.2) / 1000000, 6) AS cost FROM (SELECT event_id, ts, event_type AS node, 'm' || (user_id % 3) AS model, value AS latency, CAST(props->>'$.k' AS BIGINT) AS bad_k, value < 450 AS fast, CAST(props->>'$.k' AS BIGINT) < 90 AS small, CASE WHEN user_id % 4 > 0 THEN 'e' || (user_id % 4) END AS error_type FROM events)),
+    s AS (SELECT node, model, count(*) n_runs, round(avg(fast::INT), 6) fr, round(avg(small::INT), 6) sr, round(avg(latency), 3) ml, sum(tokens)::BIGINT tokens, round(sum(cost), 6) cost, fr >= 0.9 AND sr >= 0.85 AS eligible FROM r GROUP BY ALL)"""
+_PAIRS = """p AS (SELECT p_partkey, list_distinct([p_partkey % 5, p_partkey % 7]) AS app, [CAST(p_size % 5 AS BIGINT)] AS exc, p_partkey % 11 = 0 AS g, ['primary', 'all', 'global', 'overlap'][p_partkey % 4 + 1] AS mode, p_partkey % 5 AS first FROM part),
+    x AS (SELECT p.*, n_nationkey, list_distinct([CAST(n_nationkey % 5 AS BIGINT), CAST(n_nationkey % 3 AS BIGINT)]) AS scope FROM p, nation)"""
+ORACLE = {
+    "tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)",
+    "postings_df": f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
+    "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score FROM rk WHERE rank <= 5",
+    "matched_terms": f"WITH {_BM25} SELECT item_id, doc_id, matched FROM rk WHERE rank <= 5",
+    "case_scores": f"WITH {_CASES} SELECT * EXCLUDE (rs), array_to_string(rs, ',') AS reasons FROM cs",
+    "lexical_summary": f"WITH {_CASES} SELECT 'lexical' AS method, count(*) AS n_cases, round(avg(recall_1), 6) recall_1, round(avg(recall_3), 6) recall_3, round(avg(recall_5), 6) recall_5, round(avg(precision_3), 6) precision_3, round(avg(precision_5), 6) precision_5, round(avg(reciprocal_rank), 6) reciprocal_rank, count(*) FILTER (forbidden_hit) AS n_forbidden, count(*) FILTER (len(rs) = 0) AS n_passed FROM cs",
+    "reason_counts": f"WITH {_CASES} SELECT 'lexical' AS method, reason, count(*) AS n_cases FROM (SELECT unnest(rs) AS reason FROM cs) GROUP BY ALL",
+    "recall_ceiling": f"WITH {_BM25} SELECT item_id, count(*) AS n_gold, least(count(*), 5) / count(*) AS ceiling, count(*) <= 5 AS feasible FROM gold GROUP BY 1",
+    "expected_ranks": f"WITH {_BM25} SELECT g.item_id, g.doc_id, rank FROM gold g LEFT JOIN (SELECT * FROM rk WHERE rank <= 20) r USING (item_id, doc_id)",
+    "cosine_topk": "SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5",
+    "validate_vectors": "SELECT label, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok, count(*) AS n_vectors FROM embeddings GROUP BY ALL",
+    "rrf_many": """WITH e AS (SELECT user_id, event_type, count(*) n, round(sum(value), 2) v FROM events GROUP BY ALL),
+        a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) rank FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_type) rank FROM e),
+        f AS (SELECT user_id, event_type, min(c) AS count_rank, min(w) AS value_rank, round(sum(1.0::DOUBLE / (60 + coalesce(c, w))), 8) AS s FROM (SELECT user_id, event_type, rank c, NULL w FROM a WHERE rank <= 3 UNION ALL SELECT user_id, event_type, NULL, rank FROM b WHERE rank <= 3) GROUP BY ALL)
+        SELECT user_id, event_type, round(s, 6) AS score, rank, count_rank, value_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS rank FROM f) WHERE rank <= 5""",
+    "parent_child_topk": """WITH r AS (SELECT * FROM (SELECT c_nationkey q, c_custkey p, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) pr FROM customer) WHERE pr <= 10),
+        own AS (SELECT * FROM (SELECT q, o_orderkey o, row_number() OVER (PARTITION BY q ORDER BY o_totalprice DESC, o_orderkey) rk FROM r JOIN orders ON o_custkey = p) WHERE rk <= 20),
+        c AS (SELECT r.q, r.p, o_orderkey o, pr AS parent_rank, row_number() OVER (PARTITION BY r.q, r.p ORDER BY rk ASC NULLS LAST, o_orderkey) nth FROM r JOIN orders ON o_custkey = p LEFT JOIN own ON own.q = r.q AND own.o = o_orderkey)
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY parent_rank, nth) AS rank FROM c WHERE nth <= 2""",
+    "runtime_eligibility": f"WITH {_PAIRS} SELECT n_nationkey, concat_ws(',', CASE WHEN list_has_any(exc, scope) THEN 'excluded_solution_conflict' END, CASE WHEN NOT g AND NOT list_has_all(scope, app) THEN 'solution_scope_mismatch' END) AS reasons, count(*) AS n_candidates FROM x GROUP BY ALL",
+    "confusion_metrics": f"""WITH {_PAIRS}, y AS (SELECT n_nationkey, mode, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad,
+            CASE mode WHEN 'primary' THEN list_contains(scope, first) WHEN 'all' THEN list_has_all(scope, app) WHEN 'global' THEN true ELSE list_has_any(app, scope) END AS ok FROM x)
+        SELECT n_nationkey, mode, count(*) AS n_pairs, count(*) FILTER (NOT bad) AS n_relevant, count(*) FILTER (bad) AS n_violating, round(count(*) FILTER (NOT bad AND ok) / nullif(count(*) FILTER (NOT bad), 0), 6) AS retention, round(count(*) FILTER (bad AND NOT ok) / nullif(count(*) FILTER (bad), 0), 6) AS removal
+        FROM y GROUP BY GROUPING SETS ((n_nationkey), (mode), ())""",
+    "node_model_summary": f"WITH {_RUNS} SELECT node, model, n_runs, round(fr, 4) AS fast_rate, round(sr, 4) AS small_rate, round(ml, 2) AS mean_latency, tokens, round(cost, 4) AS cost, concat_ws(',', CASE WHEN fr < 0.9 THEN 'fast_below' END, CASE WHEN sr < 0.85 THEN 'small_below' END) AS reasons, eligible FROM s",
+    "routing_table": f"WITH {_RUNS}, o AS (SELECT *, eligible AND n_runs >= 10 AS ok, row_number() OVER (PARTITION BY node, eligible AND n_runs >= 10 ORDER BY CASE WHEN coalesce(cost, 0) = 0 THEN 999999 ELSE cost END, ml, tokens, model) AS place FROM s) SELECT node, max(model) FILTER (ok AND place = 1) AS \"primary\", max(model) FILTER (ok AND place = 2) AS fallback, count(*) FILTER (NOT ok) AS n_disqualified FROM o GROUP BY node",
+    "failure_counts": f"WITH {_RUNS}, b AS (SELECT node, model, coalesce(error_type, 'unknown') AS error_type FROM r WHERE NOT fast) SELECT node, model, error_type, count(*) AS n_failed FROM b GROUP BY GROUPING SETS ((node), (model), (error_type), ())",
+    "budget_cutoff": f"WITH {_RUNS}, c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY node, model ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT node, model, count(*) AS n_run, CAST(sum(tokens) AS BIGINT) AS tokens FROM c WHERE before < 5000 GROUP BY ALL",
+    "best_by_dimension": f"WITH {_RUNS}, m AS (SELECT model, round(avg(latency), 4) AS latency, round(avg(tokens), 4) AS tokens FROM r GROUP BY 1), l AS (SELECT model, 'latency' AS dimension, latency AS mean FROM m UNION ALL SELECT model, 'tokens', tokens FROM m) SELECT dimension, model, mean FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY mean DESC, model) n FROM l) WHERE n = 1",
+    "duplicate_keys": "SELECT * FROM (SELECT md5(text) AS key, min(doc_id) OVER (PARTITION BY text) AS first_line, doc_id AS line FROM documents) WHERE line > first_line",
+    "manifest": "SELECT source, count(*) AS n_rows FROM documents GROUP BY 1",
+    "content_hash": "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, ''), coalesce(lang, ''))), 1, 8) AS BIGINT)) AS BIGINT) AS hash_sum FROM documents",
+    "diff_tables": """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, source, n_chars + (doc_id % 5 = 0)::INT AS n_chars FROM documents WHERE doc_id % 10 <> 3)
+        SELECT doc_id, c AS "column" FROM (SELECT doc_id, unnest(list_filter([CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.source IS DISTINCT FROM b.source THEN 'source' END, CASE WHEN a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END], lambda x: x IS NOT NULL)) AS c FROM documents a FULL JOIN b USING (doc_id))""",
+    "unsafe_values": "SELECT doc_id, marks FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" for m in MARKS) + ") AS marks FROM documents) WHERE marks <> ''",
+    "chunk_ids": "SELECT doc_id, i, doc_id || printf('#chunk-%03d-', i) || substr(sha1(doc_id || ':' || i || ':' || c), 1, 12) AS chunk_id, CAST(greatest(1, ceil(length(c) / 4)) AS BIGINT) AS token_estimate FROM (SELECT doc_id, unnest(s) AS c, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))",
+    "deal_scores": """SELECT l_orderkey AS case_id, t AS total, CASE WHEN t >= 80 THEN 'very_high' WHEN t >= 65 THEN 'high' WHEN t >= 45 THEN 'medium' WHEN t >= 25 THEN 'low' ELSE 'very_low' END AS level
+        FROM (SELECT l_orderkey, 5 * least(20, least(4 * count(*), 8) + least(3 * count(*) FILTER (l_returnflag = 'R'), 6) + least(3 * count(*) FILTER (l_quantity > 40), 6)) AS t FROM lineitem GROUP BY 1)""",
+    "deal_limiters": """WITH d AS (SELECT l_orderkey, count(*) AS need, count(*) FILTER (l_returnflag = 'R') AS pain FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, concat_ws(',', CASE WHEN need < 2.4 THEN 'need' END, CASE WHEN pain < 2.4 THEN 'pain' END) AS limiters, concat_ws(',', CASE WHEN need >= pain THEN 'need' END, CASE WHEN pain >= need THEN 'pain' END) AS strongest, concat_ws(',', CASE WHEN need <= pain THEN 'need' END, CASE WHEN pain <= need THEN 'pain' END) AS weakest FROM d""",
+    "source_index": "SELECT conv_id AS case_id, count(*) AS n_sources, count(*) FILTER (role <> 'system') AS n_verified, min(s) AS first_source, max(s) AS last_source FROM (SELECT *, 'MTG-' || lpad((turn + 1)::VARCHAR, 3, '0') AS s FROM conversations) GROUP BY 1",
+}

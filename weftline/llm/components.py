@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = durable(_star(_star(now, True).distinct(), False).distinct(), "edges")
+        now = durable(_star(_star(now, True), False).distinct(), "edges")
         found = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if found == mark:
             break

@@ -12,7 +12,7 @@ left out of its own neighbours, weighted to the labels' shares in all labelled r
 examples with their cosines.
 
 Null and empty texts, and texts without a term, have no neighbour and get the curve's value at no votes. With no labelled
-rows every score is 0. Ties in cosine go to the smaller example id. Rows that repeat each give a row. Only ids, text
+rows every score is the same and below the threshold. Ties in cosine go to the smaller example id. Rows that repeat each give a row. Only ids, text
 and the label are read.
 """
 

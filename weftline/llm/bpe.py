@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text whose distinct pre-tokens leave a task together.
-SHEAF_BYTES = 12 << 20
+SHEAF_BYTES = 6 << 20
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -70,16 +70,31 @@ def _unpack(data: bytes) -> np.ndarray:
     return refs
 
 
-SHEAVES = "sheaf long, bucket int, doc_id long, refs binary, words array<string>"
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
+
+
+def _open(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
+LINES = "sheaf long, mark long, doc_id long, refs binary"
+PARTS = "sheaf long, mark long, bucket int, refs binary, lens binary, words binary"
+
+
+def _sheaves(pattern: str, buckets: int, lines: bool):
+    """Rows of LINES, one a document, or of PARTS, one a bucket of a sheaf. Both passes number a sheaf's pre-tokens alike; mark tells if they did."""
 
-def _sheaves(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
         findall = _splitter(pattern).findall
         part, made = TaskContext.get().partitionId(), 0
-        empty = pa.array([None], pa.list_(pa.string()))
 
         def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal made
@@ -87,23 +102,30 @@ def _sheaves(pattern: str, buckets: int):
             number: dict[str, int] = defaultdict()
             number.default_factory = number.__len__
             refs = [np.fromiter(map(number.__getitem__, findall(text or "")), np.int64) for _, text in held]
-            # frequent first, so that most references take one byte
-            counts = np.zeros(len(number), np.int64)
-            for r in refs:
-                np.add.at(counts, r, 1) if len(r) < 64 else counts.__iadd__(np.bincount(r, minlength=len(counts)))
-            order = np.argsort(-counts, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            n = len(held)
-            yield pa.RecordBatch.from_arrays([pa.array([sheaf] * n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.array([d for d, _ in held], pa.int64()), pa.array([_pack(place[r]) for r in refs], pa.binary()), pa.concat_arrays([empty] * n)], names=["sheaf", "bucket", "doc_id", "refs", "words"])
-            names = np.array(list(number), object)[order] if len(order) else np.zeros(0, object)
-            of = np.fromiter((hash_word(w) % buckets for w in names), np.int64, len(names))
+            names = list(number)
+            seen = np.array([len(names), sum(map(len, refs))], np.int64)
+            mark = xxhash.xxh64_intdigest(seen.tobytes() + "\x00".join(names[:: max(1, len(names) // 4096)]).encode()) >> 1
+            if lines:
+                # frequent first, so that most references take one byte
+                counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *refs]), minlength=len(names))
+                place = np.empty(len(counts), np.int64)
+                place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+                n = len(held)
+                order = np.argsort(-counts, kind="stable").astype(np.uint32)
+                # the first row of a sheaf also holds which pre-token has which place
+                packed = [_squeeze_bytes(_pack(place[r])) for r in refs]
+                ids = [*(d for d, _ in held), None]
+                yield pa.RecordBatch.from_arrays([pa.array([sheaf] * (n + 1), pa.int64()), pa.array([mark] * (n + 1), pa.int64()), pa.array(ids, pa.int64()), pa.array([*packed, b"order" + _squeeze(order)], pa.binary())], names=["sheaf", "mark", "doc_id", "refs"])
+                return
+            coded = [w.encode() for w in names]
+            of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in coded), np.int64, len(coded))
             by = np.argsort(of, kind="stable")
             cut = np.searchsorted(of[by], np.arange(buckets + 1))
             for b in range(buckets):
                 if cut[b] < cut[b + 1]:
-                    own = by[cut[b] : cut[b + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([sheaf], pa.int64()), pa.array([b], pa.int32()), pa.array([None], pa.int64()), pa.array([own.astype(np.uint32).tobytes()], pa.binary()), pa.array([names[own].tolist()], pa.list_(pa.string()))], names=["sheaf", "bucket", "doc_id", "refs", "words"])
+                    own = sorted(by[cut[b] : cut[b + 1]].tolist(), key=coded.__getitem__)  # like words side by side squeeze well
+                    lens = np.array([len(coded[i]) for i in own], np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([sheaf], pa.int64()), pa.array([mark], pa.int64()), pa.array([b], pa.int32()), pa.array([_squeeze(np.array(own, np.uint32))], pa.binary()), pa.array([_squeeze(lens)], pa.binary()), pa.array([_squeeze_bytes(b"".join(coded[i] for i in own))], pa.binary())], names=["sheaf", "mark", "bucket", "refs", "lens", "words"])
 
         held, size = [], 0
         for batch in batches:
@@ -119,10 +141,10 @@ def _sheaves(pattern: str, buckets: int):
     return run
 
 
-def hash_word(w: str) -> int:
-    import xxhash
+def _squeeze_bytes(data: bytes) -> bytes:
+    import zstandard
 
-    return xxhash.xxh32_intdigest(w)
+    return zstandard.compress(data, 3)
 
 
 def _merge(name: str, ranks, pattern: str):
@@ -130,18 +152,19 @@ def _merge(name: str, ranks, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _coder(name, ranks.value, pattern)._encode_single_piece
-        known: dict[str, bytes] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             lens, ids = [], []
-            for words in batch.column("words").to_pylist():
-                got = []
-                for w in words:
+            for sizes, words in zip(batch.column("lens").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                got, at, words = [], 0, _open(words)
+                for n in np.frombuffer(_open(sizes), np.uint32).tolist():
+                    w, at = words[at : at + n], at + n
                     if (x := known.get(w)) is None:
                         x = known[w] = np.array(one(w), np.uint32).tobytes()
                     got.append(x)
-                lens.append(np.fromiter(map(len, got), np.uint32, len(got)).tobytes())
-                ids.append(b"".join(got))
-            yield pa.RecordBatch.from_arrays([batch.column("sheaf"), batch.column("refs"), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], names=["sheaf", "refs", "lens", "ids"])
+                lens.append(_squeeze(np.fromiter(map(len, got), np.uint32, len(got)) // 4))
+                ids.append(_squeeze_bytes(b"".join(got)))
+            yield pa.RecordBatch.from_arrays([batch.column("sheaf"), batch.column("mark"), batch.column("refs"), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], names=["sheaf", "mark", "refs", "lens", "ids"])
 
     return run
 
@@ -155,30 +178,40 @@ def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
 
 
 def _set_in(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-    place = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["refs"]]]).astype(np.int64)
-    lens = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["lens"]]]).astype(np.int64) // 4
-    ids = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["ids"]]]).view(np.int32)
-    starts, length = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    starts[place], length[place] = np.cumsum(lens) - lens, lens
+    if set(docs["mark"]) | set(parts["mark"]) != set(docs["mark"].iloc[:1]):
+        raise ValueError("the documents differed between two passes over them")
+    is_order = docs["refs"].map(lambda x: x[:5] == b"order")
+    order = np.frombuffer(_open(docs["refs"][is_order].iloc[0][5:]), np.uint32).astype(np.int64)
+    join = lambda c: np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(_open(x), np.uint32) for x in parts[c]]])
+    number, lens, ids = join("refs").astype(np.int64), join("lens").astype(np.int64), join("ids").view(np.int32)
+    starts, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    starts[number], length[number] = np.cumsum(lens) - lens, lens
+    starts, length = starts[order], length[order]
+    docs = docs[~is_order]
     out = []
     for x in docs["refs"]:
-        refs = _unpack(x)
+        refs = _unpack(_open(x))
         out.append(_gather(ids, starts[refs], length[refs]))
     return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, ids array<int>: the ids of every whole text, without special tokens."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool = False) -> DataFrame:
+    """doc_id, ids array<int>: the ids of every whole text, without special tokens.
+
+    Documents are read twice. stored: they come straight from files, in the same order each time; else they are written to
+    the shared folder first."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(ranks)  # its bound is the vocabulary
-    from ..shared import durable
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not stored:
+        from ..shared import durable
 
-    sheaves = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sheaves(pattern, n), SHEAVES), "bpe-sheaves")
-    words = sheaves.where("bucket >= 0").select("sheaf", "bucket", "refs", "words").repartition(n, "bucket")
+        texts = durable(texts, "bpe-texts")
     name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
-    merged = words.mapInArrow(_merge(name, shared, pattern), "sheaf long, refs binary, lens binary, ids binary")
-    lines = sheaves.where("bucket = -1").select("sheaf", "doc_id", "refs")
+    words = texts.mapInArrow(_sheaves(pattern, n, False), PARTS).repartition(n, "bucket")
+    merged = words.mapInArrow(_merge(name, shared, pattern), "sheaf long, mark long, refs binary, lens binary, ids binary")
+    lines = texts.mapInArrow(_sheaves(pattern, n, True), LINES)
     return lines.groupBy("sheaf").cogroup(merged.groupBy("sheaf")).applyInPandas(_set_in, "doc_id long, ids array<int>")
 
 

@@ -101,16 +101,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 
-def bpe_digests(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+def bpe_digests(docs: DataFrame, stored: bool, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     from . import bpe
 
     P = tokenizers()
     ranks = bpe.load_ranks(docs.sparkSession, P.path(vocabulary))
-    return bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks, digests=True)
+    return bpe.decode(bpe.encode(docs, ranks, P.PATTERN, stored), ranks, digests=True)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(_t(spark, sf_dir, "documents"))
+    return bpe_digests(_t(spark, sf_dir, "documents"), stored=True)
 
 
 QUERIES = {k: v for k, v in vars(sys.modules[__name__]).items() if k.startswith("op") and k[2:3].isdigit()}

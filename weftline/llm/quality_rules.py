@@ -34,15 +34,20 @@ def _worded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("w", words())
 
 
-def _bucket(c: Column, buckets: int) -> Column:
-    return F.pmod(c, F.lit(buckets)).cast("int")
+def _hashed(d: DataFrame) -> DataFrame:
+    """d with hw, the hashes of the words in w, and h2, those of each word with its next."""
+    d = d.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
+    return d.withColumn("h2", _joined("hw", 1))
+
 
+def _joined(h: str, step: int) -> Column:
+    """The hash of each element with the one `step` places on (of itself, where there is none)."""
+    return F.zip_with(h, F.slice(h, F.lit(1 + step), F.size(h)), lambda x, y: F.xxhash64(x, y))
 
-def ngram_buckets(buckets: int) -> Column:
-    """Buckets of all words and of all pairs of neighbours, from the column hw of word hashes."""
-    ones = F.transform("hw", lambda x: _bucket(x, buckets))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("hw") - 2), lambda i: _bucket(F.xxhash64(F.get("hw", i), F.get("hw", i + 1)), buckets))
-    return F.when(F.size("hw") > 1, F.concat(ones, pairs)).otherwise(ones)
+
+def ngrams() -> Column:
+    """Hashes of all words and of all pairs of neighbours, from hw and h2."""
+    return F.concat("hw", F.slice("h2", F.lit(1), F.greatest(F.size("hw") - 1, F.lit(0))))
 
 
 def multinomials(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> dict[int, tuple[int, int]]:
@@ -51,7 +56,8 @@ def multinomials(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS)
     target_ids (doc_id) must be of bounded size: it is broadcast."""
     flagged = docs.join(F.broadcast(target_ids.select("doc_id", F.lit(1).alias("t")).distinct()), "doc_id", "left")
     w = flagged.select(F.coalesce("t", F.lit(0)).alias("t"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
-    each = w.select("t", F.transform("w", lambda x: F.xxhash64(x)).alias("hw")).select("t", F.explode(ngram_buckets(buckets)).alias("b"))
+    # one row an n-gram, so that hashing into buckets and counting are compiled
+    each = _hashed(w).select("t", F.explode(ngrams()).alias("g")).select("t", F.pmod("g", F.lit(buckets)).cast("int").alias("b"))
     rows = each.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("m")).collect()
     return {r.b: (r.n, r.m) for r in rows}
 
@@ -69,13 +75,13 @@ def weights(counts: dict[int, tuple[int, int]], buckets: int = BUCKETS, smoothin
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, hw (word hashes), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, hw, h2 (hashes of words and pairs), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     d = _worded(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_WS))) > 0)
     d = d.withColumn("n_words", F.size("w").cast("long"))
-    d = d.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
-    window = lambda i: F.xxhash64(F.slice("hw", i, F.lit(8)))
-    d = d.withColumn("h", F.when(F.col("n_words") >= 8, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - 7), window)).otherwise(F.array().cast("array<long>")))
+    # windows of eight words from pairs of fours, those from pairs of twos
+    d = _hashed(d).withColumn("h4", _joined("h2", 2))
+    d = d.withColumn("h", F.slice(_joined("h4", 4), F.lit(1), F.greatest(F.size("hw") - 7, F.lit(0))))
     # most texts repeat no window; only for the others are the windows sorted
     tagged = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), tagged))
@@ -86,7 +92,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform("at", lambda x, i: F.least(F.lit(8), F.coalesce(F.get("at", i + 1) - x, F.lit(8)))), F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     return d.select(
-        "doc_id", "hw", "n_words", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "doc_id", "hw", "h2", "n_words", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
@@ -98,8 +104,10 @@ def judge(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, smooth
     table = weights(multinomials(docs, target_ids, buckets), buckets, smoothing)
     # a literal of known size, folded to an array when the plan is made
     weight = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    d = base_rules(docs)
-    total = F.aggregate(ngram_buckets(buckets), F.lit(0).cast("long"), lambda a, b: a + F.get(weight, b))
-    d = d.withColumn("llr_millionths", F.when(F.col("n_words") > 0, F.floor(total / (2 * F.col("n_words") - 1))).otherwise(F.lit(0)).cast("long"))
+    # one row an n-gram again; a document's rows are summed where they arise, so one row a document is shuffled
+    stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    each = base_rules(docs).select(F.monotonically_increasing_id().alias("row"), *stats, F.explode_outer(ngrams()).alias("g"))
+    d = each.groupBy("row", *stats).agg(F.coalesce(F.sum(F.get(weight, F.pmod("g", F.lit(buckets)).cast("int")).cast("long")), F.lit(0)).alias("total"))
+    d = d.withColumn("llr_millionths", F.when(F.col("n_words") > 0, F.floor(F.col("total") / (2 * F.col("n_words") - 1))).otherwise(F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("llr_millionths") >= round(threshold * 1e6))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr_millionths")
+    return d.select(*stats, kept.alias("kept"), "llr_millionths")

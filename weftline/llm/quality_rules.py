@@ -106,7 +106,7 @@ def judge(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, smooth
     weight = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     # one row an n-gram again; a document's rows are summed where they arise, so one row a document is shuffled
     stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    each = base_rules(docs).select(F.monotonically_increasing_id().alias("row"), *stats, F.explode_outer(ngrams()).alias("g"))
+    each = base_rules(docs).withColumn("row", F.monotonically_increasing_id()).select("row", *stats, F.explode_outer(ngrams()).alias("g"))
     d = each.groupBy("row", *stats).agg(F.coalesce(F.sum(F.get(weight, F.pmod("g", F.lit(buckets)).cast("int")).cast("long")), F.lit(0)).alias("total"))
     d = d.withColumn("llr_millionths", F.when(F.col("n_words") > 0, F.floor(F.col("total") / (2 * F.col("n_words") - 1))).otherwise(F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("llr_millionths") >= round(threshold * 1e6))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 #: Bytes of text whose distinct pre-tokens leave a task together.
 SHEAF_BYTES = 6 << 20
 
@@ -209,9 +211,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool
 
         texts = durable(texts, "bpe-texts")
     name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
-    words = texts.mapInArrow(_sheaves(pattern, n, False), PARTS).repartition(n, "bucket")
-    merged = words.mapInArrow(_merge(name, shared, pattern), "sheaf long, mark long, refs binary, lens binary, ids binary")
-    lines = texts.mapInArrow(_sheaves(pattern, n, True), LINES)
+    words = texts.mapInArrow(tidy(_sheaves(pattern, n, False)), PARTS).repartition(n, "bucket")
+    merged = words.mapInArrow(tidy(_merge(name, shared, pattern)), "sheaf long, mark long, refs binary, lens binary, ids binary")
+    lines = texts.mapInArrow(tidy(_sheaves(pattern, n, True)), LINES)
     return lines.groupBy("sheaf").cogroup(merged.groupBy("sheaf")).applyInPandas(_set_in, "doc_id long, ids array<int>")
 
 
@@ -251,4 +253,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitset
+from .memory import tidy
 from .words import ALNUM, Words, blocks, grams
 
 WINDOW, K = 10, 5
@@ -123,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
     items = durable(benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_item_prints(k, window), f"item_id {item_type}, kind int, h long, {lists}").distinct(), "benchmark-prints")
     kinds = sorted(r.kind for r in items.select("kind").distinct().collect())  # at most `window` values
     table = spark.sparkContext.broadcast(bitset.build(items.select("h").distinct(), "h"))
-    found = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_doc_prints(kinds, table, k, window), f"doc_id {doc_type}, n_words long, found array<struct<kind int, h long, p int, left array<string>, mid array<string>, right array<string>>>"), "document-prints")
+    found = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_doc_prints(kinds, table, k, window)), f"doc_id {doc_type}, n_words long, found array<struct<kind int, h long, p int, left array<string>, mid array<string>, right array<string>>>"), "document-prints")
     # items that share a fingerprint and its surroundings are met once, and told apart after the match
     near = items.select("kind", "h", F.col("left").alias("l"), F.col("mid").alias("m"), F.col("right").alias("r")).distinct()
     d = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").distinct()

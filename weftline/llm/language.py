@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .sampling import bounded_sample, fold, rows_of
 
 #: Characters parsed at a stretch.
@@ -165,7 +166,7 @@ def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndar
     return out, np.where(letters > 0, size, 0)
 
 
-def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000, keep_text: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, batch_chars: int = 500_000, keep_text: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1: how much lower the winner's estimate is than the runner-up's), bits_per_char.
 
     With keep_text, the text comes along, so that a filter on the verdict needs no join. doc_id may be a struct of columns."""
@@ -203,7 +204,7 @@ def predict(docs: DataFrame, model: Model, batch_chars: int = 2_000_000, keep_te
                 start = stop
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_char double" + ", text string" * keep_text)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, bits_per_char double" + ", text string" * keep_text)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..shared import durable
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges a task. A graph of so few that its shuffles need fewer tasks than the session's gets fewer.
+EDGES_A_TASK = 100_000
+
+
+def _star(edges: DataFrame, large: bool, tasks: int | None = None) -> DataFrame:
     """One round: every node's neighbours (the larger ones, or the smaller ones with the node) move to the least of them."""
     if large:
         edges = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if tasks:
+        edges = edges.repartition(tasks, "a")  # the grouping and the join below need no other shuffle
     least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     moved = edges.join(least, "a")
     if large:
@@ -27,10 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds alternate until nothing changes; each round's edges are written to the shared
     folder, no more of them than there were. Loops, repeated and null edges do no harm."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    session, n, mark = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), now.count(), None
     while True:
-        now = durable(_star(_star(now, True), False).distinct(), "edges")
+        tasks = max(1, -(-n // EDGES_A_TASK))
+        few = tasks if tasks < session else None
+        star = _star(_star(now, True, few), False, few)
+        now = durable((star.repartition(few, "a") if few else star).distinct(), "edges")
         found = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        n = found[0]
         if found == mark:
             break
         mark = found

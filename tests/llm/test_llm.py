@@ -111,6 +111,9 @@ def test_bpe_round_trip_and_ids(spark, docs):
     want = Counter((r.doc_id, tuple(tok.encode_ordinary(r.text or ""))) for r in df.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in enc.collect()) == want
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode(enc, ranks).collect()) == Counter((r.doc_id, r.text or "") for r in df.collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    said = Counter(tuple(r) for r in bpe.encode(df, ranks, P.PATTERN, digests=True).collect())
+    assert said == Counter((d, len(ids), sha(",".join(map(str, ids)).encode()), sha(tok.decode_bytes(list(ids)))) for d, ids in want.elements())
 
 
 def test_line_dedup(spark):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memory import tidy
+from .memory import small_batches, tidy
 
 #: Bytes of text whose distinct pre-tokens leave a task together.
 SHEAF_BYTES = 6 << 20
@@ -85,6 +85,7 @@ def _open(data: bytes) -> bytes:
 
 
 LINES = "sheaf long, mark long, doc_id long, refs binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PARTS = "sheaf long, mark long, bucket int, refs binary, lens binary, words binary"
 
 
@@ -197,12 +198,15 @@ def _set_in(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool = False, digests: bool = False) -> DataFrame:
     """doc_id, ids array<int>: the ids of every whole text, without special tokens.
 
+    With digests, the ids are decoded in the task that has set them in, and DIGESTS stands in place of the ids.
+
     Documents are read twice. stored: they come straight from files, in the same order each time; else they are written to
     the shared folder first."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(ranks)  # its bound is the vocabulary
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +218,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool
     words = texts.mapInArrow(tidy(_sheaves(pattern, n, False)), PARTS).repartition(n, "bucket")
     merged = words.mapInArrow(tidy(_merge(name, shared, pattern)), "sheaf long, mark long, refs binary, lens binary, ids binary")
     lines = texts.mapInArrow(tidy(_sheaves(pattern, n, True)), LINES)
-    return lines.groupBy("sheaf").cogroup(merged.groupBy("sheaf")).applyInPandas(_set_in, "doc_id long, ids array<int>")
+    if digests:
+        tokens = spark.sparkContext.broadcast(token_table(ranks))
+        run, schema = lambda docs, parts: _digests(_set_in(docs, parts), tokens.value), DIGESTS
+    else:
+        run, schema = _set_in, "doc_id long, ids array<int>"
+    return lines.groupBy("sheaf").cogroup(merged.groupBy("sheaf")).applyInPandas(run, schema)
 
 
 def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,26 +240,27 @@ def ragged(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(items), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -> DataFrame:
-    """doc_id, decoded binary: the token-byte table (one row an id, bounded by the vocabulary) joined by id in each task.
+def _decoded(runs: list[np.ndarray], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """The bytes of each run of ids."""
+    values, starts, lens = table
+    return (_gather(values, starts[r], lens[r]).tobytes() for r in runs)
+
+
+def _digests(encoded: pd.DataFrame, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    runs = list(encoded["ids"])
+    said = [hashlib.sha256(b",".join(b"%d" % i for i in r.tolist())).hexdigest() for r in runs]
+    return pd.DataFrame({"doc_id": encoded["doc_id"], "n_tokens": [len(r) for r in runs], "ids_sha256": said, "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in _decoded(runs, table)]})
 
-    With digests, n_tokens, ids_sha256 and decoded_sha256 stand in place of the bytes."""
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, decoded binary: the token-byte table (one row an id, bounded by the vocabulary) joined by id in each task."""
     shared = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, starts, lens = shared.value
-        texts = ragged([b"%d," % i for i in range(len(lens))])
         for batch in batches:
             col = batch.column("ids")
             off, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            runs = [flat[off[i] : off[i + 1]] for i in range(len(col))]
-            raw = [_gather(values, starts[r], lens[r]).tobytes() for r in runs]
-            if digests:
-                said = [hashlib.sha256(_gather(texts[0], texts[1][r], texts[2][r])[:-1].tobytes()).hexdigest() for r in runs]
-                cols = [pa.array([len(r) for r in runs], pa.int64()), pa.array(said, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
-
-    return encoded.mapInArrow(tidy(run), schema)
+            raw = list(_decoded([flat[off[i] : off[i + 1]] for i in range(len(col))], shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.mapInArrow(tidy(run), "doc_id long, decoded binary")

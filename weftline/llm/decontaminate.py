@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitset
-from .memory import tidy
+from .memory import small_batches, tidy
 from .words import ALNUM, Words, blocks, grams
 
 WINDOW, K = 10, 5
@@ -116,6 +116,7 @@ def _agreeing(a: str, b: str):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_words, each row once; hits: doc_id, item_id, start, stop in words, for every agreeing run)."""
     spark = docs.sparkSession
+    small_batches(spark)
     item_type = dict(benchmark.dtypes)["item_id"]
     doc_type = dict(docs.dtypes)["doc_id"]
     lists = "left array<string>, mid array<string>, right array<string>"

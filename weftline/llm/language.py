@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memory import tidy
+from .memory import small_batches, tidy
 from .sampling import bounded_sample, fold, rows_of
 
 #: Characters parsed at a stretch.
@@ -170,6 +170,7 @@ def predict(docs: DataFrame, model: Model, batch_chars: int = 500_000, keep_text
     """doc_id, lang_pred, score (0 to 1: how much lower the winner's estimate is than the runner-up's), bits_per_char.
 
     With keep_text, the text comes along, so that a filter on the verdict needs no join. doc_id may be a struct of columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and characters a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

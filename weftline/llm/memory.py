@@ -8,6 +8,17 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of an Arrow batch of texts. Tasks hold a batch several times over, on both sides of the pipe.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """Lower the session's rows a batch, where they are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def give_back() -> None:

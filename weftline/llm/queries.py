@@ -106,7 +106,7 @@ def bpe_digests(docs: DataFrame, stored: bool, vocabulary: str = "byte_bpe_multi
 
     P = tokenizers()
     ranks = bpe.load_ranks(docs.sparkSession, P.path(vocabulary))
-    return bpe.decode(bpe.encode(docs, ranks, P.PATTERN, stored), ranks, digests=True)
+    return bpe.encode(docs, ranks, P.PATTERN, stored, digests=True)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

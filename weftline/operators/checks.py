@@ -39,3 +39,25 @@ def unsafe_values(df: DataFrame, key: str, text: str, marks: list[str]) -> DataF
 
 def keep_first(df: DataFrame, group: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def coverage(df: DataFrame, dimensions: list[str], user: str) -> DataFrame:
+    """Rows and distinct users of every value of every dimension, in one pass."""
+    sets = [[F.col(d)] for d in dimensions]
+    got = df.groupingSets(sets, *dimensions).agg(F.count("*").alias("n_rows"), F.count_distinct(F.col(user)).alias("n_users"), F.grouping_id().alias("g"))
+    which = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(dimensions) for x in ((1 << len(dimensions)) - 1 - (1 << (len(dimensions) - 1 - i)), d)]), F.col("g").cast("int"))
+    return got.select(which.alias("dimension"), F.coalesce(*dimensions).alias("value"), "n_rows", "n_users")
+
+
+def opaque_ids(df: DataFrame, key: str, prefix: str, salt: str, version: str) -> DataFrame:
+    """key, opaque id, and whether another key has the same."""
+    named = df.select(key, F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat(F.lit(f"{salt}:{version}:"), F.col(key).cast("string")), 256), 1, 16)).alias("opaque_id"))
+    clash = named.groupBy("opaque_id").agg((F.count_distinct(F.col(key)) > 1).alias("clashes"))
+    return named.join(clash, "opaque_id").select(key, "opaque_id", "clashes")
+
+
+def unknown_ids(df: DataFrame, id: str, known: DataFrame, known_id: str) -> DataFrame:
+    """Ids that are not known, whatever their case and outer spaces, with their rows."""
+    folded = lambda c: F.lower(F.trim(F.col(c)))
+    used = df.groupBy(folded(id).alias("id")).agg(F.count("*").alias("n_rows"))
+    return used.join(known.select(folded(known_id).alias("id")).distinct(), "id", "left_anti")

@@ -27,3 +27,16 @@ def limiters(dimensions: DataFrame, case: str) -> DataFrame:
     j = d.join(ends, case)
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("dimension")))), ",")
     return j.groupBy(case).agg(names(F.col("share") < 0.6).alias("limiters"), names(F.col("share") == F.col("hi")).alias("strongest"), names(F.col("share") == F.col("lo")).alias("weakest"))
+
+
+def sufficiency(available: Column, core: list[str], every: list[str]) -> tuple[Column, Column]:
+    """(missing categories in order, level): all core and 6 of any, or 2 core or 4 of any, or insufficient."""
+    missing = F.array_except(F.array(*map(F.lit, every)), available)
+    n, c = F.size(available), F.size(F.array_intersect(available, F.array(*map(F.lit, core))))
+    return missing, F.when((c == len(core)) & (n >= 6), "sufficient").when((c >= 2) | (n >= 4), "partial").otherwise("insufficient")
+
+
+def detected_goals(text: Column, triggers: dict[str, str]) -> Column:
+    """Goals whose pattern occurs in the case-folded text, in the order given."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(g)) for g, p in triggers.items()]))

@@ -38,3 +38,30 @@ def confusion(pairs: DataFrame, allowed: Column, groups: list[str]) -> DataFrame
     rel, bad, ok = F.col("relevant"), F.col("violating"), F.col("allowed")
     got = flagged.groupingSets([[F.col(g)] for g in groups] + [[]], *groups).agg(F.count("*").alias("n_pairs"), n(rel).alias("n_relevant"), n(rel & ok).alias("n_kept"), n(bad).alias("n_violating"), n(bad & ~ok).alias("n_removed"))
     return got.select(*groups, "n_pairs", "n_relevant", "n_violating", F.round(F.col("n_kept") / F.nullif("n_relevant", F.lit(0)), 6).alias("retention"), F.round(F.col("n_removed") / F.nullif("n_violating", F.lit(0)), 6).alias("removal"))
+
+
+def rejection_counts(pairs: DataFrame, by: str, reasons: Column) -> DataFrame:
+    return pairs.select(by, F.explode(reasons).alias("reason")).groupBy(by, "reason").agg(F.count("*").alias("n_rejected"))
+
+
+def scope_violations(mode: Column, applicable: Column, excluded: Column, universe: list[int]) -> Column:
+    """Ordered reasons against a scope: overlap of its own sides, entries nobody knows, and the size its mode asks for."""
+    known = F.array(*[F.lit(u).cast("long") for u in universe])
+    n = F.size(applicable)
+    size = F.when(mode == "primary", n == 1).when(mode == "all", n >= 2).when(mode == "global", F.size(F.array_except(known, applicable)) == 0).otherwise(n >= 1)
+    return F.array_compact(F.array(F.when(F.arrays_overlap(applicable, excluded), F.lit("sides_overlap")), F.when(F.size(F.array_except(F.concat(applicable, excluded), known)) > 0, F.lit("unknown_entry")), F.when(~size, F.lit("wrong_size"))))
+
+
+def filter_attribution(pairs: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """Denied pairs a filter (true means denied), split by the booleans relevant and violating."""
+    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in filters.items()]))
+    each = pairs.select("relevant", "violating", F.explode(named).alias("filter"))
+    return each.groupBy("filter").agg(F.count("*").alias("n_denied"), F.count_if("relevant").alias("n_relevant"), F.count_if("violating").alias("n_violating"))
+
+
+def mode_satisfiability(pairs: DataFrame, key: str, allowed: dict[str, Column]) -> DataFrame:
+    """Per candidate and mode: relevant pairs denied, violating pairs allowed, and whether there are none of either."""
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), c.alias("ok")) for m, c in allowed.items()])
+    each = pairs.select(key, "relevant", "violating", F.explode(modes).alias("x")).select(key, "relevant", "violating", "x.mode", "x.ok")
+    got = each.groupBy(key, "mode").agg(F.count_if(F.col("relevant") & ~F.col("ok")).alias("n_false_out"), F.count_if(F.col("violating") & F.col("ok")).alias("n_false_in"))
+    return got.withColumn("perfect", (F.col("n_false_out") == 0) & (F.col("n_false_in") == 0))

@@ -48,3 +48,42 @@ def best_by_dimension(means: DataFrame, dimensions: list[str], provider: str) ->
     long = means.unpivot([provider], dimensions, "dimension", "mean")
     w = Window.partitionBy("dimension").orderBy(F.desc("mean"), provider)
     return long.withColumn("place", F.row_number().over(w)).where("place = 1").select("dimension", provider, "mean")
+
+
+def manifest_counts(runs: DataFrame, by: str, passed: Column) -> DataFrame:
+    """Planned, completed (no error), passed, failed and errored runs, and runs of unknown cost."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    done = F.col("error_type").isNull()
+    ok = F.coalesce(passed, F.lit(False))
+    return runs.groupBy(by).agg(F.count("*").alias("n_planned"), n(done).alias("n_completed"), n(done & ok).alias("n_passed"), n(done & ~ok).alias("n_failed"), n(~done).alias("n_errors"), n(F.col("cost").isNull()).alias("n_unknown_cost"))
+
+
+def pilot_rollup(runs: DataFrame) -> DataFrame:
+    """Per model the mean over nodes of each node's means, and token totals."""
+    nodes = runs.groupBy("node", "model").agg(F.avg("latency").alias("latency"), F.avg("tokens").alias("mean_tokens"), F.sum("tokens").alias("tokens"))
+    return nodes.groupBy("model").agg(F.count("*").alias("n_nodes"), F.round(F.avg("latency"), 3).alias("latency"), F.round(F.avg("mean_tokens"), 3).alias("mean_tokens"), F.sum("tokens").alias("tokens"))
+
+
+def latency_summary(runs: DataFrame, by: str) -> DataFrame:
+    """Mean, extremes and count of latency; token total with null as 0."""
+    return runs.groupBy(by).agg(F.count("latency").alias("n"), F.round(F.avg("latency"), 3).alias("mean"), F.max("latency").alias("most"), F.min("latency").alias("least"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
+
+
+def provider_status(runs: DataFrame, by: str) -> DataFrame:
+    """completed, completed_with_errors, or failed (every run an error)."""
+    got = runs.groupBy(by).agg(F.count("*").alias("n_cases"), F.count("error_type").alias("n_errors"))
+    return got.withColumn("status", F.when(F.col("n_errors") == 0, "completed").when(F.col("n_errors") < F.col("n_cases"), "completed_with_errors").otherwise("failed"))
+
+
+def usage_totals(runs: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Null-aware token total (all null gives null) and the models in first-seen order."""
+    first = runs.groupBy(by, "model").agg(F.min(F.struct(*order)).alias("at"), F.sum("tokens").alias("tokens"))
+    return first.groupBy(by).agg(F.sum("tokens").alias("tokens"), F.transform(F.array_sort(F.collect_list(F.struct("at", "model"))), lambda x: x["model"]).alias("models"))
+
+
+def failure_records(runs: DataFrame, key: str, flags: dict[str, bool]) -> DataFrame:
+    """Runs that fail a flag (null fails), with the failed flags in order and how many of them block; flags: name -> blocks."""
+    failed = lambda f: ~F.coalesce(F.col(f), F.lit(False))
+    marks = F.array_compact(F.array(*[F.when(failed(f), F.lit(f)) for f in flags]))
+    blocking = sum((failed(f).cast("long") for f, blocks in flags.items() if blocks), F.lit(0).cast("long"))
+    return runs.select(key, "node", "model", marks.alias("failed"), blocking.alias("n_blocking")).where(F.size("failed") > 0)

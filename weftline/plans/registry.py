@@ -216,7 +216,114 @@ def source_index(spark, d):
     return s.groupBy("case_id").agg(F.count("*").alias("n_sources"), F.sum(F.col("verified").cast("long")).alias("n_verified"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
 
 
-_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk runtime_eligibility confusion_metrics node_model_summary routing_table failure_counts budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids deal_scores deal_limiters source_index"
+# --- more of run logs, scopes, checks and deals
+
+
+def run_manifest_counts(spark, d):
+    return runs.manifest_counts(_runs(spark, d), "node", F.col("fast") & F.col("small"))
+
+
+def pilot_rollup(spark, d):
+    return runs.pilot_rollup(_runs(spark, d))
+
+
+def latency_summary(spark, d):
+    return runs.latency_summary(_runs(spark, d), "model")
+
+
+def provider_status(spark, d):
+    return runs.provider_status(_runs(spark, d), "model")
+
+
+def usage_totals(spark, d):
+    return runs.usage_totals(_runs(spark, d), "node", ["ts", "event_id"]).withColumn("models", F.array_join("models", ","))
+
+
+def failure_records(spark, d):
+    return runs.failure_records(_runs(spark, d), "event_id", {"fast": True, "small": False}).withColumn("failed", F.array_join("failed", ","))
+
+
+def rejection_counts(spark, d):
+    return eligibility.rejection_counts(_pairs(spark, d), "n_nationkey", eligibility.runtime_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.col("is_global")))
+
+
+def scope_checks(spark, d):
+    c = _candidates(spark, d).select("p_partkey", eligibility.scope_violations(F.col("mode"), F.col("applicable"), F.col("excluded"), list(range(5))).alias("v"))
+    return c.where(F.size("v") > 0).select("p_partkey", F.array_join("v", ",").alias("violations"))
+
+
+def scope_cardinality(spark, d):
+    return _candidates(spark, d).groupBy("mode", F.size("applicable").cast("long").alias("n_entries")).agg(F.count("*").alias("n_candidates"))
+
+
+def _judged_pairs(spark, d):
+    p = _pairs(spark, d).withColumn("violating", F.size(eligibility.boundary_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.array(F.lit(6).cast("long")), F.col("is_global"))) > 0)
+    return p.withColumn("relevant", ~F.col("violating"))
+
+
+def filter_attribution(spark, d):
+    scope, app = F.col("scope"), F.col("applicable")
+    return eligibility.filter_attribution(_judged_pairs(spark, d), {"excluded": F.arrays_overlap("excluded", scope), "disjoint": ~F.arrays_overlap(app, scope), "not_within": F.size(F.array_except(app, scope)) > 0})
+
+
+def mode_satisfiability(spark, d):
+    allowed = {m: eligibility.mode_allows(F.lit(m), F.col("first"), F.col("applicable"), F.col("scope")) for m in ("primary", "all", "global", "overlap")}
+    return eligibility.mode_satisfiability(_judged_pairs(spark, d), "p_partkey", allowed)
+
+
+def coverage_summary(spark, d):
+    return checks.coverage(_t(spark, d, "events").select("event_type", (F.col("user_id") % 7).cast("string").alias("shard"), "user_id"), ["event_type", "shard"], "user_id")
+
+
+def opaque_ids(spark, d):
+    return checks.opaque_ids(_t(spark, d, "customer"), "c_custkey", "c", "salt", "v1")
+
+
+def unknown_ids(spark, d):
+    """Supplier codes of lines that are not among the suppliers with a positive balance."""
+    used = _t(spark, d, "lineitem").select(F.concat(F.lit(" S"), F.col("l_suppkey").cast("string")).alias("code"))
+    return checks.unknown_ids(used, "code", _t(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("s_code")), "s_code")
+
+
+SIGNS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "bulk": "l_quantity > 40", "accepted": "l_returnflag = 'A'", "pending": "l_returnflag = 'N'", "filled": "l_linestatus = 'F'", "discounted": "l_discount > 0.05"}
+
+
+def context_sufficiency(spark, d):
+    flags = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(*[F.bool_or(F.expr(e)).alias(n) for n, e in SIGNS.items()])
+    have = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in SIGNS]))
+    missing, level = deals.sufficiency(have, list(SIGNS)[:3], list(SIGNS))
+    return flags.select(F.col("l_orderkey").alias("case_id"), F.array_join(missing, ",").alias("missing"), level.alias("level"))
+
+
+GOALS = {"ask": "how|what|why", "number": "[0-9]", "write": "write|summar|explain"}
+
+
+def detected_goals(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(deals.detected_goals(F.col("text"), GOALS), ",").alias("goals"))
+
+
+def dedupe_evidence(spark, d):
+    """First turn of each (conversation, role, text)."""
+    return checks.keep_first(_t(spark, d, "conversations"), ["conv_id", "role", "text"], ["turn"]).select("conv_id", "role", "turn")
+
+
+def entity_uniqueness(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id", F.md5(F.lower(F.trim("text"))).alias("folded")).agg(F.count("*").alias("n_rows"))
+    return c.where("n_rows > 1")
+
+
+def duplicate_sources_topk(spark, d):
+    top = _bm25_top(spark, d, 5).select("item_id", "doc_id").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return top.groupBy("item_id").agg((F.count("source") - F.count_distinct("source")).alias("n_repeated"))
+
+
+def blocking_gate(spark, d):
+    s = lexical_summary(spark, d)
+    failed = F.array_compact(F.array(F.when(F.col("recall_5") < 1, F.lit("recall")), F.when(F.col("n_forbidden") > 0, F.lit("forbidden")), F.when(F.col("n_passed") < F.col("n_cases"), F.lit("cases"))))
+    return s.select("method", F.array_join(failed, ",").alias("failed_gates"), (F.size(failed) == 0).alias("passed"))
+
+
+_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk runtime_eligibility confusion_metrics node_model_summary routing_table failure_counts budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids deal_scores deal_limiters source_index run_manifest_counts pilot_rollup latency_summary provider_status usage_totals failure_records rejection_counts scope_checks scope_cardinality filter_attribution mode_satisfiability coverage_summary opaque_ids unknown_ids context_sufficiency detected_goals dedupe_evidence entity_uniqueness duplicate_sources_topk blocking_gate"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _TOK = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
@@ -281,4 +388,28 @@ ORACLE = {
     "deal_limiters": """WITH d AS (SELECT l_orderkey, count(*) AS need, count(*) FILTER (l_returnflag = 'R') AS pain FROM lineitem GROUP BY 1)
         SELECT l_orderkey, concat_ws(',', CASE WHEN need < 2.4 THEN 'need' END, CASE WHEN pain < 2.4 THEN 'pain' END) AS limiters, concat_ws(',', CASE WHEN need >= pain THEN 'need' END, CASE WHEN pain >= need THEN 'pain' END) AS strongest, concat_ws(',', CASE WHEN need <= pain THEN 'need' END, CASE WHEN pain <= need THEN 'pain' END) AS weakest FROM d""",
     "source_index": "SELECT conv_id AS case_id, count(*) AS n_sources, count(*) FILTER (role <> 'system') AS n_verified, min(s) AS first_source, max(s) AS last_source FROM (SELECT *, 'MTG-' || lpad((turn + 1)::VARCHAR, 3, '0') AS s FROM conversations) GROUP BY 1",
+    "run_manifest_counts": f"WITH {_RUNS} SELECT node, count(*) AS n_planned, count(*) FILTER (error_type IS NULL) AS n_completed, count(*) FILTER (error_type IS NULL AND coalesce(fast AND small, false)) AS n_passed, count(*) FILTER (error_type IS NULL AND NOT coalesce(fast AND small, false)) AS n_failed, count(error_type) AS n_errors, count(*) FILTER (cost IS NULL) AS n_unknown_cost FROM r GROUP BY 1",
+    "pilot_rollup": f"WITH {_RUNS}, n AS (SELECT node, model, avg(latency) l, avg(tokens) a, sum(tokens) t FROM r GROUP BY ALL) SELECT model, count(*) AS n_nodes, round(avg(l), 3) AS latency, round(avg(a), 3) AS mean_tokens, CAST(sum(t) AS BIGINT) AS tokens FROM n GROUP BY 1",
+    "latency_summary": f"WITH {_RUNS} SELECT model, count(latency) AS n, round(avg(latency), 3) AS mean, max(latency) AS most, min(latency) AS least, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM r GROUP BY 1",
+    "provider_status": f"WITH {_RUNS} SELECT model, count(*) AS n_cases, count(error_type) AS n_errors, CASE WHEN count(error_type) = 0 THEN 'completed' WHEN count(error_type) < count(*) THEN 'completed_with_errors' ELSE 'failed' END AS status FROM r GROUP BY 1",
+    "usage_totals": f"WITH {_RUNS}, f AS (SELECT node, model, min(row(ts, event_id)) AS first_at, sum(tokens) AS t FROM r GROUP BY ALL) SELECT node, CAST(sum(t) AS BIGINT) AS tokens, string_agg(model, ',' ORDER BY first_at, model) AS models FROM f GROUP BY 1",
+    "failure_records": f"WITH {_RUNS} SELECT event_id, node, model, concat_ws(',', CASE WHEN NOT coalesce(fast, false) THEN 'fast' END, CASE WHEN NOT coalesce(small, false) THEN 'small' END) AS failed, CAST(NOT coalesce(fast, false) AS BIGINT) AS n_blocking FROM r WHERE NOT coalesce(fast AND small, false)",
+    "rejection_counts": f"WITH {_PAIRS} SELECT n_nationkey, 'excluded_solution_conflict' AS reason, count(*) AS n_rejected FROM x WHERE list_has_any(exc, scope) GROUP BY 1 UNION ALL SELECT n_nationkey, 'solution_scope_mismatch', count(*) FROM x WHERE NOT g AND NOT list_has_all(scope, app) GROUP BY 1",
+    "scope_checks": f"WITH {_PAIRS}, v AS (SELECT p_partkey, concat_ws(',', CASE WHEN list_has_any(app, exc) THEN 'sides_overlap' END, CASE WHEN list_max(app) > 4 OR list_max(exc) > 4 THEN 'unknown_entry' END, CASE WHEN NOT CASE mode WHEN 'primary' THEN len(app) = 1 WHEN 'all' THEN len(app) >= 2 WHEN 'global' THEN list_has_all(app, [0, 1, 2, 3, 4]) ELSE len(app) >= 1 END THEN 'wrong_size' END) AS violations FROM p) SELECT * FROM v WHERE violations <> ''",
+    "scope_cardinality": f"WITH {_PAIRS} SELECT mode, CAST(len(app) AS BIGINT) AS n_entries, count(*) AS n_candidates FROM p GROUP BY ALL",
+    "filter_attribution": f"""WITH {_PAIRS}, y AS (SELECT *, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad FROM x),
+        z AS (SELECT bad, 'excluded' AS filter FROM y WHERE list_has_any(exc, scope) UNION ALL SELECT bad, 'disjoint' FROM y WHERE NOT list_has_any(app, scope) UNION ALL SELECT bad, 'not_within' FROM y WHERE NOT list_has_all(scope, app))
+        SELECT filter, count(*) AS n_denied, count(*) FILTER (NOT bad) AS n_relevant, count(*) FILTER (bad) AS n_violating FROM z GROUP BY 1""",
+    "mode_satisfiability": f"""WITH {_PAIRS}, y AS (SELECT *, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad FROM x),
+        z AS (SELECT p_partkey, bad, m AS mode, CASE m WHEN 'primary' THEN list_contains(scope, first) WHEN 'all' THEN list_has_all(scope, app) WHEN 'global' THEN true ELSE list_has_any(app, scope) END AS ok FROM y, (VALUES ('primary'), ('all'), ('global'), ('overlap')) AS t(m))
+        SELECT p_partkey, mode, count(*) FILTER (NOT bad AND NOT ok) AS n_false_out, count(*) FILTER (bad AND ok) AS n_false_in, count(*) FILTER (bad = ok) = 0 AS perfect FROM z GROUP BY ALL""",
+    "coverage_summary": "SELECT 'event_type' AS dimension, event_type AS value, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM events GROUP BY 2 UNION ALL SELECT 'shard', CAST(user_id % 7 AS VARCHAR), count(*), count(DISTINCT user_id) FROM events GROUP BY 2",
+    "opaque_ids": "SELECT c_custkey, 'c-' || substr(sha256('salt:v1:' || c_custkey), 1, 16) AS opaque_id, false AS clashes FROM customer",
+    "unknown_ids": "SELECT 's' || l_suppkey AS id, count(*) AS n_rows FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
+    "context_sufficiency": "WITH f AS (SELECT l_orderkey, " + ", ".join(f"bool_or({e}) AS {n}" for n, e in SIGNS.items()) + " FROM lineitem GROUP BY 1), c AS (SELECT *, " + " + ".join(f"{n}::INT" for n in list(SIGNS)[:3]) + " AS core, " + " + ".join(f"{n}::INT" for n in SIGNS) + " AS n FROM f) SELECT l_orderkey AS case_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT {n} THEN '{n}' END" for n in SIGNS) + ") AS missing, CASE WHEN core = 3 AND n >= 6 THEN 'sufficient' WHEN core >= 2 OR n >= 4 THEN 'partial' ELSE 'insufficient' END AS level FROM c",
+    "detected_goals": "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{g}' END" for g, p in GOALS.items()) + ") AS goals FROM conversations",
+    "dedupe_evidence": "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role, text",
+    "entity_uniqueness": "SELECT conv_id, md5(lower(trim(text, ' '))) AS folded, count(*) AS n_rows FROM conversations GROUP BY ALL HAVING count(*) > 1",
+    "duplicate_sources_topk": f"WITH {_BM25} SELECT item_id, count(source) - count(DISTINCT source) AS n_repeated FROM rk JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1",
+    "blocking_gate": f"WITH {_CASES}, s AS (SELECT avg(recall_5) < 1 AS a, bool_or(forbidden_hit) AS b, bool_or(len(rs) > 0) AS c FROM cs) SELECT 'lexical' AS method, concat_ws(',', CASE WHEN a THEN 'recall' END, CASE WHEN b THEN 'forbidden' END, CASE WHEN c THEN 'cases' END) AS failed_gates, NOT (a OR b OR c) AS passed FROM s",
 }

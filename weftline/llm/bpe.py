@@ -219,8 +219,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, stored: bool
     merged = words.mapInArrow(tidy(_merge(name, shared, pattern)), "sheaf long, mark long, refs binary, lens binary, ids binary")
     lines = texts.mapInArrow(tidy(_sheaves(pattern, n, True)), LINES)
     if digests:
-        tokens = spark.sparkContext.broadcast(token_table(ranks))
-        run, schema = lambda docs, parts: _digests(_set_in(docs, parts), tokens.value), DIGESTS
+        table = token_table(ranks)
+        tables = spark.sparkContext.broadcast((table, ragged([b"%d," % i for i in range(len(table[2]))])))
+        run, schema = lambda docs, parts: _digests(_set_in(docs, parts), *tables.value), DIGESTS
     else:
         run, schema = _set_in, "doc_id long, ids array<int>"
     return lines.groupBy("sheaf").cogroup(merged.groupBy("sheaf")).applyInPandas(run, schema)
@@ -246,9 +247,10 @@ def _decoded(runs: list[np.ndarray], table: tuple[np.ndarray, np.ndarray, np.nda
     return (_gather(values, starts[r], lens[r]).tobytes() for r in runs)
 
 
-def _digests(encoded: pd.DataFrame, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+def _digests(encoded: pd.DataFrame, table: tuple[np.ndarray, np.ndarray, np.ndarray], decimals: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    """Digests of the ids, by the decimals of each with a comma, and of their bytes."""
     runs = list(encoded["ids"])
-    said = [hashlib.sha256(b",".join(b"%d" % i for i in r.tolist())).hexdigest() for r in runs]
+    said = [hashlib.sha256(x[:-1]).hexdigest() for x in _decoded(runs, decimals)]
     return pd.DataFrame({"doc_id": encoded["doc_id"], "n_tokens": [len(r) for r in runs], "ids_sha256": said, "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in _decoded(runs, table)]})
 
 

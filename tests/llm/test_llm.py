@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -202,3 +203,28 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, d)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and len(ids) == out.count() > 100
+
+
+def test_toxicity_cosine_is_over_all_terms(spark):
+    bad = ["grub", "snot", "fool"]
+    rows = [(i, text(30)) for i in range(60)] + [(1000 + i, text(20) + " " + " ".join(bad[: 1 + i % 3])) for i in range(60)]
+    # a near copy of a labelled clean text, rare words that no example holds, and a text of only such words
+    rows += [(2000, rows[1][1] + " kwyjibo zzyzx zzyzx"), (2001, "kwyjibo qqq"), (2002, rows[1][1] + " kwyjibo zzyzx zzyzx"), (2003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(i, int(i >= 1000)) for i, _ in rows if i < 2000 and i % 4]
+    for common in (toxicity.COMMON, 3):  # frequencies held by tasks, and by the join
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "COMMON", common)
+            m.setattr(toxicity, "DENSE", 40)
+            m.setattr(toxicity, "BLOCK", 8)
+            got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, df, spark.createDataFrame(known, "doc_id long, label int"), k=5)).collect()}
+        terms = {i: Counter(t.split()) for i, t in rows}
+        n = Counter(w for c in terms.values() for w in c)
+        vec = {i: {w: math.log1p(c) * (math.log((len(rows) + 1) / (n[w] + 1)) + 1e-9) for w, c in t.items()} for i, t in terms.items()}
+        norm = {i: math.sqrt(sum(x * x for x in v.values())) or 1 for i, v in vec.items()}
+        for i, _ in rows:
+            all_cos = {e: sum(x * vec[e].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[e] for e, _ in known}
+            want = sorted(((-round(c, 9), e) for e, c in all_cos.items() if c > 1e-9))[:5]
+            assert [-c for c, _ in want] == pytest.approx([e.cosine for e in got[i].evidence], abs=1e-8), i
+            assert len({c for c, _ in want}) < len(want) or [e for _, e in want] == [e.example for e in got[i].evidence]
+        assert got[2000].evidence[0].example == 1 and got[2001].evidence == []

@@ -1,15 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of labelled rows. Terms are lower-cased words; the vocabulary is those terms of the
-examples that tell the labels apart (signed root of the likelihood ratio at least `least_z` towards label 1), at most
-`max_terms`. Document frequencies are counted over all documents. Postings of examples stand in blocks with the
-largest weight of each term in a block; a block is opened for a document only if the sum of its products of query weight
-and block maximum could still reach the document's k-th best cosine, so the neighbours are the exact ones.
+The examples are a bounded sample of labelled rows. Terms are lower-cased words, and all of them count: document
+frequencies are counted over all documents, and the norm of a text is taken over all of its terms, known to the examples
+or not. The index holds every term of the examples. The `DENSE` commonest stand in blocks of examples with the largest
+weight of each term in a block, the others as sparse postings, which are summed first; a block is opened for a document
+only if its best sum of rare terms and its products of query weight and block maximum could still reach the document's
+k-th best, so the neighbours are the exact ones. What is dense and what is sparse only steers the work.
+
+Neighbours do not depend on the document's norm. Terms that neither the examples hold nor are among the `COMMON` commonest
+of the corpus get their document frequency by a join on the term's hash; only they are shuffled.
 
 A score is the calibrated share of label 1 among the k nearest, each vote weighted by its cosine; neighbours of cosine 0
-have no vote. The calibration (a logistic curve over the weighted votes) is fitted on the examples themselves, each
-left out of its own neighbours, weighted to the labels' shares in all labelled rows. Evidence is the ids of the nearest
-examples with their cosines.
+have no vote. A second such vote is taken over the telling terms alone: those that lean to label 1 (signed root of the
+likelihood ratio at least `least_z`), at most `max_terms`, which the topic of a text does not drown. The calibration (a
+logistic curve over both votes) is fitted on the examples themselves, each left out of its own neighbours, weighted to the
+labels' shares in all labelled rows. Evidence is the ids of the nearest examples with their cosines, over all terms.
 
 Null and empty texts, and texts without a term, have no neighbour and get the curve's value at no votes. With no labelled
 rows every score is the same and below the threshold. Ties in cosine go to the smaller example id. Rows that repeat each give a row. Only ids, text
@@ -18,173 +23,249 @@ and the label are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
+from .memory import tidy
 from .sampling import bounded_sample, rows_of
 from .words import ALNUM, Words, blocks
 
 THRESHOLD = 0.3
 BLOCK = 64
+#: Terms of the examples that are held as dense columns, the commonest first.
+DENSE = 512
+#: Texts that meet the examples at a time.
+CHUNK = 128
+#: Terms of the corpus whose document frequency every task holds, the commonest first.
+COMMON = 1 << 16
 
 
-def _terms(text: str | None) -> Counter:
-    w = Words([(text or "").encode()], ALNUM)
-    return Counter(w.data.split())
+def _counted(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count, place of its first word) for each distinct term of each text, by text and hash."""
+    own = np.repeat(np.arange(len(w.at) - 1), np.diff(w.at))
+    order = np.lexsort((w.hash, own))
+    o, h = own[order], w.hash[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
+    return o[new], h[new], np.diff(np.append(new, len(h))), order[new]
 
 
-def _hashes(terms: list[bytes]) -> np.ndarray:
-    return Words([b" ".join(terms)], ALNUM).hash if terms else np.zeros(0, np.uint64)
+def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether h is in the sorted table, where)."""
+    if not len(table):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return table[at] == h, at
 
 
 class Vocabulary:
-    """Terms in order of their hash, to be found by binary search; equal hashes keep the first term."""
-
-    def __init__(self, terms: list[bytes]):
-        h = _hashes(sorted(terms))
-        self.hash, at = np.unique(h, return_index=True)
-        self.terms = [sorted(terms)[i] for i in at]
+    """The examples' terms in order of their hash, to be found by binary search; equal hashes are one term."""
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in h, term numbers) of known terms."""
-        if not len(self.hash):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        hit = np.flatnonzero(self.hash[at] == h)
-        return hit, at[hit]
+    def __init__(self, h: np.ndarray, terms: list[bytes]):
+        self.hash, self.terms = h, terms
 
     def matrix(self, raw: list[bytes]) -> np.ndarray:
-        """Term counts, one row a text. Texts are few at a time and terms bounded."""
-        w = Words(raw, ALNUM)
-        hit, term = self.find(w.hash)
-        own = np.searchsorted(w.at, hit, side="right") - 1
-        n = len(self.hash)
-        return np.bincount(own * n + term, minlength=len(raw) * n).reshape(len(raw), n)
-
-
-def telling(examples: list[tuple], max_terms: int, least_z: float) -> list[bytes]:
-    """Terms whose document frequency among label 1 exceeds that among label 0 beyond chance, the strongest first."""
-    df = {0: Counter(), 1: Counter()}
-    size = Counter(y for _, _, y in examples)
-    for _, text, y in examples:
-        df[y].update(_terms(text).keys())
-    out = []
-    for term, a in df[1].items():
-        b, na, nb = df[0][term], max(1, size[1]), max(1, size[0])
-        p = (a + b) / (na + nb)
-        if a / na <= b / nb:
-            continue
-        ll = lambda k, n, q: (k * np.log(q) if k else 0.0) + ((n - k) * np.log(1 - q) if n > k else 0.0)
-        g = 2 * (ll(a, na, min(a / na, 1 - 1e-12)) + ll(b, nb, max(b / nb, 1e-12)) - ll(a, na, min(p, 1 - 1e-12)) - ll(b, nb, min(p, 1 - 1e-12)))
-        if g >= least_z**2:
-            out.append((-g, term))
-    return [t for _, t in sorted(out)[:max_terms]]
+        """Term counts, one row a text, for a few texts."""
+        out = np.zeros((len(raw), len(self.hash)), np.int64)
+        own, h, n, _ = _counted(Words(raw, ALNUM))
+        hit, at = _find(self.hash, h)
+        out[own[hit], at[hit]] = n[hit]
+        return out
+
+
+def telling(own: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: list[bytes], max_terms: int, least_z: float) -> np.ndarray:
+    """Numbers of the terms whose document frequency among label 1 exceeds that among label 0 beyond chance, the strongest first."""
+    y = labels[own] == 1
+    a, b = (np.bincount(term[m], minlength=len(terms)).astype(np.float64) for m in (y, ~y))
+    na, nb = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
+    p = np.minimum((a + b) / (na + nb), 1 - 1e-12)
+
+    def ll(k, n, q):
+        return np.where(k > 0, k * np.log(np.maximum(q, 1e-300)), 0.0) + np.where(n > k, (n - k) * np.log(1 - q), 0.0)
+
+    g = 2 * (ll(a, na, np.minimum(a / na, 1 - 1e-12)) + ll(b, nb, np.clip(b / nb, 1e-12, 1 - 1e-12)) - ll(a, na, p) - ll(b, nb, p))
+    found = np.flatnonzero((a / na > b / nb) & (g >= least_z**2))
+    return np.array(sorted(found.tolist(), key=lambda t: (-g[t], terms[t]))[:max_terms], np.int64)
+
+
+class Postings:
+    """Unit rows of the examples, the commonest terms dense in blocks of BLOCK with block maxima, the rest sparse by term."""
+
+    def __init__(self, ids: np.ndarray, own: np.ndarray, term: np.ndarray, x: np.ndarray, n_terms: int, k: int):
+        norm = np.sqrt(np.bincount(own, x * x, len(ids)))
+        df = np.bincount(term, minlength=n_terms)
+        self.k, self.place = k, np.empty(n_terms, np.int64)
+        self.place[np.argsort(-df, kind="stable")] = np.arange(n_terms)
+        column = self.place[term]
+        # examples of like terms share a block, which keeps block maxima telling
+        lead, second = np.full(len(ids), n_terms), np.full(len(ids), n_terms)
+        np.minimum.at(lead, own, column)
+        later = column > lead[own]
+        np.minimum.at(second, own[later], column[later])
+        some = np.flatnonzero(norm > 0)  # examples without a term are nobody's neighbour
+        self.order = some[np.lexsort((ids[some], second[some], lead[some]))]
+        self.ids, m = ids[self.order], len(self.order)
+        new = np.full(len(ids), -1)
+        new[self.order] = np.arange(m)
+        own, column, x = new[own], column, x / np.maximum(norm[own], 1e-300)
+        self.n_dense = min(DENSE, n_terms)
+        near = (column < self.n_dense) & (own >= 0)
+        self.common = np.zeros((self.n_dense, m))
+        self.common[column[near], own[near]] = x[near]
+        self.cut = np.arange(0, m, BLOCK)
+        self.most = np.maximum.reduceat(self.common, self.cut, 1) if m else np.zeros((self.n_dense, 0))
+        far = np.flatnonzero((column >= self.n_dense) & (own >= 0))
+        far = far[np.lexsort((own[far], column[far]))]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(column[far] - self.n_dense, minlength=n_terms - self.n_dense))]).astype(np.int64)
+        self.post, self.post_x = own[far].astype(np.int32), x[far]
+
+    def nearest(self, own: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example positions, products) of the k nearest of n texts with weights x, in order of own; -1 and 0 where there are fewer."""
+        at, dot = np.full((n, self.k), -1, np.int64), np.zeros((n, self.k))
+        if not len(self.ids):
+            return at, dot
+        ends = np.searchsorted(own, np.arange(0, n + CHUNK, CHUNK))
+        for i, lo in enumerate(range(0, n, CHUNK)):
+            hi, s = min(n, lo + CHUNK), slice(ends[i], ends[i + 1])
+            self._chunk(own[s] - lo, self.place[term[s]], x[s], at[lo:hi], dot[lo:hi], None if leave is None else leave[lo:hi])
+        return at, dot
+
+    def _chunk(self, own, column, x, at, dot, leave) -> None:
+        n, m, k = len(at), len(self.ids), min(self.k, len(self.ids))
+        near = column < self.n_dense
+        q = np.zeros((n, self.n_dense))
+        q[own[near], column[near]] = x[near]
+        # rare terms, summed over all their postings
+        r, far, w = column[~near] - self.n_dense, own[~near], x[~near]
+        count = self.first[r + 1] - self.first[r]
+        e = np.repeat(self.first[r] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        sums = np.bincount(np.repeat(far, count) * m + self.post[e], np.repeat(w, count) * self.post_x[e], n * m).astype(np.float64).reshape(n, m)
+        if leave is not None:
+            out = np.flatnonzero(leave >= 0)
+            sums[out, leave[out]] = -np.inf
+        bound = np.maximum.reduceat(sums, self.cut, 1) + q @ self.most
+        opened = np.full((n, m), -np.inf)
+
+        def enter(which: np.ndarray) -> np.ndarray:
+            """Open blocks, one flag a text and block; the k-th best of each text so far."""
+            for b in np.flatnonzero(which.any(0)):
+                mine, s = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                opened[mine, s] = np.round(sums[mine, s] + q[mine] @ self.common[:, s], 12)
+            return np.partition(opened, m - k, 1)[:, m - k]
+
+        done = bound >= -np.partition(-bound, min(2, bound.shape[1] - 1), 1)[:, [min(2, bound.shape[1] - 1)]]
+        done &= bound > 0
+        kth = enter(done)
+        kth = enter(~done & (bound > 0) & (bound >= kth[:, None] - 1e-9))
+        for i in range(n):
+            c = np.flatnonzero(opened[i] >= max(kth[i], 1e-12))
+            c = c[np.lexsort((self.ids[c], -opened[i, c]))[:k]]
+            at[i, : len(c)], dot[i, : len(c)] = c, opened[i, c]
 
 
 class Index:
-    """Unit TF-IDF rows of the examples in blocks of BLOCK, with each term's largest weight in each block."""
-
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple], k: int):
-        examples = sorted(examples)
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        rows = self.weigh(vocabulary.matrix([(t or "").encode() for _, t, _ in examples]))
-        self.labels = np.array([y for _, _, y in examples], np.float64)
-        self.ids = np.array([i for i, _, _ in examples], np.int64)
-        some = rows.any(1)  # examples without a term are nobody's neighbour
-        # examples of like terms share a block, which keeps block maxima telling
-        order = np.flatnonzero(some)[np.lexsort((self.ids[some], rows[some].argmax(1)))] if some.any() else np.zeros(0, np.int64)
-        self.ids, self.labels, self.rows = self.ids[order], self.labels[order], rows[order]
-        cut = np.arange(0, len(order), BLOCK)
-        self.most = np.maximum.reduceat(self.rows, cut, 0) if len(order) else np.zeros((0, rows.shape[1]))
-        self.curve = (0.0, 0.0)
+    """The examples by all their terms and by the telling ones, and the curve over the votes of both."""
+
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, entries: tuple, k: int, max_terms: int, least_z: float):
+        own, term, n = entries
+        self.vocabulary, self.idf, self.k, self.curve = vocabulary, idf, k, np.zeros(3)
+        x = np.log1p(n) * idf[term]
+        self.near = Postings(ids, own, term, x, len(idf), k)
+        self.ids, self.labels = self.near.ids, labels[self.near.order]
+        told = telling(own, term, labels, vocabulary.terms, max_terms, least_z)
+        self.tells = np.full(len(idf), -1)
+        self.tells[told] = np.arange(len(told))
+        t = self.tells[term] >= 0
+        self.told = Postings(ids, own[t], self.tells[term[t]], x[t], len(told), k)
+        self.told_labels = labels[self.told.order]
+        #: hashes and IDF of the commonest terms of the corpus that no example holds
+        self.other, self.other_idf = np.zeros(0, np.uint64), np.zeros(0)
+
+    @property
+    def rows(self) -> np.ndarray:
+        """The unit rows as a matrix over the vocabulary, for a few examples."""
+        p, out = self.near, np.zeros((len(self.ids), len(self.idf)))
+        for t, c in enumerate(p.place):
+            if c < p.n_dense:
+                out[:, t] = p.common[c]
+            else:
+                s = slice(p.first[c - p.n_dense], p.first[c - p.n_dense + 1])
+                out[p.post[s], t] = p.post_x[s]
+        return out
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-    def nearest(self, q: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example positions, cosines) of the k nearest for each row of q, cosine 0 where there are fewer."""
-        n, k = len(q), self.k
-        at, cos = np.full((n, k), -1, np.int64), np.zeros((n, k))
-        bound = q @ self.most.T
-        order = np.argsort(-bound, 1, kind="stable")
-        todo = np.arange(n)
-        for step in range(bound.shape[1]):
-            b = order[todo, step]
-            alive = (bound[todo, b] > 0) & (bound[todo, b] >= cos[todo, -1] - 1e-12)
-            todo, b = todo[alive], b[alive]
-            if not len(todo):
-                break
-            for block in np.unique(b):
-                mine = todo[b == block]
-                own = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-                c = np.round(q[mine] @ self.rows[own].T, 12)
-                if leave is not None:
-                    c[leave[mine][:, None] == own[None, :]] = 0
-                all_c, all_at = np.concatenate([cos[mine], c], 1), np.concatenate([at[mine], np.broadcast_to(own, c.shape)], 1)
-                ids = np.where(all_at >= 0, self.ids[all_at], np.iinfo(np.int64).max)
-                top = np.lexsort((ids, -all_c), axis=1)[:, :k]
-                cos[mine], at[mine] = np.take_along_axis(all_c, top, 1), np.take_along_axis(all_at, top, 1)
-        at[cos <= 0] = -1
-        return at, cos
-
-    def votes(self, at: np.ndarray, cos: np.ndarray) -> np.ndarray:
-        """Weighted votes for label 1 less those for label 0, against all k."""
-        y = np.where(at >= 0, 2 * self.labels[at] - 1, 0.0) if len(self.labels) else np.zeros(at.shape)
-        return (y * cos).sum(1) / self.k
-
-    def calibrate(self, share: dict[int, float], examples: list[tuple]) -> None:
+    def votes(self, own, term, n, size: int, leave=None, leave_told=None):
+        """(positions, products, sums of products signed by label against all k, the same of telling terms as cosines)."""
+        x = np.log1p(n) * self.idf[term]
+        at, dot = self.near.nearest(own, term, x, size, leave)
+        t = self.tells[term] >= 0
+        told, c = self.told.nearest(own[t], self.tells[term[t]], x[t], size, leave_told)
+        c = c / np.maximum(np.sqrt(np.bincount(own[t], x[t] ** 2, size)), 1e-300)[:, None]
+
+        def sums(y, at, cos):
+            return (np.where(at >= 0, 2 * y[at] - 1, 0.0) * cos).sum(1) / self.k if len(y) else np.zeros(size)
+
+        return at, dot, sums(self.labels, at, dot), sums(self.told_labels, told, c)
+
+    def calibrate(self, share: dict[int, float], ids: np.ndarray, y: np.ndarray, entries: tuple) -> None:
         """Fit the logistic curve on the examples, each left out, with smoothed targets and the labels' true shares."""
-        texts, y = [(t or "").encode() for _, t, _ in sorted(examples)], np.array([l for _, _, l in sorted(examples)], np.float64)
         if not len(y) or y.min() == y.max():
-            self.curve = (0.0, 4.0 if len(y) and y.min() == 1 else -4.0)
+            self.curve = np.array([0.0, 0.0, 4.0 if len(y) and y.min() == 1 else -4.0])
             return
-        ids = np.array([i for i, _, _ in sorted(examples)])
-        place = {int(i): j for j, i in enumerate(self.ids)}
-        leave = np.array([place.get(int(i), -2) for i in ids])
-        x = np.concatenate([self.votes(*self.nearest(self.weigh(self.vocabulary.matrix(texts[i : i + 512])), leave[i : i + 512])) for i in range(0, len(texts), 512)])
+        own, term, n = entries
+        leave = [np.full(len(ids), -1), np.full(len(ids), -1)]
+        for out, p in zip(leave, (self.near, self.told), strict=True):
+            out[p.order] = np.arange(len(p.order))
+        _, _, full, told = self.votes(own, term, n, len(ids), *leave)
+        full = full / np.maximum(np.sqrt(np.bincount(own, (np.log1p(n) * self.idf[term]) ** 2, len(ids))), 1e-300)
+        x = np.stack([full, told, np.ones(len(ids))], 1)
         n1, n0 = y.sum(), len(y) - y.sum()
         t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         w = np.where(y == 1, share[1] / n1, share[0] / n0) * len(y)
-        a = b = 0.0
+        ridge, c = np.array([1e-3, 1e-3, 0.0]), np.zeros(3)
         for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -35, 35)))
             d, h = w * (p - t), w * p * (1 - p) + 1e-9
-            g = np.array([d @ x + 1e-3 * a, d.sum()])
-            H = np.array([[(h * x) @ x + 1e-3, h @ x], [h @ x, h.sum()]])
-            step = np.linalg.solve(H, g)
-            a, b = a - step[0], b - step[1]
+            step = np.linalg.solve((h[:, None] * x).T @ x + np.diag(ridge), x.T @ d + ridge * c)
+            c = c - step
             if np.abs(step).max() < 1e-9:
                 break
-        self.curve = (float(a), float(b))
+        self.curve = c
+
 
-    def score(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, cos = self.nearest(self.weigh(self.vocabulary.matrix(raw)))
-        a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * self.votes(at, cos) + b, -35, 35))), at, cos
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
-    """(documents, documents with each term), over whole texts of all rows; one small row of counts a batch is summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(h, n): documents with each term, over whole texts of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        n, df = 0, np.zeros(len(v.hash), np.int64)
         for batch in batches:
-            for _, raw in blocks(batch.column(0).to_pylist()):
-                n += len(raw)
-                df += (v.matrix(raw) > 0).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.concatenate([[n], df]))], names=["term", "n"])
+            held = [_counted(Words(raw, ALNUM))[1] for _, raw in blocks(batch.column(0).to_pylist())]
+            h, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return durable(_text(docs).mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "df")
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r.term: r.n for r in rows}  # one row a term of the vocabulary, which is bounded
-    return got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(vocabulary.hash))], np.int64)
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each example, with counts and hashes."""
+    for batch in batches:
+        for first, raw in blocks(batch.column(2).to_pylist()):
+            w = Words(raw, ALNUM)
+            own, h, n, at = _counted(w)
+            ends = pa.array(np.searchsorted(own, np.arange(len(raw) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([w.word(i) for i in at], pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)), batch.column(1).slice(first, len(raw)), *lists], names=["doc_id", "label", "h", "n", "word"])
 
 
 def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2000, k: int = 15, max_terms: int = 512, least_z: float = 5.0) -> Index:
@@ -192,28 +273,78 @@ def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2
     labels = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     share = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(labels, "doc_id", "label", per_label, 2)
-    # the examples come to the driver: 2 * per_label texts at most
-    rows = rows_of(texts.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", chosen, "label", "int").collect() if chosen else []
-    examples = list({r.doc_id: (r.doc_id, r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}.values())
-    vocabulary = Vocabulary(telling(examples, max_terms, least_z))
-    n, df = document_frequencies(docs, vocabulary)
-    index = Index(vocabulary, np.log((n + 1) / (df + 1)) + 1e-9, examples, k)
-    total = sum(share.values())
-    index.calibrate({y: share.get(y, 0) / max(1, total) for y in (0, 1)}, examples)
+    ids, y, h, n, word, size = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
+    if chosen:
+        # the terms of the examples come to the driver: those of 2 * per_label texts at most
+        rows = rows_of(texts.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", chosen, "label", "int").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+        got = rows.mapInArrow(tidy(_entries), "doc_id long, label int, h array<long>, n array<long>, word array<binary>").toArrow().sort_by("doc_id").combine_chunks()
+        if got.num_rows:
+            ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy().astype(np.float64)
+            size = np.array(pa.compute.list_value_length(got["h"]).to_numpy())
+            h, n = (pa.compute.list_flatten(got[c]).to_numpy() for c in ("h", "n"))
+            word, h = pa.compute.list_flatten(got["word"]), h.view(np.uint64)
+    known, at, term = np.unique(h, return_index=True, return_inverse=True)
+    vocabulary, entries = Vocabulary(known, word.take(pa.array(at)).to_pylist()), (np.repeat(np.arange(len(ids)), size), term, n)
+
+    df, total = document_frequencies(docs), docs.count()
+    held = docs.sparkSession.sparkContext.broadcast(known)
+
+    def of_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_find(held.value, batch.column("h").to_numpy().view(np.uint64))[0]))
+
+    def idf(count: np.ndarray) -> np.ndarray:
+        return np.log((total + 1) / (count + 1)) + 1e-9
+
+    mine = df.mapInArrow(of_examples, "h long, n long").toArrow()  # one row a term of the examples
+    count = np.zeros(len(known), np.int64)
+    count[np.searchsorted(known, mine["h"].to_numpy().view(np.uint64))] = mine["n"].to_numpy()
+    index = Index(vocabulary, idf(count), ids, y, entries, k, max_terms, least_z)
+    most = df.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    other = most["h"].to_numpy().view(np.uint64)
+    order = np.argsort(other)
+    order = order[~_find(known, other[order])[0]]
+    index.other, index.other_idf = other[order], idf(most["n"].to_numpy()[order])
+    index.calibrate({v: share.get(v, 0) / max(1, sum(share.values())) for v in (0, 1)}, ids, y, entries)
+    index.total, index.df = total, df
     return index
 
 
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, evidence array<struct<example, cosine>>, nearest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples times terms
+    df, index.df = index.df, None  # a table, which tasks cannot hold
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the examples' terms and COMMON
+    index.df = df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            for first, raw in blocks(batch.column(1).to_pylist()):
-                p, at, cos = m.score(raw)
-                why = [[{"example": int(m.ids[i]), "cosine": float(c)} for i, c in zip(a, b, strict=True) if i >= 0] for a, b in zip(at, cos, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(why, kind)], names=["doc_id", "score", "predicted", "evidence"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int, evidence array<struct<example long, cosine double>>")
+            for first, raw in blocks(batch.column(2).to_pylist()):
+                size = len(raw)
+                own, h, n, _ = _counted(Words(raw, ALNUM))
+                hit, term = _find(m.vocabulary.hash, h)
+                also, place = _find(m.other, h)
+                also &= ~hit
+                at, dot, full, told = m.votes(own[hit], term[hit], n[hit], size)
+                square = np.bincount(own[hit], (np.log1p(n[hit]) * m.idf[term[hit]]) ** 2, size).astype(np.float64)
+                square += np.bincount(own[also], (np.log1p(n[also]) * m.other_idf[place[also]]) ** 2, size)
+                rest = ~hit & ~also
+
+                def lists(own, *values):
+                    ends = pa.array(np.searchsorted(own, np.arange(size + 1)).astype(np.int32))
+                    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+                i, j = np.nonzero(at >= 0)
+                cols = [pa.array(square), pa.array(full), pa.array(told), *lists(i, m.ids[at[i, j]], dot[i, j]), *lists(own[rest], h[rest].view(np.int64), n[rest].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, size), batch.column(1).slice(first, size), *cols], names=["doc_id", "row", "square", "full", "told", "example", "dot", "h", "tf"])
+
+    some = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    a = durable(some.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, row long, square double, full double, told double, example array<long>, dot array<double>, h array<long>, tf array<int>"), "products")
+    # squares of the terms that are neither the examples' nor common
+    idf = F.log(F.lit(float(index.total + 1)) / (F.col("n") + 1)) + 1e-9
+    rest = a.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf").join(df, "h").groupBy("row").agg(F.sum(F.pow(F.log1p("tf") * idf, 2)).alias("rest"))
+    d = a.drop("h", "tf").join(rest, "row", "left").withColumn("norm", F.greatest(F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), F.lit(1e-300)))
+    one, two, none = (F.lit(float(x)) for x in index.curve)
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), one * F.col("full") / F.col("norm") + two * F.col("told") + none))))
+    why = F.transform(F.arrays_zip("example", "dot"), lambda x: F.struct(x["example"].alias("example"), F.round(x["dot"] / F.col("norm"), 12).alias("cosine")))
+    return d.select("doc_id", p.alias("score"), (p >= threshold).cast("int").alias("predicted"), why.alias("evidence"))

@@ -72,6 +72,14 @@ def test_checks_and_levels(spark):
     assert one(spark.range(1).select(deals.level(F.lit(80)), deals.level(F.lit(24)))) == [("very_high", "very_low")]
 
 
+def test_source_ids_of_long_conversations(spark, tmp_path):
+    rows = [(1, t, "system" if t == 999 else "user") for t in (999, 99, 98, 1000, 1199)] + [(2, 0, "user"), (2, None, "user")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = deals.source_index(spark.read.parquet(f"{tmp_path}/conversations.parquet"), "conv_id", "turn", F.col("role"))
+    assert {r.source_id for r in got.where("case_id = 1").collect()} == {"MTG-099", "MTG-100", "MTG-1000", "MTG-1001", "MTG-1200"}
+    assert sorted(one(registry.source_index(spark, str(tmp_path)))) == [(1, 5, 4, "MTG-099", "MTG-1200"), (2, 2, 2, "MTG-001", "MTG-001")]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_has_sql_and_its_columns(spark, name):
     con = duckdb.connect()

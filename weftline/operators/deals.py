@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def source_index(turns: DataFrame, case: str, turn: str, role: Column) -> DataFrame:
-    """Case -> sources MTG-nn in turn order, with type and whether verified (system turns are not)."""
-    return turns.select(F.col(case).alias("case_id"), F.concat(F.lit("MTG-"), F.lpad((F.col(turn) + 1).cast("string"), 3, "0")).alias("source_id"), role.alias("source_type"), (role != "system").alias("verified"))
+    """Case -> sources MTG-nnn (or longer) with their turn, type and whether verified (system turns are not).
+
+    Ids of differing length do not sort as strings: order by turn."""
+    at = F.col(turn).cast("long") + 1
+    return turns.select(F.col(case).alias("case_id"), F.col(turn).alias("turn"), F.when(at.isNotNull(), F.format_string("MTG-%03d", at)).alias("source_id"), role.alias("source_type"), (role != "system").alias("verified"))
 
 
 def business_need(needs: Column, pains: Column, impacts: Column) -> Column:

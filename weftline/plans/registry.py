@@ -213,7 +213,7 @@ def deal_limiters(spark, d):
 
 def source_index(spark, d):
     s = deals.source_index(_t(spark, d, "conversations"), "conv_id", "turn", F.col("role"))
-    return s.groupBy("case_id").agg(F.count("*").alias("n_sources"), F.sum(F.col("verified").cast("long")).alias("n_verified"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
+    return s.groupBy("case_id").agg(F.count("*").alias("n_sources"), F.sum(F.col("verified").cast("long")).alias("n_verified"), F.min_by("source_id", "turn").alias("first_source"), F.max_by("source_id", "turn").alias("last_source"))
 
 
 # --- more of run logs, scopes, checks and deals

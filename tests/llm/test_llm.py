@@ -157,6 +157,14 @@ def test_quality_rules_counts(spark, docs):
         assert g.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and not (g.base_failed and g.kept)
 
 
+def test_quality_rules_target_is_all_good_documents(spark, tmp_path):
+    # every document is good, so target and raw shares agree in every bucket, however many labels there are
+    df = spark.range(4200).select(F.col("id").alias("doc_id"), F.concat(F.lit("some own w"), F.col("id").cast("string")).alias("text"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", F.lit(1).alias("quality")).union(spark.createDataFrame([(7, 1), (None, 1)], "doc_id long, quality int")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.op4_quality_rules(spark, str(tmp_path)).where("llr_millionths <> 0").count() == 0
+
+
 def test_quality_model(spark):
     rows = [(i, text(30)) for i in range(60)] + [(100 + i, "!! ".join(text(30).upper().split())) for i in range(60)] + [(500, None), (501, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -53,8 +53,11 @@ def ngrams() -> Column:
 def multinomials(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> dict[int, tuple[int, int]]:
     """bucket -> (count over all documents, count over the target). At most `buckets` entries come to the driver.
 
-    target_ids (doc_id) must be of bounded size: it is broadcast."""
-    flagged = docs.join(F.broadcast(target_ids.select("doc_id", F.lit(1).alias("t")).distinct()), "doc_id", "left")
+    target_ids (doc_id) may be of any size; rows that repeat count once. Documents without an id are not of the target,
+    and the salt spreads them over the join's tasks."""
+    ids = target_ids.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("salt")).distinct().withColumn("t", F.lit(1))
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    flagged = docs.select("doc_id", "text", salt.alias("salt")).join(ids, ["doc_id", "salt"], "left")
     w = flagged.select(F.coalesce("t", F.lit(0)).alias("t"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
     # one row an n-gram, so that hashing into buckets and counting are compiled
     each = _hashed(w).select("t", F.explode(ngrams()).alias("g")).select("t", F.pmod("g", F.lit(buckets)).cast("int").alias("b"))

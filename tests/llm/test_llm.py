@@ -58,6 +58,29 @@ def test_jaccard_large_block_in_pieces(spark, monkeypatch):
     assert {got[i] for i in range(60)} == {0} and all(got[100 + i] == 100 + i for i in range(5))
 
 
+def test_jaccard_counts_and_gives_all_links(spark, monkeypatch):
+    base = text(60).split()
+    rows = [(i, " ".join(base[: i % 40 + 3] + [f"v{i}"] + base[i % 40 + 3 :])) for i in range(40)]
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (51, rows[3][1]), (60, " ".join(base[:48])), (61, text(40)), (62, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in ((i, (t or "").split()) for i, t in rows)}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    n = Counter(i for p in want for i in p)
+    assert len(want) > 100
+    for piece in (jaccard.PIECE, 7):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        got = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
+        assert {i: r.n_links for i, r in got.items()} == {i: n[i] for i in sets}
+        forest = jaccard.near_duplicates(df, links=False)
+        assert {r.doc_id: r.component_id for r in forest.collect()} == {i: r.component_id for i, r in got.items()} and forest.columns == ["doc_id", "n_shingles", "component_id"]
+        links, members = ([tuple(r) for r in x.collect()] for x in jaccard.pairs(df))
+        of = {}
+        for i, rep in members:
+            of.setdefault(rep, []).append(i)
+        said = [(min(x, y), max(x, y)) for a, b in links for x in of[a] for y in of[b]] + [(x, y) for c in of.values() for x in c for y in c if x < y]
+        assert sorted(said) == sorted(want)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (5, 4)], "a long, b long")
     assert {r.node: r.component for r in components.components(e).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}

@@ -86,6 +86,17 @@ def test_components(spark):
     assert {r.node: r.component for r in components.components(e).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}
 
 
+def test_components_of_a_chain_and_a_hub(spark):
+    n = 3000
+    chain = [(i + 1, i) for i in range(n)]  # each edge in another place, so tasks see pieces of it
+    hub = [(10_000, 10_001 + i) for i in range(n)]
+    R.shuffle(chain)
+    e = spark.createDataFrame(chain + hub + [(50_001, 50_000)], "a long, b long").repartition(40)
+    got = {r.node: r.component for r in components.components(e).collect()}
+    assert len(got) == 2 * n + 4 and {got[i] for i in range(n + 1)} == {0} and {got[10_000 + i] for i in range(n + 1)} == {10_000} and got[50_001] == 50_000
+    assert components.components(e.limit(0)).count() == 0
+
+
 def test_decontaminate_against_windows(spark, docs):
     some = docs.where("doc_id in (0, 5)").orderBy("doc_id").collect()
     long, short = " ".join(some[0].text.split()[10:35]).upper() + "!", " ".join(some[1].text.split()[3:6])

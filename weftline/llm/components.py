@@ -1,47 +1,95 @@
-"""Connected components of a graph given as a table of edges, by rounds of Spark aggregations."""
+"""Connected components of a graph given as a table of edges, by rounds of contraction.
+
+In a round each task contracts runs of at most CHUNK edges to trees by itself: every node gets the node of its piece
+with the least priority as its head. A node of several tasks has several heads; the least of them is the one it keeps, and
+the others are joined to it, which makes the edges of the next round. So only heads that meet go on, a node reaches a shuffle
+once a run at most (a hub of millions of edges is no hot key), and counts combine before each shuffle. Priorities are
+hashes that differ by round, so any graph shrinks by a fraction a round, long chains too.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable
+from ..shared import durable, release
+from .memory import tidy
+from .words import mix
+
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 20
+
+
+def _pieces(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number of each node's component; nodes are numbers below n."""
+    up = np.arange(n)
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(up, high, low)
+        while True:  # straight to the top
+            top = up[up]
+            if (top == up).all():
+                break
+            up = top
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return up
+
 
+def _heads(level: int):
+    """(node, head, priority of the head) for the nodes of each run of edges."""
 
-#: Edges a task. A graph of so few that its shuffles need fewer tasks than the session's gets fewer.
-EDGES_A_TASK = 100_000
+    def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes = np.unique(np.concatenate([a, b]))
+        rank = mix(nodes.view(np.uint64) ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+        order = np.argsort(rank, kind="stable")
+        nodes, rank = nodes[order], rank[order]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        by = np.sort(nodes)
+        up = _pieces(at[np.searchsorted(by, a)], at[np.searchsorted(by, b)], len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up]), pa.array(rank[up])], names=["node", "head", "p"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield told(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield told(*map(np.concatenate, zip(*held, strict=True)))
 
-def _star(edges: DataFrame, large: bool, tasks: int | None = None) -> DataFrame:
-    """One round: every node's neighbours (the larger ones, or the smaller ones with the node) move to the least of them."""
-    if large:
-        edges = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    if tasks:
-        edges = edges.repartition(tasks, "a")  # the grouping and the join below need no other shuffle
-    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    moved = edges.join(least, "a")
-    if large:
-        return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.where("a <> m").select("a", F.col("m").alias("b")))
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for each node of an edge, from long columns a and b.
 
-    Large-star and small-star rounds alternate until nothing changes; each round's edges are written to the shared
-    folder, no more of them than there were. Loops, repeated and null edges do no harm."""
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    session, n, mark = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), now.count(), None
+    Loops, repeated and null edges do no harm. Each round is written to the shared folder and is no larger than the last."""
+    now, rounds = edges.where("a <> b").select("a", "b"), []
     while True:
-        tasks = max(1, -(-n // EDGES_A_TASK))
-        few = tasks if tasks < session else None
-        star = _star(_star(now, True, few), False, few)
-        now = durable((star.repartition(few, "a") if few else star).distinct(), "edges")
-        found = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        n = found[0]
-        if found == mark:
+        told = now.mapInArrow(tidy(_heads(len(rounds))), "node long, head long, p long")
+        kept = told.groupBy("node").agg(F.min(F.struct("p", "head")).alias("least"), F.collect_set("head").alias("heads"))
+        rounds.append(durable(kept.select("node", F.col("least.head").alias("head"), F.array_remove("heads", F.col("least.head")).alias("others")), "heads"))
+        apart = rounds[-1].where(F.size("others") > 0)
+        if apart.isEmpty():
             break
-        mark = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        now = apart.select(F.explode("others").alias("a"), F.col("head").alias("b"))
+    # back from the last round to the first: a head's own head in later rounds is that of all its nodes
+    out = rounds[-1].select("node", "head")
+    for earlier in reversed(rounds[:-1]):
+        later = out.select(F.col("node").alias("head"), F.col("head").alias("top"))
+        out = earlier.select("node", "head").join(later, "head", "left").select("node", F.coalesce("top", "head").alias("head"))
+    if len(rounds) > 1:
+        out = durable(out, "heads")
+        for done in rounds:
+            release(done)
+    least = out.groupBy("head").agg(F.min("node").alias("component"))
+    return out.join(least, "head").select("node", "component")

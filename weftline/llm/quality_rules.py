@@ -22,6 +22,8 @@ BUCKETS = 1 << 13
 #: Added to every bucket's count, as a share of the multinomial's mean count.
 SMOOTHING = 0.01
 THRESHOLD = -0.05
+#: Bits of the filter that tells which documents may be of the target: 2 MB.
+FILTER_BITS = 1 << 24
 _WS = " \t\n\x0b\x0c\r"
 
 
@@ -50,19 +52,36 @@ def ngrams() -> Column:
     return F.concat("hw", F.slice("h2", F.lit(1), F.greatest(F.size("hw") - 1, F.lit(0))))
 
 
-def multinomials(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> dict[int, tuple[int, int]]:
-    """bucket -> (count over all documents, count over the target). At most `buckets` entries come to the driver.
-
-    target_ids (doc_id) may be of any size; rows that repeat count once. Documents without an id are not of the target,
-    and the salt spreads them over the join's tasks."""
-    ids = target_ids.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("salt")).distinct().withColumn("t", F.lit(1))
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
-    flagged = docs.select("doc_id", "text", salt.alias("salt")).join(ids, ["doc_id", "salt"], "left")
-    w = flagged.select(F.coalesce("t", F.lit(0)).alias("t"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
+def _may_be(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose id may be among ids: all that are, and few others while ids are fewer than FILTER_BITS.
+
+    What is broadcast are the filter's words, FILTER_BITS / 64 rows at most."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = lambda s: F.expr(f"shiftleft(1L, cast({s} % 64 as int))")
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit("slot")).alias("bits"))
+    d = docs.select("doc_id", "text", slot.alias("slot")).withColumn("word", F.shiftright("slot", 6))
+    return d.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit("slot")) != 0).select("doc_id", "text")
+
+
+def _counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """b, n: n-grams of each bucket."""
+    w = docs.select(words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
     # one row an n-gram, so that hashing into buckets and counting are compiled
-    each = _hashed(w).select("t", F.explode(ngrams()).alias("g")).select("t", F.pmod("g", F.lit(buckets)).cast("int").alias("b"))
-    rows = each.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("m")).collect()
-    return {r.b: (r.n, r.m) for r in rows}
+    each = _hashed(w).select(F.explode(ngrams()).alias("g")).select(F.pmod("g", F.lit(buckets)).cast("int").alias("b"))
+    return each.groupBy("b").agg(F.count("*").alias("n"))
+
+
+def multinomials(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> dict[int, tuple[int, int]]:
+    """bucket -> (count over all documents, count over the target). At most `buckets` entries of either come to the driver.
+
+    target_ids (doc_id) may be of any size; rows that repeat count once. Documents without an id are not of the target.
+    Only texts that may be of the target are shuffled, to meet their ids."""
+    docs = docs.select("doc_id", "text")
+    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    # the join is the same at all sizes: a broadcast of ids would be one of unknown size
+    target = _may_be(docs, ids).join(ids.hint("merge"), "doc_id", "left_semi")
+    both = _counts(docs, buckets).select("b", "n", F.lit(0).cast("long").alias("m")).unionByName(_counts(target, buckets).select("b", F.lit(0).cast("long").alias("n"), F.col("n").alias("m")))
+    return {r.b: (r.n, r.m) for r in both.groupBy("b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
 
 
 def weights(counts: dict[int, tuple[int, int]], buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[int]:

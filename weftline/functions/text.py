@@ -14,21 +14,29 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def normalize(c) -> Column:
-    """Case-folded (ß as ss) with runs of white space as one space. Full-width forms need normalize_wide."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+#: Characters that NFKC and case folding treat as lower-casing does (ß, narrow dots and odd spaces aside, which are replaced below).
+_PLAIN = r"\x00-\x7f\x85\u00a0-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201f\u2022\u2026\u4e00-\u9fff\u3001\u3002"
+
 
+def lowered(c: Column) -> Column:
+    """NFKC with full case folding: built-in functions where they suffice, Python only for texts with characters beyond them."""
+    plain = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("…"), F.lit("..."))
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{_PLAIN}]"), c)), plain)
 
-def normalize_wide(c) -> Column:
-    """NFKC, full case folding and single spaces, which no built-in function has."""
 
+def _nfkc(c: Column) -> Column:
     @F.pandas_udf(T.StringType())
     def run(s):
         import unicodedata
 
-        return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
-    return run(_col(c))
+    return run(c)
+
+
+def normalize(c) -> Column:
+    """NFKC and case-folded, with runs of white space as one space and none at the ends."""
+    return F.trim(F.regexp_replace(lowered(_col(c)), r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def _bigrams(run: Column) -> Column:
@@ -36,9 +44,15 @@ def _bigrams(run: Column) -> Column:
     return F.when(~run.rlike(f"^[{_CJK}]+$") | (n == 1), F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2))))
 
 
+def plain_tokens(low: Column) -> Column:
+    """tokens of a text that is folded already."""
+    found = F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))
+    return F.when(low.rlike(f"[{_CJK}]"), F.flatten(F.transform(found, _bigrams))).otherwise(found)
+
+
 def tokens(c) -> Column:
     """Retrieval tokens in order, repeats kept; a CJK run of two or more becomes its overlapping bigrams."""
-    return F.flatten(F.transform(F.regexp_extract_all(normalize(c), F.lit(_TOKEN), F.lit(0)), _bigrams))
+    return plain_tokens(lowered(_col(c)))
 
 
 def match_tokens(c, stopwords: list[str]) -> Column:

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..shared import durable
 
+#: Query vocabularies of so many terms at most are sent to all tasks, beyond that Spark joins by term.
+BROADCAST_TERMS = 1_000_000
 
-def postings(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """(key, term, tf): a field's tokens count as often as its weight."""
-
-    def weigh(field: str, weight: int):
-        return F.transform(tokens(F.coalesce(F.col(field).cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
-    weighted = F.flatten(F.array(*[weigh(f, w) for f, w in fields.items()]))
-    return docs.select(key, F.explode(weighted).alias("x")).groupBy(key, "x.term").agg(F.sum("x.w").alias("tf"))
+def _tokened(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
+    """key, length, terms array<struct<term, w>>: a field's tokens count as often as its weight."""
+    each = [F.transform(tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f, w in fields.items()]  # noqa: B023
+    got = docs.select(key, F.flatten(F.array(*each)).alias("terms"))
+    return got.select(key, F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("length"), "terms")
 
 
-def lengths(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """(key, length) of every document, those without a token included."""
-    return docs.select(key, sum(w * F.size(tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f, w in fields.items()).cast("long").alias("length"))
+def postings(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
+    """(key, term, tf)."""
+    return _tokened(docs, key, fields).select(key, F.explode("terms").alias("x")).groupBy(key, "x.term").agg(F.sum("x.w").alias("tf"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,20 +29,49 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(key, F.posexplode(tokens(text)).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("times"), F.min("pos").alias("pos"))
 
 
+def _hits(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, term, tf, length of the query vocabulary's postings; key, length of every document), from one pass over the texts."""
+    vocabulary = durable(terms.select("term").distinct(), "vocabulary")
+    if vocabulary.count() <= BROADCAST_TERMS:
+        vocabulary = F.broadcast(vocabulary)
+    each = _tokened(docs, key, fields).select(key, "length", F.posexplode_outer("terms").alias("pos", "x")).select(key, "length", "pos", "x.term", "x.w")
+    asked = each.join(vocabulary.withColumn("asked", F.lit(True)), "term", "left").where("asked or coalesce(pos, 0) = 0")
+    # the first token of a document, asked for or not, stands for its length; documents without a token have a row as well
+    kept = durable(asked.groupBy(key, "term", "length", "asked").agg(F.sum("w").alias("tf"), F.min(F.coalesce("pos", F.lit(0))).alias("pos")), "postings")
+    return kept.where("asked").select(key, "term", "tf", "length"), kept.where("pos = 0").select(key, "length")
+
+
+def _score(k1: float, b: float) -> Column:
+    return F.col("times") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+
+
+def _summed(hit: DataFrame, query_key: str, key: str, k1: float, b: float) -> DataFrame:
+    part = hit.select(query_key, key, "term", "pos", _score(k1, b).alias("part"))
+    out = part.groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
+    return out.where("score > 0")
+
+
 def bm25(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score, matched_terms) for every pair with a positive score, rounded to 6 places before any ranking.
 
     Only postings of the queries' vocabulary leave the scan; document frequencies and lengths are of the whole corpus."""
-    vocabulary = terms.select("term").distinct()
-    post = postings(docs, key, fields).join(vocabulary, "term", "left_semi")
-    size = lengths(docs, key, fields)
+    post, size = _hits(docs, key, fields, terms)
     corpus = size.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))  # one row
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    hit = post.join(size, key).join(weighted, "term").select(query_key, key, "term", "pos", part.alias("part"))
-    out = hit.groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
-    return out.where("score > 0")
+    weighted = terms.join(df, "term").join(F.broadcast(corpus))
+    return _summed(post.join(weighted, "term"), query_key, key, k1, b)
+
+
+def prefiltered_bm25(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame, query_key: str, eligible: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25 as if each query had an index of its own, of the documents eligible for it: eligible has query, key.
+
+    Frequencies and mean length are counted per query, for its own terms only."""
+    post, size = _hits(docs, key, fields, terms)
+    own = eligible.select(query_key, key).distinct()
+    corpus = own.join(size, key).groupBy(query_key).agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
+    hit = durable(own.join(post, key).join(terms, [query_key, "term"]), "eligible-postings")
+    df = hit.groupBy(query_key, "term").agg(F.count("*").alias("df"))
+    return _summed(hit.join(df, [query_key, "term"]).join(corpus, query_key), query_key, key, k1, b)
 
 
 def top(scored: DataFrame, query_key: str, order: list, k: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lexical import top
+
 
 def valid(v, dim: int) -> Column:
     """Of the given dimension, all finite, norm not zero."""
@@ -24,42 +24,56 @@ def unit(v) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def cosine_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096, part: int = 1 << 16) -> DataFrame:
     """(query, key, score): for every query its k nearest rows, score rounded to 8 places, ties to the smaller key.
 
-    Queries are taken in blocks of bounded size; a task keeps k rows a query, so what moves is k x queries x tasks."""
-    from .lexical import top
-
-    key_type = dict(corpus.dtypes)[key]
-    rows = queries.select(F.col(key).alias("q"), unit(vector).alias("v")).orderBy("q")
-    out = None
-    held: list = []
-
-    def near(rows: list) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast((np.array([r.q for r in rows]), np.array([r.v for r in rows])))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_i = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                s = np.round(q @ x.T, 8)
-                i = np.broadcast_to(batch.column(0).to_numpy().astype(np.int64), s.shape)
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
-                at = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", key, "score"])
-
-        return corpus.select(key, unit(vector).alias("v")).mapInArrow(run, f"query_id {key_type}, {key} {key_type}, score double")
-
-    for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = near(held) if out is None else out.unionByName(near(held)), []
-    if held or out is None:
-        part = near(held) if held else corpus.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
-        out = part if out is None else out.unionByName(part)
+    Queries in blocks of about `block` meet the corpus in parts of about `part` rows, each pair of them in a task of its own that keeps
+    k rows a query; nothing passes through the driver. Null keys and invalid vectors (see valid) have to be left out before."""
+    kind = dict(corpus.dtypes)[key]
+    blocks, parts = max(1, -(-queries.count() // block)), max(1, -(-corpus.count() // part))
+    share = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query_id"), unit(vector).alias("v"), share(blocks).alias("b"), every(parts).alias("p"))
+    c = corpus.select(key, unit(vector).alias("v"), share(parts).alias("p"), every(blocks).alias("b"))
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", key, "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left["query_id"][:0], right[key][:0], pa.array([], pa.float64())], names=names)
+        matrix = lambda t: np.stack(t["v"].to_numpy()).astype(np.float64)
+        ids = right[key].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        s = np.round(matrix(left) @ matrix(right)[order].T, 8)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties stay in the order of the keys
+        n = at.shape[1]
+        return pa.table([left["query_id"].take(pa.array(np.repeat(np.arange(len(s)), n))), right[key].take(pa.array(order[at].ravel())), pa.array(np.take_along_axis(s, at, 1).ravel())], names=names)
+
+    out = q.groupBy("b", "p").cogroup(c.groupBy("b", "p")).applyInArrow(near, f"query_id {kind}, {key} {kind}, score double")
     return top(out, "query_id", [F.desc("score"), key], k)
+
+
+def normalized(v) -> Column:
+    """The unit vector, or null where the vector is not valid for its own length."""
+    v = F.col(v) if isinstance(v, str) else v
+    return F.when(valid(v, F.size(v)), unit(v))
+
+
+def hash_embedding(text: Column, mode: str, dim: int) -> Column:
+    """A unit vector from a chain of SHA-256 digests of mode and text; each byte b gives b / 255 * 2 - 1."""
+    steps = -(-dim // 32)
+    digest = F.sha2(F.concat(F.lit(mode + "\x1f"), text), 256)
+    hexes = [digest]
+    for _ in range(steps - 1):
+        hexes.append(F.sha2(F.unhex(hexes[-1]), 256))
+    every = F.concat(*hexes)
+    value = lambda i: F.conv(F.substring(every, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0
+    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))
+
+
+def embedding_delta(chunks: DataFrame, known: DataFrame, version: str, model: str, chunk: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks whose vector is known, with it; those still to be encoded). A vector is known by version, chunk, content hash and model.
+
+    known: cache_key, embedding. Both keep chunk, content and cache_key."""
+    key = F.sha1(F.concat_ws("\x1f", F.lit(version), F.col(chunk).cast("string"), F.sha1(content), F.lit(model)))
+    c = chunks.select(chunk, content, key.alias("cache_key"))
+    return c.join(known.dropDuplicates(["cache_key"]), "cache_key"), c.join(known.select("cache_key"), "cache_key", "left_anti")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, token_estimate, tokens
-from ..operators import checks, deals, eligibility, fusion, lexical, metrics, runs, vectors
+from ..operators import checks, deals, fusion, lexical, metrics, runs, vectors
+from . import corpora, dealplans, modelruns, retrieval, scopes
 
 FIELDS = {"text": 1, "source": 2}
 FLAGSHIP = "lexical_summary"
@@ -40,7 +41,7 @@ def postings_df(spark, d):
 
 
 def bm25_topk(spark, d):
-    return _bm25_top(spark, d, 5).select("item_id", "doc_id", F.round("score", 4).alias("score"))
+    return _bm25_top(spark, d, 5).select("item_id", "doc_id", "score")
 
 
 def matched_terms(spark, d):
@@ -48,16 +49,18 @@ def matched_terms(spark, d):
 
 
 def _scores(spark, d):
-    forbidden = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return metrics.case_scores(_t(spark, d, "benchmark"), _bm25_top(spark, d, 5), _gold(spark, d), "item_id", "doc_id", forbidden)
+    bad = _t(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("forbidden")).distinct()
+    ranked = _bm25_top(spark, d, 5).select("item_id", "doc_id", "rank").join(bad, "doc_id", "left")
+    return metrics.case_scores(_t(spark, d, "benchmark").select("item_id"), ranked, _gold(spark, d), ["item_id"], "item_id", "doc_id")
 
 
 def case_scores(spark, d):
-    return _scores(spark, d).withColumn("reasons", F.array_join("reasons", ","))
+    return _scores(spark, d).withColumn("reasons", F.array_join("reasons", ",")).drop("boundary_violation", "request_error")
 
 
 def lexical_summary(spark, d):
-    return metrics.method_summary(_scores(spark, d).withColumn("method", F.lit("lexical")))
+    s = metrics.method_summary(_scores(spark, d).withColumn("method", F.lit("lexical")), ["item_id"])
+    return s.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def reason_counts(spark, d):
@@ -65,11 +68,12 @@ def reason_counts(spark, d):
 
 
 def recall_ceiling(spark, d):
-    return metrics.recall_ceiling(_gold(spark, d), "item_id")
+    cases = _t(spark, d, "benchmark").select("item_id", (1 + F.col("item_id") % 7).alias("minimum_hits"))
+    return metrics.recall_ceiling(_gold(spark, d), cases, "item_id", "doc_id")
 
 
 def expected_ranks(spark, d):
-    return metrics.expected_ranks(_gold(spark, d), _bm25_top(spark, d, 20), "item_id", "doc_id")
+    return metrics.expected_ranks(_gold(spark, d), _bm25_top(spark, d, 20), [], "item_id", "doc_id")
 
 
 def cosine_topk(spark, d):
@@ -100,31 +104,6 @@ def parent_child_topk(spark, d):
     return fusion.children_of(ranked, o.select("p", "o"), ranks, "q", "p", "o", 2)
 
 
-# --- eligibility: parts are candidates (brand, type and size give their scopes), nations are queries
-
-
-def _candidates(spark, d):
-    p = _t(spark, d, "part")
-    a = [F.col("p_partkey") % 5, F.col("p_partkey") % 7, F.col("p_size") % 5]
-    return p.select("p_partkey", F.array_distinct(F.array(a[0], a[1])).alias("applicable"), F.array(a[2]).alias("excluded"), (F.col("p_partkey") % 11 == 0).alias("is_global"), F.element_at(F.array(*map(F.lit, ["primary", "all", "global", "overlap"])), (F.col("p_partkey") % 4 + 1).cast("int")).alias("mode"), a[0].alias("first"))
-
-
-def _pairs(spark, d):
-    q = _t(spark, d, "nation").select("n_nationkey", F.array_distinct(F.array(F.col("n_nationkey").cast("long") % 5, F.col("n_nationkey").cast("long") % 3)).alias("scope"))
-    return _candidates(spark, d).crossJoin(F.broadcast(q))  # nations are 25
-
-
-def runtime_eligibility(spark, d):
-    p = _pairs(spark, d).withColumn("reasons", eligibility.runtime_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.col("is_global")))
-    return p.groupBy("n_nationkey", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n_candidates"))
-
-
-def confusion_metrics(spark, d):
-    p = _pairs(spark, d).withColumn("boundary", F.size(eligibility.boundary_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.array(F.lit(6).cast("long")), F.col("is_global"))) > 0)
-    p = p.select("n_nationkey", "mode", (~F.col("boundary")).alias("relevant"), F.col("boundary").alias("violating"), eligibility.mode_allows(F.col("mode"), F.col("first"), F.col("applicable"), F.col("scope")).alias("ok"))
-    return eligibility.confusion(p, F.col("ok"), ["n_nationkey", "mode"])
-
-
 # --- run log: events are runs; the user's remainder names the model, the event type the node
 
 
@@ -135,24 +114,9 @@ def _runs(spark, d):
     return e.select("event_id", "ts", F.col("event_type").alias("node"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("value").alias("latency"), k.alias("tokens"), cost.alias("cost"), (F.col("value") < 450).alias("fast"), (k < 90).alias("small"), F.when(F.col("user_id") % 4 > 0, F.concat(F.lit("e"), (F.col("user_id") % 4).cast("string"))).alias("error_type"))
 
 
-def _summary(spark, d):
-    return runs.node_model_summary(_runs(spark, d), {"fast": 0.9, "small": 0.85})
-
-
-def node_model_summary(spark, d):
-    return _summary(spark, d).select("node", "model", "n_runs", F.round("fast_rate", 4).alias("fast_rate"), F.round("small_rate", 4).alias("small_rate"), F.round("mean_latency", 2).alias("mean_latency"), "tokens", F.round("cost", 4).alias("cost"), F.array_join("reasons", ",").alias("reasons"), "eligible")
-
-
-def routing_table(spark, d):
-    return runs.routing_table(_summary(spark, d), 10)
-
-
-def failure_counts(spark, d):
-    return runs.failure_counts(_runs(spark, d), ~F.col("fast"))
-
-
 def budget_cutoff(spark, d):
-    kept = runs.budget_cutoff(_runs(spark, d).withColumn("cost", F.col("tokens")), ["node", "model"], ["ts", "event_id"], 5000)
+    """Five thousand tokens a (node, model); hours are summed first, rows are gone through only where a group stops."""
+    kept = runs.budget_cutoff(_runs(spark, d).withColumn("cost", F.col("tokens")), ["node", "model"], ["ts", "event_id"], 5000, bucket=F.date_trunc("hour", "ts"))
     return kept.groupBy("node", "model").agg(F.count("*").alias("n_run"), F.sum("tokens").alias("tokens"))
 
 
@@ -174,7 +138,7 @@ def manifest(spark, d):
 
 
 def content_hash(spark, d):
-    return checks.content_hash(_t(spark, d, "documents"), ["doc_id", "text", "lang"])
+    return checks.content_hash(_t(spark, d, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 def diff_tables(spark, d):
@@ -196,26 +160,6 @@ def chunk_ids(spark, d):
     return x.select("doc_id", F.col("i").cast("long").alias("i"), chunk_id(F.col("doc_id"), F.col("i"), F.col("content")).alias("chunk_id"), token_estimate(F.col("content")).cast("long").alias("token_estimate"))
 
 
-# --- deals: orders are cases, their lines give needs, pains and impacts
-
-
-def deal_scores(spark, d):
-    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("needs"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("pains"), F.sum((F.col("l_quantity") > 40).cast("long")).alias("impacts"))
-    total = (deals.business_need(F.col("needs"), F.col("pains"), F.col("impacts")) * 5).cast("long")
-    return li.select(F.col("l_orderkey").alias("case_id"), total.alias("total"), deals.level(total).alias("level"))
-
-
-def deal_limiters(spark, d):
-    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("need"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("pain"))
-    long = li.unpivot(["l_orderkey"], ["need", "pain"], "dimension", "points").withColumn("weight", F.lit(4))
-    return deals.limiters(long, "l_orderkey")
-
-
-def source_index(spark, d):
-    s = deals.source_index(_t(spark, d, "conversations"), "conv_id", "turn", F.col("role"))
-    return s.groupBy("case_id").agg(F.count("*").alias("n_sources"), F.sum(F.col("verified").cast("long")).alias("n_verified"), F.min_by("source_id", "turn").alias("first_source"), F.max_by("source_id", "turn").alias("last_source"))
-
-
 # --- more of run logs, scopes, checks and deals
 
 
@@ -223,10 +167,6 @@ def run_manifest_counts(spark, d):
     return runs.manifest_counts(_runs(spark, d), "node", F.col("fast") & F.col("small"))
 
 
-def pilot_rollup(spark, d):
-    return runs.pilot_rollup(_runs(spark, d))
-
-
 def latency_summary(spark, d):
     return runs.latency_summary(_runs(spark, d), "model")
 
@@ -239,38 +179,6 @@ def usage_totals(spark, d):
     return runs.usage_totals(_runs(spark, d), "node", ["ts", "event_id"]).withColumn("models", F.array_join("models", ","))
 
 
-def failure_records(spark, d):
-    return runs.failure_records(_runs(spark, d), "event_id", {"fast": True, "small": False}).withColumn("failed", F.array_join("failed", ","))
-
-
-def rejection_counts(spark, d):
-    return eligibility.rejection_counts(_pairs(spark, d), "n_nationkey", eligibility.runtime_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.col("is_global")))
-
-
-def scope_checks(spark, d):
-    c = _candidates(spark, d).select("p_partkey", eligibility.scope_violations(F.col("mode"), F.col("applicable"), F.col("excluded"), list(range(5))).alias("v"))
-    return c.where(F.size("v") > 0).select("p_partkey", F.array_join("v", ",").alias("violations"))
-
-
-def scope_cardinality(spark, d):
-    return _candidates(spark, d).groupBy("mode", F.size("applicable").cast("long").alias("n_entries")).agg(F.count("*").alias("n_candidates"))
-
-
-def _judged_pairs(spark, d):
-    p = _pairs(spark, d).withColumn("violating", F.size(eligibility.boundary_reasons(F.col("applicable"), F.col("excluded"), F.col("scope"), F.array(F.lit(6).cast("long")), F.col("is_global"))) > 0)
-    return p.withColumn("relevant", ~F.col("violating"))
-
-
-def filter_attribution(spark, d):
-    scope, app = F.col("scope"), F.col("applicable")
-    return eligibility.filter_attribution(_judged_pairs(spark, d), {"excluded": F.arrays_overlap("excluded", scope), "disjoint": ~F.arrays_overlap(app, scope), "not_within": F.size(F.array_except(app, scope)) > 0})
-
-
-def mode_satisfiability(spark, d):
-    allowed = {m: eligibility.mode_allows(F.lit(m), F.col("first"), F.col("applicable"), F.col("scope")) for m in ("primary", "all", "global", "overlap")}
-    return eligibility.mode_satisfiability(_judged_pairs(spark, d), "p_partkey", allowed)
-
-
 def coverage_summary(spark, d):
     return checks.coverage(_t(spark, d, "events").select("event_type", (F.col("user_id") % 7).cast("string").alias("shard"), "user_id"), ["event_type", "shard"], "user_id")
 
@@ -285,46 +193,31 @@ def unknown_ids(spark, d):
     return checks.unknown_ids(used, "code", _t(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("s_code")), "s_code")
 
 
-SIGNS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "bulk": "l_quantity > 40", "accepted": "l_returnflag = 'A'", "pending": "l_returnflag = 'N'", "filled": "l_linestatus = 'F'", "discounted": "l_discount > 0.05"}
-
-
-def context_sufficiency(spark, d):
-    flags = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(*[F.bool_or(F.expr(e)).alias(n) for n, e in SIGNS.items()])
-    have = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in SIGNS]))
-    missing, level = deals.sufficiency(have, list(SIGNS)[:3], list(SIGNS))
-    return flags.select(F.col("l_orderkey").alias("case_id"), F.array_join(missing, ",").alias("missing"), level.alias("level"))
 
 
 GOALS = {"ask": "how|what|why", "number": "[0-9]", "write": "write|summar|explain"}
 
 
-def detected_goals(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(deals.detected_goals(F.col("text"), GOALS), ",").alias("goals"))
-
-
 def dedupe_evidence(spark, d):
     """First turn of each (conversation, role, text)."""
     return checks.keep_first(_t(spark, d, "conversations"), ["conv_id", "role", "text"], ["turn"]).select("conv_id", "role", "turn")
 
 
-def entity_uniqueness(spark, d):
-    c = _t(spark, d, "conversations").groupBy("conv_id", F.md5(F.lower(F.trim("text"))).alias("folded")).agg(F.count("*").alias("n_rows"))
-    return c.where("n_rows > 1")
-
-
 def duplicate_sources_topk(spark, d):
     top = _bm25_top(spark, d, 5).select("item_id", "doc_id").join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return top.groupBy("item_id").agg((F.count("source") - F.count_distinct("source")).alias("n_repeated"))
 
 
 def blocking_gate(spark, d):
-    s = lexical_summary(spark, d)
-    failed = F.array_compact(F.array(F.when(F.col("recall_5") < 1, F.lit("recall")), F.when(F.col("n_forbidden") > 0, F.lit("forbidden")), F.when(F.col("n_passed") < F.col("n_cases"), F.lit("cases"))))
+    s = metrics.method_summary(_scores(spark, d).withColumn("method", F.lit("lexical")), ["item_id"])
+    failed = metrics.blocking_gate(s)
     return s.select("method", F.array_join(failed, ",").alias("failed_gates"), (F.size(failed) == 0).alias("passed"))
 
 
-_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk runtime_eligibility confusion_metrics node_model_summary routing_table failure_counts budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids deal_scores deal_limiters source_index run_manifest_counts pilot_rollup latency_summary provider_status usage_totals failure_records rejection_counts scope_checks scope_cardinality filter_attribution mode_satisfiability coverage_summary opaque_ids unknown_ids context_sufficiency detected_goals dedupe_evidence entity_uniqueness duplicate_sources_topk blocking_gate"
+_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids run_manifest_counts latency_summary provider_status usage_totals coverage_summary opaque_ids unknown_ids dedupe_evidence duplicate_sources_topk blocking_gate"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
+for _part in (scopes, retrieval, corpora, modelruns, dealplans):
+    QUERIES |= _part.QUERIES
 
 _TOK = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
 _POST = f"""tok AS (SELECT doc_id, unnest({_TOK.format("coalesce(text, '')")}) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest({_TOK.format("coalesce(source, '')")}), 2 FROM documents),
@@ -340,21 +233,19 @@ _CASES = f"""{_BM25}, m AS (SELECT r.*, g.doc_id IS NOT NULL AS rel, l.doc_id IS
     a AS (SELECT item_id, count(DISTINCT CASE WHEN rel AND rank <= 1 THEN doc_id END) h1, count(DISTINCT CASE WHEN rel AND rank <= 3 THEN doc_id END) h3, count(DISTINCT CASE WHEN rel THEN doc_id END) h5, count(*) FILTER (rank <= 3) r3, count(*) r5, min(rank) FILTER (rel) f, bool_or(bad) bad FROM m GROUP BY 1),
     g AS (SELECT item_id, count(*) n FROM gold GROUP BY 1),
     cs AS (SELECT b.item_id, coalesce(h1 / n, 0) recall_1, coalesce(h3 / n, 0) recall_3, coalesce(h5 / n, 0) recall_5, coalesce(h3 / r3, 0) precision_3, coalesce(h5 / r5, 0) precision_5, coalesce(1 / f, 0) reciprocal_rank, coalesce(h5, 0) relevant_hits, coalesce(bad, false) forbidden_hit,
-        list_filter([CASE WHEN coalesce(h5 / n, 0) < 1 THEN 'recall_below_one' END, CASE WHEN coalesce(bad, false) THEN 'forbidden_hit' END, CASE WHEN coalesce(h5, 0) < 1 THEN 'too_few_hits' END], lambda x: x IS NOT NULL) AS rs
+        list_filter([CASE WHEN coalesce(h5 / n, 0) < 1 THEN 'recall_at_5_below_pilot_gate' END, CASE WHEN coalesce(bad, false) THEN 'forbidden_hit_detected' END, CASE WHEN coalesce(h5, 0) < 1 THEN 'minimum_relevant_hits_not_met' END], lambda x: x IS NOT NULL) AS rs
         FROM benchmark b LEFT JOIN a USING (item_id) LEFT JOIN g USING (item_id))"""
 _RUNS = """r AS (SELECT *, bad_k AS tokens, round_even((bad_k * 1000 * 0.3 + bad_k * 100 * 1.2) / 1000000, 6) AS cost FROM (SELECT event_id, ts, event_type AS node, 'm' || (user_id % 3) AS model, value AS latency, CAST(props->>'$.k' AS BIGINT) AS bad_k, value < 450 AS fast, CAST(props->>'$.k' AS BIGINT) < 90 AS small, CASE WHEN user_id % 4 > 0 THEN 'e' || (user_id % 4) END AS error_type FROM events)),
     s AS (SELECT node, model, count(*) n_runs, round(avg(fast::INT), 6) fr, round(avg(small::INT), 6) sr, round(avg(latency), 3) ml, sum(tokens)::BIGINT tokens, round(sum(cost), 6) cost, fr >= 0.9 AND sr >= 0.85 AS eligible FROM r GROUP BY ALL)"""
-_PAIRS = """p AS (SELECT p_partkey, list_distinct([p_partkey % 5, p_partkey % 7]) AS app, [CAST(p_size % 5 AS BIGINT)] AS exc, p_partkey % 11 = 0 AS g, ['primary', 'all', 'global', 'overlap'][p_partkey % 4 + 1] AS mode, p_partkey % 5 AS first FROM part),
-    x AS (SELECT p.*, n_nationkey, list_distinct([CAST(n_nationkey % 5 AS BIGINT), CAST(n_nationkey % 3 AS BIGINT)]) AS scope FROM p, nation)"""
 ORACLE = {
     "tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)",
     "postings_df": f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
-    "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score FROM rk WHERE rank <= 5",
+    "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, score FROM rk WHERE rank <= 5",
     "matched_terms": f"WITH {_BM25} SELECT item_id, doc_id, matched FROM rk WHERE rank <= 5",
     "case_scores": f"WITH {_CASES} SELECT * EXCLUDE (rs), array_to_string(rs, ',') AS reasons FROM cs",
-    "lexical_summary": f"WITH {_CASES} SELECT 'lexical' AS method, count(*) AS n_cases, round(avg(recall_1), 6) recall_1, round(avg(recall_3), 6) recall_3, round(avg(recall_5), 6) recall_5, round(avg(precision_3), 6) precision_3, round(avg(precision_5), 6) precision_5, round(avg(reciprocal_rank), 6) reciprocal_rank, count(*) FILTER (forbidden_hit) AS n_forbidden, count(*) FILTER (len(rs) = 0) AS n_passed FROM cs",
+    "lexical_summary": f"WITH {_CASES}, fs AS (SELECT x, min(row(item_id, i)) AS at_ FROM (SELECT item_id, unnest(rs) AS x, unnest(range(len(rs))) AS i FROM cs) GROUP BY x) SELECT 'lexical' AS method, count(*) AS n_cases, round(avg(recall_1), 6) recall_1, round(avg(recall_3), 6) recall_3, round(avg(recall_5), 6) recall_5, round(avg(precision_3), 6) precision_3, round(avg(precision_5), 6) precision_5, round(avg(reciprocal_rank), 6) reciprocal_rank, round(avg(forbidden_hit::INT), 6) AS forbidden_rate, CAST(0 AS DOUBLE) AS violation_rate, CAST(0 AS BIGINT) AS n_errors, count(*) FILTER (len(rs) = 0) AS n_passed, coalesce((SELECT string_agg(x, ',' ORDER BY at_) FROM fs), '') AS reasons FROM cs",
     "reason_counts": f"WITH {_CASES} SELECT 'lexical' AS method, reason, count(*) AS n_cases FROM (SELECT unnest(rs) AS reason FROM cs) GROUP BY ALL",
-    "recall_ceiling": f"WITH {_BM25} SELECT item_id, count(*) AS n_gold, least(count(*), 5) / count(*) AS ceiling, count(*) <= 5 AS feasible FROM gold GROUP BY 1",
+    "recall_ceiling": f"WITH {_BM25}, g AS (SELECT item_id, count(*) AS n_gold FROM gold GROUP BY 1) SELECT item_id, n_gold, least(n_gold, 5) / n_gold AS ceiling, n_gold <= 5 AS recall_feasible, 1 + item_id % 7 <= 5 AND 1 + item_id % 7 <= n_gold AS hits_feasible FROM g",
     "expected_ranks": f"WITH {_BM25} SELECT g.item_id, g.doc_id, rank FROM gold g LEFT JOIN (SELECT * FROM rk WHERE rank <= 20) r USING (item_id, doc_id)",
     "cosine_topk": "SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5",
     "validate_vectors": "SELECT label, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok, count(*) AS n_vectors FROM embeddings GROUP BY ALL",
@@ -366,50 +257,25 @@ ORACLE = {
         own AS (SELECT * FROM (SELECT q, o_orderkey o, row_number() OVER (PARTITION BY q ORDER BY o_totalprice DESC, o_orderkey) rk FROM r JOIN orders ON o_custkey = p) WHERE rk <= 20),
         c AS (SELECT r.q, r.p, o_orderkey o, pr AS parent_rank, row_number() OVER (PARTITION BY r.q, r.p ORDER BY rk ASC NULLS LAST, o_orderkey) nth FROM r JOIN orders ON o_custkey = p LEFT JOIN own ON own.q = r.q AND own.o = o_orderkey)
         SELECT *, row_number() OVER (PARTITION BY q ORDER BY parent_rank, nth) AS rank FROM c WHERE nth <= 2""",
-    "runtime_eligibility": f"WITH {_PAIRS} SELECT n_nationkey, concat_ws(',', CASE WHEN list_has_any(exc, scope) THEN 'excluded_solution_conflict' END, CASE WHEN NOT g AND NOT list_has_all(scope, app) THEN 'solution_scope_mismatch' END) AS reasons, count(*) AS n_candidates FROM x GROUP BY ALL",
-    "confusion_metrics": f"""WITH {_PAIRS}, y AS (SELECT n_nationkey, mode, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad,
-            CASE mode WHEN 'primary' THEN list_contains(scope, first) WHEN 'all' THEN list_has_all(scope, app) WHEN 'global' THEN true ELSE list_has_any(app, scope) END AS ok FROM x)
-        SELECT n_nationkey, mode, count(*) AS n_pairs, count(*) FILTER (NOT bad) AS n_relevant, count(*) FILTER (bad) AS n_violating, round(count(*) FILTER (NOT bad AND ok) / nullif(count(*) FILTER (NOT bad), 0), 6) AS retention, round(count(*) FILTER (bad AND NOT ok) / nullif(count(*) FILTER (bad), 0), 6) AS removal
-        FROM y GROUP BY GROUPING SETS ((n_nationkey), (mode), ())""",
-    "node_model_summary": f"WITH {_RUNS} SELECT node, model, n_runs, round(fr, 4) AS fast_rate, round(sr, 4) AS small_rate, round(ml, 2) AS mean_latency, tokens, round(cost, 4) AS cost, concat_ws(',', CASE WHEN fr < 0.9 THEN 'fast_below' END, CASE WHEN sr < 0.85 THEN 'small_below' END) AS reasons, eligible FROM s",
-    "routing_table": f"WITH {_RUNS}, o AS (SELECT *, eligible AND n_runs >= 10 AS ok, row_number() OVER (PARTITION BY node, eligible AND n_runs >= 10 ORDER BY CASE WHEN coalesce(cost, 0) = 0 THEN 999999 ELSE cost END, ml, tokens, model) AS place FROM s) SELECT node, max(model) FILTER (ok AND place = 1) AS \"primary\", max(model) FILTER (ok AND place = 2) AS fallback, count(*) FILTER (NOT ok) AS n_disqualified FROM o GROUP BY node",
-    "failure_counts": f"WITH {_RUNS}, b AS (SELECT node, model, coalesce(error_type, 'unknown') AS error_type FROM r WHERE NOT fast) SELECT node, model, error_type, count(*) AS n_failed FROM b GROUP BY GROUPING SETS ((node), (model), (error_type), ())",
     "budget_cutoff": f"WITH {_RUNS}, c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY node, model ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT node, model, count(*) AS n_run, CAST(sum(tokens) AS BIGINT) AS tokens FROM c WHERE before < 5000 GROUP BY ALL",
     "best_by_dimension": f"WITH {_RUNS}, m AS (SELECT model, round(avg(latency), 4) AS latency, round(avg(tokens), 4) AS tokens FROM r GROUP BY 1), l AS (SELECT model, 'latency' AS dimension, latency AS mean FROM m UNION ALL SELECT model, 'tokens', tokens FROM m) SELECT dimension, model, mean FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY mean DESC, model) n FROM l) WHERE n = 1",
     "duplicate_keys": "SELECT * FROM (SELECT md5(text) AS key, min(doc_id) OVER (PARTITION BY text) AS first_line, doc_id AS line FROM documents) WHERE line > first_line",
     "manifest": "SELECT source, count(*) AS n_rows FROM documents GROUP BY 1",
-    "content_hash": "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, ''), coalesce(lang, ''))), 1, 8) AS BIGINT)) AS BIGINT) AS hash_sum FROM documents",
+    "content_hash": "WITH h AS (SELECT sha256(array_to_string([CASE WHEN x IS NULL THEN '0' ELSE '1' || length(x) || ':' || x END FOR x IN [doc_id::VARCHAR, text, lang, source, n_chars::VARCHAR]], '')) AS x FROM documents), p AS (SELECT CAST('0x' || substr(x, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(x, 16, 15) AS BIGINT) AS b FROM h) SELECT count(*) AS n_rows, CAST(sum(a % 1000000007) AS BIGINT) AS hash_sum, bit_xor(a) AS hash_xor, bit_xor(b) AS hash_xor2 FROM p",
     "diff_tables": """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, source, n_chars + (doc_id % 5 = 0)::INT AS n_chars FROM documents WHERE doc_id % 10 <> 3)
         SELECT doc_id, c AS "column" FROM (SELECT doc_id, unnest(list_filter([CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.source IS DISTINCT FROM b.source THEN 'source' END, CASE WHEN a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END], lambda x: x IS NOT NULL)) AS c FROM documents a FULL JOIN b USING (doc_id))""",
     "unsafe_values": "SELECT doc_id, marks FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{m}') THEN '{m}' END" for m in MARKS) + ") AS marks FROM documents) WHERE marks <> ''",
     "chunk_ids": "SELECT doc_id, i, doc_id || printf('#chunk-%03d-', i) || substr(sha1(doc_id || ':' || i || ':' || c), 1, 12) AS chunk_id, CAST(greatest(1, ceil(length(c) / 4)) AS BIGINT) AS token_estimate FROM (SELECT doc_id, unnest(s) AS c, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))",
-    "deal_scores": """SELECT l_orderkey AS case_id, t AS total, CASE WHEN t >= 80 THEN 'very_high' WHEN t >= 65 THEN 'high' WHEN t >= 45 THEN 'medium' WHEN t >= 25 THEN 'low' ELSE 'very_low' END AS level
-        FROM (SELECT l_orderkey, 5 * least(20, least(4 * count(*), 8) + least(3 * count(*) FILTER (l_returnflag = 'R'), 6) + least(3 * count(*) FILTER (l_quantity > 40), 6)) AS t FROM lineitem GROUP BY 1)""",
-    "deal_limiters": """WITH d AS (SELECT l_orderkey, count(*) AS need, count(*) FILTER (l_returnflag = 'R') AS pain FROM lineitem GROUP BY 1)
-        SELECT l_orderkey, concat_ws(',', CASE WHEN need < 2.4 THEN 'need' END, CASE WHEN pain < 2.4 THEN 'pain' END) AS limiters, concat_ws(',', CASE WHEN need >= pain THEN 'need' END, CASE WHEN pain >= need THEN 'pain' END) AS strongest, concat_ws(',', CASE WHEN need <= pain THEN 'need' END, CASE WHEN pain <= need THEN 'pain' END) AS weakest FROM d""",
-    "source_index": "SELECT conv_id AS case_id, count(*) AS n_sources, count(*) FILTER (role <> 'system') AS n_verified, min(s) AS first_source, max(s) AS last_source FROM (SELECT *, 'MTG-' || lpad((turn + 1)::VARCHAR, 3, '0') AS s FROM conversations) GROUP BY 1",
     "run_manifest_counts": f"WITH {_RUNS} SELECT node, count(*) AS n_planned, count(*) FILTER (error_type IS NULL) AS n_completed, count(*) FILTER (error_type IS NULL AND coalesce(fast AND small, false)) AS n_passed, count(*) FILTER (error_type IS NULL AND NOT coalesce(fast AND small, false)) AS n_failed, count(error_type) AS n_errors, count(*) FILTER (cost IS NULL) AS n_unknown_cost FROM r GROUP BY 1",
-    "pilot_rollup": f"WITH {_RUNS}, n AS (SELECT node, model, avg(latency) l, avg(tokens) a, sum(tokens) t FROM r GROUP BY ALL) SELECT model, count(*) AS n_nodes, round(avg(l), 3) AS latency, round(avg(a), 3) AS mean_tokens, CAST(sum(t) AS BIGINT) AS tokens FROM n GROUP BY 1",
     "latency_summary": f"WITH {_RUNS} SELECT model, count(latency) AS n, round(avg(latency), 3) AS mean, max(latency) AS most, min(latency) AS least, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM r GROUP BY 1",
-    "provider_status": f"WITH {_RUNS} SELECT model, count(*) AS n_cases, count(error_type) AS n_errors, CASE WHEN count(error_type) = 0 THEN 'completed' WHEN count(error_type) < count(*) THEN 'completed_with_errors' ELSE 'failed' END AS status FROM r GROUP BY 1",
+    "provider_status": f"WITH {_RUNS} SELECT model, count(*) AS n_cases, count(error_type) AS n_errors, CASE WHEN count(error_type) = 0 THEN 'completed' WHEN count(error_type) < count(*) THEN 'completed_with_case_errors' ELSE 'failed' END AS status FROM r GROUP BY 1",
     "usage_totals": f"WITH {_RUNS}, f AS (SELECT node, model, min(row(ts, event_id)) AS first_at, sum(tokens) AS t FROM r GROUP BY ALL) SELECT node, CAST(sum(t) AS BIGINT) AS tokens, string_agg(model, ',' ORDER BY first_at, model) AS models FROM f GROUP BY 1",
-    "failure_records": f"WITH {_RUNS} SELECT event_id, node, model, concat_ws(',', CASE WHEN NOT coalesce(fast, false) THEN 'fast' END, CASE WHEN NOT coalesce(small, false) THEN 'small' END) AS failed, CAST(NOT coalesce(fast, false) AS BIGINT) AS n_blocking FROM r WHERE NOT coalesce(fast AND small, false)",
-    "rejection_counts": f"WITH {_PAIRS} SELECT n_nationkey, 'excluded_solution_conflict' AS reason, count(*) AS n_rejected FROM x WHERE list_has_any(exc, scope) GROUP BY 1 UNION ALL SELECT n_nationkey, 'solution_scope_mismatch', count(*) FROM x WHERE NOT g AND NOT list_has_all(scope, app) GROUP BY 1",
-    "scope_checks": f"WITH {_PAIRS}, v AS (SELECT p_partkey, concat_ws(',', CASE WHEN list_has_any(app, exc) THEN 'sides_overlap' END, CASE WHEN list_max(app) > 4 OR list_max(exc) > 4 THEN 'unknown_entry' END, CASE WHEN NOT CASE mode WHEN 'primary' THEN len(app) = 1 WHEN 'all' THEN len(app) >= 2 WHEN 'global' THEN list_has_all(app, [0, 1, 2, 3, 4]) ELSE len(app) >= 1 END THEN 'wrong_size' END) AS violations FROM p) SELECT * FROM v WHERE violations <> ''",
-    "scope_cardinality": f"WITH {_PAIRS} SELECT mode, CAST(len(app) AS BIGINT) AS n_entries, count(*) AS n_candidates FROM p GROUP BY ALL",
-    "filter_attribution": f"""WITH {_PAIRS}, y AS (SELECT *, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad FROM x),
-        z AS (SELECT bad, 'excluded' AS filter FROM y WHERE list_has_any(exc, scope) UNION ALL SELECT bad, 'disjoint' FROM y WHERE NOT list_has_any(app, scope) UNION ALL SELECT bad, 'not_within' FROM y WHERE NOT list_has_all(scope, app))
-        SELECT filter, count(*) AS n_denied, count(*) FILTER (NOT bad) AS n_relevant, count(*) FILTER (bad) AS n_violating FROM z GROUP BY 1""",
-    "mode_satisfiability": f"""WITH {_PAIRS}, y AS (SELECT *, list_has_any(exc, scope) OR (NOT g AND NOT list_has_any(app, scope)) OR list_contains(app, 6) AS bad FROM x),
-        z AS (SELECT p_partkey, bad, m AS mode, CASE m WHEN 'primary' THEN list_contains(scope, first) WHEN 'all' THEN list_has_all(scope, app) WHEN 'global' THEN true ELSE list_has_any(app, scope) END AS ok FROM y, (VALUES ('primary'), ('all'), ('global'), ('overlap')) AS t(m))
-        SELECT p_partkey, mode, count(*) FILTER (NOT bad AND NOT ok) AS n_false_out, count(*) FILTER (bad AND ok) AS n_false_in, count(*) FILTER (bad = ok) = 0 AS perfect FROM z GROUP BY ALL""",
     "coverage_summary": "SELECT 'event_type' AS dimension, event_type AS value, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM events GROUP BY 2 UNION ALL SELECT 'shard', CAST(user_id % 7 AS VARCHAR), count(*), count(DISTINCT user_id) FROM events GROUP BY 2",
     "opaque_ids": "SELECT c_custkey, 'c-' || substr(sha256('salt:v1:' || c_custkey), 1, 16) AS opaque_id, false AS clashes FROM customer",
     "unknown_ids": "SELECT 's' || l_suppkey AS id, count(*) AS n_rows FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
-    "context_sufficiency": "WITH f AS (SELECT l_orderkey, " + ", ".join(f"bool_or({e}) AS {n}" for n, e in SIGNS.items()) + " FROM lineitem GROUP BY 1), c AS (SELECT *, " + " + ".join(f"{n}::INT" for n in list(SIGNS)[:3]) + " AS core, " + " + ".join(f"{n}::INT" for n in SIGNS) + " AS n FROM f) SELECT l_orderkey AS case_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT {n} THEN '{n}' END" for n in SIGNS) + ") AS missing, CASE WHEN core = 3 AND n >= 6 THEN 'sufficient' WHEN core >= 2 OR n >= 4 THEN 'partial' ELSE 'insufficient' END AS level FROM c",
-    "detected_goals": "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{g}' END" for g, p in GOALS.items()) + ") AS goals FROM conversations",
     "dedupe_evidence": "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role, text",
-    "entity_uniqueness": "SELECT conv_id, md5(lower(trim(text, ' '))) AS folded, count(*) AS n_rows FROM conversations GROUP BY ALL HAVING count(*) > 1",
     "duplicate_sources_topk": f"WITH {_BM25} SELECT item_id, count(source) - count(DISTINCT source) AS n_repeated FROM rk JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1",
-    "blocking_gate": f"WITH {_CASES}, s AS (SELECT avg(recall_5) < 1 AS a, bool_or(forbidden_hit) AS b, bool_or(len(rs) > 0) AS c FROM cs) SELECT 'lexical' AS method, concat_ws(',', CASE WHEN a THEN 'recall' END, CASE WHEN b THEN 'forbidden' END, CASE WHEN c THEN 'cases' END) AS failed_gates, NOT (a OR b OR c) AS passed FROM s",
+    "blocking_gate": f"WITH {_CASES}, s AS (SELECT avg(recall_5) < 1 AS a, bool_or(forbidden_hit) AS b, bool_or(len(rs) > 0) AS c FROM cs) SELECT 'lexical' AS method, concat_ws(',', CASE WHEN a THEN 'summary_recall_at_5' END, CASE WHEN b THEN 'forbidden_hit_rate' END, CASE WHEN c THEN 'all_cases_pass_blocking_gate' END) AS failed_gates, NOT (a OR b OR c) AS passed FROM s",
 }
+for _part in (scopes, retrieval, corpora, modelruns, dealplans):
+    ORACLE |= _part.ORACLE

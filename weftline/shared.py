@@ -1,4 +1,4 @@
-"""Small helpers that several jobs share: durable intermediate tables and bounded samples."""
+"""Small helpers that several jobs share: durable intermediate tables and their release."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor reaches: spark.checkpoint.dir. Where it is unset and all executors are in this process (tests,
+    benches), a temporary one; on a cluster that is an error, since each executor would write to its own disk."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.weftline.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
         spark.conf.set("spark.weftline.scratch", folder)
     return folder.rstrip("/")

@@ -1,0 +1,41 @@
+"""Reading and writing JSON lines with checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(records by schema, rejected lines: file, line, text, reason) of JSON lines; blank lines and a leading byte-order mark are skipped.
+
+    A line is rejected if it is no JSON object, if a field that must not be null is missing or of another type, or if it has a field
+    that the schema does not know. Lines are numbered within their file. Fields are checked one level deep."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    text = F.trim(F.regexp_replace("value", "^﻿", ""))
+    rows = raw.select("file", "_b", "_i", text.alias("text"))
+    names = schema.fieldNames()
+    parsed = rows.where(F.length("text") > 0).withColumn("_j", F.from_json("text", T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]), {"mode": "PERMISSIVE"})).withColumn("_k", F.json_object_keys("text"))
+    unknown = F.array_except("_k", F.array(*map(F.lit, names)))
+    given = lambda f: F.array_contains("_k", f.name)
+    wrong = F.array_compact(F.array(*[F.when(F.col(f"_j.`{f.name}`").isNull() & (F.lit(not f.nullable) | (given(f) & F.expr(f"get_json_object(text, '$.{f.name}')").isNotNull())), F.lit(f.name)) for f in schema.fields]))
+    reason = F.when(~F.startswith("text", F.lit("{")), "not an object").when(F.col("_k").isNull(), "bad JSON").when(F.size(unknown) > 0, F.concat(F.lit("unknown field: "), F.array_join(unknown, ","))).when(F.size(wrong) > 0, F.concat(F.lit("invalid field: "), F.array_join(wrong, ",")))
+    told = parsed.withColumn("_reason", reason)
+    good = told.where("_reason is null").select("file", "_b", "_i", "_j.*").select(*names)
+    return good, told.where("_reason is not null").select("file", "text", F.col("_reason").alias("reason"), "_b", "_i").select("file", "text", "reason")
+
+
+def require_records(good: DataFrame, rejected: DataFrame) -> DataFrame:
+    """good, or an error that names a rejected line, or that there is no record at all. Two small jobs."""
+    first = rejected.limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].file}: {first[0].reason}: {first[0].text[:80]}")
+    if good.isEmpty():
+        raise ValueError("no valid record")
+    return good
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines with keys in alphabetical order; what was at path is replaced when the write is committed."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)

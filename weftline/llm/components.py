@@ -22,6 +22,8 @@ from .words import mix
 
 #: Edges that a task contracts at a time.
 CHUNK = 1 << 20
+#: A key with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them, however many the rows.
+HOT = 10_000
 
 
 def _pieces(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -69,6 +71,18 @@ def _heads(level: int):
     return run
 
 
+def _spread(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """left joined with right (one row a key), where a third of left may have one key."""
+    n = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.count()
+    hot = n.where(F.col("_n") > total / HOT).select(key)
+    hot = durable(hot.join(right, key, "left").withColumn("_hot", F.lit(True)), "hot")  # fewer than HOT rows
+    near = left.join(F.broadcast(hot), key).drop("_hot")
+    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, how)
+    near = near.dropna(subset=[c for c in right.columns if c != key]) if how == "inner" else near
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for each node of an edge, from long columns a and b.
 
@@ -86,10 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
     out = rounds[-1].select("node", "head")
     for earlier in reversed(rounds[:-1]):
         later = out.select(F.col("node").alias("head"), F.col("head").alias("top"))
-        out = earlier.select("node", "head").join(later, "head", "left").select("node", F.coalesce("top", "head").alias("head"))
-    if len(rounds) > 1:
-        out = durable(out, "heads")
-        for done in rounds:
-            release(done)
+        out = durable(_spread(earlier.select("node", "head"), later, "head", "left").select("node", F.coalesce("top", "head").alias("head")), "heads")
     least = out.groupBy("head").agg(F.min("node").alias("component"))
-    return out.join(least, "head").select("node", "component")
+    got = durable(_spread(out, least, "head", "inner").select("node", "component"), "components")
+    for done in rounds:
+        release(done)
+    return got

@@ -13,9 +13,15 @@ a text that loses all its lines stays, with an empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
+
+#: Boilerplate lines of so many at most are sent to all tasks; beyond that, occurrences meet them by hash, hot hashes salted.
+BROADCAST_LINES = 1_000_000
+#: Parts into which the occurrences of a line are dealt.
+SALTS = 64
 #: Distinct sites from which a line is boilerplate.
 SITES = 6
 #: log2 of a sketch's buckets: about 2 % standard error, far within BAND.
@@ -35,20 +41,27 @@ def boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: flo
     # one row a line and site first, so that a line repeated within a site updates no sketch
     spread = lines.groupBy("_wl_h", "_wl_site").agg(F.min(F.struct("_wl_id", "_wl_pos")).alias("_wl_first"))
     merged = spread.groupBy("_wl_h").agg(F.hll_sketch_agg("_wl_site", F.lit(lg_k)).alias("_wl_sketch"), F.min("_wl_first").alias("_wl_first"))
-    told = merged.select("_wl_h", "_wl_first", F.hll_sketch_estimate("_wl_sketch").alias("_wl_about")).where(F.col("_wl_about") >= sites / band)
-    from ..shared import durable
-
-    told = durable(told, "spread")
+    told = durable(merged.select("_wl_h", "_wl_first", F.hll_sketch_estimate("_wl_sketch").alias("_wl_about")).where(F.col("_wl_about") >= sites / band), "spread")
     near = told.where(F.col("_wl_about") < sites * band).select("_wl_h")
-    exact = lines.join(near, "_wl_h", "left_semi").groupBy("_wl_h").agg(F.countDistinct("_wl_site").alias("_wl_n"))
+    # occurrences near the threshold: one row a line and site before anything is counted, so a frequent line is no hot key
+    exact = _met(lines, near).select("_wl_h", "_wl_site").groupBy("_wl_h", "_wl_site").agg(F.lit(1).alias("_wl_x")).groupBy("_wl_h").agg(F.count("*").alias("_wl_n"))
     sure = told.join(exact, "_wl_h", "left").where(F.coalesce(F.col("_wl_n"), F.col("_wl_about")) >= sites)
     return sure.select("_wl_h", F.col("_wl_first._wl_id").alias("_wl_first_id"), F.col("_wl_first._wl_pos").alias("_wl_first_pos"))
 
 
+def _met(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """lines with what is told of their hash (a row a hash, of a written table), those alone of which something is told."""
+    if told.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(told), "_wl_h")
+    salt: Column = F.pmod(F.xxhash64("_wl_id", "_wl_pos"), F.lit(SALTS))
+    each = told.withColumn("_wl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_wl_salt", salt.cast("int")).join(each, ["_wl_h", "_wl_salt"]).drop("_wl_salt")
+
+
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """docs with boilerplate lines taken from text, and _wl_lines, _wl_removed: lines there were, lines taken."""
-    common = boilerplate(docs, sites, lg_k, band)
-    found = _lines(docs).join(common, "_wl_h").where(~(F.col("_wl_id").eqNullSafe(F.col("_wl_first_id")) & (F.col("_wl_pos") == F.col("_wl_first_pos"))))
+    common = durable(boilerplate(docs, sites, lg_k, band), "boilerplate")
+    found = _met(_lines(docs), common).where(~(F.col("_wl_id").eqNullSafe(F.col("_wl_first_id")) & (F.col("_wl_pos") == F.col("_wl_first_pos"))))
     gone = found.groupBy("_wl_id").agg(F.collect_set("_wl_pos").alias("_wl_gone"))  # at most a document's lines
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_wl_id"]), "left")
     lines = F.split("text", "\n")

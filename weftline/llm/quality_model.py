@@ -1,12 +1,14 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader updates.
 
 Tokens are runs of letters and digits (case kept) and runs of other visible characters. Features are hashed tokens and
-pairs of neighbours; their values are counts over the root of the number of n-grams. Training goes through a bounded
+pairs of neighbours, and two features that say how often n-grams repeat within the text; values are counts over the root of
+the number of all of them. Training goes through a bounded
 sample of labelled rows in one task, in the order of a hash of the id, a few times (FTRL-proximal: per-coordinate rates,
 L1 and L2). Scores are sparse dot products over whole texts, then the logistic function.
 
 Null and empty texts have no features and get the bias alone. With no labelled rows every score is 0.5. With repeated labels of one
-document, the least counts. Rows that repeat each give a row. Only doc_id, text and the label are read.
+document, the least counts. Rows that repeat each give a row. Texts of equal score are told apart by nothing; very long texts are
+scored whole, in a block of their own. Only doc_id, text and the label are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from .words import blocks, grams, mix
 #: log2 of the number of weights.
 LOG_DIM = 18
 THRESHOLD = 0.3
+#: Tokens of a run that counts as repeated, and the hashes that stand for repetition.
+REPEAT = 4
+TWICE, AGAIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
 _KIND = np.zeros(256, np.uint8)  # 0 white space, 1 letters, digits and beyond ASCII, 2 other
 _KIND[33:127] = 2
@@ -50,12 +55,21 @@ class Tokens:
 
 
 def features(t: Tokens, log_dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text) of every n-gram of the block."""
+    """(feature, text) of every n-gram of the block, and of every n-gram that repeats: a token like the one before it has the
+    feature TWICE, REPEAT tokens that stood in the text before have the feature AGAIN, whatever the tokens are."""
     own = np.repeat(np.arange(len(t.at) - 1), np.diff(t.at))
     pairs = grams(t.hash, 2)
     inside = own[1:] == own[:-1] if len(own) else np.zeros(0, bool)
-    f = np.concatenate([t.hash, pairs[inside] if len(own) > 1 else pairs[:0]]) >> np.uint64(64 - log_dim)
-    return f.astype(np.int64), np.concatenate([own, own[1:][inside] if len(own) > 1 else own[:0]])
+    again = np.zeros(0, np.int64)
+    runs = grams(t.hash, REPEAT)
+    if len(runs):
+        whole = np.flatnonzero(own[: len(runs)] == own[REPEAT - 1 :])
+        _, first = np.unique(runs[whole] ^ mix(own[whole].astype(np.uint64) + np.uint64(1)), return_index=True)
+        again = np.delete(own[whole], first)
+    twice = own[1:][inside & (t.hash[1:] == t.hash[:-1])] if len(own) > 1 else own[:0]
+    kinds = [t.hash, pairs[inside] if len(own) > 1 else pairs[:0], np.full(len(twice), TWICE), np.full(len(again), AGAIN)]
+    texts = [own, own[1:][inside] if len(own) > 1 else own[:0], twice, again]
+    return (np.concatenate(kinds) >> np.uint64(64 - log_dim)).astype(np.int64), np.concatenate(texts)
 
 
 class Model:
@@ -93,7 +107,7 @@ def _train(rows: pd.DataFrame, log_dim: int, epochs: int, alpha: float, beta: fl
 
 def fit(texts: DataFrame, labels: DataFrame, per_label: int = 2500, log_dim: int = LOG_DIM, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
     """texts: doc_id, text; labels: doc_id, label (0 or 1). At most per_label sampled rows of each label are learned from, in one task."""
-    chosen = bounded_sample(labels.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", "label", per_label, 2)
+    chosen = bounded_sample(labels.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", "label", per_label)
     if not chosen:
         return Model(log_dim, np.zeros(1 << log_dim), 0.0)
     rows = rows_of(texts.select("doc_id", "text"), "doc_id", chosen, "label", "int").dropDuplicates(["doc_id"])

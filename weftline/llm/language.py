@@ -7,6 +7,9 @@ c * log2(sample length) / n bits a character. The language with the lowest estim
 Texts are parsed in stretches of STRETCH characters (a stretch's end ends a phrase), all stretches of a batch and
 all languages in lockstep, so the automata are walked with array operations. Whole texts count.
 
+A letter of the samples is one symbol if it is among the LETTERS commonest, else a shift symbol and its number in digits, so
+however many alphabets a corpus has, letters stay apart; letters that no sample has are one symbol.
+
 A null text, or one without a letter, is `und` with score 0; so is every text when nothing was learned. Ties go to
 the language first in alphabetical order. One row comes back for each row that goes in, repeated or not; null ids
 pass. Only doc_id and text are read, so extra columns cannot clash.
@@ -14,6 +17,7 @@ pass. Only doc_id and text are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +32,10 @@ from .sampling import bounded_sample, fold, rows_of
 
 #: Characters parsed at a stretch.
 STRETCH = 256
-#: Letters with a class of their own; rarer ones share one.
+#: Letters that are one symbol; also the digits of the others' numbers.
 LETTERS = 60
+#: Shift symbols for letters with a number of one digit; letters beyond those have two digits.
+SHORT = 8
 
 
 def _automaton(text: np.ndarray, width: int) -> np.ndarray:
@@ -66,55 +72,88 @@ def _automaton(text: np.ndarray, width: int) -> np.ndarray:
     return table
 
 
-def _codes(text: str, classes: dict[str, int]) -> np.ndarray:
-    """Symbol codes: letters lower-cased, every run of other characters one separator (0)."""
-    other = len(classes) + 1
-    out = np.fromiter((classes.get(c, other) if c.isalpha() else 0 for c in text.lower()), np.uint8, len(text.lower()))
-    return out[(out != 0) | (np.concatenate([[1], out[:-1]]) != 0)] if len(out) else out
+def _alphabet(seen: Counter) -> tuple[dict[str, tuple[int, ...]], int]:
+    """(symbols of each letter, number of symbols). 0 is what separates words, the last symbol any letter that was not seen."""
+    order = sorted(seen, key=lambda c: (-seen[c], c))
+    out: dict[str, tuple[int, ...]] = {c: (i + 1,) for i, c in enumerate(order[:LETTERS])}
+    top = LETTERS
+    for r, c in enumerate(order[LETTERS:]):
+        if r < SHORT * LETTERS:
+            out[c] = (LETTERS + 1 + r // LETTERS, 1 + r % LETTERS)
+        else:
+            q = r - SHORT * LETTERS
+            out[c] = (LETTERS + 1 + SHORT + q // LETTERS**2, 1 + q // LETTERS % LETTERS, 1 + q % LETTERS)
+        top = out[c][0]
+    return out, top + 2
+
+
+def _codes(text: str, symbols: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Symbols of a sample: letters lower-cased, every run of other characters one separator (0)."""
+    out: list[int] = []
+    for c in text.lower():
+        if c.isalpha():
+            out.extend(symbols[c])
+        elif not out or out[-1]:
+            out.append(0)
+    return np.array(out, np.uint8)
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 class Model:
-    """Languages in order, symbol classes, and one table over all automata.
+    """Languages in order, symbols of the letters, and one table over all automata.
 
-    steps[state * width + code] is next * width * 2 + 1 if the step starts a new phrase, and next * width * 2 if not."""
+    steps[state * width + symbol] is next * width * 2 + 1 if the step starts a new phrase, and next * width * 2 if not."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int):
         self.langs = sorted(samples)
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        self.classes = {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.width = len(self.classes) + 2
-        tables, self.roots, self.bits, base = [], [], [], 0
+        self.symbols, self.width = _alphabet(Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()))
+        tables, self.starts, self.bits, base = [], [], [], 0
         for lang in self.langs:
-            text = _codes("\n".join(samples[lang]), self.classes)[:chars]
+            text = _codes("\n".join(samples[lang])[:chars], self.symbols)
             t = _automaton(text, self.width)
-            root = np.where(t[0] >= 0, t[0], 0)
-            full = np.where(t >= 0, (t.astype(np.int64) + base) * self.width * 2, (root + base) * self.width * 2 + 1)
-            self.roots.append(base * self.width)
+            # a last state, in which a text begins and to which a symbol leads that no phrase begins with: the next one starts anew
+            begin = np.where(t[0] >= 0, t[0], len(t))
+            t = np.concatenate([t, np.full((1, self.width), -1, np.int32)])
+            full = np.where(t >= 0, (t.astype(np.int64) + base) * self.width * 2, (begin + base) * self.width * 2 + 1)
+            self.starts.append((base + len(t) - 1) * self.width)
             self.bits.append(math.log2(max(2, len(text))))
             tables.append(full.astype(np.int32))
             base += len(t)
         self.steps = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+    def code_points(self) -> np.ndarray:
+        """Symbols of every code point, one column a place; 0 in the later columns where there are no more."""
+        code = np.zeros((0x110000, 3), np.uint8)
+        code[_letters(), 0] = self.width - 1
+        for c, own in self.symbols.items():
+            code[ord(c)] = (*own, 0, 0)[:3]
+        return code
+
 
-def fit(train: DataFrame, texts_per_language: int = 200, chars_per_language: int = 30_000, max_languages: int = 64) -> Model:
-    """Learn from (doc_id, text, lang): whole sampled texts, at most texts_per_language a language, as many as fit chars_per_language together.
+def fit(train: DataFrame, texts_per_language: int = 200, chars_per_language: int = 30_000, chars_in_all: int = 400_000, chars_per_text: int = 1_000) -> Model:
+    """Learn from (doc_id, text, lang): for every language a sample of at most texts_per_language rows, of each at most chars_per_text
+    characters in a row, from a place that a hash of its id gives, until chars_per_language are reached.
 
-    A language whose every sampled text is longer than that is not learned."""
-    have = train.where("text is not null and lang is not null")
-    chosen = bounded_sample(have, "doc_id", "lang", texts_per_language, max_languages)
-    samples: dict[str, list[tuple]] = {}
+    With many languages each has chars_in_all / languages characters at most, so the model stays bounded and no language is left out.
+    These bounds are of what is learned from; what is predicted is read whole."""
+    have = train.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    chosen = bounded_sample(have, "doc_id", "lang", texts_per_language)
+    samples: dict[str, list[str]] = {y: [] for _, y in chosen}
+    most = min(chars_per_language, max(1, chars_in_all // max(1, len(samples))))
     if chosen:
-        fits = have.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= chars_per_language)
-        for r in rows_of(fits, "doc_id", chosen, "y", "string").collect():
-            samples.setdefault(r.y, []).append((r.doc_id, r.text))
-    for lang, rows in samples.items():
-        room, taken = chars_per_language, []
-        for _, text in sorted(rows):
-            if len(text) <= room:
-                room -= len(text)
-                taken.append(text)
-        samples[lang] = taken
-    return Model(samples, chars_per_language)
+        place = {k: i for i, (k, _) in enumerate(chosen)}
+        start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars_per_text + 1)) + 1
+        cut = have.select("doc_id", "lang", F.expr("text").substr(start.cast("int"), F.lit(chars_per_text)).alias("text"))
+        got = rows_of(cut, "doc_id", chosen, "y", "string").where("lang = y").select("doc_id", "y", "text").collect()
+        for r in sorted(got, key=lambda r: (place[r.doc_id], r.text)):
+            if sum(map(len, samples[r.y])) < most:
+                samples[r.y].append(r.text)
+    return Model(samples, most)
 
 
 def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -128,17 +167,18 @@ def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndar
         lens = np.array([len(t or "") for t in texts])
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     if "code" not in tables:
-        code = np.zeros(0x110000, np.uint8)
-        code[[i for i in range(0x110000) if chr(i).isalpha()]] = len(model.classes) + 1
-        for c, k in model.classes.items():
-            code[ord(c)] = k
-        tables["code"] = code
-    codes = tables["code"][points]
+        tables["code"] = model.code_points()
+    codes = tables["code"][points, 0]
     of = np.repeat(np.arange(len(texts)), lens + 1)[: len(codes)]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     letters = np.bincount(of[codes > 0], minlength=len(texts))
     codes, of = codes[keep], of[keep]
+    if (codes > LETTERS).any():  # letters of several symbols
+        every = tables["code"][points[keep]]
+        held = every > 0
+        held[:, 0] = True
+        codes, of = every[held], np.repeat(of, held.sum(1))
     size = np.bincount(of, minlength=len(texts))
     # stretches do not cross texts; the last one of a text is padded with an absorbing code
     n = -(-size // STRETCH)
@@ -153,8 +193,8 @@ def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndar
     grid, live = np.ascontiguousarray(grid[:, order]), np.searchsorted(-length[order], -np.arange(STRETCH), side="left")
     owner = np.repeat(np.arange(len(texts)), n)[order]
     out = np.zeros((len(model.langs), len(texts)))
-    for k, root in enumerate(model.roots):
-        state, phrases = np.full(rows, root, np.int32), np.ones(rows, np.int32)
+    for k, start in enumerate(model.starts):
+        state, phrases = np.full(rows, start, np.int32), np.zeros(rows, np.int32)
         for i in range(STRETCH):
             m = live[i]
             if not m:

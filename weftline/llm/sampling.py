@@ -11,25 +11,20 @@ def fold(key, n: int):
     return F.crc32(F.col(key).cast("string")) % n if isinstance(key, str) else F.crc32(key.cast("string")) % n
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = 64) -> list[tuple]:
-    """At most per_label keys for each of the max_labels most frequent labels, as (key, label) pairs on the driver.
+def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> list[tuple]:
+    """At most per_label keys for each label, as (key, label) pairs on the driver; labels in ascending order, keys in that of a hash.
 
-    Rows count in the order of a hash of the key. Counting comes first; a label's share then sets a hash bound
-    that lets about twice per_label rows through, so no task sorts more than a small multiple of the bound."""
+    Counting comes first; a label's share then sets a hash bound that lets about twice per_label rows through, so no task
+    sorts more, and the driver gets no more, than a small multiple of per_label a label."""
     rows = rows.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").distinct()
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect()}
-    if not counts:
-        return []
-    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 33))
-    bound = F.lit(-1)
-    for y, n in counts.items():
-        bound = F.when(F.col("y") == y, F.lit(int(min(1.0, (2 * per_label + 50) / n) * (1 << 31)))).otherwise(bound)
-    near = hashed.where(F.col("h") <= bound).orderBy("h", "k", "y").collect()
-    left = dict.fromkeys(counts, per_label)
+    counts = rows.groupBy("y").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_label + 50) / F.col("n"))
+    near = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 33)).join(counts, "y").where(F.col("h") <= share * (1 << 31)).orderBy("y", "h", "k").select("k", "y").collect()
+    taken: dict = {}
     out = []
     for r in near:
-        if left[r.y] > 0:
-            left[r.y] -= 1
+        taken[r.y] = taken.get(r.y, 0) + 1
+        if taken[r.y] <= per_label:
             out.append((r.k, r.y))
     return out
 

@@ -272,7 +272,7 @@ def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2
     """texts: doc_id, text; labels: doc_id, label. docs gives the document frequencies."""
     labels = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     share = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = bounded_sample(labels, "doc_id", "label", per_label, 2)
+    chosen = bounded_sample(labels, "doc_id", "label", per_label)
     ids, y, h, n, word, size = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
     if chosen:
         # the terms of the examples come to the driver: those of 2 * per_label texts at most

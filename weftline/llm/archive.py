@@ -8,31 +8,32 @@ the others are revisits that refer to it; smaller payloads are stored once too,
 
 A null html is an empty payload, a null url an empty target. Rows that repeat a page_id are records of their own;
 of several with the same payload and least page_id, the first by header is the response. Null page_ids come last. Extra columns
-are not stored. An empty table makes an empty archive. A payload has to fit a task's memory, as its row does.
+are not stored. An empty table makes an empty archive. A payload has to fit a task's memory, as its row does. DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Date of all records unless the caller has one; an archive of the same pages is then the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column("payload").to_pylist()
-        sha1 = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw]
-        address = [hashlib.sha256(x).hexdigest() + f"-{len(x)}" for x in raw]
-        keep = [batch.column(c) for c in batch.schema.names]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sha1, pa.string()), pa.array(address, pa.string()), pa.array([len(x) for x in raw], pa.int64())], names=[*batch.schema.names, "payload_digest", "address", "payload_bytes"])
+def _address(payload: Column) -> Column:
+    """SHA-256 and length."""
+    return F.concat(F.sha2(payload, 256), F.lit("-"), F.length(payload).cast("string"))
+
+
+def _base32_sha1(payload: Column) -> Column:
+    """SHA-1 in upper-case base32: every five hexadecimal digits are four signs of five bits."""
+    digits = lambda i: F.conv(F.substr(F.sha1(payload), 5 * F.floor(i / 4) + 1, F.lit(5)), 16, 10).cast("long")
+    sign = lambda i: F.element_at(F.array(*[F.shiftright(digits(i), n).bitwiseAND(F.lit(31)) for n in (15, 10, 5, 0)]), (i % 4 + 1).cast("int"))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit(BASE32), (sign(i) + 1).cast("int"), F.lit(1))), "")
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -41,9 +42,8 @@ def _kind(df: DataFrame, name: str) -> str:
 
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = DATE) -> None:
     """Write a record for each row of pages (page_id, url, html) to the archive in folder, which must be new."""
-    id_type = _kind(pages, "page_id")
     rows = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    tagged = rows.mapInArrow(_digests, f"page_id {id_type}, url string, payload binary, payload_digest string, address string, payload_bytes long")
+    tagged = rows.select("page_id", "url", "payload", _base32_sha1(F.col("payload")).alias("payload_digest"), _address(F.col("payload")).alias("address"), F.length("payload").cast("long").alias("payload_bytes"))
     # each distinct payload once: copies are dropped before the shuffle as far as a task sees them, and by address after it
     tagged.select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{folder}/payloads")
     heads = tagged.drop("payload")
@@ -57,7 +57,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str =
     marked = ranked.select("page_id", "url", "address", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("least.page_id")).alias("refers_to"))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     lines = [F.lit(VERSION), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))), F.concat(F.lit("WARC-Date: "), F.lit(date)), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", ""))]
-    lines += [F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"), F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to"))), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(revisit_length(), F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"))]
+    lines += [F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"), F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to"))), F.when(F.col("record_type") == "revisit", F.lit("WARC-Profile: " + PROFILE)), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(revisit_length(), F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"))]
     head = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))  # null lines are left out
     marked.select("page_id", head.alias("header"), "address", "payload_bytes").write.parquet(f"{folder}/records")
 
@@ -70,22 +70,13 @@ def _field(name: str):
     return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = []
-        for address, x in zip(batch.column("address").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-            if hashlib.sha256(x).hexdigest() + f"-{len(x)}" != address:
-                raise ValueError(f"payload {address} is not what its address says")
-            digests.append(base64.b32encode(hashlib.sha1(x).digest()).decode())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "sha1"])
-
-
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, header, payload, record_type, payload_digest, refers_to, record (the bytes as they stand in a WARC file).
 
     The payload of a revisit is the one it refers to; its record, as the format has it, holds the headers alone."""
     records, payloads = spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/payloads")
-    checked = payloads.mapInArrow(_verified, "address string, payload binary, sha1 string")
+    sound = F.when(_address(F.col("payload")) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is not what its address says: "), "address")))
+    checked = payloads.select("address", sound.alias("payload")).withColumn("sha1", _base32_sha1(F.col("payload")))
     got = records.join(checked, "address")
     id_type = _kind(records, "page_id")
     kind, said = _field("WARC-Type"), F.regexp_extract("header", r"WARC-Payload-Digest: sha1:(\w+)", 1)

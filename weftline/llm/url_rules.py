@@ -61,16 +61,23 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     said = F.get("consequent", F.lit(0))
     found = model.associationRules.where(F.startswith(said, F.lit("=verdict:")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("=verdict:"))))
-    return found.select(F.array_sort("antecedent").alias("tokens"), F.substring(said, len("=verdict:") + 1, 100).alias("verdict"), "confidence", "support")
+    return found.select(F.array_sort("antecedent").alias("tokens"), F.substr(said, F.lit(len("=verdict:") + 1)).alias("verdict"), "confidence", "support")
+
+
+def _by_rarest(rules: DataFrame, often: DataFrame) -> DataFrame:
+    """rules with t, the rarest of their tokens (often: t, n): an inverted index in which each rule stands once."""
+    key = rules.select("tokens", "verdict", F.explode("tokens").alias("t")).join(often, "t").groupBy("tokens", "verdict").agg(F.min(F.struct("n", "t")).alias("least"))
+    return rules.join(key, ["tokens", "verdict"]).withColumn("t", F.col("least.t")).drop("least")
 
 
 def pruned(rules: DataFrame) -> DataFrame:
-    """Rules without those that only add tokens to one that is as sure of the same verdict.
+    """Rules without those that only add tokens to one that is as sure of the same verdict (of any number of tokens fewer).
 
-    Mined rules are at most 1 / support a level; a rule meets the rules that its own smaller token sets name."""
-    less = rules.select("tokens", "verdict", F.col("confidence").alias("c"), F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("fewer"))
-    smaller = rules.select(F.col("tokens").alias("fewer"), "verdict", F.col("confidence").alias("d"))
-    worse = less.join(smaller, ["fewer", "verdict"]).where("d >= c").select("tokens", "verdict").distinct()
+    A rule meets those that hold its rarest token; mined rules are few, as each needs its support."""
+    each = rules.select("tokens", "verdict", F.col("confidence").alias("c"), F.explode("tokens").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("n"))
+    small = _by_rarest(rules.select("tokens", "verdict", "confidence"), often).select("t", "verdict", F.col("tokens").alias("fewer"), F.col("confidence").alias("d"))
+    worse = each.join(small, ["t", "verdict"]).where((F.col("d") >= F.col("c")) & (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens", "verdict").distinct()
     return rules.join(worse, ["tokens", "verdict"], "left_anti")
 
 
@@ -79,8 +86,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     sets = urls.select(F.array_sort("items").alias("items")).distinct()
     each = sets.select("items", F.explode("items").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("n"))
-    key = rules.select("*", F.explode("tokens").alias("t")).join(often, "t").groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("n", "t")).alias("least"))
-    index = key.select(F.col("least.t").alias("t"), F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.size("tokens")).alias("z"), "tokens", "verdict").alias("rule"))
+    index = _by_rarest(rules, often).select("t", F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.size("tokens")).alias("z"), "tokens", "verdict").alias("rule"))
     hit = each.join(index, "t").where(F.size(F.array_except("rule.tokens", "items")) == 0)
     return hit.groupBy("items").agg(F.min("rule").alias("best")).select("items", F.col("best.verdict").alias("mined"), F.col("best.tokens").alias("mined_tokens"), (-F.col("best.c")).alias("confidence"))
 

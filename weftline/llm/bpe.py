@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .memory import small_batches, tidy
 
+#: Distinct pre-tokens that a task holds with their ids.
+KNOWN = 1_000_000
 #: Bytes of text whose distinct pre-tokens leave a task together.
 SHEAF_BYTES = 6 << 20
 
@@ -163,6 +165,8 @@ def _merge(name: str, ranks, pattern: str):
                 for n in np.frombuffer(_open(sizes), np.uint32).tolist():
                     w, at = words[at : at + n], at + n
                     if (x := known.get(w)) is None:
+                        if len(known) >= KNOWN:  # a bucket of more distinct pre-tokens than a task should hold merges some again
+                            known.clear()
                         x = known[w] = np.array(one(w), np.uint32).tobytes()
                     got.append(x)
                 lens.append(_squeeze(np.fromiter(map(len, got), np.uint32, len(got)) // 4))

@@ -132,6 +132,41 @@ def test_language(spark):
     m = language.Model({"x": ["abcab"]}, 100)
     phrases, _ = language._parse(m, ["abcabcab"], {})
     assert phrases[0, 0] == 2  # abcab | cab
+    # no language and no text is left out for its number or length, and extra columns do not clash
+    many = spark.createDataFrame([(i, " ".join(chr(0x3400 + 40 * (i % 80) + R.randrange(40)) for _ in range(60 if i else 20_000)), f"l{i % 80:02d}") for i in range(400)], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    model = language.fit(many)
+    assert model.langs == [f"l{i:02d}" for i in range(80)] and len(model.symbols) > 3000
+    assert all(r.lang_pred == r.lang for r in language.predict(many, model).join(many.select("doc_id", "lang"), "doc_id").collect())
+    assert language.identify(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["abcd", "".join(chr(0x4E00 + i) for i in range(700))])
+def test_language_phrases_against_naive_longest_matches(letters):
+    word = lambda: "".join(R.choice(letters) for _ in range(R.randint(1, 5)))
+    samples = {lang: [" ".join(word() for _ in range(150)) for _ in range(3)] for lang in "xyz"}
+    m = language.Model(samples, 10_000)
+    texts = [" ".join(word() for _ in range(n)) + tail for n, tail in ((1, ""), (40, " 12 Q!"), (200, "É"), (90, ""))] + ["", None, "..."] + [samples["y"][1]]
+    phrases, size = language._parse(m, texts, {})
+    for k, lang in enumerate(m.langs):
+        held = bytes(language._codes("\n".join(samples[lang]), m.symbols))
+        for i, t in enumerate(texts):
+            low, codes = (t or "").lower(), []
+            for c in low + "\n":
+                if c.isalpha():
+                    codes += m.symbols.get(c, (m.width - 1,))
+                elif not codes or codes[-1]:
+                    codes.append(0)
+            n = 0
+            for at in range(0, len(codes), language.STRETCH):
+                part, j = bytes(codes[at : at + language.STRETCH]), 0
+                while j < len(part):
+                    e = j + 1
+                    while e <= len(part) and part[j:e] in held:
+                        e += 1
+                    j, n = max(j + 1, e - 1), n + 1
+            if any(c.isalpha() for c in low):
+                assert phrases[k, i] == n, (lang, i)
+    assert size[4] == size[5] == size[6] == 0
 
 
 def test_bpe_round_trip_and_ids(spark, docs):
@@ -199,6 +234,59 @@ def test_quality_rules_target_is_all_good_documents(spark, tmp_path):
     assert queries.op4_quality_rules(spark, str(tmp_path)).where("llr_millionths <> 0").count() == 0
 
 
+def test_quality_rules_score_by_brute_force(spark):
+    rows = [(i, text(40)) for i in range(12)] + [(50, ""), (51, None), (52, text(40)), (52, text(25))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    target = [1, 2, 5, 52, 999]
+    buckets, smoothing = 64, 0.01
+    got = quality_rules.judge(df, spark.createDataFrame([(i,) for i in [*target, 5, None]], "doc_id long"), buckets=buckets).collect()
+    every = sorted({w for _, t in rows for w in (t or "").split()})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({(h[a], h[b]) for _, t in rows for a, b in zip((t or "").split(), (t or "").split()[1:], strict=False)})
+    h2 = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    grams = lambda t: [h[w] % buckets for w in (t or "").split()] + [h2[h[a], h[b]] % buckets for a, b in zip((t or "").split(), (t or "").split()[1:], strict=False)]
+    raw, own = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        own.update(grams(t) if i in target else [])
+    share = lambda c, b: (c[b] + smoothing * c.total() / buckets) / (c.total() * (1 + smoothing))
+    weight = [round(1e6 * math.log(share(own, b) / share(raw, b))) for b in range(buckets)]
+    want = Counter((i, math.floor(sum(weight[b] for b in grams(t)) / len(grams(t))) if grams(t) else 0) for i, t in rows)
+    assert Counter((r.doc_id, r.llr_millionths) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.llr_millionths >= round(quality_rules.THRESHOLD * 1e6)) for r in got)
+
+
+def test_quality_model_training_is_plain_ftrl():
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) for _ in range(12)) for _ in range(30)]
+    y = [r.randint(0, 1) for _ in texts]
+    log_dim, alpha, beta, l1, l2 = 10, 0.3, 1.0, 0.02, 0.02
+    got, bias = quality_model._train(pd.DataFrame({"text": texts, "label": y}), log_dim, 3, alpha, beta, l1, l2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for t, label in zip(texts, y, strict=True):
+            f, _own = quality_model.features(quality_model.Tokens([t.encode()]), log_dim)
+            c = Counter(f.tolist())
+            x = {i: k / math.sqrt(len(f)) for i, k in c.items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    assert bias == pytest.approx(weight("bias"), abs=1e-9) and np.allclose(got, [weight(i) for i in range(1 << log_dim)], atol=1e-9)
+
+
 def test_quality_model(spark):
     rows = [(i, text(30)) for i in range(60)] + [(100 + i, "!! ".join(text(30).upper().split())) for i in range(60)] + [(500, None), (501, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -227,6 +315,36 @@ def test_toxicity_neighbours_are_exact(spark):
     assert len(none) == 1 and max(none) < toxicity.THRESHOLD
 
 
+def test_mined_url_rules_by_brute_force(spark):
+    from fractions import Fraction
+    from itertools import combinations
+
+    r = random.Random(4)
+    made = [(sorted(r.sample("abcdef", r.randint(1, 4))), r.choice(["allow", "block", "block"])) for _ in range(60)]
+    made = [(x, "allow" if "a" in x and r.random() < 0.9 else v) for x, v in made] + [(["a", "z"], None)]
+    df = spark.createDataFrame(made, "items array<string>, verdict string")
+    support, confidence = 0.08, 0.7
+    known = [(frozenset(x), v) for x, v in made if v]
+    rules = {}
+    for n in range(1, 5):
+        for c in combinations("abcdef", n):
+            c = frozenset(c)
+            have = [v for x, v in known if c <= x]
+            for v in ("allow", "block"):
+                k = have.count(v)
+                if k >= support * len(known) and k and Fraction(k, len(have)) >= Fraction(7, 10):
+                    rules[c, v] = (k / len(have), k / len(known))
+    got = url_rules.mine(df, support, confidence)
+    assert {(frozenset(x.tokens), x.verdict): (round(x.confidence, 9), round(x.support, 9)) for x in got.collect()} == {k: (round(a, 9), round(b, 9)) for k, (a, b) in rules.items()}
+    lasting = {k: v for k, v in rules.items() if not any(s < k[0] and w == k[1] and x[0] >= v[0] for (s, w), x in rules.items())}
+    kept = url_rules.pruned(got)
+    assert {(frozenset(x.tokens), x.verdict) for x in kept.collect()} == set(lasting) and len(lasting) < len(rules)
+    best = {tuple(x["items"]): (x.mined, tuple(x.mined_tokens)) for x in url_rules.match(df, kept).collect()}
+    for x, _ in made:
+        fits = sorted((-a, -b, -len(k), sorted(k), v) for (k, v), (a, b) in lasting.items() if k <= set(x))
+        assert best.get(tuple(x)) == ((fits[0][4], tuple(fits[0][3])) if fits else None)
+
+
 def test_url_rules(spark):
     rules = [("org/", "allow"), ("example.org/es/", "block"), ("com/de/", "block")]
     rows = [(1, "http://x.example.org/es/1"), (2, "https://EXAMPLE.org/fr?q"), (3, "http://a.com/de/5#t"), (4, None), (5, "no scheme"), (6, "http://example.org"), (7, "http://a.net/de/9"), (7, "http://a.net/de/9")]
@@ -238,13 +356,101 @@ def test_url_rules(spark):
     assert got[7].rule is None and got[7].verdict == "block" and set(got[7].mined_tokens) <= {"p:0:de", "p:1:9"}
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
+def _words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
 
-    d = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, d)
-    ids = {r.doc_id for r in out.select("doc_id").collect()}
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and len(ids) == out.count() > 100
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import tiktoken
+
+    import corpus_pipeline as p
+
+    base = [text(60) for _ in range(9)]
+    rows = [(i, base[i % 9] if i < 9 else base[0] + " " + text(3), "en" if i % 2 else None, f"s{i % 8}") for i in range(12)]
+    rows = [(i, f"menu of all\n{t}\n12 own {i}", lang, site) for i, t, lang, site in rows]
+    rows += [(20, None, "en", "s1"), (21, "12 - 34", "en", "s2"), (22, "", "en", None), (None, base[3] + " " + text(2), "en", "s1"), (None, text(30), None, None), (4, rows[4][1], "en", "s4"), (5, "menu of all", "en", "s3"), (30, base[5] + "\n" + base[6][:40], "en", None)]
+    rows += [(40 + i, "kunz brog " * 3 + text(3).upper(), "xx", "s0") for i in range(3)]
+    bench = [(1, " ".join(base[3].split()[5:20])), (2, "own 7"), (3, None)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_x", F.lit("extra"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, frames = {}, docs
+    for name, stage in p.STAGES:
+        frames = stage(spark, frames, str(tmp_path))
+        frames.write.parquet(f"{tmp_path}/{name}")
+        frames = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = [tuple(r) for r in frames.collect()]
+        if name != "tokens":
+            assert frames.columns == p.COLUMNS
+    C = Counter
+    # language: whatever has a letter stays
+    want = [(i, t, s) for i, t, _, s in rows if t and any(c.isalpha() for c in t)]
+    assert C((r[0], r[1], r[3]) for r in seen["language"]) == C(want) and {r[2] for r in seen["language"]} <= {"en", "xx"}
+    # lines of six sites or more stay in their first place only
+    sites, first = {}, {}
+    for i, t, s in want:
+        for n, line in enumerate(t.split("\n")):
+            if line.strip():
+                sites.setdefault(line.strip(), set()).add(s)
+                first.setdefault(line.strip(), []).append((i is not None, i or 0, n))
+    common = {k for k, v in sites.items() if len(v) >= 6}
+    assert common == {"menu of all"}
+    place = {k: min(x for x in first[k] if x[0]) for k in common}
+    cut = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if x.strip() not in common or (i is not None, i or 0, n) == place[x.strip()])) for i, t, s in want]
+    assert C((r[0], r[1]) for r in seen["lines"]) == C(cut) and all(r[4] == len(r[1]) for r in seen["lines"])
+    # near duplicates, all pairs
+    sets = {}
+    for i, t in cut:
+        w = _words(t)
+        if i is not None:
+            sets.setdefault(i, []).append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    least = {i: i for i in sets}
+    for _ in range(6):
+        for a, xs in sets.items():
+            for b, ys in sets.items():
+                if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in xs for y in ys):
+                    least[a] = min(least[a], least[b])
+    kept = [(i, t) for i, t in cut if i is None or least[i] == i]
+    assert C((r[0], r[1]) for r in seen["near_duplicates"]) == C(kept) and len(kept) < len(cut)
+    # contaminated texts
+    pat = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = [pat.findall(t.translate(LOW)) for _, t in bench if t]
+    windows = [{tuple(x[j : j + min(10, len(x))]) for j in range(len(x) - min(10, len(x)) + 1)} for x in items]
+
+    def clean(t):
+        w = pat.findall(t.translate(LOW))
+        return not any(tuple(w[j : j + n]) in win for x, win in zip(items, windows, strict=True) for n in (min(10, len(x)),) for j in range(len(w) - n + 1))
+
+    left = [(i, t) for i, t in kept if clean(t)]
+    assert C((r[0], r[1]) for r in seen["decontaminate"]) == C(left) and len(left) < len(kept) and any(i is None for i, _ in left) and sum(i is None for i, _ in kept) == 2
+    # tokens
+    P = queries.tokenizers()
+    tok = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(spark, P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert C(seen["tokens"]) == C((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in left for ids in (tok.encode_ordinary(t),))
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_empty_tables_and_repeats(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, label int")
+    assert quality_rules.judge(docs, labels.select("doc_id")).count() == 0
+    assert quality_model.classify(docs, docs, labels).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs, docs, labels)).count() == 0
+    assert line_dedup.remove_boilerplate(docs).count() == 0
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
+    P = queries.tokenizers()
+    assert bpe.encode(docs, bpe.load_ranks(spark, P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN).count() == 0
+    # repeated rows give a row each, extra columns do not clash, very long texts are read whole
+    rows = [(i, text(30)) for i in range(40)] + [(100 + i, "!! ".join(text(30).upper().split())) for i in range(40)] + [(7, text(30)), (7, text(30)), (900, text(60_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("label", F.lit(1)).withColumn("row", F.lit(2))
+    known = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(40)], "doc_id long, label int")
+    assert quality_model.classify(df, df, known).count() == len(rows)
+    got = toxicity.score(df, toxicity.fit(df, df, known, k=3)).collect()
+    assert len(got) == len(rows) and all(r.evidence for r in got)
+    assert quality_rules.judge(df, known.where("label = 0").select("doc_id")).count() == len(rows)
+    assert queries.op6_warc is not None and line_dedup.remove_boilerplate(df.withColumn("source", F.lit("s"))).count() == len(rows)
 
 
 def test_toxicity_cosine_is_over_all_terms(spark):

@@ -21,7 +21,7 @@ from .memory import tidy
 from .words import mix
 
 #: Edges that a task contracts at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A key with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them, however many the rows.
 HOT = 10_000
 

@@ -239,9 +239,9 @@ def mode_satisfiability(pairs: DataFrame, key: list[str], frozen: str, modes: li
 
 
 def error_candidates(pairs: DataFrame, satisfiability: DataFrame, key: str, case: str) -> DataFrame:
-    """Candidates with a false pair: how many of either kind, in which cases (ascending), and what causes them."""
+    """Candidates with a false pair: how many of either kind, in how many cases (the pairs themselves say which), and what causes them."""
     wrong = pairs.where(F.col("false_exclusion") | F.col("false_inclusion"))
-    got = wrong.groupBy(key).agg(F.count_if("false_exclusion").alias("n_false_exclusion"), F.count_if(~F.col("false_exclusion")).alias("n_false_inclusion"), F.array_sort(F.collect_set(case)).alias("error_cases"))
+    got = wrong.groupBy(key).agg(F.count_if("false_exclusion").alias("n_false_exclusion"), F.count_if(~F.col("false_exclusion")).alias("n_false_inclusion"), F.count_distinct(case).alias("n_error_cases"))
     cause = F.when(F.col("none_is_perfect"), "C_three_mode_schema_unsatisfiable").otherwise("A_blind_authoring_misclassification")
     return got.join(satisfiability.select(key, "none_is_perfect"), key).withColumn("root_cause", cause).drop("none_is_perfect")
 

@@ -58,7 +58,9 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame, qu
     post, size = _hits(docs, key, fields, terms)
     corpus = size.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))  # one row
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").join(F.broadcast(corpus))
+    weighted = durable(terms.join(df, "term").join(F.broadcast(corpus)), "weighted-terms")
+    if weighted.count() <= BROADCAST_TERMS:  # a term that every document has is then no hot key
+        weighted = F.broadcast(weighted)
     return _summed(post.join(weighted, "term"), query_key, key, k1, b)
 
 

@@ -38,12 +38,19 @@ def response_scores() -> dict[str, Column]:
     return out | {"overall": sum(out.values(), F.lit(0).cast("long"))}
 
 
-def score_averages(scored: DataFrame, by: str, case: str, dimensions: list[str], least: int = 70) -> DataFrame:
-    """Per provider the mean of each dimension (4 places) and the cases, ascending, that fail, are risky, miss the fallback, or are invalid.
+PROBLEMS = {"failed": "overall < 70", "risky": "hallucination_risk = 0", "mismatched": "fallback_alignment < 15", "invalid": "not valid"}
 
-    scored: by, case, the dimensions, overall, hallucination_risk, fallback_alignment, valid."""
-    which = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(case))))
-    return scored.groupBy(by).agg(*[F.round(F.avg(d), 4).alias(d) for d in dimensions], which(F.col("overall") < least).alias("failed"), which(F.col("hallucination_risk") == 0).alias("risky"), which(F.col("fallback_alignment") < 15).alias("mismatched"), which(~F.col("valid")).alias("invalid"))
+
+def score_averages(scored: DataFrame, by: str, dimensions: list[str]) -> DataFrame:
+    """Per provider the mean of each dimension (4 places) and how many cases have each problem. Which cases they are: see problem_cases.
+
+    scored: by, the dimensions, overall, hallucination_risk, fallback_alignment, valid."""
+    return scored.groupBy(by).agg(*[F.round(F.avg(d), 4).alias(d) for d in dimensions], *[F.count_if(F.expr(c)).alias(f"n_{n}") for n, c in PROBLEMS.items()])
+
+
+def problem_cases(scored: DataFrame, by: str, case: str) -> DataFrame:
+    """by, problem, case: the lists of cases with a problem, a row an entry, so a provider may have any number of them."""
+    return scored.select(by, case, F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in PROBLEMS.items()]))).alias("problem"))
 
 
 def overall_human() -> Column:

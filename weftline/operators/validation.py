@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUSTOMER = ["customer_profile", "meeting_transcript"]
@@ -172,9 +172,9 @@ def uniqueness(cases: DataFrame, entities: DataFrame, traces: DataFrame, case: s
     e = entities.groupBy(case).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(text).alias("texts"))
     t = traces.groupBy(case, "id").agg(F.count("*").alias("t"))
     both = entities.select(case, "id").distinct().withColumn("e", F.lit(1)).join(t, [case, "id"], "full").groupBy(case).agg(F.bool_or(F.col("e").isNull() | F.coalesce(F.col("t") != 1, F.lit(True))).alias("mismatch"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(case).orderBy("position", "id")
-    falls = entities.withColumn("_p", F.lag("priority").over(w)).groupBy(case).agg(F.bool_or(F.col("_p") > F.col("priority")).alias("falls"))
+    # in order if no entity stands after one of a later priority: extremes a priority tell, so a large case is not gone through in one task
+    ends = entities.groupBy(case, "priority").agg(F.min("position").alias("lo"), F.max("position").alias("hi"))
+    w = Window.partitionBy(case).orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
+    falls = ends.withColumn("_h", F.max("hi").over(w)).groupBy(case).agg(F.bool_or(F.col("_h") > F.col("lo")).alias("falls"))
     j = cases.select(case).join(e, case, "left").join(both, case, "left").join(falls, case, "left")
     return j.select(case, issues({"no_rows": F.col("n").isNull(), "repeated_id": F.col("ids") < F.col("n"), "repeated_text": F.col("texts") < F.col("n"), "trace_mismatch": F.col("mismatch"), "not_by_priority": F.col("falls")}).alias("issues"))

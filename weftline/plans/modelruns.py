@@ -138,13 +138,16 @@ def response_scores(spark, d):
 
 def score_averages(spark, d):
     dims = list(responses.response_scores())
-    s = responses.score_averages(_scored(spark, d), "provider", "conv_id", dims)
-    return s.select("provider", *dims, *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("failed", "risky", "mismatched", "invalid")])
+    return responses.score_averages(_scored(spark, d), "provider", dims)
+
+
+def problem_cases(spark, d):
+    return responses.problem_cases(_scored(spark, d), "provider", "conv_id")
 
 
 def recommend_provider(spark, d):
     """Providers of the responses, of which the last failed, and a house provider that did not run."""
-    s = responses.score_averages(_scored(spark, d), "provider", "conv_id", ["overall"])
+    s = responses.score_averages(_scored(spark, d), "provider", ["overall"])
     p = s.select("provider", F.substring("provider", 2, 1).cast("int").alias("place"), F.lit(True).alias("ran"), F.when(F.col("provider") == "p2", "failed").otherwise("completed_with_case_errors").alias("status"), F.col("overall").alias("score"))
     return runs.recommend_provider(p)
 
@@ -213,7 +216,7 @@ def recompute_and_compare(spark, d):
     return checks.diff(stored, again, "method", [c for c in again.columns if c not in ("method", "latency", "reasons")])
 
 
-_NAMES = "request_cost node_model_gates routing_table_gated budget_with_unknown_costs pilot_totals failure_summaries failure_taxonomy evaluate_assertions run_summary response_scores score_averages recommend_provider annotation_checks effective_annotations human_summary merged_remarks review_packets observability recompute_and_compare"
+_NAMES = "request_cost node_model_gates routing_table_gated budget_with_unknown_costs pilot_totals failure_summaries failure_taxonomy evaluate_assertions run_summary response_scores score_averages problem_cases recommend_provider annotation_checks effective_annotations human_summary merged_remarks review_packets observability recompute_and_compare"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _REC = _R + """, fr AS (SELECT run, node, model, status, error_type, concat_ws(',', CASE WHEN NOT coalesce(schema_ok, false) THEN 'schema' END, CASE WHEN NOT rule_ok THEN 'rule' END, CASE WHEN NOT coalesce(boundary_ok, false) THEN 'boundary' END) AS types, (NOT coalesce(schema_ok, false))::INT + (NOT coalesce(boundary_ok, false))::INT AS n_blocking, (NOT rule_ok)::INT AS n_other, error_message,
@@ -232,7 +235,8 @@ ORACLE = {
     "run_summary": """WITH x AS (SELECT event_id AS i, ['A', 'B', 'C'][user_id % 3 + 1] AS architecture, event_type <> 'error' AND event_id % 3 <> 0 AS fine, event_id % 29 = 0 OR event_id % 23 = 0 AS bad, CASE WHEN event_id % 19 = 0 THEN event_id % 4 END AS v, event_id % 5 = 0 AS told FROM events),
         y AS (SELECT architecture, CASE WHEN architecture = 'A' THEN NULL WHEN bad THEN false WHEN v IS NOT NULL THEN true WHEN fine THEN true WHEN told THEN false END AS json_success, CASE WHEN architecture = 'A' THEN NULL WHEN bad OR v IS NOT NULL THEN false WHEN fine THEN true WHEN told THEN false END AS schema_success, CASE WHEN v IS NOT NULL THEN v WHEN architecture <> 'A' AND NOT bad AND fine THEN 0 END AS n FROM x) SELECT architecture, json_success, schema_success, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_errors FROM y GROUP BY ALL""",
     "response_scores": f"WITH {_W} SELECT * EXCLUDE (provider, valid) FROM sr",
-    "score_averages": f"WITH {_W} SELECT provider, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("schema_validity", "section_completeness", "evidence_grounding", "hallucination_risk", "fallback_alignment", "business_clarity", "overall")) + ", " + ", ".join(f"coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER ({c}), '') AS {n}" for n, c in (("failed", "overall < 70"), ("risky", "hallucination_risk = 0"), ("mismatched", "fallback_alignment < 15"), ("invalid", "NOT valid"))) + " FROM sr GROUP BY provider",
+    "score_averages": f"WITH {_W} SELECT provider, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("schema_validity", "section_completeness", "evidence_grounding", "hallucination_risk", "fallback_alignment", "business_clarity", "overall")) + ", " + ", ".join(f"count(*) FILTER ({c}) AS n_{n}" for n, c in responses.PROBLEMS.items()) + " FROM sr GROUP BY provider",
+    "problem_cases": f"WITH {_W} " + " UNION ALL ".join(f"SELECT provider, conv_id, '{n}' AS problem FROM sr WHERE {c}" for n, c in responses.PROBLEMS.items()),
     "recommend_provider": f"WITH {_W}, a AS (SELECT provider, round(avg(overall), 4) AS score FROM sr GROUP BY 1) SELECT min(provider) FILTER (provider <> 'p2') AS demo, (SELECT provider FROM a WHERE provider <> 'p2' ORDER BY score DESC, provider DESC LIMIT 1) AS production FROM a",
     "annotation_checks": f"""WITH {_H}, x AS (SELECT k AS case_id, concat_ws(',', CASE WHEN {" OR ".join(f"s{j} NOT BETWEEN 1 AND 5" for j in range(6))} THEN 'score_out_of_range' END, CASE WHEN n > 0 AND n < 6 THEN 'some_scores_missing' END, CASE WHEN reviewer IS NULL AND at_ THEN 'reviewed_without_reviewer' END, CASE WHEN reviewer IS NOT NULL AND n < 6 THEN 'review_without_scores' END, CASE WHEN n = 6 AND own IS NOT NULL AND round(own, 2) <> mean THEN 'overall_mismatch' END, CASE WHEN n < 6 AND own IS NOT NULL THEN 'overall_too_early' END, CASE WHEN n < 6 AND pf IS NOT NULL THEN 'verdict_too_early' END) AS issues FROM an) SELECT * FROM x WHERE issues <> ''""",
     "effective_annotations": "WITH t AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 4 = 0), l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 12 = 0 THEN 2 ELSE 1 END AS r FROM part WHERE p_partkey % 6 = 0) SELECT coalesce(t.k, l.k) AS case_id, CASE WHEN l.k IS NOT NULL THEN 'local ' || r ELSE 'template' END AS note, CAST(r AS BIGINT) AS round FROM t FULL JOIN l ON t.k = l.k",

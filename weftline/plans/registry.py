@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, token_estimate, tokens
 from ..operators import checks, deals, fusion, lexical, metrics, runs, vectors
+from ..shared import durable
 from . import corpora, dealplans, modelruns, retrieval, scopes
 
 FIELDS = {"text": 1, "source": 2}
@@ -28,7 +29,9 @@ def _bm25_top(spark: SparkSession, d: str, k: int) -> DataFrame:
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Gold of the test role: documents that hold a line of the item, of 12 characters or more."""
     line = lambda t, k: _t(spark, d, t).select(k, F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 12")
-    return line("documents", "doc_id").join(line("benchmark", "item_id"), "line").select("item_id", "doc_id").distinct()
+    asked = durable(line("benchmark", "item_id").distinct(), "item-lines")
+    asked = F.broadcast(asked) if asked.count() <= lexical.BROADCAST_TERMS else asked  # beyond that a hot line is split as Spark splits skewed joins
+    return line("documents", "doc_id").join(asked, "line").select("item_id", "doc_id").distinct()
 
 
 def tokenize(spark, d):
@@ -87,6 +90,13 @@ def validate_vectors(spark, d):
     return e.groupBy("label", "ok").agg(F.count("*").alias("n_vectors"))
 
 
+def normalize_vectors(spark, d):
+    """Vectors at unit length; those of every seventh id have been zeroed and have none."""
+    e = _t(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.transform("embedding", lambda x: x * 3)))
+    v = e.select("vec_id", vectors.normalized("embedding").alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+
+
 def rrf_many(spark, d):
     """Two lists of event types a user: by count and by total value."""
     e = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
@@ -214,7 +224,7 @@ def blocking_gate(spark, d):
     return s.select("method", F.array_join(failed, ",").alias("failed_gates"), (F.size(failed) == 0).alias("passed"))
 
 
-_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors rrf_many parent_child_topk budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids run_manifest_counts latency_summary provider_status usage_totals coverage_summary opaque_ids unknown_ids dedupe_evidence duplicate_sources_topk blocking_gate"
+_NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors normalize_vectors rrf_many parent_child_topk budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids run_manifest_counts latency_summary provider_status usage_totals coverage_summary opaque_ids unknown_ids dedupe_evidence duplicate_sources_topk blocking_gate"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 for _part in (scopes, retrieval, corpora, modelruns, dealplans):
     QUERIES |= _part.QUERIES
@@ -249,6 +259,7 @@ ORACLE = {
     "expected_ranks": f"WITH {_BM25} SELECT g.item_id, g.doc_id, rank FROM gold g LEFT JOIN (SELECT * FROM rk WHERE rank <= 20) r USING (item_id, doc_id)",
     "cosine_topk": "SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5",
     "validate_vectors": "SELECT label, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok, count(*) AS n_vectors FROM embeddings GROUP BY ALL",
+    "normalize_vectors": "SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) END AS first, CASE WHEN vec_id % 7 <> 0 THEN CAST(1 AS DOUBLE) END AS square FROM embeddings",
     "rrf_many": """WITH e AS (SELECT user_id, event_type, count(*) n, round(sum(value), 2) v FROM events GROUP BY ALL),
         a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) rank FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_type) rank FROM e),
         f AS (SELECT user_id, event_type, min(c) AS count_rank, min(w) AS value_rank, round(sum(1.0::DOUBLE / (60 + coalesce(c, w))), 8) AS s FROM (SELECT user_id, event_type, rank c, NULL w FROM a WHERE rank <= 3 UNION ALL SELECT user_id, event_type, NULL, rank FROM b WHERE rank <= 3) GROUP BY ALL)

@@ -246,6 +246,13 @@ def counterfactual_matrix(spark, d):
     return diagnosis.counterfactual_matrix(diagnosis.counterfactuals(_rows(spark, d), want, "q"), "q")
 
 
+def diverse_topk(spark, d):
+    """The fused pool of 20 under strategy S1, one chunk a document: picks and counts of every case."""
+    r = _rows(spark, d).where("method = 'hybrid_v1'").withColumn("allowed", F.size(eligibility.strategy_reasons("S1")) == 0)
+    x = context.diverse_topk(r, ["q"], "doc", "chunk", ["rank", "chunk"], 1)
+    return x.select("q", "n_filtered", "n_backfilled", "n_skipped", F.array_join(F.transform("picks", lambda p: p["chunk"].cast("string")), ",").alias("picks"))
+
+
 def filter_and_backfill(spark, d):
     kept, gone = context.filter_and_backfill(_rows(spark, d), ["method", "q"], F.size(eligibility.strategy_reasons("S0")) == 0)
     a = kept.groupBy("method", "q").agg(F.count("*").alias("n_kept"), F.max("rank").cast("long").alias("deepest"), F.count_if("relevant").alias("n_relevant"))
@@ -398,7 +405,7 @@ def _by_rank():
     return Window.partitionBy("method", "q").orderBy("rank")
 
 
-_NAMES = "hybrid_topk relevance_identity strategy_summary case_feasibility failure_taxonomy_cases fallback_reasons method_scores method_summary blocking_gates select_method boundary_rate_v1 recall_ceiling_gates candidate_recall variant_summary item_ranks rank_quality rank_movement rank_regressions case_method_report what_if_without missing_items boundary_causes boundary_distribution boundary_tags_v1 topk_depth cross_method rule_matrix false_exclusions conflict_clusters contract_variants counterfactual_matrix filter_and_backfill hierarchical_candidates materialize_context citation_groups completeness shadow_summary max_view_merge partitioned_retrieval best_rank_merge expand_documents prefilter_bm25 prefilter_vs_postfilter evidence_items query_overlap root_causes"
+_NAMES = "hybrid_topk relevance_identity strategy_summary case_feasibility failure_taxonomy_cases fallback_reasons method_scores method_summary blocking_gates select_method boundary_rate_v1 recall_ceiling_gates candidate_recall variant_summary item_ranks rank_quality rank_movement rank_regressions case_method_report what_if_without missing_items boundary_causes boundary_distribution boundary_tags_v1 topk_depth cross_method rule_matrix false_exclusions conflict_clusters contract_variants counterfactual_matrix diverse_topk filter_and_backfill hierarchical_candidates materialize_context citation_groups completeness shadow_summary max_view_merge partitioned_retrieval best_rank_merge expand_documents prefilter_bm25 prefilter_vs_postfilter evidence_items query_overlap root_causes"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _RANKS = f"{_ROWS}, mm AS (SELECT unnest(['lexical_v1', 'vector_v1', 'hybrid_v1']) AS method), gi AS (SELECT DISTINCT q, item, kind, doc FROM gold), ik AS (SELECT m.method, g.q, g.item, min(r.rank) AS rank FROM mm m CROSS JOIN (SELECT DISTINCT q, item FROM gi) g LEFT JOIN rows_ r ON r.method = m.method AND r.q = g.q AND r.item = g.item GROUP BY ALL)"
@@ -484,6 +491,7 @@ ORACLE = {
     "conflict_clusters": f"WITH {_ROWS}, f AS (" + " UNION ALL ".join(f"SELECT q, doc, chunk, scope_type, relevant FROM rows_ WHERE (relevant OR {_BAD}) AND {_R13[r]}" for r in ("R1", "R3")) + "), c AS (SELECT doc, chunk, CAST(NULL AS VARCHAR) AS scope_type, count(*) FILTER (relevant) AS n_relevant, count(*) FILTER (NOT relevant) AS n_boundary, count(DISTINCT q) FILTER (relevant) AS relevant_cases, count(DISTINCT q) FILTER (NOT relevant) AS boundary_cases FROM f GROUP BY doc, chunk UNION ALL SELECT NULL, NULL, scope_type, count(*) FILTER (relevant), count(*) FILTER (NOT relevant), count(DISTINCT q) FILTER (relevant), count(DISTINCT q) FILTER (NOT relevant) FROM f GROUP BY scope_type) SELECT * FROM c WHERE n_relevant > 0 AND n_boundary > 0",
     "contract_variants": f"WITH {_ROWS}, v AS (" + _rated([("current", _CURRENT), ("runtime_only", _CURRENT), ("candidate_only", _BY_MODE), ("paired", _BY_MODE), ("oracle", f"NOT {_BAD}")], "contract") + ") SELECT *, row_number() OVER (PARTITION BY contract ORDER BY retention DESC, removal DESC, method) = 1 AS best FROM v",
     "counterfactual_matrix": f"WITH {_grid()} SELECT *, row_number() OVER (ORDER BY (n_failed = 0)::INT DESC, recall_5 DESC, violation_rate, n_failed, n_clean DESC, (rerank = 'runtime_scope_fit')::INT, CASE diversity WHEN 'no_diversity' THEN 0 WHEN 'max_2_chunks_per_document' THEN 1 ELSE 2 END, pool, strategy, method) AS place FROM gr",
+    "diverse_topk": f"WITH {_grid()} SELECT q, count(*) FILTER (NOT allowed) AS n_filtered, count(*) FILTER (fits AND rank > 5) AS n_backfilled, count(*) FILTER (allowed AND NOT fits) AS n_skipped, coalesce(string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY place) FILTER (fits), '') AS picks FROM cut WHERE method = 'hybrid_v1' AND strategy = 'S1' AND pool = 20 AND diversity = 'max_1_chunk_per_document' AND rerank = 'original_rank' GROUP BY q",
     "filter_and_backfill": f"WITH {_ROWS}, a AS (SELECT *, ({scopes._STRATEGY['S0']}) = '' AS ok FROM rows_), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, q ORDER BY rank) AS nr FROM a WHERE ok) WHERE nr <= 5) SELECT method, q, n_kept, deepest, n_relevant, n_removed FROM (SELECT method, q, count(*) AS n_kept, max(rank) AS deepest, count(*) FILTER (relevant) AS n_relevant FROM k GROUP BY ALL) FULL JOIN (SELECT method, q, count(*) AS n_removed FROM a WHERE NOT ok GROUP BY ALL) USING (method, q)",
     "hierarchical_candidates": f"WITH {_HIER} SELECT * FROM hc",
     "materialize_context": f"WITH {_CONTEXT} SELECT * FROM mt",

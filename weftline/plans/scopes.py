@@ -126,7 +126,7 @@ def mode_satisfiability(spark, d):
 
 
 def error_candidates(spark, d):
-    return e.error_candidates(_pairwise(spark, d), _satisfiable(spark, d), "chunk", "q").withColumn("error_cases", F.array_join(F.transform("error_cases", lambda x: x.cast("string")), ","))
+    return e.error_candidates(_pairwise(spark, d), _satisfiable(spark, d), "chunk", "q")
 
 
 def observable_conflicts(spark, d):
@@ -214,7 +214,7 @@ ORACLE = {
     "filter_attribution": f"WITH {_PAIRWISE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) AS n_denied, count(*) FILTER (relevant) AS n_relevant, count(*) FILTER (violating) AS n_violating FROM pw WHERE NOT {c}" for n, c in (_FILTERS | {"solution_scope": "scope_allowed"}).items()) + ") WHERE n_denied > 0",
     "mode_satisfiability": f"WITH {_SATISFY} SELECT *, perfect_modes <> '' AND list_contains(string_split(perfect_modes, ','), frozen_mode) AS frozen_is_perfect, len(list_filter(string_split(perfect_modes, ','), lambda x: x <> '' AND x <> frozen_mode)) > 0 AS other_is_perfect, perfect_modes = '' AS none_is_perfect FROM sat2",
     "error_candidates": f"WITH {_PAIRWISE}, " + _SATISFY.replace(_PAIRS + ", ", "") + """, w AS (SELECT chunk, relevant AND NOT full_allowed AS fe, q FROM pw WHERE (relevant AND NOT full_allowed) OR (violating AND full_allowed))
-        SELECT chunk, count(*) FILTER (fe) AS n_false_exclusion, count(*) FILTER (NOT fe) AS n_false_inclusion, array_to_string(list_sort(list(DISTINCT q)), ',') AS error_cases, CASE WHEN any_value(perfect_modes) = '' THEN 'C_three_mode_schema_unsatisfiable' ELSE 'A_blind_authoring_misclassification' END AS root_cause FROM w JOIN sat2 USING (chunk) GROUP BY chunk""",
+        SELECT chunk, count(*) FILTER (fe) AS n_false_exclusion, count(*) FILTER (NOT fe) AS n_false_inclusion, count(DISTINCT q) AS n_error_cases, CASE WHEN any_value(perfect_modes) = '' THEN 'C_three_mode_schema_unsatisfiable' ELSE 'A_blind_authoring_misclassification' END AS root_cause FROM w JOIN sat2 USING (chunk) GROUP BY chunk""",
     "observable_conflicts": f"""WITH {_PAIRS}, s AS (SELECT scope_type, {_OWN} AS primary_in_scope, CASE WHEN len(applicable) = 0 THEN 'none' WHEN list_has_all(scope, applicable) THEN 'full_subset' WHEN list_has_any(scope, applicable) THEN 'partial_overlap' ELSE 'empty_overlap' END AS overlap, {_EXC} AS excluded_conflict, {_FILTERS["document_type"]} AND {_FILTERS["industry"]} AND {_FILTERS["tags"]} AND {ACTIVE_SQL} AS eligible, NOT {_BAD} AS ok, q, chunk FROM told),
         r AS (SELECT *, row_number() OVER (PARTITION BY scope_type, primary_in_scope, overlap, excluded_conflict, eligible, ok ORDER BY q, chunk) AS n FROM s)
         SELECT scope_type, primary_in_scope, overlap, excluded_conflict, eligible, count(*) FILTER (ok) AS n_allow, count(*) FILTER (NOT ok) AS n_deny, string_agg(q || ':' || chunk, ',' ORDER BY n) FILTER (ok AND n <= 3) AS allow_samples, string_agg(q || ':' || chunk, ',' ORDER BY n) FILTER (NOT ok AND n <= 3) AS deny_samples FROM r GROUP BY ALL HAVING n_allow > 0 AND n_deny > 0""",

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Labels whose counts are sent to all tasks at most.
+FEW_LABELS = 10_000
+
+
 def fold(key, n: int):
     """crc32 of the key's text modulo n."""
     return F.crc32(F.col(key).cast("string")) % n if isinstance(key, str) else F.crc32(key.cast("string")) % n
@@ -18,6 +22,9 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> lis
     sorts more, and the driver gets no more, than a small multiple of per_label a label."""
     rows = rows.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").distinct()
     counts = rows.groupBy("y").agg(F.count("*").alias("n"))
+    held = counts.limit(FEW_LABELS + 1).collect()
+    if len(held) <= FEW_LABELS:  # else labels are many and none is most of the rows' key
+        counts = F.broadcast(rows.sparkSession.createDataFrame(held, counts.schema))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_label + 50) / F.col("n"))
     near = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 33)).join(counts, "y").where(F.col("h") <= share * (1 << 31)).orderBy("y", "h", "k").select("k", "y").collect()
     taken: dict = {}

@@ -158,10 +158,10 @@ def fit(train: DataFrame, texts_per_language: int = 200, chars_per_language: int
 
 def _parse(model: Model, texts: list, tables: dict) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text in each language, and the text's symbols."""
-    joined = "\n".join(t or "" for t in texts)
+    joined = "\n".join([*(t or "" for t in texts), ""])  # a separator after each text, the last one too
     low = joined.lower()
     if len(low) != len(joined):  # a few letters lower-case to two characters
-        low = "\n".join((t or "").lower().replace("\n", " ") for t in texts)
+        low = "\n".join([*((t or "").lower().replace("\n", " ") for t in texts), ""])
         lens = np.array([len((t or "").lower()) for t in texts])
     else:
         lens = np.array([len(t or "") for t in texts])

@@ -131,7 +131,7 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     m = language.Model({"x": ["abcab"]}, 100)
     phrases, _ = language._parse(m, ["abcabcab"], {})
-    assert phrases[0, 0] == 2  # abcab | cab
+    assert phrases[0, 0] == 3  # abcab | cab | the separator after each text
     # no language and no text is left out for its number or length, and extra columns do not clash
     many = spark.createDataFrame([(i, " ".join(chr(0x3400 + 40 * (i % 80) + R.randrange(40)) for _ in range(60 if i else 20_000)), f"l{i % 80:02d}") for i in range(400)], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     model = language.fit(many)

@@ -110,6 +110,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_t(spark, sf_dir, "documents"), stored=True)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+
+    P = tokenizers()
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    known = alignment.Tokenizers(alignment.byte_level_ranks(P.path("byte_bpe_50k.json")), P.PATTERN, model)
+    return alignment.link_counts(_t(spark, sf_dir, "documents"), known)[0]
+
+
 QUERIES = {k: v for k, v in vars(sys.modules[__name__]).items() if k.startswith("op") and k[2:3].isdigit()}
 
 ORACLE: dict[str, str] = {

@@ -110,6 +110,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_t(spark, sf_dir, "documents"), stored=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes
+
+    coded, books = vector_codes.compress(_t(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_links
+
+    return vector_links.near_copies(_t(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import alignment
 
@@ -122,6 +135,26 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in vars(sys.modules[__name__]).items() if k.startswith("op") and k[2:3].isdigit()}
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds of op11 one after another. Doubles hold every number exactly: components are some thousands at most."""
+    steps = [
+        f"k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS w FROM k, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, w AS e FROM p QUALIFY entry < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p.part, any_value(w) AS w, min(struct_pack(d := CAST(list_inner_product(w, w) - 2 * list_inner_product(w, e) + list_inner_product(e, e) AS BIGINT), entry := entry)) AS near FROM p JOIN b{r} USING (part) GROUP BY vec_id, p.part)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT part, entry, list(x ORDER BY i) AS e FROM (SELECT part, near.entry AS entry, i, floor(sum(w[i]) / count(*)) AS x FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(w)) FROM p) + 1)) AS i) GROUP BY ALL) GROUP BY part, entry)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)")
+    last = f"""
+        c AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', near.entry)), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(list_transform(e, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+    return "WITH " + ",\n        ".join(steps) + "," + last
+
+
 ORACLE: dict[str, str] = {
     # Copies of one payload share its bytes, so text equality stands for digest equality
     "op6_warc": """
@@ -137,4 +170,5 @@ ORACLE: dict[str, str] = {
         k AS (SELECT l.*, b.bare IS NOT NULL AND NOT (b.first.d = l.doc_id AND b.first.i = l.i) AS gone FROM l LEFT JOIN b ON b.bare = l.bare),
         r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM k GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t) AS text_sha256 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "op11_vector_codes": _codes_sql(),
 }

@@ -139,7 +139,7 @@ QUERIES = {k: v for k, v in vars(sys.modules[__name__]).items() if k.startswith(
 def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
     """The rounds of op11 one after another. Doubles hold every number exactly: components are some thousands at most."""
     steps = [
-        f"k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"k AS MATERIALIZED (SELECT vec_id, label, [floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
         f"p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS w FROM k, (SELECT unnest(range({parts})) AS part))",
         f"b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, w AS e FROM p QUALIFY entry < {entries})",
     ]
@@ -151,7 +151,7 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int =
     last = f"""
         c AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', near.entry)), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
-            (SELECT sha256(string_agg(array_to_string(list_transform(e, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+            (SELECT sha256(string_agg(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN e], ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
     return "WITH " + ",\n        ".join(steps) + "," + last
 
 

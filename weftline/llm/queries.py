@@ -94,7 +94,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
     known = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    got = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "text"), known))
+    got = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "text"), known, power=2.0))
     return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 

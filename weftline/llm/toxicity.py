@@ -10,11 +10,11 @@ k-th best, so the neighbours are the exact ones. What is dense and what is spars
 Neighbours do not depend on the document's norm. Terms that neither the examples hold nor are among the `COMMON` commonest
 of the corpus get their document frequency by a join on the term's hash; only they are shuffled.
 
-A score is the calibrated share of label 1 among the k nearest, each vote weighted by its cosine; neighbours of cosine 0
-have no vote. A second such vote is taken over the telling terms alone: those that lean to label 1 (signed root of the
-likelihood ratio at least `least_z`), at most `max_terms`, which the topic of a text does not drown. The calibration (a
-logistic curve over both votes) is fitted on the examples themselves, each left out of its own neighbours, weighted to the
-labels' shares in all labelled rows. Evidence is the ids of the nearest examples with their cosines, over all terms.
+Votes are taken among the examples of each label apart, as labels are of very unequal numbers: for each size in `rings`, the
+mean cosine of so many nearest examples of the label (a text's distance-weighted vote), and the mean cosine of all its
+examples. The calibration is a logistic curve over these votes, fitted on the examples themselves, each left out of its own
+neighbours, weighted to the labels' shares in all labelled rows. Evidence is the ids of the k nearest examples of either label with
+their cosines. `power` is the exponent of the inverse document frequency.
 
 Null and empty texts, and texts without a term, have no neighbour and get the curve's value at no votes. With no labelled
 rows every score is the same and below the threshold. Ties in cosine go to the smaller example id. Rows that repeat each give a row. Only ids, text
@@ -37,6 +37,8 @@ from .sampling import bounded_sample, rows_of
 from .words import ALNUM, Words, blocks
 
 THRESHOLD = 0.3
+#: Numbers of nearest examples of a label whose mean cosine is a vote.
+RINGS = (5, 15, 40, 100, 250, 600)
 BLOCK = 64
 #: Terms of the examples that are held as dense columns, the commonest first.
 DENSE = 512
@@ -78,28 +80,13 @@ class Vocabulary:
         return out
 
 
-def telling(own: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: list[bytes], max_terms: int, least_z: float) -> np.ndarray:
-    """Numbers of the terms whose document frequency among label 1 exceeds that among label 0 beyond chance, the strongest first."""
-    y = labels[own] == 1
-    a, b = (np.bincount(term[m], minlength=len(terms)).astype(np.float64) for m in (y, ~y))
-    na, nb = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    p = np.minimum((a + b) / (na + nb), 1 - 1e-12)
-
-    def ll(k, n, q):
-        return np.where(k > 0, k * np.log(np.maximum(q, 1e-300)), 0.0) + np.where(n > k, (n - k) * np.log(1 - q), 0.0)
-
-    g = 2 * (ll(a, na, np.minimum(a / na, 1 - 1e-12)) + ll(b, nb, np.clip(b / nb, 1e-12, 1 - 1e-12)) - ll(a, na, p) - ll(b, nb, p))
-    found = np.flatnonzero((a / na > b / nb) & (g >= least_z**2))
-    return np.array(sorted(found.tolist(), key=lambda t: (-g[t], terms[t]))[:max_terms], np.int64)
-
-
 class Postings:
-    """Unit rows of the examples, the commonest terms dense in blocks of BLOCK with block maxima, the rest sparse by term."""
+    """Unit rows of one label's examples, the commonest terms dense in blocks of BLOCK with block maxima, the rest sparse by term."""
 
-    def __init__(self, ids: np.ndarray, own: np.ndarray, term: np.ndarray, x: np.ndarray, n_terms: int, k: int):
+    def __init__(self, ids: np.ndarray, own: np.ndarray, term: np.ndarray, x: np.ndarray, n_terms: int):
         norm = np.sqrt(np.bincount(own, x * x, len(ids)))
         df = np.bincount(term, minlength=n_terms)
-        self.k, self.place = k, np.empty(n_terms, np.int64)
+        self.place = np.empty(n_terms, np.int64)
         self.place[np.argsort(-df, kind="stable")] = np.arange(n_terms)
         column = self.place[term]
         # examples of like terms share a block, which keeps block maxima telling
@@ -113,6 +100,8 @@ class Postings:
         new = np.full(len(ids), -1)
         new[self.order] = np.arange(m)
         own, column, x = new[own], column, x / np.maximum(norm[own], 1e-300)
+        #: sums of the unit rows, by term
+        self.total = np.bincount(term[own >= 0], x[own >= 0], n_terms)
         self.n_dense = min(DENSE, n_terms)
         near = (column < self.n_dense) & (own >= 0)
         self.common = np.zeros((self.n_dense, m))
@@ -124,9 +113,9 @@ class Postings:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(column[far] - self.n_dense, minlength=n_terms - self.n_dense))]).astype(np.int64)
         self.post, self.post_x = own[far].astype(np.int32), x[far]
 
-    def nearest(self, own: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, own: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example positions, products) of the k nearest of n texts with weights x, in order of own; -1 and 0 where there are fewer."""
-        at, dot = np.full((n, self.k), -1, np.int64), np.zeros((n, self.k))
+        at, dot = np.full((n, k), -1, np.int64), np.zeros((n, k))
         if not len(self.ids):
             return at, dot
         ends = np.searchsorted(own, np.arange(0, n + CHUNK, CHUNK))
@@ -136,7 +125,7 @@ class Postings:
         return at, dot
 
     def _chunk(self, own, column, x, at, dot, leave) -> None:
-        n, m, k = len(at), len(self.ids), min(self.k, len(self.ids))
+        n, m, k = len(at), len(self.ids), min(at.shape[1], len(self.ids))
         near = column < self.n_dense
         q = np.zeros((n, self.n_dense))
         q[own[near], column[near]] = x[near]
@@ -158,79 +147,93 @@ class Postings:
                 opened[mine, s] = np.round(sums[mine, s] + q[mine] @ self.common[:, s], 12)
             return np.partition(opened, m - k, 1)[:, m - k]
 
-        done = bound >= -np.partition(-bound, min(2, bound.shape[1] - 1), 1)[:, [min(2, bound.shape[1] - 1)]]
+        first = min(k // BLOCK + 2, bound.shape[1] - 1)
+        done = bound >= -np.partition(-bound, first, 1)[:, [first]]
         done &= bound > 0
         kth = enter(done)
         kth = enter(~done & (bound > 0) & (bound >= kth[:, None] - 1e-9))
-        for i in range(n):
-            c = np.flatnonzero(opened[i] >= max(kth[i], 1e-12))
-            c = c[np.lexsort((self.ids[c], -opened[i, c]))[:k]]
-            at[i, : len(c)], dot[i, : len(c)] = c, opened[i, c]
+        # the k best in order, equal ones by example id
+        by_id = np.argsort(self.ids, kind="stable")
+        held = opened[:, by_id]
+        if k < m:
+            held = np.where(held >= np.maximum(kth, 1e-12)[:, None], held, -np.inf)
+        best = np.argsort(-held, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(held, best, 1)
+        real = value > 1e-12
+        at[:, :k], dot[:, :k] = np.where(real, by_id[best], -1), np.where(real, value, 0.0)
 
 
 class Index:
-    """The examples by all their terms and by the telling ones, and the curve over the votes of both."""
+    """The examples of label 0 and of label 1, and the curve over their votes."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, entries: tuple, k: int, max_terms: int, least_z: float):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, entries: tuple, k: int, rings: tuple[int, ...]):
         own, term, n = entries
-        self.vocabulary, self.idf, self.k, self.curve = vocabulary, idf, k, np.zeros(3)
-        x = np.log1p(n) * idf[term]
-        self.near = Postings(ids, own, term, x, len(idf), k)
-        self.ids, self.labels = self.near.ids, labels[self.near.order]
-        told = telling(own, term, labels, vocabulary.terms, max_terms, least_z)
-        self.tells = np.full(len(idf), -1)
-        self.tells[told] = np.arange(len(told))
-        t = self.tells[term] >= 0
-        self.told = Postings(ids, own[t], self.tells[term[t]], x[t], len(told), k)
-        self.told_labels = labels[self.told.order]
+        self.vocabulary, self.idf, self.k, self.rings = vocabulary, idf, k, rings
+        x, self.sides = np.log1p(n) * idf[term], []
+        for label in (0, 1):
+            mine = np.flatnonzero(labels == label)
+            place = np.full(len(ids), -1)
+            place[mine] = np.arange(len(mine))
+            of = place[own] >= 0
+            self.sides.append(Postings(ids[mine], place[own[of]], term[of], x[of], len(idf)))
+            self.sides[-1].order = mine[self.sides[-1].order]
+        self.ids = np.concatenate([p.ids for p in self.sides])
+        self.curve = np.zeros(2 * len(rings) + 3)
         #: hashes and IDF of the commonest terms of the corpus that no example holds
         self.other, self.other_idf = np.zeros(0, np.uint64), np.zeros(0)
 
     @property
     def rows(self) -> np.ndarray:
         """The unit rows as a matrix over the vocabulary, for a few examples."""
-        p, out = self.near, np.zeros((len(self.ids), len(self.idf)))
-        for t, c in enumerate(p.place):
-            if c < p.n_dense:
-                out[:, t] = p.common[c]
-            else:
-                s = slice(p.first[c - p.n_dense], p.first[c - p.n_dense + 1])
-                out[p.post[s], t] = p.post_x[s]
-        return out
+        out = [np.zeros((len(p.ids), len(self.idf))) for p in self.sides]
+        for p, o in zip(self.sides, out, strict=True):
+            for t, c in enumerate(p.place):
+                if c < p.n_dense:
+                    o[:, t] = p.common[c]
+                else:
+                    s = slice(p.first[c - p.n_dense], p.first[c - p.n_dense + 1])
+                    o[p.post[s], t] = p.post_x[s]
+        return np.concatenate(out)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-    def votes(self, own, term, n, size: int, leave=None, leave_told=None):
-        """(positions, products, sums of products signed by label against all k, the same of telling terms as cosines)."""
-        x = np.log1p(n) * self.idf[term]
-        at, dot = self.near.nearest(own, term, x, size, leave)
-        t = self.tells[term] >= 0
-        told, c = self.told.nearest(own[t], self.tells[term[t]], x[t], size, leave_told)
-        c = c / np.maximum(np.sqrt(np.bincount(own[t], x[t] ** 2, size)), 1e-300)[:, None]
-
-        def sums(y, at, cos):
-            return (np.where(at >= 0, 2 * y[at] - 1, 0.0) * cos).sum(1) / self.k if len(y) else np.zeros(size)
-
-        return at, dot, sums(self.labels, at, dot), sums(self.told_labels, told, c)
+    def votes(self, own, term, n, size: int, leave: list | None = None):
+        """(ids, products) of the k nearest (0 where there are fewer); the mean products of each ring and of all, label by label."""
+        x, votes, ids, dots = np.log1p(n) * self.idf[term], [], [], []
+        most = max(self.k, *self.rings)
+        for j, p in enumerate(self.sides):
+            out = None if leave is None else leave[j]
+            at, dot = p.nearest(own, term, x, size, most, out)
+            there = len(p.ids) - (0 if out is None else (out >= 0))
+            sums, total = np.cumsum(dot, 1), np.bincount(own, x * p.total[term], size).astype(np.float64)
+            if out is not None:  # a text's product with itself is its norm
+                total -= np.where(out >= 0, np.sqrt(np.bincount(own, x * x, size)), 0.0)
+            votes += [sums[:, k - 1] / np.maximum(1, np.minimum(k, there)) for k in self.rings] + [total / np.maximum(1, there)]
+            ids.append(np.where(at[:, : self.k] >= 0, p.ids[at[:, : self.k]] if len(p.ids) else 0, np.iinfo(np.int64).max))
+            dots.append(dot[:, : self.k])
+        ids, dots = np.concatenate(ids, 1), np.concatenate(dots, 1)
+        order = np.lexsort((ids, -dots))[:, : self.k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(dots, order, 1), np.stack(votes, 1)
 
     def calibrate(self, share: dict[int, float], ids: np.ndarray, y: np.ndarray, entries: tuple) -> None:
         """Fit the logistic curve on the examples, each left out, with smoothed targets and the labels' true shares."""
         if not len(y) or y.min() == y.max():
-            self.curve = np.array([0.0, 0.0, 4.0 if len(y) and y.min() == 1 else -4.0])
+            self.curve[-1] = 4.0 if len(y) and y.min() == 1 else -4.0
             return
         own, term, n = entries
         leave = [np.full(len(ids), -1), np.full(len(ids), -1)]
-        for out, p in zip(leave, (self.near, self.told), strict=True):
+        for out, p in zip(leave, self.sides, strict=True):
             out[p.order] = np.arange(len(p.order))
-        _, _, full, told = self.votes(own, term, n, len(ids), *leave)
-        full = full / np.maximum(np.sqrt(np.bincount(own, (np.log1p(n) * self.idf[term]) ** 2, len(ids))), 1e-300)
-        x = np.stack([full, told, np.ones(len(ids))], 1)
+        *_, votes = self.votes(own, term, n, len(ids), leave)
+        votes = votes / np.maximum(np.sqrt(np.bincount(own, (np.log1p(n) * self.idf[term]) ** 2, len(ids))), 1e-300)[:, None]
+        scale = np.maximum(votes.std(0), 1e-12)
+        x = np.concatenate([votes / scale, np.ones((len(ids), 1))], 1)
         n1, n0 = y.sum(), len(y) - y.sum()
         t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         w = np.where(y == 1, share[1] / n1, share[0] / n0) * len(y)
-        ridge, c = np.array([1e-3, 1e-3, 0.0]), np.zeros(3)
+        ridge, c = np.append(np.full(votes.shape[1], 1e-3), 0.0), np.zeros(x.shape[1])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ c, -35, 35)))
             d, h = w * (p - t), w * p * (1 - p) + 1e-9
@@ -238,7 +241,7 @@ class Index:
             c = c - step
             if np.abs(step).max() < 1e-9:
                 break
-        self.curve = c
+        self.curve = np.append(c[:-1] / scale, c[-1])
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -268,7 +271,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raw)), batch.column(1).slice(first, len(raw)), *lists], names=["doc_id", "label", "h", "n", "word"])
 
 
-def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2000, k: int = 15, max_terms: int = 512, least_z: float = 5.0) -> Index:
+def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2000, k: int = 15, rings: tuple[int, ...] = RINGS, power: float = 1.0) -> Index:
     """texts: doc_id, text; labels: doc_id, label. docs gives the document frequencies."""
     labels = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     share = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -294,19 +297,19 @@ def fit(docs: DataFrame, texts: DataFrame, labels: DataFrame, per_label: int = 2
             yield batch.filter(pa.array(_find(held.value, batch.column("h").to_numpy().view(np.uint64))[0]))
 
     def idf(count: np.ndarray) -> np.ndarray:
-        return np.log((total + 1) / (count + 1)) + 1e-9
+        return (np.log((total + 1) / (count + 1)) + 1e-9) ** power
 
     mine = df.mapInArrow(of_examples, "h long, n long").toArrow()  # one row a term of the examples
     count = np.zeros(len(known), np.int64)
     count[np.searchsorted(known, mine["h"].to_numpy().view(np.uint64))] = mine["n"].to_numpy()
-    index = Index(vocabulary, idf(count), ids, y, entries, k, max_terms, least_z)
+    index = Index(vocabulary, idf(count), ids, y, entries, k, rings)
     most = df.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     other = most["h"].to_numpy().view(np.uint64)
     order = np.argsort(other)
     order = order[~_find(known, other[order])[0]]
     index.other, index.other_idf = other[order], idf(most["n"].to_numpy()[order])
     index.calibrate({v: share.get(v, 0) / max(1, sum(share.values())) for v in (0, 1)}, ids, y, entries)
-    index.total, index.df = total, df
+    index.total, index.df, index.power = total, df, power
     return index
 
 
@@ -325,7 +328,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
                 hit, term = _find(m.vocabulary.hash, h)
                 also, place = _find(m.other, h)
                 also &= ~hit
-                at, dot, full, told = m.votes(own[hit], term[hit], n[hit], size)
+                near, dot, votes = m.votes(own[hit], term[hit], n[hit], size)
                 square = np.bincount(own[hit], (np.log1p(n[hit]) * m.idf[term[hit]]) ** 2, size).astype(np.float64)
                 square += np.bincount(own[also], (np.log1p(n[also]) * m.other_idf[place[also]]) ** 2, size)
                 rest = ~hit & ~also
@@ -334,17 +337,18 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
                     ends = pa.array(np.searchsorted(own, np.arange(size + 1)).astype(np.int32))
                     return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
 
-                i, j = np.nonzero(at >= 0)
-                cols = [pa.array(square), pa.array(full), pa.array(told), *lists(i, m.ids[at[i, j]], dot[i, j]), *lists(own[rest], h[rest].view(np.int64), n[rest].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, size), batch.column(1).slice(first, size), *cols], names=["doc_id", "row", "square", "full", "told", "example", "dot", "h", "tf"])
+                i, j = np.nonzero(dot > 0)
+                cols = [pa.array(square), pa.array(list(votes), pa.list_(pa.float64())), *lists(i, near[i, j], dot[i, j]), *lists(own[rest], h[rest].view(np.int64), n[rest].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, size), batch.column(1).slice(first, size), *cols], names=["doc_id", "row", "square", "votes", "example", "dot", "h", "tf"])
 
     some = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    a = durable(some.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, row long, square double, full double, told double, example array<long>, dot array<double>, h array<long>, tf array<int>"), "products")
+    a = durable(some.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, row long, square double, votes array<double>, example array<long>, dot array<double>, h array<long>, tf array<int>"), "products")
     # squares of the terms that are neither the examples' nor common
-    idf = F.log(F.lit(float(index.total + 1)) / (F.col("n") + 1)) + 1e-9
+    idf = F.pow(F.log(F.lit(float(index.total + 1)) / (F.col("n") + 1)) + 1e-9, F.lit(float(index.power)))
     rest = a.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf").join(df, "h").groupBy("row").agg(F.sum(F.pow(F.log1p("tf") * idf, 2)).alias("rest"))
     d = a.drop("h", "tf").join(rest, "row", "left").withColumn("norm", F.greatest(F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), F.lit(1e-300)))
-    one, two, none = (F.lit(float(x)) for x in index.curve)
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), one * F.col("full") / F.col("norm") + two * F.col("told") + none))))
+    weights = F.array(*[F.lit(float(x)) for x in index.curve[:-1]])
+    told = F.aggregate(F.arrays_zip(weights.alias("w"), F.col("votes").alias("v")), F.lit(0.0), lambda z, x: z + x["w"] * x["v"])
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), told / F.col("norm") + F.lit(float(index.curve[-1]))))))
     why = F.transform(F.arrays_zip("example", "dot"), lambda x: F.struct(x["example"].alias("example"), F.round(x["dot"] / F.col("norm"), 12).alias("cosine")))
     return d.select("doc_id", p.alias("score"), (p >= threshold).cast("int").alias("predicted"), why.alias("evidence"))

@@ -88,11 +88,13 @@ def runtime_reasons() -> Column:
     return _reasons(not_effective=~active(), document_type_not_allowed=t["type"], industry_mismatch=t["industry"], tag_mismatch=t["tag"], excluded_solution_conflict=_meet("excluded", "scope"), solution_scope_mismatch=beyond)
 
 
-def boundary_reasons() -> Column:
-    """Ordered reasons why a candidate lies beyond the gold boundary; an overlap with the scope is enough here."""
+def boundary_reasons(forbidden: Column | None = None) -> Column:
+    """Ordered reasons why a candidate lies beyond the gold boundary; an overlap with the scope is enough here.
+
+    forbidden: whether the document is forbidden, in place of the column."""
     bound = ~_is(GLOBAL)
     return _reasons(
-        forbidden_document_id=F.col("forbidden_document"), candidate_excludes_operational_scope=_meet("excluded", "scope"),
+        forbidden_document_id=F.col("forbidden_document") if forbidden is None else forbidden, candidate_excludes_operational_scope=_meet("excluded", "scope"),
         candidate_outside_operational_scope=bound & _asked("scope") & ~_meet("applicable", "scope"), candidate_overlaps_forbidden_solution_scope=bound & _meet("applicable", "forbidden"),
     )
 
@@ -200,6 +202,18 @@ def confusion(pairs: DataFrame, allowed: str, groups: list[str]) -> DataFrame:
     return got.withColumn("retention", _rate("n_kept", "n_relevant")).withColumn("removal", _rate("n_removed", "n_violating")).drop("n_kept", "n_removed")
 
 
+def confusion_of_counts(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """The table of confusion() from counts that were taken apart: rows of the group columns with n_pairs, n_within (pairs that do not
+    violate), n_allowed_violating, n_relevant, n_kept (relevant and allowed) and n_conflict, to be added up."""
+    names = ["n_pairs", "n_within", "n_allowed_violating", "n_relevant", "n_kept", "n_conflict"]
+    fine = counts.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in names])
+    got = fine.groupingSets([[F.col(x)] for x in groups] + [[]], *groups).agg(*[F.sum(c).alias(c) for c in names])
+    got = got.withColumn("n_violating", F.col("n_pairs") - F.col("n_within")).withColumn("n_removed", F.col("n_violating") - F.col("n_allowed_violating"))
+    got = got.withColumn("n_false_exclusion", F.col("n_relevant") - F.col("n_kept")).withColumn("n_false_inclusion", F.col("n_allowed_violating"))
+    got = got.withColumn("retention", _rate("n_kept", "n_relevant")).withColumn("removal", _rate("n_removed", "n_violating"))
+    return got.select(*groups, "n_pairs", "n_relevant", "n_violating", "n_conflict", "n_false_exclusion", "n_false_inclusion", "retention", "removal")
+
+
 def rejection_counts(pairs: DataFrame, by: str, reasons: Column) -> DataFrame:
     return pairs.select(by, F.explode(reasons).alias("reason")).groupBy(by, "reason").agg(F.count("*").alias("n_rejected"))
 

@@ -110,7 +110,7 @@ def _responses(spark, d):
     """Conversations as responses: the first assistant turn is the proposed text, user turns the pains, the rest by the number."""
     t = _t(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("s"), F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"), F.count_if(F.col("role") == "user").alias("u"))
     i = F.col("conv_id")
-    base = F.substring(F.coalesce("s", F.lit("")), 1, 200)
+    base = F.coalesce("s", F.lit(""))
     x = t.select(
         "conv_id", F.concat(F.lit("p"), (i % 3).cast("string")).alias("provider"), "q", F.when(i % 11 == 0, F.concat(base, F.lit(" ROI: 30%"))).when(i % 7 == 0, F.concat(F.lit("保证 "), base)).when(i % 5 == 0, F.concat(base, F.lit(" Note 4 shadow"))).otherwise(base).alias("solution"),
         (10 - i % 3).alias("n_present"), F.lit(10).alias("n_required"), (i % 3 == 0).alias("valid"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("required_sections"), F.when(i % 4 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("filled"),
@@ -120,11 +120,11 @@ def _responses(spark, d):
     return x
 
 
-_W = """t AS (SELECT conv_id AS i, arg_min(text, turn) FILTER (role = 'assistant') AS s, arg_min(text, turn) FILTER (role = 'user') AS q, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY 1), b AS (SELECT *, substr(coalesce(s, ''), 1, 200) AS base FROM t),
+_W = """t AS (SELECT conv_id AS i, arg_min(text, turn) FILTER (role = 'assistant') AS s, arg_min(text, turn) FILTER (role = 'user') AS q, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY 1), b AS (SELECT *, coalesce(s, '') AS base FROM t),
     w AS (SELECT i, 'p' || (i % 3) AS provider, q, u, CASE WHEN i % 11 = 0 THEN base || ' ROI: 30%' WHEN i % 7 = 0 THEN '保证 ' || base WHEN i % 5 = 0 THEN base || ' Note 4 shadow' ELSE base END AS sol FROM b),
     sc AS (SELECT i AS conv_id, provider, i % 3 = 0 AS valid, CASE WHEN i % 3 = 0 THEN 20 ELSE CAST(round_even(20 * (10 - i % 3) / 10, 0) AS BIGINT) END AS schema_validity, CASE WHEN i % 4 = 0 THEN 5 ELSE 15 END AS section_completeness, CASE WHEN i % 6 = 0 THEN 20 ELSE CASE WHEN contains(sol, 'Note 4') OR contains(sol, 'x') THEN 10 ELSE 0 END + CASE WHEN i % 2 = 0 THEN 5 ELSE 0 END + CASE WHEN i % 5 >= 2 OR NOT contains(lower(sol), 'shadow') THEN 5 ELSE 0 END END AS evidence_grounding,
-        CASE WHEN i % 11 = 0 OR contains(lower(sol), 'la le') OR contains(sol, '保证') OR regexp_matches(sol, '(?i)(roi|提升)\\s*[:：]?\\s*\\d+%?') THEN 0 ELSE 20 END AS hallucination_risk, CASE WHEN i % 3 = 0 THEN CASE WHEN i % 6 = 0 THEN 12 ELSE 0 END + CASE WHEN i % 12 = 0 THEN 3 ELSE 0 END ELSE CASE WHEN i % 6 = 0 THEN 0 ELSE 15 END END AS fallback_alignment,
-        CASE WHEN regexp_matches(sol, '[一-鿿]') THEN 3 ELSE 0 END + CASE WHEN u > 0 AND i % 10 <> 0 THEN 4 ELSE 0 END + CASE WHEN length(sol) BETWEEN 20 AND 240 THEN 2 ELSE 0 END + 1 AS business_clarity FROM w),
+        CASE WHEN i % 11 = 0 OR contains(lower(sol), 'la le') OR regexp_matches(sol, '(?i)(保证|确保|100%|一定会|必然)') OR regexp_matches(sol, '(?i)(roi|回报|收益|提升)\\s*[:：]?\\s*\\d+%?') THEN 0 ELSE 20 END AS hallucination_risk, CASE WHEN i % 3 = 0 THEN CASE WHEN i % 6 = 0 THEN 12 ELSE 0 END + CASE WHEN i % 12 = 0 THEN 3 ELSE 0 END ELSE CASE WHEN i % 6 = 0 THEN 0 ELSE 15 END END AS fallback_alignment,
+        CASE WHEN regexp_matches(sol, '[一-鿿]') THEN 3 ELSE 0 END + CASE WHEN u > 0 AND i % 10 <> 0 THEN 4 ELSE 0 END + CASE WHEN length(sol) BETWEEN 20 AND 240 THEN 2 ELSE 0 END + CASE WHEN len(regexp_extract_all(sol, '(赋能|抓手|闭环|全链路)')) <= 2 THEN 1 ELSE 0 END AS business_clarity FROM w),
     sr AS (SELECT *, schema_validity + section_completeness + evidence_grounding + hallucination_risk + fallback_alignment + business_clarity AS overall FROM sc)"""
 
 

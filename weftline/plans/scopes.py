@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import eligibility as e
+from ..operators import joins
 from . import roles
 from .roles import ACTIVE_SQL, BOUNDARY_SQL, RUNTIME_SQL, SQL, told_sql
 
@@ -153,7 +154,83 @@ def attempt_comparison(spark, d):
     return e.attempt_comparison(e.confusion(first, "full_allowed", ["scope_type"]), e.confusion(second, "full_allowed", ["scope_type"]), ["scope_type"])
 
 
-_NAMES = "operational_filter runtime_eligibility rejection_counts boundary_decision scope_strategy runtime_rule scope_checks scope_cardinality effective_labels mode_allows pairwise_confusion confusion_metrics filter_attribution mode_satisfiability error_candidates observable_conflicts heterogeneous_documents schema_variants attempt_comparison"
+def _runtime_filters():
+    """What the runtime rules ask of lists; a document without industries, tags or solutions is no mismatch."""
+    size = F.size
+    return [
+        joins.Overlap("type", F.col("ask_types"), F.array("document_type"), size("ask_types") > 0),
+        joins.Overlap("industry", F.col("ask_industries"), F.col("industries"), size("ask_industries") > 0, size("industries") == 0),
+        joins.Overlap("tag", F.col("ask_tags"), F.col("tags"), size("ask_tags") > 0, size("tags") == 0),
+        joins.Overlap("scope", F.col("scope"), F.col("applicable"), size("scope") > 0, (F.col("scope_type") == e.GLOBAL) | (size("applicable") == 0)),
+    ]
+
+
+def eligible_pairs(spark, d):
+    """All cases by all chunks: the pairs without a runtime reason."""
+    pairs = joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), _runtime_filters(), F.size(e.runtime_reasons()) == 0)
+    return pairs.select("q", "chunk")
+
+
+def operational_pairs(spark, d):
+    """All cases by all chunks under the first-generation filters: an empty list lets nothing through."""
+    yes = F.lit(True)
+    asked = {"effective_on": F.col("effective_on"), "document_types": F.col("ask_types"), "industries": F.col("ask_industries"), "solution_ids": F.when(F.size("scope") > 0, F.col("scope")), "tags": F.when(F.size("ask_tags") > 0, F.col("ask_tags"))}
+    filters = [
+        joins.Overlap("document_types", F.col("ask_types"), F.array("document_type"), yes), joins.Overlap("industries", F.col("ask_industries"), F.col("industries"), yes),
+        joins.Overlap("solution_ids", F.col("scope"), F.col("applicable"), F.size("scope") > 0), joins.Overlap("tags", F.col("ask_tags"), F.col("tags"), F.size("ask_tags") > 0),
+    ]
+    pairs = roles.cases(spark, d)
+    return joins.overlap_join(pairs, roles.chunks(spark, d), filters, e.operational_filter(pairs, asked)).select("q", "chunk")
+
+
+def effective_documents(spark, d):
+    """Documents with the cases whose date lies within theirs, and the first and last of these dates."""
+    docs = roles.chunks(spark, d).groupBy("doc").agg(F.min("effective_from").alias("effective_from"), F.min("effective_until").alias("effective_until"))
+    met = joins.interval_join(docs, "effective_from", "effective_until", roles.cases(spark, d).select("q", "effective_on"), "effective_on")
+    return met.groupBy("doc").agg(F.count("*").alias("n_cases"), F.min("effective_on").alias("first_on"), F.max("effective_on").alias("last_on"), F.sum("q").alias("sum_q"))
+
+
+def all_pairs_confusion(spark, d):
+    """Confusion of full filters over all cases by all chunks. Pairs that are allowed, and those that do not violate, are found by joins;
+    the rest of the counts follows from the numbers of cases and chunks, and from the few pairs with gold."""
+    labels = roles.chunks(spark, d).withColumn("mode", F.coalesce("override_mode", "default_mode")).withColumn("source", F.when(F.col("override_mode").isNull(), "document_default").otherwise("chunk_override"))
+    cases, (_, bad) = roles.cases(spark, d), roles.gold(spark, d)
+    barred, by = bad.withColumn("forbidden_document", F.lit(True)), ["q", "mode", "scope_type", "source"]
+    size = F.size
+    asked = [
+        joins.Overlap("type", F.col("ask_types"), F.array("document_type"), size("ask_types") > 0), joins.Overlap("industry", F.col("ask_industries"), F.col("industries"), size("ask_industries") > 0),
+        joins.Overlap("tag", F.col("ask_tags"), F.col("tags"), size("ask_tags") > 0),
+    ]
+    met = joins.overlap_join(cases, labels, asked, e.passes_document_filters() & e.mode_allows(F.col("mode"), deny_excluded=True))
+    allowed = met.join(barred, ["q", "doc"], "left").withColumn("forbidden_document", F.coalesce("forbidden_document", F.lit(False)))
+    scope = [joins.Overlap("scope", F.col("scope"), F.col("applicable"), size("scope") > 0, F.col("scope_type") == e.GLOBAL)]
+    within = joins.overlap_join(cases, labels, scope, size(e.boundary_reasons(F.lit(False))) == 0)
+    # pairs with gold: expected ones, and those of forbidden documents
+    want, _ = roles.gold(spark, d)
+    said = want.where("kind = 'chunk'").select("q", "chunk").unionByName(want.where("kind = 'document'").select("q", "doc").join(labels.select("doc", "chunk"), "doc").select("q", "chunk")).distinct()
+    shut = bad.join(labels.select("doc", "chunk"), "doc").select("q", "chunk")
+    few = said.withColumn("relevant", F.lit(True)).join(shut.withColumn("forbidden_document", F.lit(True)), ["q", "chunk"], "full").fillna(False, ["relevant", "forbidden_document"])
+    few = few.join(labels, "chunk").join(cases, "q")
+    full = e.passes_document_filters() & e.mode_allows(F.col("mode"), deny_excluded=True)
+    violating = size(e.boundary_reasons()) > 0
+    classes = [r.asDict() for r in labels.groupBy(*by[1:]).agg(F.count("*").alias("n")).collect()]  # modes by scope types by sources
+    every = cases.select("q", F.explode(F.array(*[F.struct(*[F.lit(c[x]).alias(x) for x in by[1:]], F.lit(c["n"]).cast("long").alias("n")) for c in classes])).alias("c")).select("q", "c.*")
+    zero = F.lit(0).cast("long")
+    names = ["n_pairs", "n_allowed_violating", "n_within", "n_relevant", "n_kept", "n_conflict"]
+    rows = lambda df, **n: df.select(*by, *[n.get(x, zero).alias(x) for x in names])
+    counted = [
+        rows(every, n_pairs=F.col("n")), rows(allowed.groupBy(*by).agg(F.count_if(violating).alias("n")), n_allowed_violating=F.col("n")),
+        rows(within.groupBy(*by).agg(F.count("*").alias("n")), n_within=F.col("n")),
+        rows(few.groupBy(*by).agg(F.count_if(F.col("forbidden_document") & (size(e.boundary_reasons(F.lit(False))) == 0)).alias("n")), n_within=-F.col("n")),
+        rows(few.groupBy(*by).agg(F.count_if("relevant").alias("r"), F.count_if(F.col("relevant") & full).alias("k"), F.count_if(F.col("relevant") & violating).alias("c")), n_relevant=F.col("r"), n_kept=F.col("k"), n_conflict=F.col("c")),
+    ]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return e.confusion_of_counts(out, by)
+
+
+_NAMES = "eligible_pairs operational_pairs effective_documents all_pairs_confusion operational_filter runtime_eligibility rejection_counts boundary_decision scope_strategy runtime_rule scope_checks scope_cardinality effective_labels mode_allows pairwise_confusion confusion_metrics filter_attribution mode_satisfiability error_candidates observable_conflicts heterogeneous_documents schema_variants attempt_comparison"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _TYPE = "len(ask_types) > 0 AND NOT list_contains(ask_types, document_type)"
@@ -195,7 +272,14 @@ def _metrics(allowed: str) -> str:
 _SATISFY = f"""{_PAIRS}, sat AS (SELECT doc, chunk, any_value({_MODE}) AS frozen_mode, """ + ", ".join(f"count(*) FILTER (relevant AND NOT {_allows(repr(m), True)}) AS out_{m}, count(*) FILTER (bad_ AND {_allows(repr(m), True)}) AS in_{m}" for m in e.MODES) + f""" FROM (SELECT *, {_BAD} AS bad_ FROM told) GROUP BY doc, chunk),
     sat2 AS (SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN out_{m} = 0 AND in_{m} = 0 THEN '{m}' END" for m in e.MODES) + """) AS perfect_modes FROM sat)"""
 _GROUPS = "GROUPING SETS ((q), (mode), (scope_type), (source), ())"
+_ALL = f"{SQL}, {told_sql('(SELECT q, doc, chunk FROM cases, chunks)')}"
 ORACLE = {
+    "eligible_pairs": f"WITH {SQL} SELECT q, chunk FROM cases, chunks WHERE {RUNTIME_SQL} = ''",
+    "operational_pairs": f"WITH {SQL} SELECT q, chunk FROM cases, chunks WHERE status = 'approved' AND (effective_until IS NULL OR effective_on <= effective_until) AND list_contains(ask_types, document_type) AND list_has_any(industries, ask_industries) AND (len(scope) = 0 OR list_has_any(applicable, scope)) AND (len(ask_tags) = 0 OR list_has_any(tags, ask_tags))",
+    "effective_documents": f"""WITH {SQL}, x AS (SELECT doc, min(effective_from) AS a, min(effective_until) AS b FROM chunks GROUP BY doc)
+        SELECT doc, count(*) AS n_cases, min(effective_on) AS first_on, max(effective_on) AS last_on, CAST(sum(q) AS BIGINT) AS sum_q FROM x JOIN cases ON effective_on BETWEEN coalesce(a, DATE '0001-01-01') AND coalesce(b, DATE '9999-12-31') GROUP BY doc""",
+    "all_pairs_confusion": f"""WITH {_ALL}, pw AS (SELECT *, {_MODE} AS mode, CASE WHEN override_mode IS NULL THEN 'document_default' ELSE 'chunk_override' END AS source, {_BAD} AS violating, {_allows(_MODE)} AND {" AND ".join(_FILTERS.values())} AS full_allowed FROM told)
+        SELECT q, mode, scope_type, source, {_metrics("full_allowed")} FROM pw GROUP BY {_GROUPS}""",
     "operational_filter": f"""WITH {_PAIRS} SELECT q, count(*) FILTER (status = 'approved' AND (effective_until IS NULL OR effective_on <= effective_until) AND list_contains(ask_types, document_type) AND list_has_any(industries, ask_industries) AND (len(scope) = 0 OR list_has_any(applicable, scope)) AND (len(ask_tags) = 0 OR list_has_any(tags, ask_tags))) AS n_all,
         count(*) FILTER (status IN ('approved', 'draft')) AS n_loose FROM told GROUP BY q""",
     "runtime_eligibility": f"WITH {_PAIRS} SELECT q, {RUNTIME_SQL} AS reasons, count(*) AS n_candidates FROM told GROUP BY ALL",

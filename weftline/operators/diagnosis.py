@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import eligibility as e
-from .context import diverse_topk
 
 # Pool sizes, most chunks of a document, and orders of the what-if matrix.
 POOLS = [5, 10, 20]
 DIVERSITY = {"no_diversity": None, "max_2_chunks_per_document": 2, "max_1_chunk_per_document": 1}
 RERANK = ["original_rank", "runtime_scope_fit"]
+ORACLE_STRATEGY = "S4"
 SPECIFICITY = {"solution_specific": 0, "multi_solution": 1, "cross_cutting_requirement": 2, "global_policy": 3}
 
 
@@ -228,36 +228,61 @@ def separability(overlaps: DataFrame, query: str) -> DataFrame:
     return n.select(query, F.when(F.col("none"), "query_under_specified").when(F.col("some") & F.col("no_content"), "field_representation_gap").when(F.col("asked") & F.col("unfound"), "runtime_context_not_used").otherwise("unknown").alias("class"))
 
 
-def counterfactuals(ranked: DataFrame, gold: DataFrame, query: str, strategies: list[str] | None = None, rerank: list[str] = RERANK) -> DataFrame:
-    """The whole what-if grid over one ranking: method, query, strategy, pool, diversity, rerank, with counts, recall at 5 and violation.
+def counterfactuals(ranked: DataFrame, gold: DataFrame, query: str, strategies: list[str] | None = None, rerank: list[str] = RERANK, k: int = 5) -> DataFrame:
+    """The whole what-if grid over one ranking: method, query, strategy, pool, diversity, rerank, with counts, recall at k and violation.
 
-    The pool of 20 is read once; strategies and pools are exploded as small arrays, diversity and order are windows over them."""
+    The pool of each case is gathered once, as an array of at most 20; a cell of the grid sorts it and folds it once, taking a candidate if
+    it is allowed and its document has not given all it may. So the ranking is read once and shuffled once, whatever the size of the grid."""
     strategies = strategies or e.STRATEGIES
     fit = F.coalesce(F.array_contains("scope", F.col("primary_solution")), F.lit(False))
     level = F.element_at(F.create_map(*[F.lit(x) for kv in SPECIFICITY.items() for x in kv]), F.col("scope_type"))
-    s = F.array(*[F.struct(F.lit(n).alias("strategy"), (F.size(e.strategy_reasons(n)) == 0).alias("allowed")) for n in strategies])
-    base = ranked.select("method", query, "doc", "chunk", "rank", "item", "relevant", (F.size(e.boundary_reasons()) > 0).alias("bad"), (~fit).alias("far"), level.alias("level"), F.explode(s).alias("s"))
-    base = base.select("*", "s.*").drop("s").withColumn("pool", F.explode(F.filter(F.array(*map(F.lit, POOLS)), lambda p: p >= F.col("rank"))))
-    by = ["method", query, "strategy", "pool"]
-    facts = base.select("method", query, "chunk", "item", "relevant", "bad").distinct()
+    allowed = F.array(*[F.size(e.strategy_reasons(n)) == 0 for n in strategies])
+    row = F.struct("rank", "chunk", "doc", "item", "relevant", (F.size(e.boundary_reasons()) > 0).alias("bad"), F.col("forbidden_document").alias("forbidden"), (~fit).alias("far"), level.alias("level"), allowed.alias("allowed"))
     size = gold.select(query, "item").distinct().groupBy(query).agg(F.count("*").alias("gold"))
-    out = None
-    for mode in rerank:
-        order = ["rank", "chunk"] if mode == "original_rank" else [F.desc("allowed"), "far", "level", "rank", "chunk"]
-        for name, most in DIVERSITY.items():
-            part = diverse_topk(base, by, "doc", "chunk", order, most).withColumn("diversity", F.lit(name)).withColumn("rerank", F.lit(mode))
-            out = part if out is None else out.unionByName(part)
-    key = [*by, "diversity", "rerank"]
-    picked = out.select(*key, F.explode_outer("picks").alias("p")).select(*key, "p.chunk").join(facts, ["method", query, "chunk"], "left")
-    n = picked.groupBy(*key).agg(F.count("chunk").alias("n_picked"), F.count_distinct(F.when(F.col("relevant"), F.col("item"))).alias("hits"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("violation"))
-    j = out.drop("picks").join(n, key).join(size, query, "left")
-    return j.select(*key, "n_filtered", "n_backfilled", "n_skipped", "n_picked", F.when(F.coalesce("gold", F.lit(0)) > 0, F.col("hits") / F.col("gold")).otherwise(F.lit(0.0)).alias("recall_5"), "violation")
+    pools = ranked.where(F.col("rank") <= max(POOLS)).groupBy("method", query).agg(F.collect_list(row).alias("rows")).join(size, query, "left")
+    cells = [F.struct(F.lit(n).alias("strategy"), F.lit(i).alias("s"), F.lit(p).alias("pool"), F.lit(d).alias("diversity"), F.lit(m if m else max(POOLS)).alias("most"), F.lit(r).alias("rerank"), F.lit(r != RERANK[0]).alias("fits")) for i, n in enumerate(strategies) for p in POOLS for d, m in DIVERSITY.items() for r in rerank]
+    each = pools.withColumn("c", F.explode(F.array(*cells))).select("method", query, "gold", "rows", "c.*")
+
+    def keyed(x: Column) -> Column:
+        ok = F.get(x["allowed"], F.col("s"))
+        turn = lambda c: F.when(F.col("fits"), c.cast("int")).otherwise(0)
+        return F.struct(turn(~ok).alias("a"), turn(x["far"]).alias("b"), turn(x["level"]).alias("c"), x["rank"].alias("rank"), x["chunk"].alias("chunk"), ok.alias("ok"), *[x[n].alias(n) for n in ("doc", "item", "relevant", "bad", "forbidden")])
+
+    def step(z: Column, x: Column) -> Column:
+        full = F.size(z["picks"]) >= k
+        again = F.size(F.filter(z["picks"], lambda y: y["doc"] == x["doc"])) >= F.col("most")
+        take, one = ~full & x["ok"] & ~again, lambda c: F.when(c, 1).otherwise(0)
+        return F.struct(
+            F.when(take, F.concat(z["picks"], F.array(F.struct(*[x[n].alias(n) for n in ("doc", "chunk", "item", "relevant", "bad", "forbidden", "rank")])))).otherwise(z["picks"]).alias("picks"),
+            (z["n_filtered"] + one(~full & ~x["ok"])).alias("n_filtered"), (z["n_skipped"] + one(~full & x["ok"] & again)).alias("n_skipped"),
+        )
+
+    kinds = dict(ranked.dtypes)
+    none = F.expr(f"cast(array() as array<struct<doc: {kinds['doc']}, chunk: {kinds['chunk']}, item: string, relevant: boolean, bad: boolean, forbidden: boolean, rank: {kinds['rank']}>>)")
+    start = F.struct(none.alias("picks"), F.lit(0).alias("n_filtered"), F.lit(0).alias("n_skipped"))
+    sorted_rows = F.array_sort(F.transform(F.filter("rows", lambda x: x["rank"] <= F.col("pool")), keyed))
+    told = each.withColumn("z", F.aggregate(sorted_rows, start, step)).select("method", query, "strategy", "pool", "diversity", "rerank", "gold", "z.*")
+    hits = F.size(F.array_distinct(F.transform(F.filter("picks", lambda y: y["relevant"]), lambda y: y["item"])))
+    recall = F.when(F.coalesce("gold", F.lit(0)) > 0, hits / F.col("gold")).otherwise(F.lit(0.0))
+    return told.select(
+        "method", query, "strategy", "pool", "diversity", "rerank", "n_filtered", F.size(F.filter("picks", lambda y: y["rank"] > k)).alias("n_backfilled"), "n_skipped", F.size("picks").alias("n_picked"),
+        recall.alias("recall_5"), F.exists("picks", lambda y: y["bad"]).alias("violation"), F.exists("picks", lambda y: y["forbidden"]).alias("forbidden"),
+    )
 
 
 def counterfactual_matrix(cells: DataFrame, query: str) -> DataFrame:
-    """The grid's summary: recall, violation rate, failed cases and the place of each entry; whether diversity beats none in its like."""
+    """The grid's summary: recall, rates, failed cases, the gates that an entry misses, and its place.
+
+    diversity_helps: whether an entry is better than the one without diversity in its like (of the strategies that do not need gold)."""
     by = ["method", "strategy", "pool", "diversity", "rerank"]
-    g = cells.groupBy(*by).agg(F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg(F.col("violation").cast("int")), 6).alias("violation_rate"), F.count_if((F.col("recall_5") < 1) | F.col("violation")).alias("n_failed"), F.count_if(~F.col("violation")).alias("n_clean"), F.sum("n_filtered").alias("n_filtered"), F.sum("n_backfilled").alias("n_backfilled"), F.sum("n_skipped").alias("n_skipped"))
+    failed = (F.col("recall_5") < 1) | F.col("violation")
+    g = cells.groupBy(*by).agg(F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg(F.col("violation").cast("int")), 6).alias("violation_rate"), F.round(F.avg(F.col("forbidden").cast("int")), 6).alias("forbidden_rate"), F.count_if(failed).alias("n_failed"), F.count_if(~F.col("violation")).alias("n_clean"), F.sum("n_filtered").alias("n_filtered"), F.sum("n_backfilled").alias("n_backfilled"), F.sum("n_skipped").alias("n_skipped"))
+    gates = {"summary_recall_at_5": F.col("recall_5") < 1, "forbidden_hit_rate": F.col("forbidden_rate") > 0, "solution_boundary_violation_rate": F.col("violation_rate") > 0, "all_cases_pass_blocking_gate": F.col("n_failed") > 0}
+    g = g.withColumn("failed_gates", F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in gates.items()]))
+    rank = F.struct((F.col("n_failed") == 0).cast("int").alias("a"), F.col("recall_5").alias("b"), (-F.col("violation_rate")).alias("c"), (-F.col("n_failed")).alias("d"), F.col("n_clean").alias("e"))
+    none, like = F.lit(next(iter(DIVERSITY))), Window.partitionBy("method", "strategy", "pool", "rerank")
+    plain = F.max(F.when(F.col("diversity") == none, rank)).over(like)
+    g = g.withColumn("diversity_helps", F.when((F.col("diversity") != none) & (F.col("strategy") != ORACLE_STRATEGY), rank > plain))
     turn = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(DIVERSITY) for x in (n, i)]), F.col("diversity"))
     order = [F.desc((F.col("n_failed") == 0).cast("int")), F.desc("recall_5"), "violation_rate", "n_failed", F.desc("n_clean"), (F.col("rerank") == RERANK[1]).cast("int"), turn, "pool", "strategy", "method"]
     return g.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # some hundreds of entries, whatever the input

@@ -446,8 +446,8 @@ def _grid() -> str:
     od AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS rerank, *, row_number() OVER (PARTITION BY method, q, strategy, pool ORDER BY {o}) AS at_, row_number() OVER (PARTITION BY method, q, strategy, pool, doc, allowed ORDER BY {o}) AS own FROM pl" for n, o in orders.items()) + """),
     dv AS (SELECT od.*, diversity, allowed AND (most IS NULL OR own <= most) AS fits FROM od, (VALUES ('no_diversity', NULL), ('max_2_chunks_per_document', 2), ('max_1_chunk_per_document', 1)) AS t(diversity, most)),
     pk AS (SELECT *, sum(fits::INT) OVER (PARTITION BY method, q, strategy, pool, diversity, rerank ORDER BY at_) AS place FROM dv), cut AS (SELECT * FROM pk WHERE place < 5 OR (place = 5 AND fits)), gs AS (SELECT q, count(DISTINCT item) AS n FROM gold GROUP BY q),
-    ce AS (SELECT method, q, strategy, pool, diversity, rerank, count(*) FILTER (NOT allowed) AS nf, count(*) FILTER (fits AND rank > 5) AS nb, count(*) FILTER (allowed AND NOT fits) AS ns, count(DISTINCT item) FILTER (fits AND relevant) AS h, coalesce(bool_or(bad_) FILTER (fits), false) AS violation FROM cut GROUP BY ALL),
-    gr AS (SELECT method, strategy, CAST(pool AS INT) AS pool, diversity, rerank, round(avg(coalesce(h / n, 0)), 6) AS recall_5, round(avg(violation::INT), 6) AS violation_rate, count(*) FILTER (coalesce(h / n, 0) < 1 OR violation) AS n_failed, count(*) FILTER (NOT violation) AS n_clean, CAST(sum(nf) AS BIGINT) AS n_filtered, CAST(sum(nb) AS BIGINT) AS n_backfilled, CAST(sum(ns) AS BIGINT) AS n_skipped FROM ce LEFT JOIN gs USING (q) GROUP BY ALL)"""
+    ce AS (SELECT method, q, strategy, pool, diversity, rerank, count(*) FILTER (NOT allowed) AS nf, count(*) FILTER (fits AND rank > 5) AS nb, count(*) FILTER (allowed AND NOT fits) AS ns, count(DISTINCT item) FILTER (fits AND relevant) AS h, coalesce(bool_or(bad_) FILTER (fits), false) AS violation, coalesce(bool_or(forbidden_document) FILTER (fits), false) AS forbidden FROM cut GROUP BY ALL),
+    gr AS (SELECT method, strategy, CAST(pool AS INT) AS pool, diversity, rerank, round(avg(coalesce(h / n, 0)), 6) AS recall_5, round(avg(violation::INT), 6) AS violation_rate, round(avg(forbidden::INT), 6) AS forbidden_rate, count(*) FILTER (coalesce(h / n, 0) < 1 OR violation) AS n_failed, count(*) FILTER (NOT violation) AS n_clean, CAST(sum(nf) AS BIGINT) AS n_filtered, CAST(sum(nb) AS BIGINT) AS n_backfilled, CAST(sum(ns) AS BIGINT) AS n_skipped FROM ce LEFT JOIN gs USING (q) GROUP BY ALL)"""
 
 
 _STRATS = " UNION ALL ".join(f"SELECT '{n}' AS strategy, q, rank, item, relevant, {_BAD} AS v, forbidden_document AS f FROM rows_ WHERE method = 'hybrid_v1' AND ({x}) = ''" for n, x in scopes._STRATEGY.items())
@@ -491,7 +491,7 @@ ORACLE = {
     "false_exclusions": f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER ({x}) AS n_filtered, count(*) FILTER ({x} AND NOT relevant AND {_BAD}) AS n_boundary, count(*) FILTER ({x} AND relevant) AS n_relevant, {_share(f'count(*) FILTER ({x} AND NOT relevant AND {_BAD})', f'count(*) FILTER ({x})')} AS precision, {_share(f'count(*) FILTER (relevant AND NOT ({x}))', 'count(*) FILTER (relevant)')} AS retention, {_share(f'count(*) FILTER ({x} AND NOT relevant AND {_BAD})', f'count(*) FILTER ({_BAD})')} AS removal, count(*) FILTER ({x} AND relevant) = 0 AS separable FROM rows_" for r, x in _R13.items()),
     "conflict_clusters": f"WITH {_ROWS}, f AS (" + " UNION ALL ".join(f"SELECT q, doc, chunk, scope_type, relevant FROM rows_ WHERE (relevant OR {_BAD}) AND {_R13[r]}" for r in ("R1", "R3")) + "), c AS (SELECT doc, chunk, CAST(NULL AS VARCHAR) AS scope_type, count(*) FILTER (relevant) AS n_relevant, count(*) FILTER (NOT relevant) AS n_boundary, count(DISTINCT q) FILTER (relevant) AS relevant_cases, count(DISTINCT q) FILTER (NOT relevant) AS boundary_cases FROM f GROUP BY doc, chunk UNION ALL SELECT NULL, NULL, scope_type, count(*) FILTER (relevant), count(*) FILTER (NOT relevant), count(DISTINCT q) FILTER (relevant), count(DISTINCT q) FILTER (NOT relevant) FROM f GROUP BY scope_type) SELECT * FROM c WHERE n_relevant > 0 AND n_boundary > 0",
     "contract_variants": f"WITH {_ROWS}, v AS (" + _rated([("current", _CURRENT), ("runtime_only", _CURRENT), ("candidate_only", _BY_MODE), ("paired", _BY_MODE), ("oracle", f"NOT {_BAD}")], "contract") + ") SELECT *, row_number() OVER (PARTITION BY contract ORDER BY retention DESC, removal DESC, method) = 1 AS best FROM v",
-    "counterfactual_matrix": f"WITH {_grid()} SELECT *, row_number() OVER (ORDER BY (n_failed = 0)::INT DESC, recall_5 DESC, violation_rate, n_failed, n_clean DESC, (rerank = 'runtime_scope_fit')::INT, CASE diversity WHEN 'no_diversity' THEN 0 WHEN 'max_2_chunks_per_document' THEN 1 ELSE 2 END, pool, strategy, method) AS place FROM gr",
+    "counterfactual_matrix": f"WITH {_grid()}, gx AS (SELECT *, concat_ws(',', CASE WHEN recall_5 < 1 THEN 'summary_recall_at_5' END, CASE WHEN forbidden_rate > 0 THEN 'forbidden_hit_rate' END, CASE WHEN violation_rate > 0 THEN 'solution_boundary_violation_rate' END, CASE WHEN n_failed > 0 THEN 'all_cases_pass_blocking_gate' END) AS failed_gates, row((n_failed = 0)::INT, recall_5, -violation_rate, -n_failed, n_clean) AS key_ FROM gr) SELECT * EXCLUDE (key_), CASE WHEN diversity <> 'no_diversity' AND strategy <> 'S4' THEN key_ > max(CASE WHEN diversity = 'no_diversity' THEN key_ END) OVER (PARTITION BY method, strategy, pool, rerank) END AS diversity_helps, row_number() OVER (ORDER BY (n_failed = 0)::INT DESC, recall_5 DESC, violation_rate, n_failed, n_clean DESC, (rerank = 'runtime_scope_fit')::INT, CASE diversity WHEN 'no_diversity' THEN 0 WHEN 'max_2_chunks_per_document' THEN 1 ELSE 2 END, pool, strategy, method) AS place FROM gx",
     "diverse_topk": f"WITH {_grid()} SELECT q, count(*) FILTER (NOT allowed) AS n_filtered, count(*) FILTER (fits AND rank > 5) AS n_backfilled, count(*) FILTER (allowed AND NOT fits) AS n_skipped, coalesce(string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY place) FILTER (fits), '') AS picks FROM cut WHERE method = 'hybrid_v1' AND strategy = 'S1' AND pool = 20 AND diversity = 'max_1_chunk_per_document' AND rerank = 'original_rank' GROUP BY q",
     "filter_and_backfill": f"WITH {_ROWS}, a AS (SELECT *, ({scopes._STRATEGY['S0']}) = '' AS ok FROM rows_), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, q ORDER BY rank) AS nr FROM a WHERE ok) WHERE nr <= 5) SELECT method, q, n_kept, deepest, n_relevant, n_removed FROM (SELECT method, q, count(*) AS n_kept, max(rank) AS deepest, count(*) FILTER (relevant) AS n_relevant FROM k GROUP BY ALL) FULL JOIN (SELECT method, q, count(*) AS n_removed FROM a WHERE NOT ok GROUP BY ALL) USING (method, q)",
     "hierarchical_candidates": f"WITH {_HIER} SELECT * FROM hc",

@@ -7,7 +7,7 @@ solution numbers 0 to 4, worked out from the keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion
@@ -89,14 +89,21 @@ def gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    """method, q, doc, chunk, rank, score, lexical_rank, vector_rank: the first k of three methods for every case."""
-    m = met(spark, d)
-    lex = fusion.top(m.select("q", "doc", "chunk", F.col("lex").cast("double").alias("score")), "q", [F.desc("score"), "doc", "chunk"], k)
-    vec = fusion.top(m.select("q", "doc", "chunk", F.col("vec").cast("double").alias("score")), "q", [F.desc("score"), "doc", "chunk"], k)
-    both = fusion.hybrid(lex, vec, "q", ["doc", "chunk"], k=k)
-    out = ["method", "q", "doc", "chunk", "rank", "score", "lexical_rank", "vector_rank"]
-    no = F.lit(None).cast("int")
-    return lex.select(F.lit("lexical_v1").alias("method"), "q", "doc", "chunk", "rank", "score", F.col("rank").alias("lexical_rank"), no.alias("vector_rank")).unionByName(vec.select(F.lit("vector_v1").alias("method"), "q", "doc", "chunk", "rank", "score", no.alias("lexical_rank"), F.col("rank").alias("vector_rank"))).unionByName(both.withColumn("method", F.lit("hybrid_v1")).select(out))
+    """method, q, doc, chunk, rank, score, lexical_rank, vector_rank: the first k of three methods for every case.
+
+    Each ranking is made once; their fusion and the rows of all three methods come from the rows that either has."""
+    m, by = met(spark, d), ["q", "doc", "chunk"]
+    order = [F.desc("score"), "doc", "chunk"]
+    no = F.lit(None)
+    one = fusion.top(m.select(*by, F.col("lex").cast("double").alias("score")), "q", order, k).select(*by, F.col("rank").alias("a"), F.col("score").alias("x"), no.cast("int").alias("b"), no.cast("double").alias("y"))
+    two = fusion.top(m.select(*by, F.col("vec").cast("double").alias("score")), "q", order, k).select(*by, no.cast("int").alias("a"), no.cast("double").alias("x"), F.col("rank").alias("b"), F.col("score").alias("y"))
+    both = one.unionByName(two).groupBy(*by).agg(*[F.max(c).alias(c) for c in "axby"])
+    share = lambda c: F.coalesce(F.lit(1.0) / (60 + F.col(c)), F.lit(0.0))
+    both = both.withColumn("z", F.round(share("a") + share("b"), 8)).withColumn("c", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("z"), "doc", "chunk")))
+    out = [("lexical_v1", "a", "x", F.col("a"), no.cast("int")), ("vector_v1", "b", "y", no.cast("int"), F.col("b")), ("hybrid_v1", "c", "z", F.col("a"), F.col("b"))]
+    rows = F.array(*[F.struct(F.lit(n).alias("method"), F.col(r).alias("rank"), F.col(v).alias("score"), lr.alias("lexical_rank"), vr.alias("vector_rank")) for n, r, v, lr, vr in out])
+    each = both.select(*by, F.explode(F.filter(rows, lambda r: r["rank"] <= k)).alias("r"))
+    return each.select("r.method", *by, "r.rank", "r.score", "r.lexical_rank", "r.vector_rank")
 
 
 def told(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:

@@ -11,25 +11,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import durable
+
 #: A key is hot if more than one in HOT rows of a side have it.
 HOT = 2_000
 #: Rows of a key that are never too many for a task.
 LEAST = 1_000
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, hot: int = HOT, least: int = LEAST) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, left_by: list[str], right_by: list[str], hot: int = HOT, least: int = LEAST) -> DataFrame:
     """Inner join on key. A hot key's rows are dealt over a x b parts: left rows go to one of a and meet all b, right rows likewise.
 
-    Rows without a key join nothing. Both sides are read twice: once to count their keys."""
+    left_by, right_by: columns that tell a side's rows apart, by which they are dealt. Rows without a key join nothing. Both sides are read twice: once to count their keys."""
     n_left, n_right = left.groupBy(key).agg(F.count("*").alias("_l")), right.groupBy(key).agg(F.count("*").alias("_r"))
     share_l, share_r = (max(least, -(-(df.agg(F.sum(c)).first()[0] or 0) // hot)) for df, c in ((n_left, "_l"), (n_right, "_r")))
     much = n_left.join(n_right, key).where((F.col("_l") > share_l) | (F.col("_r") > share_r))
     dealt = F.broadcast(much.select(key, F.ceil(F.col("_l") / share_l).cast("int").alias("_a"), F.ceil(F.col("_r") / share_r).cast("int").alias("_b")))
     far = lambda df: df.join(dealt, key, "left")
-    part = lambda n, df: F.when(F.col(n) > 1, F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")).otherwise(0)  # noqa: E731  the same in every attempt
+    part = lambda n, by: F.when(F.col(n) > 1, F.pmod(F.xxhash64(*by), F.col(n)).cast("int")).otherwise(0)  # noqa: E731  the same in every attempt
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    a = far(left).withColumn("_i", part("_a", left)).withColumn("_j", every("_b")).drop("_a", "_b")
-    b = far(right).withColumn("_j", part("_b", right)).withColumn("_i", every("_a")).drop("_a", "_b")
+    a = far(left).withColumn("_i", part("_a", left_by)).withColumn("_j", every("_b")).drop("_a", "_b")
+    b = far(right).withColumn("_j", part("_b", right_by)).withColumn("_i", every("_a")).drop("_a", "_b")
     return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
 
 
@@ -60,47 +62,51 @@ def _product(lists: list[Column]) -> Column:
     return out
 
 
-def overlap_join(queries: DataFrame, documents: DataFrame, filters: list[Overlap], holds: Column | None = None) -> DataFrame:
+def overlap_join(queries: DataFrame, documents: DataFrame, filters: list[Overlap], query_id: str, document_id: str, holds: Column | None = None) -> DataFrame:
     """Pairs of a query and a document that pass all filters and `holds`, a condition on the pair's columns.
 
-    An inverted index over combinations: a document stands under every combination of one element of each filtered list, for each set of
-    filters that some query uses; a query looks its own combinations up. So all filters are met by one equi-join, and what it gives are pairs
-    that pass them all. A pair that shares several elements of a list would be met several times: it counts where the element is the
-    least one shared. Lists are compared as text; null elements share nothing. The column names of the two sides must differ."""
-    text = lambda c: F.transform(F.array_distinct(F.array_compact(c)), lambda x: F.concat(F.lit("="), x.cast("string")))
-    none = F.array().cast("array<string>")
-    q, d = queries, documents
-    for i, f in enumerate(filters):
-        asks = F.coalesce(f.asks, F.lit(False))
-        q = q.withColumn(f"_ask{i}", F.when(asks, F.coalesce(text(f.asked), none)))
-        lacks = F.lit(False) if f.lacks is None else F.coalesce(f.lacks, F.lit(False))
-        d = d.withColumn(f"_have{i}", F.when(lacks, F.array(F.lit(_NONE))).otherwise(F.coalesce(text(f.have), none)))
-    pattern = F.concat(*[F.when(F.col(f"_ask{i}").isNull(), "0").otherwise("1") for i in range(len(filters))])
-    asked = q.withColumn("_pattern", pattern)
+    Queries that ask the same, and documents that have the same lists, are one row each while lists are compared. An inverted index over
+    combinations does that: a document stands under every combination of one element of each filtered list, for each set of filters that
+    some query uses; a query looks its own combinations up. So all filters are met by one equi-join. Lists that share several elements
+    meet several times; what counts is the least one shared. Then lists are opened to their queries and documents again, so only
+    pairs that pass all filters are ever made. Lists are compared as text; null elements share nothing. The two sides' column names
+    must differ."""
+    text = lambda c: F.array_sort(F.transform(F.array_distinct(F.array_compact(c)), lambda x: F.concat(F.lit("="), x.cast("string"))))
+    none, n = F.array().cast("array<string>"), range(len(filters))
+    asks = [F.when(F.coalesce(f.asks, F.lit(False)), F.coalesce(text(f.asked), none)).alias(f"_ask{i}") for i, f in enumerate(filters)]
+    lacks = [F.lit(False) if f.lacks is None else F.coalesce(f.lacks, F.lit(False)) for f in filters]
+    have = [F.when(lacks[i], F.array(F.lit(_NONE))).otherwise(F.coalesce(text(f.have), none)).alias(f"_have{i}") for i, f in enumerate(filters)]
+    sign = lambda name: F.concat_ws(_SEPARATOR, *[F.coalesce(F.array_join(f"{name}{i}", "\x1e"), F.lit(_ANY)) for i in n])
+    q, d = queries.select("*", *asks).withColumn("_q", sign("_ask")), documents.select("*", *have).withColumn("_d", sign("_have"))
+    asked, index = (df.groupBy(s).agg(*[F.first(f"{name}{i}").alias(f"{name}{i}") for i in n]) for df, s, name in ((q, "_q", "_ask"), (d, "_d", "_have")))
+    asked = asked.withColumn("_pattern", F.concat(*[F.when(F.col(f"_ask{i}").isNull(), "0").otherwise("1") for i in n]))
     used = sorted(r["_pattern"] for r in asked.select("_pattern").distinct().collect())  # at most two to the number of filters
     keys = [F.when(F.col(f"_ask{i}").isNull(), F.array(F.lit(_ANY))).otherwise(F.concat(f"_ask{i}", F.array(F.lit(_NONE))) if f.lacks is not None else F.col(f"_ask{i}")) for i, f in enumerate(filters)]
     asked = asked.withColumn("_combo", F.explode(_product(keys))).withColumn("_key", F.concat_ws(_SEPARATOR, "_pattern", F.array_join("_combo", _SEPARATOR))).drop("_pattern")
 
     def keyed(p: str) -> Column:
-        lists = [F.col(f"_have{i}") if p[i] == "1" else F.array(F.lit(_ANY)) for i in range(len(filters))]
+        lists = [F.col(f"_have{i}") if p[i] == "1" else F.array(F.lit(_ANY)) for i in n]
         return F.transform(_product(lists), lambda c: F.concat_ws(_SEPARATOR, F.lit(p), F.array_join(c, _SEPARATOR)))
 
-    under = [keyed(p) for p in used]
-    index = d.withColumn("_key", F.explode(F.concat(*under) if under else none))
-    got = split_join(asked, index, "_key")
-    for i in range(len(filters)):
+    index = index.withColumn("_key", F.explode(F.concat(*[keyed(p) for p in used]) if used else none))
+    met = split_join(asked, index, "_key", ["_q"], ["_d"])
+    for i in n:
         one = F.get("_combo", F.lit(i))
-        got = got.where(one.isin(_ANY, _NONE) | (one == F.array_min(F.array_intersect(f"_ask{i}", f"_have{i}"))))
+        met = met.where(one.isin(_ANY, _NONE) | (one == F.array_min(F.array_intersect(f"_ask{i}", f"_have{i}"))))
+    met = durable(met.select("_q", "_d"), "lists-met")
+    mine = split_join(met, q.select(*queries.columns, "_q"), "_q", ["_d"], [query_id])
+    got = split_join(mine, d.select(*documents.columns, "_d"), "_d", [query_id], [document_id])
     got = got if holds is None else got.where(holds)
-    return got.drop("_key", "_combo", *[f"_{s}{i}" for s in ("ask", "have") for i in range(len(filters))])
+    return got.drop("_q", "_d")
 
 
-def interval_join(intervals: DataFrame, start: str, end: str, points: DataFrame, at: str) -> DataFrame:
+def interval_join(intervals: DataFrame, start: str, end: str, points: DataFrame, at: str, by: tuple[str, str]) -> DataFrame:
     """Pairs of an interval and a point with start <= at <= end; dates, both ends inclusive, a null end is open.
 
     Days are numbered from the first point's. An interval is cut into the fewest buckets of a hierarchy in which a bucket of a level
     holds two of the one below: two of a level at most. A point looks up its bucket on every level. So all is met by one
-    equi-join on level and bucket, long intervals have few buckets, and no pair is met twice. Points without a date and
+    equi-join on level and bucket, long intervals have few buckets, and no pair is met twice. by: the columns that tell intervals, and
+    points, apart. Points without a date and
     intervals that end before they start meet nothing."""
     day = lambda c: F.unix_date(F.col(c).cast("date"))
     span = points.agg(F.min(day(at)).alias("lo"), F.max(day(at)).alias("hi")).first()
@@ -121,4 +127,4 @@ def interval_join(intervals: DataFrame, start: str, end: str, points: DataFrame,
     dealt = cut.withColumn("_key", F.explode(F.array_compact(F.flatten(steps)))).drop("_from", "_to")
     n = day(at) - lo
     asked = points.where(F.col(at).isNotNull()).withColumn("_key", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.shiftright(n, i).cast("string")) for i in range(levels + 1)])))
-    return split_join(asked, dealt, "_key").drop("_key")
+    return split_join(asked, dealt, "_key", [by[1]], [by[0]]).drop("_key")

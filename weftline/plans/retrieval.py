@@ -16,7 +16,7 @@ _ROWS = f"{SQL}, {told_sql('lists', 'rows_')}"
 
 
 def _rows(spark, d):
-    return roles.told(spark, d, roles.lists(spark, d))
+    return roles.held("ranked", lambda: roles.told(spark, d, roles.lists(spark, d)))
 
 
 def _judged(spark, d):
@@ -408,6 +408,8 @@ def _by_rank():
 
 _NAMES = "hybrid_topk relevance_identity strategy_summary case_feasibility failure_taxonomy_cases fallback_reasons method_scores method_summary blocking_gates select_method boundary_rate_v1 recall_ceiling_gates candidate_recall variant_summary item_ranks rank_quality rank_movement rank_regressions case_method_report what_if_without missing_items boundary_causes boundary_distribution boundary_tags_v1 topk_depth cross_method rule_matrix false_exclusions conflict_clusters contract_variants counterfactual_matrix diverse_topk filter_and_backfill hierarchical_candidates materialize_context citation_groups completeness shadow_summary max_view_merge partitioned_retrieval best_rank_merge expand_documents prefilter_bm25 prefilter_vs_postfilter evidence_items query_overlap root_causes"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
+#: Queries that use the ranked pool more than twice.
+QUERIES |= {n: roles.written_once(QUERIES[n]) for n in ("completeness", "topk_depth", "cross_method", "root_causes")}
 
 _RANKS = f"{_ROWS}, mm AS (SELECT unnest(['lexical_v1', 'vector_v1', 'hybrid_v1']) AS method), gi AS (SELECT DISTINCT q, item, kind, doc FROM gold), ik AS (SELECT m.method, g.q, g.item, min(r.rank) AS rank FROM mm m CROSS JOIN (SELECT DISTINCT q, item FROM gi) g LEFT JOIN rows_ r ON r.method = m.method AND r.q = g.q AND r.item = g.item GROUP BY ALL)"
 _MISSING = f"""{_RANKS}, mi AS (SELECT ik.method, ik.q, ik.item, g.kind, ik.rank, CASE WHEN ik.rank IS NOT NULL AND EXISTS (SELECT 1 FROM rows_ r WHERE r.method = ik.method AND r.q = ik.q AND r.doc = g.doc AND r.rank <= 5) THEN CASE g.kind WHEN 'chunk' THEN 'same_document_chunk_crowding' ELSE 'duplicate_document_competition' END

@@ -167,7 +167,7 @@ def _runtime_filters():
 
 def eligible_pairs(spark, d):
     """All cases by all chunks: the pairs without a runtime reason."""
-    pairs = joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), _runtime_filters(), F.size(e.runtime_reasons()) == 0)
+    pairs = joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), _runtime_filters(), "q", "chunk", F.size(e.runtime_reasons()) == 0)
     return pairs.select("q", "chunk")
 
 
@@ -180,13 +180,13 @@ def operational_pairs(spark, d):
         joins.Overlap("solution_ids", F.col("scope"), F.col("applicable"), F.size("scope") > 0), joins.Overlap("tags", F.col("ask_tags"), F.col("tags"), F.size("ask_tags") > 0),
     ]
     pairs = roles.cases(spark, d)
-    return joins.overlap_join(pairs, roles.chunks(spark, d), filters, e.operational_filter(pairs, asked)).select("q", "chunk")
+    return joins.overlap_join(pairs, roles.chunks(spark, d), filters, "q", "chunk", e.operational_filter(pairs, asked)).select("q", "chunk")
 
 
 def effective_documents(spark, d):
     """Documents with the cases whose date lies within theirs, and the first and last of these dates."""
     docs = roles.chunks(spark, d).groupBy("doc").agg(F.min("effective_from").alias("effective_from"), F.min("effective_until").alias("effective_until"))
-    met = joins.interval_join(docs, "effective_from", "effective_until", roles.cases(spark, d).select("q", "effective_on"), "effective_on")
+    met = joins.interval_join(docs, "effective_from", "effective_until", roles.cases(spark, d).select("q", "effective_on"), "effective_on", ("doc", "q"))
     return met.groupBy("doc").agg(F.count("*").alias("n_cases"), F.min("effective_on").alias("first_on"), F.max("effective_on").alias("last_on"), F.sum("q").alias("sum_q"))
 
 
@@ -201,10 +201,10 @@ def all_pairs_confusion(spark, d):
         joins.Overlap("type", F.col("ask_types"), F.array("document_type"), size("ask_types") > 0), joins.Overlap("industry", F.col("ask_industries"), F.col("industries"), size("ask_industries") > 0),
         joins.Overlap("tag", F.col("ask_tags"), F.col("tags"), size("ask_tags") > 0),
     ]
-    met = joins.overlap_join(cases, labels, asked, e.passes_document_filters() & e.mode_allows(F.col("mode"), deny_excluded=True))
+    met = joins.overlap_join(cases, labels, asked, "q", "chunk", e.passes_document_filters() & e.mode_allows(F.col("mode"), deny_excluded=True))
     allowed = met.join(barred, ["q", "doc"], "left").withColumn("forbidden_document", F.coalesce("forbidden_document", F.lit(False)))
     scope = [joins.Overlap("scope", F.col("scope"), F.col("applicable"), size("scope") > 0, F.col("scope_type") == e.GLOBAL)]
-    within = joins.overlap_join(cases, labels, scope, size(e.boundary_reasons(F.lit(False))) == 0)
+    within = joins.overlap_join(cases, labels, scope, "q", "chunk", size(e.boundary_reasons(F.lit(False))) == 0)
     # pairs with gold: expected ones, and those of forbidden documents
     want, _ = roles.gold(spark, d)
     said = want.where("kind = 'chunk'").select("q", "chunk").unionByName(want.where("kind = 'document'").select("q", "doc").join(labels.select("doc", "chunk"), "doc").select("q", "chunk")).distinct()

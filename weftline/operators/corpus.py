@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,6 +279,42 @@ def scan_leaks(texts: DataFrame, key: str, text: str, markers: list[str], ids: D
     return has.unionByName(leaked)
 
 
+def find_ids(texts: DataFrame, key: str, text: str, ids: DataFrame, id: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """key, found: every id that occurs in a text as a substring, inside longer runs of letters or digits too, once a row.
+
+    One automaton over all ids reads each text once, whatever their number (Aho-Corasick). Ids of more than most_bytes are dealt by hash
+    into parts of about that size, and the texts are read once for each part; no task holds more than one part's automaton. Null and
+    empty ids and texts give nothing."""
+    spark = texts.sparkSession
+    known = ids.select(F.col(id).cast("string").alias("found")).where("found <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("found") + 8)).first()[0] or 0
+    parts, kind, out = max(1, -(-size // most_bytes)), dict(texts.dtypes)[key], None
+    for part in range(parts):
+        mine = [r.found for r in (known if parts == 1 else known.where(F.pmod(F.xxhash64("found"), F.lit(parts)) == part)).collect()]  # about most_bytes
+        got = texts.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(_searching(spark.sparkContext.broadcast(mine), key), f"{key} {kind}, found string")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _searching(ids, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for x in ids.value:
+            search.add_word(x, x)
+        search.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if ids.value else []):
+                hit = sorted({x for _, x in search.iter(text or "")})
+                at += [i] * len(hit)
+                found += hit
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=[key, "found"])
+
+    return run
+
+
 def gold_isolation(payloads: DataFrame, key: str, json: str, gold: list[str]) -> DataFrame:
     """key, leaked: gold fields among the keys of each payload (a JSON object)."""
     return payloads.select(key, F.array_join(F.array_sort(F.array_intersect(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, gold)))), ",").alias("leaked")).where("leaked <> ''")

@@ -178,3 +178,26 @@ def run_summary(runs: DataFrame, parse_errors: DataFrame, validation_errors: Dat
     schema = F.when(a, F.lit(None)).when(bad | F.col("_v").isNotNull(), False).when(fine, True).when(told, False)
     n = F.when(F.col("_v").isNotNull(), F.col("_v")).when(~a & ~bad & fine, F.lit(0))
     return j.withColumn("json_success", js).withColumn("schema_success", schema).withColumn("n_validation_errors", n.cast("long")).drop("_p", "_v")
+
+
+RUN_FILES = ["run_metadata.json", "json_parse_error.json", "validation_error.json", "parsed_report.json"]
+
+
+def runs_of_folders(folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row a run as run_summary gives it, warnings: folder, file, warning) of run folders (folder and the text of each of RUN_FILES).
+
+    A folder without metadata, or with metadata that is no JSON object, is a warning and no run; an optional file that is no JSON
+    object is a warning and counts as absent. Errors are counted as n_errors says, else by the length of `errors`."""
+    good = lambda c: F.col(c).isNotNull() & F.json_object_keys(c).isNotNull()
+    get = lambda c, path: F.when(good(c), F.get_json_object(c, path))
+    m, v = "run_metadata", "validation_error"
+    rows = folders.where(good(m)).select(
+        F.coalesce(get(m, "$.run_id"), F.col("folder")).alias("run"), *[get(m, f"$.{c}").alias(c) for c in ("architecture", "case_id", "status", "error_type", "started_at")],
+        *[get(m, f"$.usage.{c}").cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")], F.col("parsed_report").isNotNull().alias("has_report"), F.col(m).alias("detail"),
+        good("json_parse_error").alias("_p"), F.when(good(v), F.coalesce(get(v, "$.n_errors").cast("long"), F.json_array_length(get(v, "$.errors")).cast("long"), F.lit(0))).alias("n_errors"),
+    )
+    told = run_summary(rows.drop("_p", "n_errors"), rows.where("_p").select("run"), rows.where("n_errors is not null").select("run", "n_errors"), "run")
+    optional = [F.when(F.col(c).isNotNull() & ~good(c), F.struct(F.lit(f"{c}.json").alias("file"), F.lit("unreadable").alias("warning"))) for c in ("json_parse_error", v)]
+    first = F.when(F.col(m).isNull(), F.struct(F.lit(RUN_FILES[0]).alias("file"), F.lit("missing").alias("warning"))).when(~good(m), F.struct(F.lit(RUN_FILES[0]).alias("file"), F.lit("unreadable").alias("warning")))
+    warned = folders.select("folder", F.explode(F.array_compact(F.array(first, *optional))).alias("w")).select("folder", "w.*")
+    return told, warned

@@ -28,6 +28,29 @@ def read_jsonl(spark, d):
     return good.select(F.lit("read").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n_lines"))
 
 
+NESTED = T.StructType([
+    T.StructField("doc_id", T.LongType(), False), T.StructField("kind", T.StringType(), True, {"enum": ["note", "case"]}),
+    T.StructField("scope", T.StructType([T.StructField("lang", T.StringType(), False), T.StructField("sizes", T.ArrayType(T.IntegerType(), False))]), False),
+])
+
+
+def rejected_lines(spark, d):
+    """Lines of nested records in files of their own, spoiled by their id: file, number and reason of each that is rejected."""
+    path, i = fresh_path(spark, "nested"), F.col("doc_id") % 11
+    scope = F.concat(F.lit('{"lang":"en","sizes":['), F.when(i == 2, '1,"x",3').when(i == 3, "1,null").otherwise("1,2"), F.lit("]"), F.when(i == 4, ',"more":{"a":1}').otherwise(""), F.lit("}"))
+    line = F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"kind":"'), F.when(i == 5, "memo").otherwise("note"), F.lit('","scope":'), F.when(i == 6, "[1]").when(i == 7, '{"sizes":[]}').otherwise(scope), F.lit("}"))
+    rows = _t(spark, d, "documents").select((F.col("doc_id") % 16).alias("k"), "doc_id", F.when(i == 8, "").when(i == 9, "{oops").otherwise(line).alias("value"))
+    rows.repartition("k").sortWithinPartitions("k", "doc_id").select("k", "value").write.partitionBy("k").text(path)
+    _, bad = read_lines(spark, path, NESTED)
+    return bad.select(F.regexp_extract("file", "k=([0-9]+)", 1).cast("long").alias("k"), "line", "reason")
+
+
+def find_ids(spark, d):
+    """Supplier numbers of three digits and more that occur anywhere in page sources, inside longer numbers too."""
+    ids = _t(spark, d, "supplier").where("s_suppkey >= 10").select(F.col("s_suppkey").cast("string").alias("id"))
+    return corpus.find_ids(_t(spark, d, "pages"), "page_id", "html", ids, "id")
+
+
 def write_jsonl(spark, d):
     path = fresh_path(spark, "written")
     for _ in range(2):  # the second write replaces the first
@@ -262,7 +285,7 @@ def solution_query_text(spark, d):
     return matching.solution_query_text(opps, pains, impacts, "l_orderkey")
 
 
-_NAMES = "read_jsonl write_jsonl build_manifest document_checks corpus_checks case_checks case_coverage label_checks label_counts seed_checks scan_leaks gold_isolation unsafe_reasons normalize_text tokenize_for_match split_sections chunk_documents inherit_metadata derive_scope enriched_chunk_text context_view_text document_level_corpus with_children_text authoring_packet payload_consistency opaque_ids_both_ways hash_embedding embedding_delta decompose_query augment_query request_query match_solutions solution_query_text"
+_NAMES = "rejected_lines find_ids read_jsonl write_jsonl build_manifest document_checks corpus_checks case_checks case_coverage label_checks label_counts seed_checks scan_leaks gold_isolation unsafe_reasons normalize_text tokenize_for_match split_sections chunk_documents inherit_metadata derive_scope enriched_chunk_text context_view_text document_level_corpus with_children_text authoring_packet payload_consistency opaque_ids_both_ways hash_embedding embedding_delta decompose_query augment_query request_query match_solutions solution_query_text"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 
@@ -285,6 +308,9 @@ def _names_sql(x: str) -> str:
 _UNIT = """WITH h AS (SELECT item_id, sha256('document' || chr(31) || text) AS a FROM benchmark), g AS (SELECT item_id, a || sha256(unhex(a)) AS x FROM h), v AS (SELECT item_id, list_transform(range(40), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS INT) / CAST(255 AS DOUBLE) * 2 - 1) AS v FROM g)"""
 ORACLE = {
     "read_jsonl": "SELECT CASE doc_id % 9 WHEN 0 THEN 'bad JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'invalid field: n_chars' WHEN 3 THEN 'unknown field: extra' WHEN 5 THEN 'invalid field: doc_id' ELSE 'read' END AS reason, count(*) AS n_lines FROM documents WHERE doc_id % 9 <> 4 GROUP BY 1",
+    "rejected_lines": """WITH n AS (SELECT doc_id % 16 AS k, doc_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line, doc_id % 11 AS i FROM documents)
+        SELECT k, line, CASE i WHEN 2 THEN 'invalid field: scope.sizes[1]' WHEN 3 THEN 'invalid field: scope.sizes[1]' WHEN 4 THEN 'unknown field: scope.more' WHEN 5 THEN 'invalid field: kind' WHEN 6 THEN 'invalid field: scope' WHEN 7 THEN 'invalid field: scope.lang' ELSE 'bad JSON' END AS reason FROM n WHERE i BETWEEN 2 AND 9 AND i <> 8""",
+    "find_ids": "SELECT page_id, CAST(s_suppkey AS VARCHAR) AS found FROM pages JOIN supplier ON s_suppkey >= 10 AND contains(html, CAST(s_suppkey AS VARCHAR))",
     "write_jsonl": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
     "build_manifest": f"WITH {_DOCS}, s AS (SELECT doc, list_transform(applicable, lambda x: x + doc % 3) AS a FROM docs), f AS (SELECT x, min(row(doc, i)) AS at_ FROM (SELECT doc, unnest(a) AS x, unnest(range(len(a))) AS i FROM s) GROUP BY x), t AS (SELECT document_type, count(*) AS n FROM docs GROUP BY 1) SELECT (SELECT count(*) FROM docs) AS n_documents, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT string_agg(document_type || ':' || n, ',' ORDER BY document_type) FROM t) AS types, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY at_) FROM f) AS solutions",
     "document_checks": f"""WITH {_DOCS}, x AS (SELECT doc, title, CASE WHEN doc % 5 = 0 THEN 'short' ELSE summary END AS summary, CASE WHEN doc % 7 = 0 THEN ' ' || upper(title) || '  ' ELSE content END AS content, effective_from, CASE WHEN doc % 11 = 0 THEN effective_from - 1 ELSE effective_until END AS effective_until, source_uri AS u FROM docs),

@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..operators import checks, metrics, responses, runs
+from ..shared import fresh_path
 from . import retrieval, roles
 from .roles import table as _t
 
@@ -106,6 +108,33 @@ def run_summary(spark, d):
     return got.groupBy("architecture", "json_success", "schema_success").agg(F.count("*").alias("n_runs"), F.sum("n_validation_errors").alias("n_errors"))
 
 
+def _run_files(spark, d):
+    """(run, name, value) of the files of run folders, a supplier a run: some without metadata, some with files that cannot be read."""
+    i = F.col("s_suppkey")
+    arch = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (i % 3 + 1).cast("int"))
+    status = F.when(i % 5 == 0, "failed").otherwise("success")
+    meta = F.when(i % 13 == 0, "{broken").otherwise(F.to_json(F.struct(i.cast("string").alias("run_id"), arch.alias("architecture"), status.alias("status"), F.when(i % 10 == 0, "invalid_json").alias("error_type"), F.when(i % 15 == 5, "answer is Invalid JSON").alias("error"), F.struct((i * 10).alias("prompt_tokens"), (i * 12).alias("total_tokens")).alias("usage"))))
+    files = [("run_metadata.json", F.when(i % 17 != 0, meta)), ("json_parse_error.json", F.when(i % 7 == 0, F.when(i % 14 == 0, "oops").otherwise('{"line": 1}'))), ("validation_error.json", F.when(i % 4 == 0, F.when(i % 8 == 0, '{"errors": [1, 2]}').otherwise('{"n_errors": 5}'))), ("parsed_report.json", F.when(i % 5 != 0, "{}"))]
+    each = _t(spark, d, "supplier").select(i.alias("run"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in files])).alias("f"))
+    return each.select("run", "f.*").where("value is not null")
+
+
+def _folders(spark, d):
+    path = fresh_path(spark, "runs")
+    _run_files(spark, d).repartition("run").write.partitionBy("run", "name").text(path)
+    return sources.read_folders(spark, f"{path}/*/*/*.txt", runs.RUN_FILES, r"run=([^/]+)/name=([^/]+)/[^/]+$")
+
+
+def run_folders(spark, d):
+    """Runs read back from their folders."""
+    told, _ = runs.runs_of_folders(_folders(spark, d))
+    return told.select("run", "architecture", "status", "error_type", "prompt_tokens", "total_tokens", "json_success", "schema_success", "n_validation_errors")
+
+
+def run_warnings(spark, d):
+    return runs.runs_of_folders(_folders(spark, d))[1]
+
+
 def _responses(spark, d):
     """Conversations as responses: the first assistant turn is the proposed text, user turns the pains, the rest by the number."""
     t = _t(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("s"), F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"), F.count_if(F.col("role") == "user").alias("u"))
@@ -216,13 +245,19 @@ def recompute_and_compare(spark, d):
     return checks.diff(stored, again, "method", [c for c in again.columns if c not in ("method", "latency", "reasons")])
 
 
-_NAMES = "request_cost node_model_gates routing_table_gated budget_with_unknown_costs pilot_totals failure_summaries failure_taxonomy evaluate_assertions run_summary response_scores score_averages problem_cases recommend_provider annotation_checks effective_annotations human_summary merged_remarks review_packets observability recompute_and_compare"
+_NAMES = "run_folders run_warnings request_cost node_model_gates routing_table_gated budget_with_unknown_costs pilot_totals failure_summaries failure_taxonomy evaluate_assertions run_summary response_scores score_averages problem_cases recommend_provider annotation_checks effective_annotations human_summary merged_remarks review_packets observability recompute_and_compare"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _REC = _R + """, fr AS (SELECT run, node, model, status, error_type, concat_ws(',', CASE WHEN NOT coalesce(schema_ok, false) THEN 'schema' END, CASE WHEN NOT rule_ok THEN 'rule' END, CASE WHEN NOT coalesce(boundary_ok, false) THEN 'boundary' END) AS types, (NOT coalesce(schema_ok, false))::INT + (NOT coalesce(boundary_ok, false))::INT AS n_blocking, (NOT rule_ok)::INT AS n_other, error_message,
         concat_ws(',', CASE WHEN NOT coalesce(boundary_ok, false) THEN 'boundary' END, CASE WHEN NOT rule_ok THEN 'rule' END, CASE WHEN NOT coalesce(schema_ok, false) THEN 'schema' END) AS sorted, json_ok, schema_ok, rule_ok, evidence_ok, boundary_ok FROM r WHERE status <> 'passed'),
     fs AS (SELECT *, CASE WHEN x = '' THEN 'Benchmark failure without additional summary.' WHEN length(x) <= 60 THEN x ELSE substr(x, 1, 57) || '...' END AS summary FROM (SELECT *, concat_ws(' | ', 'error_type=' || error_type, CASE WHEN sorted <> '' THEN 'assertions=' || sorted END, error_message) AS x FROM fr))"""
+_FOLDERS = """f AS (SELECT s_suppkey AS i, s_suppkey % 17 <> 0 AS m, s_suppkey % 17 <> 0 AND s_suppkey % 13 <> 0 AS ok, s_suppkey % 7 = 0 AND s_suppkey % 14 <> 0 AS p, CASE WHEN s_suppkey % 8 = 0 THEN 2 WHEN s_suppkey % 4 = 0 THEN 5 END AS v, s_suppkey % 5 <> 0 AS rep FROM supplier),
+    r AS (SELECT *, ['A', 'B', 'C'][i % 3 + 1] AS architecture, CASE WHEN i % 5 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN i % 10 = 0 THEN 'invalid_json' END AS error_type, i % 10 = 0 OR p AS bad, i % 15 = 5 AS says FROM f WHERE ok)"""
 ORACLE = {
+    "run_folders": f"""WITH {_FOLDERS} SELECT CAST(i AS VARCHAR) AS run, architecture, status, error_type, i * 10 AS prompt_tokens, i * 12 AS total_tokens, CASE WHEN architecture = 'A' THEN NULL WHEN bad THEN false WHEN v IS NOT NULL THEN true WHEN status = 'success' AND rep THEN true WHEN says OR error_type IS NOT NULL THEN false END AS json_success,
+        CASE WHEN architecture = 'A' THEN NULL WHEN bad OR v IS NOT NULL THEN false WHEN status = 'success' AND rep THEN true WHEN says OR error_type IS NOT NULL THEN false END AS schema_success, CASE WHEN v IS NOT NULL THEN v WHEN architecture <> 'A' AND NOT bad AND status = 'success' AND rep THEN 0 END AS n_validation_errors FROM r""",
+    "run_warnings": f"""WITH {_FOLDERS} SELECT CAST(i AS VARCHAR) AS folder, 'run_metadata.json' AS file, CASE WHEN m THEN 'unreadable' ELSE 'missing' END AS warning FROM f WHERE NOT ok AND (m OR i % 7 = 0 OR v IS NOT NULL OR rep)
+        UNION ALL SELECT CAST(i AS VARCHAR), 'json_parse_error.json', 'unreadable' FROM f WHERE i % 14 = 0""",
     "request_cost": f"WITH {_R} SELECT model, count(cost) AS n_priced, count(*) AS n_runs, round(sum(cost), 4) AS cost FROM r GROUP BY 1",
     "node_model_gates": f"WITH {_S} SELECT node, model, n_runs, n_passed, n_errors, n_blocked, json_ok_rate, schema_ok_rate, evidence_ok_rate, boundary_ok_rate, rule_ok_rate, mean_latency, tokens, cost, reasons, reasons = '' AS eligible FROM s",
     "routing_table_gated": f"WITH {_S}, o AS (SELECT *, NOT list_contains(string_split(reasons, ','), 'request_error') AND n_runs >= 10 AS ok FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY node, ok ORDER BY CASE WHEN coalesce(cost, 0) = 0 THEN 999999 ELSE cost END, mean_latency, tokens, model) AS place FROM o) SELECT node, max(model) FILTER (ok AND place = 1) AS \"primary\", max(model) FILTER (ok AND place = 2) AS fallback, coalesce(string_agg(model, ',' ORDER BY model) FILTER (NOT ok), '') AS disqualified, CASE WHEN count(*) FILTER (ok) = 0 THEN 'no_eligible_model' ELSE 'route_ready' END AS status FROM p GROUP BY node",

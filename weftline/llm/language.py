@@ -256,4 +256,4 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, **limits) -> DataFrame:
     """Fit on training_rows(docs), predict every row; held_out marks rows that were not learned from."""
     said = predict(docs, fit(training_rows(docs), **limits))
-    return said.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_char")
+    return said.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_char")

@@ -45,7 +45,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
     known = labels.where((fold("doc_id", 5) != 0) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
     got = quality_model.classify(docs, docs.select("doc_id", "text"), known)
-    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return got.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = fresh_path(spark, "warc")
     archive.write_archive(_t(spark, sf_dir, "pages"), folder, min_bytes=0)
-    got = archive.read_archive(spark, folder)
-    return got.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return archive.read_index(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +94,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
     known = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
     got = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "text"), known, power=2.0))
-    return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+    return got.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def bpe_digests(docs: DataFrame, stored: bool, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:

@@ -18,7 +18,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import split_join
+from .components import _spread
+
 SUPPORT, CONFIDENCE, DEFAULT = 0.005, 0.8, "allow"
+#: Rules that are sent to all tasks; each of them has its support, so they are few.
+BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,7 +92,9 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     each = sets.select("items", F.explode("items").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("n"))
     index = _by_rarest(rules, often).select("t", F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.size("tokens")).alias("z"), "tokens", "verdict").alias("rule"))
-    hit = each.join(index, "t").where(F.size(F.array_except("rule.tokens", "items")) == 0)
+    few = rules.count() <= BROADCAST_RULES
+    met = each.join(F.broadcast(index), "t") if few else split_join(each, index, "t", ["items"], ["rule"])  # a token may be in every url
+    hit = met.where(F.size(F.array_except("rule.tokens", "items")) == 0)
     return hit.groupBy("items").agg(F.min("rule").alias("best")).select("items", F.col("best.verdict").alias("mined"), F.col("best.tokens").alias("mined_tokens"), (-F.col("best.c")).alias("confidence"))
 
 
@@ -100,5 +107,5 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], support: float = SUPPOR
     # equal baskets are common; FP-growth reads them as rows, matching reads each once
     learned = durable(pruned(durable(mine(p.select("items", F.col("own").alias("verdict")), support, confidence), "mined")), "rules")
     best = match(p.where("own is null"), learned)
-    got = p.join(best, "items", "left")
+    got = _spread(p, durable(best, "best"), "items", "left")  # many urls have the same tokens, or none
     return got.select("page_id", "host", "path", "rule", F.coalesce("own", "mined", F.lit(default)).alias("verdict"), F.when(F.col("own").isNull(), F.col("mined_tokens")).alias("mined_tokens"), F.when(F.col("own").isNull(), F.col("confidence")).alias("confidence"))

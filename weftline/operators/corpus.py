@@ -231,6 +231,34 @@ def case_checks(cases: DataFrame, gold: DataFrame, forbidden: DataFrame, docs: D
     return out
 
 
+def case_identity_checks(cases: DataFrame, sources: DataFrame, known: DataFrame, case: str) -> DataFrame:
+    """check, id, n: repeated case ids, source cases that are not known, solutions that are unknown or not among those selected.
+
+    cases: case, source_case, solutions (all a case names); sources: source_case; known: solution, selected."""
+    rows = lambda df, name, n: df.select(F.lit(name).alias("check"), F.col(case).cast("string").alias("id"), n.cast("long").alias("n"))
+    again = cases.groupBy(case).agg(F.count("*").alias("n")).where("n > 1")
+    stray = cases.join(sources.select("source_case").distinct(), "source_case", "left_anti").groupBy(case).agg(F.count("*").alias("n"))
+    used = cases.select(case, F.explode(F.array_distinct("solutions")).alias("solution")).distinct().join(known, "solution", "left")
+    per = used.groupBy(case).agg(F.count_if(F.col("selected").isNull()).alias("unknown"), F.count_if(~F.col("selected")).alias("beyond"))
+    out = rows(again, "repeated_case", F.col("n")).unionByName(rows(stray, "unknown_source_case", F.col("n")))
+    return out.unionByName(rows(per.where("unknown > 0"), "unknown_solution", F.col("unknown"))).unionByName(rows(per.where("beyond > 0"), "solution_out_of_scope", F.col("beyond")))
+
+
+def inheritance_checks(docs: DataFrame, chunks: DataFrame, manifest: DataFrame, columns: list[str]) -> DataFrame:
+    """check, id, n: chunks whose column differs from their document's (lists as sets), and counts of the manifest that are wrong.
+
+    docs: doc and columns; chunks: chunk, doc and columns; manifest: one row with n_documents and n_chunks. n of a count is the true one."""
+    kinds, p = dict(docs.dtypes), chunks.join(docs.select("doc", *[F.col(c).alias(f"_{c}") for c in columns]).dropDuplicates(["doc"]), "doc")
+    own = lambda c: F.array_sort(F.array_distinct(c)) if kinds[c.lstrip("_")].startswith("array") else F.col(c)
+    wrong = F.array_compact(F.array(*[F.when(~own(c).eqNullSafe(own(f"_{c}")), F.lit(f"{c}_mismatch")) for c in columns]))
+    out = p.select(F.explode(wrong).alias("check"), F.col("chunk").cast("string").alias("id"), F.lit(1).cast("long").alias("n"))
+    for name, df in (("n_documents", docs), ("n_chunks", chunks)):
+        told = manifest.select(F.lit(1).alias("_k"), F.col(name).alias("told"))
+        got = df.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1)).join(told, "_k").where("n <> told")
+        out = out.unionByName(got.select(F.lit(f"{name}_mismatch").alias("check"), F.lit("manifest").alias("id"), "n"))
+    return out
+
+
 def case_coverage(cases: DataFrame, by: list[str]) -> DataFrame:
     """dimension, value, n: cases of every value of every column in `by`, in one pass."""
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in by]))

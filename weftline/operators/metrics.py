@@ -151,3 +151,11 @@ def what_if_without(scores: DataFrame, reasons: list[str], order: list[str], met
     n = left.groupBy(method).agg(F.count_if(F.size("reasons") > 0).alias("n_failed"), F.count_if(F.size("reasons") == 0).alias("n_passed"))
     said = first_seen(left, [method], "reasons", order, "remaining")
     return n.join(said, method, "left").withColumn("remaining", F.coalesce("remaining", F.array().cast("array<string>")))
+
+
+def first_generation_reasons() -> Column:
+    """Ordered reasons against a case's run as the first generation has them, without a minimum of hits; eligible if there is none.
+
+    From request_error, recall_5, forbidden_hit and boundary_violation."""
+    named = {"request_error": F.col("request_error"), "recall_at_5_below_pilot_gate": F.col("recall_5") < 1, "forbidden_hit_detected": F.col("forbidden_hit"), "solution_boundary_violation": F.col("boundary_violation")}
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))

@@ -99,6 +99,23 @@ def case_checks(spark, d):
     return corpus.case_checks(roles.cases(spark, d).withColumn("minimum_hits", F.col("minimum_hits") + 1), want, bad, docs, chunks, "q")
 
 
+def case_identity_checks(spark, d):
+    """Cases with a source by their number, some of them twice; solutions 0 to 4 are known, without 3 selected."""
+    c = roles.cases(spark, d).select("q", (F.col("q") % 13).alias("source_case"), F.array_union("scope", F.array_union("forbidden", F.array(F.col("q") % 7))).alias("solutions"))
+    known = spark.createDataFrame([(i, i != 3) for i in roles.SOLUTIONS], "solution long, selected boolean")
+    sources = spark.createDataFrame([(i,) for i in range(13) if i != 5], "source_case long")
+    return corpus.case_identity_checks(c.unionByName(c.where("q % 20 = 0")), sources, known, "q")
+
+
+def inheritance_checks(spark, d):
+    """Chunks some of whose lists are spoiled by their key, and a manifest with a wrong number of chunks."""
+    c = roles.chunks(spark, d).select("chunk", "doc", "document_type", "industries", "status")
+    docs = c.where("chunk % 3 = 0").select("doc", "document_type", "industries", "status")
+    bad = c.withColumn("industries", F.when(F.col("chunk") % 10 == 4, F.array_append("industries", "i9")).when(F.col("chunk") % 10 == 5, F.concat("industries", "industries")).otherwise(F.col("industries"))).withColumn("status", F.when(F.col("chunk") % 17 == 1, "draft").otherwise(F.col("status")))
+    manifest = docs.agg(F.count("*").alias("n_documents"), (F.count("*") + 1).alias("n_chunks"))
+    return corpus.inheritance_checks(docs, bad, manifest, ["document_type", "industries", "status"])
+
+
 def case_coverage(spark, d):
     c = roles.cases(spark, d).select((F.col("q") % 8).alias("query_type"), (F.size("forbidden") > 0).alias("forbids"), F.size("scope").alias("scope"))
     return corpus.case_coverage(c, ["query_type", "forbids", "scope"])
@@ -285,7 +302,7 @@ def solution_query_text(spark, d):
     return matching.solution_query_text(opps, pains, impacts, "l_orderkey")
 
 
-_NAMES = "rejected_lines find_ids read_jsonl write_jsonl build_manifest document_checks corpus_checks case_checks case_coverage label_checks label_counts seed_checks scan_leaks gold_isolation unsafe_reasons normalize_text tokenize_for_match split_sections chunk_documents inherit_metadata derive_scope enriched_chunk_text context_view_text document_level_corpus with_children_text authoring_packet payload_consistency opaque_ids_both_ways hash_embedding embedding_delta decompose_query augment_query request_query match_solutions solution_query_text"
+_NAMES = "case_identity_checks inheritance_checks rejected_lines find_ids read_jsonl write_jsonl build_manifest document_checks corpus_checks case_checks case_coverage label_checks label_counts seed_checks scan_leaks gold_isolation unsafe_reasons normalize_text tokenize_for_match split_sections chunk_documents inherit_metadata derive_scope enriched_chunk_text context_view_text document_level_corpus with_children_text authoring_packet payload_consistency opaque_ids_both_ways hash_embedding embedding_delta decompose_query augment_query request_query match_solutions solution_query_text"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 
@@ -327,6 +344,12 @@ ORACLE = {
     "case_checks": f"""WITH {SQL}, n AS (SELECT q, count(*) AS n FROM gold GROUP BY q), nd AS (SELECT q, doc FROM gold WHERE kind = 'document') SELECT 'impossible_minimum_hits' AS "check", CAST(q AS VARCHAR) AS id, CAST(1 AS BIGINT) AS n FROM cases LEFT JOIN n USING (q) WHERE minimum_hits + 1 > coalesce(n, 0)
         UNION ALL SELECT 'unknown_document', CAST(q AS VARCHAR), count(*) FROM (SELECT q, doc FROM nd UNION ALL SELECT q, doc FROM bad) WHERE doc NOT IN (SELECT doc FROM chunks WHERE chunk % 3 = 0 AND doc % 10 <> 3) GROUP BY q UNION ALL SELECT 'unknown_chunk', CAST(q AS VARCHAR), count(*) FROM gold WHERE kind = 'chunk' AND chunk NOT IN (SELECT chunk FROM chunks WHERE chunk % 10 <> 4) GROUP BY q
         UNION ALL SELECT 'chunk_beyond_expected_documents', CAST(q AS VARCHAR), count(*) FROM gold g WHERE kind = 'chunk' AND q IN (SELECT q FROM nd) AND NOT EXISTS (SELECT 1 FROM nd WHERE nd.q = g.q AND nd.doc = g.doc) GROUP BY q""",
+    "case_identity_checks": f"""WITH {SQL}, c0 AS (SELECT q, q % 13 AS source, list_distinct(list_concat(scope, forbidden, [q % 7])) AS sols FROM cases), c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c0 WHERE q % 20 = 0), u AS (SELECT DISTINCT q, unnest(sols) AS s FROM c)
+        SELECT 'repeated_case' AS "check", CAST(q AS VARCHAR) AS id, count(*) AS n FROM c GROUP BY q HAVING count(*) > 1 UNION ALL SELECT 'unknown_source_case', CAST(q AS VARCHAR), count(*) FROM c WHERE source = 5 GROUP BY q UNION ALL SELECT 'unknown_solution', CAST(q AS VARCHAR), count(*) FROM u WHERE s > 4 GROUP BY q UNION ALL SELECT 'solution_out_of_scope', CAST(q AS VARCHAR), count(*) FROM u WHERE s = 3 GROUP BY q""",
+    "inheritance_checks": f"""WITH {SQL}, dc AS (SELECT doc, document_type, list_sort(industries) AS ind, status FROM chunks WHERE chunk % 3 = 0), b AS (SELECT chunk, doc, document_type, CASE WHEN chunk % 10 = 4 THEN list_sort(list_distinct(list_append(industries, 'i9'))) ELSE list_sort(industries) END AS ind, CASE WHEN chunk % 17 = 1 THEN 'draft' ELSE status END AS status FROM chunks),
+        j AS (SELECT b.chunk, b.document_type <> dc.document_type AS a, b.ind <> dc.ind AS b_, b.status <> dc.status AS c FROM b JOIN dc USING (doc))
+        SELECT 'document_type_mismatch' AS "check", CAST(chunk AS VARCHAR) AS id, CAST(1 AS BIGINT) AS n FROM j WHERE a UNION ALL SELECT 'industries_mismatch', CAST(chunk AS VARCHAR), 1 FROM j WHERE b_ UNION ALL SELECT 'status_mismatch', CAST(chunk AS VARCHAR), 1 FROM j WHERE c
+        UNION ALL SELECT 'n_chunks_mismatch', 'manifest', (SELECT count(*) FROM chunks) WHERE (SELECT count(*) FROM chunks) <> (SELECT count(*) FROM dc) + 1""",
     "case_coverage": f"WITH {SQL} SELECT 'query_type' AS dimension, CAST(q % 8 AS VARCHAR) AS value, count(*) AS n FROM cases GROUP BY 2 UNION ALL SELECT 'forbids', CASE WHEN len(forbidden) > 0 THEN 'true' ELSE 'false' END, count(*) FROM cases GROUP BY 2 UNION ALL SELECT 'scope', CAST(len(scope) AS VARCHAR), count(*) FROM cases GROUP BY 2",
     "label_checks": f"""WITH {SQL}, t AS (SELECT doc, any_value(default_mode) AS dm FROM chunks GROUP BY doc), x AS (SELECT doc, doc % 17 <> 0 AS l, doc % 37 <> 0 AS t, (SELECT count(*) FROM chunks c WHERE c.doc = t.doc) AS n FROM t)
         SELECT doc, issues FROM (SELECT doc, concat_ws(',', CASE WHEN l AND NOT t THEN 'not_in_template' END, CASE WHEN t AND NOT l THEN 'not_labelled' END, CASE WHEN l AND t AND doc % 19 = 0 THEN 'place_moved' END, CASE WHEN l AND t AND doc % 23 = 0 AND n > 1 THEN 'chunks_differ' END, CASE WHEN l AND doc % 29 = 0 THEN 'default_mode_not_allowed' END, CASE WHEN l AND doc % 31 = 0 THEN 'override_not_allowed' END) AS issues FROM x WHERE l OR t) WHERE issues <> ''""",

@@ -48,6 +48,12 @@ def method_scores(spark, d):
     return _scores(spark, d).withColumn("reasons", F.array_join("reasons", ","))
 
 
+def case_reasons_v1(spark, d):
+    """Every case and method by the first generation's reasons."""
+    s = _scores(spark, d).withColumn("reasons", metrics.first_generation_reasons())
+    return s.select("q", "method", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible_for_rag"))
+
+
 def _summary(spark, d):
     return metrics.method_summary(_scores(spark, d), ["q"])
 
@@ -406,7 +412,7 @@ def _by_rank():
     return Window.partitionBy("method", "q").orderBy("rank")
 
 
-_NAMES = "hybrid_topk relevance_identity strategy_summary case_feasibility failure_taxonomy_cases fallback_reasons method_scores method_summary blocking_gates select_method boundary_rate_v1 recall_ceiling_gates candidate_recall variant_summary item_ranks rank_quality rank_movement rank_regressions case_method_report what_if_without missing_items boundary_causes boundary_distribution boundary_tags_v1 topk_depth cross_method rule_matrix false_exclusions conflict_clusters contract_variants counterfactual_matrix diverse_topk filter_and_backfill hierarchical_candidates materialize_context citation_groups completeness shadow_summary max_view_merge partitioned_retrieval best_rank_merge expand_documents prefilter_bm25 prefilter_vs_postfilter evidence_items query_overlap root_causes"
+_NAMES = "case_reasons_v1 hybrid_topk relevance_identity strategy_summary case_feasibility failure_taxonomy_cases fallback_reasons method_scores method_summary blocking_gates select_method boundary_rate_v1 recall_ceiling_gates candidate_recall variant_summary item_ranks rank_quality rank_movement rank_regressions case_method_report what_if_without missing_items boundary_causes boundary_distribution boundary_tags_v1 topk_depth cross_method rule_matrix false_exclusions conflict_clusters contract_variants counterfactual_matrix diverse_topk filter_and_backfill hierarchical_candidates materialize_context citation_groups completeness shadow_summary max_view_merge partitioned_retrieval best_rank_merge expand_documents prefilter_bm25 prefilter_vs_postfilter evidence_items query_overlap root_causes"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 #: Queries that use the ranked pool more than twice.
 QUERIES |= {n: roles.written_once(QUERIES[n]) for n in ("completeness", "topk_depth", "cross_method", "root_causes")}
@@ -454,6 +460,7 @@ def _grid() -> str:
 
 _STRATS = " UNION ALL ".join(f"SELECT '{n}' AS strategy, q, rank, item, relevant, {_BAD} AS v, forbidden_document AS f FROM rows_ WHERE method = 'hybrid_v1' AND ({x}) = ''" for n, x in scopes._STRATEGY.items())
 ORACLE = {
+    "case_reasons_v1": f"WITH {_SCORES} SELECT q, method, concat_ws(',', CASE WHEN request_error THEN 'request_error' END, CASE WHEN recall_5 < 1 THEN 'recall_at_5_below_pilot_gate' END, CASE WHEN forbidden_hit THEN 'forbidden_hit_detected' END, CASE WHEN boundary_violation THEN 'solution_boundary_violation' END) AS reasons, NOT request_error AND recall_5 >= 1 AND NOT forbidden_hit AND NOT boundary_violation AS eligible_for_rag FROM sc",
     "hybrid_topk": f"WITH {SQL} SELECT h.q, h.doc, h.chunk, h.lexical_rank, h.vector_rank, h.score, h.rank, a.score AS lexical_score, b.score AS vector_score FROM hyb h LEFT JOIN lex a USING (q, doc, chunk) LEFT JOIN vec b USING (q, doc, chunk) WHERE h.rank <= 5",
     "relevance_identity": f"WITH {_ROWS} SELECT method, q, rank, item, relevant FROM rows_",
     "strategy_summary": f"""WITH {_ROWS}, st AS ({_STRATS}), sk AS (SELECT *, row_number() OVER (PARTITION BY strategy, q ORDER BY rank) AS r FROM st), gs AS (SELECT q, count(DISTINCT item) AS n FROM gold GROUP BY q), a AS (SELECT strategy, q, count(DISTINCT item) FILTER (relevant AND r <= 5) h5, count(DISTINCT item) FILTER (relevant AND r <= 10) h10, count(DISTINCT item) FILTER (relevant) h20, bool_or(v) v, bool_or(f) f FROM sk GROUP BY ALL),

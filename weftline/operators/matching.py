@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_tokens, normalize
+from .joins import split_join
 
 STOPWORDS = ["客户", "方案", "系统", "能力", "需要", "进行", "the", "and", "for"]
 
@@ -29,10 +30,14 @@ def match_solutions(queries: DataFrame, catalogue: DataFrame, query: str, text:
     q = queries.select(query, match_tokens(text, stopwords).alias("t"), normalize(text).alias("nq"))
     c = catalogue.select(solution, "place", match_tokens(content, stopwords).alias("u"), normalize(content).alias("nc"))
     sized_q, sized_c = q.withColumn("nt", F.size("t")), c.withColumn("nu", F.size("u"))
-    hits = sized_q.select(query, "nt", F.posexplode("t").alias("i", "w")).join(sized_c.select(solution, "place", "nu", F.explode("u").alias("w")), "w")
-    pairs = hits.groupBy(query, solution).agg(F.count("*").alias("n"), F.max("nt").alias("nt"), F.max("nu").alias("nu"), F.max("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("matched"))
+    # a token may be in most texts of either side: its rows are dealt over parts
+    hits = split_join(sized_q.select(query, "nt", F.explode("t").alias("w")), sized_c.select(solution, "place", "nu", F.explode("u").alias("w")), "w", [query], [solution])
+    pairs = hits.groupBy(query, solution).agg(F.count("*").alias("n"), F.max("nt").alias("nt"), F.max("nu").alias("nu"), F.max("place").alias("place"))
     # the texts themselves are compared for the pairs alone that share a token
     p = pairs.join(q.select(query, "nq"), query).join(c.select(solution, "nc"), solution)
     score = 0.5 * (F.col("n") / F.least("nt", "nu")) + 0.3 * (F.col("n") / (F.col("nt") + F.col("nu") - F.col("n"))) + F.when(F.contains("nq", "nc"), 0.2).otherwise(0.0)
     s = p.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).where(F.col("score") >= least)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "place"))).where(F.col("rank") <= k).select(query, solution, "score", "matched", "rank")
+    best = s.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "place"))).where(F.col("rank") <= k).select(query, solution, "score", "rank")
+    # what matched is told for the best alone, in the order of the query
+    told = best.join(q.select(query, "t"), query).join(c.select(solution, "u"), solution)
+    return told.select(query, solution, "score", F.filter("t", lambda w: F.array_contains("u", w)).alias("matched"), "rank")

@@ -200,18 +200,22 @@ def conflict_clusters(filtered: DataFrame, keys: list[str], query: str) -> DataF
     return n.where("n_relevant > 0 and n_boundary > 0")
 
 
-def match_mode() -> Column:
-    """The mode that a chunk's scope and document type suggest. Case studies and commercial rules need their whole scope."""
-    return F.when(F.col("scope_type") == e.GLOBAL, "global_reusable").when(F.col("scope_type") == e.SPECIFIC, "primary_in_scope").when(F.col("document_type").isin("case_study", "commercial_rule"), "full_applicable_scope").otherwise("primary_in_scope")
+#: Document types whose chunks need their whole scope, unless the caller names others.
+WHOLE_SCOPE = ["case_study", "commercial_rule"]
 
 
-def contract_variants(ranked: DataFrame) -> DataFrame:
+def match_mode(whole_scope: list[str] = WHOLE_SCOPE) -> Column:
+    """The mode that a chunk's scope and document type suggest; documents of a type in whole_scope need all of theirs."""
+    return F.when(F.col("scope_type") == e.GLOBAL, "global_reusable").when(F.col("scope_type") == e.SPECIFIC, "primary_in_scope").when(F.col("document_type").isin(*whole_scope), "full_applicable_scope").otherwise("primary_in_scope")
+
+
+def contract_variants(ranked: DataFrame, whole_scope: list[str] = WHOLE_SCOPE) -> DataFrame:
     """Five allow rules over the pools, per method: retention, removal, both errors; `best` marks the method that serves a contract best."""
     t = e._taxonomy()
     base = e.active() & ~t["type"] & ~t["industry"] & ~t["tag"] & ~F.arrays_overlap("excluded", "scope")
     primary = F.coalesce(F.array_contains("scope", F.col("primary_solution")), F.lit(False))
-    current = base & ((F.col("scope_type") == e.GLOBAL) | primary)
-    by_mode = base & F.when(match_mode() == "global_reusable", F.lit(True)).when(match_mode() == "primary_in_scope", primary).otherwise(F.size(F.array_except("applicable", "scope")) == 0)
+    current, mode = base & ((F.col("scope_type") == e.GLOBAL) | primary), match_mode(whole_scope)
+    by_mode = base & F.when(mode == "global_reusable", F.lit(True)).when(mode == "primary_in_scope", primary).otherwise(F.size(F.array_except("applicable", "scope")) == 0)
     bad = F.size(e.boundary_reasons()) > 0
     rules = {"current": current, "runtime_only": current, "candidate_only": by_mode, "paired": by_mode, "oracle": ~bad}
     x = F.array(*[F.struct(F.lit(n).alias("contract"), c.alias("ok")) for n, c in rules.items()])

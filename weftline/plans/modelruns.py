@@ -79,7 +79,7 @@ def _assertions(spark, d):
 
 
 def _records(spark, d):
-    return runs.failure_records(_runs(spark, d), _assertions(spark, d), "run", 60)
+    return runs.failure_records(_runs(spark, d), _assertions(spark, d), "run")
 
 
 def failure_summaries(spark, d):
@@ -250,7 +250,7 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _REC = _R + """, fr AS (SELECT run, node, model, status, error_type, concat_ws(',', CASE WHEN NOT coalesce(schema_ok, false) THEN 'schema' END, CASE WHEN NOT rule_ok THEN 'rule' END, CASE WHEN NOT coalesce(boundary_ok, false) THEN 'boundary' END) AS types, (NOT coalesce(schema_ok, false))::INT + (NOT coalesce(boundary_ok, false))::INT AS n_blocking, (NOT rule_ok)::INT AS n_other, error_message,
         concat_ws(',', CASE WHEN NOT coalesce(boundary_ok, false) THEN 'boundary' END, CASE WHEN NOT rule_ok THEN 'rule' END, CASE WHEN NOT coalesce(schema_ok, false) THEN 'schema' END) AS sorted, json_ok, schema_ok, rule_ok, evidence_ok, boundary_ok FROM r WHERE status <> 'passed'),
-    fs AS (SELECT *, CASE WHEN x = '' THEN 'Benchmark failure without additional summary.' WHEN length(x) <= 60 THEN x ELSE substr(x, 1, 57) || '...' END AS summary FROM (SELECT *, concat_ws(' | ', 'error_type=' || error_type, CASE WHEN sorted <> '' THEN 'assertions=' || sorted END, error_message) AS x FROM fr))"""
+    fs AS (SELECT *, CASE WHEN x = '' THEN 'Benchmark failure without additional summary.' WHEN length(x) <= 200 THEN x ELSE substr(x, 1, 197) || '...' END AS summary FROM (SELECT *, concat_ws(' | ', 'error_type=' || error_type, CASE WHEN sorted <> '' THEN 'assertions=' || sorted END, error_message) AS x FROM fr))"""
 _FOLDERS = """f AS (SELECT s_suppkey AS i, s_suppkey % 17 <> 0 AS m, s_suppkey % 17 <> 0 AND s_suppkey % 13 <> 0 AS ok, s_suppkey % 7 = 0 AND s_suppkey % 14 <> 0 AS p, CASE WHEN s_suppkey % 8 = 0 THEN 2 WHEN s_suppkey % 4 = 0 THEN 5 END AS v, s_suppkey % 5 <> 0 AS rep FROM supplier),
     r AS (SELECT *, ['A', 'B', 'C'][i % 3 + 1] AS architecture, CASE WHEN i % 5 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN i % 10 = 0 THEN 'invalid_json' END AS error_type, i % 10 = 0 OR p AS bad, i % 15 = 5 AS says FROM f WHERE ok)"""
 ORACLE = {

@@ -376,7 +376,7 @@ def prefilter_vs_postfilter(spark, d):
 
 def evidence_items(spark, d):
     r = _rows(spark, d).where("method = 'hybrid_v1'")
-    return context.evidence_items(r, "q", excerpt=12).withColumn("rank", F.col("rank").cast("long"))
+    return context.evidence_items(r, "q").withColumn("rank", F.col("rank").cast("long"))
 
 
 def query_overlap(spark, d):
@@ -515,7 +515,7 @@ ORACLE = {
     "expand_documents": f"WITH {SQL}, dd AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY min(rank), doc) AS parent_rank FROM lex GROUP BY q, doc), c AS (SELECT dd.q, dd.doc, c.chunk, parent_rank, row_number() OVER (PARTITION BY dd.q, dd.doc ORDER BY l.rank ASC NULLS LAST, c.chunk) AS nth FROM dd JOIN chunks c USING (doc) LEFT JOIN lex l ON l.q = dd.q AND l.chunk = c.chunk) SELECT *, row_number() OVER (PARTITION BY q ORDER BY parent_rank, nth) AS rank FROM c",
     "prefilter_bm25": f"WITH {_PRE} SELECT q, chunk, score, matched FROM pk WHERE rank <= 5",
     "prefilter_vs_postfilter": f"WITH {_PRE}, pr AS (SELECT 'pre' AS method, q, chunk, chunk // 3 AS doc FROM pk WHERE rank <= 20), {told_sql('pr', 'prt')}, {told_sql('lex', 'pot')}, u AS (SELECT method, q, item, relevant FROM prt UNION ALL SELECT 'post', q, item, relevant FROM pot WHERE {_ELIGIBLE}), gs AS (SELECT q, count(DISTINCT item) AS n FROM gold GROUP BY q), h AS (SELECT method, q, count(DISTINCT item) AS h FROM u WHERE relevant GROUP BY ALL), a AS (SELECT m AS method, q, coalesce(h / n, 0) AS r FROM cases CROSS JOIN (VALUES ('pre'), ('post')) AS t(m) LEFT JOIN h ON h.method = m AND h.q = cases.q LEFT JOIN gs ON gs.q = cases.q) SELECT method, round(avg(r), 6) AS recall_20, count(*) FILTER (r > 0) AS n_any FROM a GROUP BY method".replace("SELECT m AS method, q, coalesce", "SELECT m AS method, cases.q, coalesce"),
-    "evidence_items": f"WITH {_ROWS} SELECT q, rank, title, 'chunk' AS kind, doc, chunk, substr(content, 1, 12) AS excerpt FROM rows_ WHERE method = 'hybrid_v1' AND rank <= 5",
+    "evidence_items": f"WITH {_ROWS} SELECT q, rank, title, 'chunk' AS kind, doc, chunk, substr(content, 1, 220) AS excerpt FROM rows_ WHERE method = 'hybrid_v1' AND rank <= 5",
     "query_overlap": f"WITH {_ROWS}, {_ASK}, w AS (SELECT g.q, g.item, coalesce(g.chunk, f.c) AS chunk FROM gold g JOIN (SELECT doc, min(chunk) AS c FROM chunks GROUP BY doc) f USING (doc)), o AS (SELECT w.q, list_has_any(t, {_TOK.format('title')}) AS ti, list_has_any(t, {_TOK.format('summary')}) AS su, list_has_any(t, {_TOK.format('content')}) AS co, EXISTS (SELECT 1 FROM rows_ r WHERE r.q = w.q AND r.item = w.item) AS found, len(s.scope) > 0 AS asked FROM w JOIN chunks c USING (chunk) JOIN (SELECT q, {_TOK.format('text')} AS t FROM ask) a USING (q) JOIN cases s USING (q)) SELECT q, CASE WHEN bool_and(NOT co AND NOT ti AND NOT su) THEN 'query_under_specified' WHEN bool_or(ti OR su) AND bool_and(NOT co) THEN 'field_representation_gap' WHEN bool_or(asked) AND bool_and(NOT found) THEN 'runtime_context_not_used' ELSE 'unknown' END AS class FROM o GROUP BY q",
     "root_causes": f"""WITH {_ROWS}, e AS (SELECT *, {_ELIGIBLE} AS el FROM rows_), a AS (SELECT *, coalesce(sum((NOT el)::INT) OVER (PARTITION BY method, q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, row_number() OVER (PARTITION BY method, q, doc ORDER BY rank) > 1 AS sib, sum(el::INT) OVER (PARTITION BY method, q ORDER BY rank) AS pre FROM e),
         r AS (SELECT method, q, item, min(rank) AS rank, arg_min(ahead, rank) AS ahead, arg_min(sib, rank) AS sib, min(pre) FILTER (el) AS pre FROM a GROUP BY ALL), n AS (SELECT method, q, count(*) FILTER (NOT el) AS bad FROM e GROUP BY ALL), mm AS (SELECT unnest(['lexical_v1', 'vector_v1', 'hybrid_v1']) AS method),

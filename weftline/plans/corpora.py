@@ -46,8 +46,8 @@ def rejected_lines(spark, d):
 
 
 def find_ids(spark, d):
-    """Supplier numbers of three digits and more that occur anywhere in page sources, inside longer numbers too."""
-    ids = _t(spark, d, "supplier").where("s_suppkey >= 10").select(F.col("s_suppkey").cast("string").alias("id"))
+    """Part numbers of three digits and more that occur anywhere in page sources, inside longer numbers too."""
+    ids = _t(spark, d, "part").where("p_partkey >= 100").select(F.col("p_partkey").cast("string").alias("id"))
     return corpus.find_ids(_t(spark, d, "pages"), "page_id", "html", ids, "id")
 
 
@@ -327,7 +327,7 @@ ORACLE = {
     "read_jsonl": "SELECT CASE doc_id % 9 WHEN 0 THEN 'bad JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'invalid field: n_chars' WHEN 3 THEN 'unknown field: extra' WHEN 5 THEN 'invalid field: doc_id' ELSE 'read' END AS reason, count(*) AS n_lines FROM documents WHERE doc_id % 9 <> 4 GROUP BY 1",
     "rejected_lines": """WITH n AS (SELECT doc_id % 16 AS k, doc_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line, doc_id % 11 AS i FROM documents)
         SELECT k, line, CASE i WHEN 2 THEN 'invalid field: scope.sizes[1]' WHEN 3 THEN 'invalid field: scope.sizes[1]' WHEN 4 THEN 'unknown field: scope.more' WHEN 5 THEN 'invalid field: kind' WHEN 6 THEN 'invalid field: scope' WHEN 7 THEN 'invalid field: scope.lang' ELSE 'bad JSON' END AS reason FROM n WHERE i BETWEEN 2 AND 9 AND i <> 8""",
-    "find_ids": "SELECT page_id, CAST(s_suppkey AS VARCHAR) AS found FROM pages JOIN supplier ON s_suppkey >= 10 AND contains(html, CAST(s_suppkey AS VARCHAR))",
+    "find_ids": "SELECT page_id, CAST(p_partkey AS VARCHAR) AS found FROM pages JOIN part ON p_partkey >= 100 AND contains(html, CAST(p_partkey AS VARCHAR))",
     "write_jsonl": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
     "build_manifest": f"WITH {_DOCS}, s AS (SELECT doc, list_transform(applicable, lambda x: x + doc % 3) AS a FROM docs), f AS (SELECT x, min(row(doc, i)) AS at_ FROM (SELECT doc, unnest(a) AS x, unnest(range(len(a))) AS i FROM s) GROUP BY x), t AS (SELECT document_type, count(*) AS n FROM docs GROUP BY 1) SELECT (SELECT count(*) FROM docs) AS n_documents, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT string_agg(document_type || ':' || n, ',' ORDER BY document_type) FROM t) AS types, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY at_) FROM f) AS solutions",
     "document_checks": f"""WITH {_DOCS}, x AS (SELECT doc, title, CASE WHEN doc % 5 = 0 THEN 'short' ELSE summary END AS summary, CASE WHEN doc % 7 = 0 THEN ' ' || upper(title) || '  ' ELSE content END AS content, effective_from, CASE WHEN doc % 11 = 0 THEN effective_from - 1 ELSE effective_until END AS effective_until, source_uri AS u FROM docs),

@@ -100,6 +100,23 @@ def overlap_join(queries: DataFrame, documents: DataFrame, filters: list[Overlap
     return got.drop("_q", "_d")
 
 
+def class_of(columns: list[str]) -> Column:
+    """A digest of columns that decide together; rows that agree in all of them are of one class (nulls agree with nulls)."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def class_pairs(queries: DataFrame, documents: DataFrame, filters: list[Overlap], holds: Column) -> DataFrame:
+    """Distinct (qc, dc) whose rows pass overlap_join's filters and `holds`; the sides have their class beside the columns it is made of."""
+    pairs = overlap_join(queries.dropDuplicates(["qc"]), documents.dropDuplicates(["dc"]), filters, "qc", "dc", holds)
+    return durable(pairs.select("qc", "dc"), "class-pairs")
+
+
+def open_classes(pairs: DataFrame, queries: DataFrame, documents: DataFrame, query_id: str, document_id: list[str]) -> DataFrame:
+    """Pairs of classes opened to their queries and documents; hot classes are dealt over parts."""
+    mine = split_join(pairs, queries, "qc", ["dc"], [query_id])
+    return split_join(mine, documents, "dc", [query_id], document_id).drop("qc", "dc")
+
+
 def interval_join(intervals: DataFrame, start: str, end: str, points: DataFrame, at: str, by: tuple[str, str]) -> DataFrame:
     """Pairs of an interval and a point with start <= at <= end; dates, both ends inclusive, a null end is open.
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..shared import durable
+from .joins import split_join
 
 #: Query vocabularies of so many terms at most are sent to all tasks, beyond that Spark joins by term.
 BROADCAST_TERMS = 1_000_000
+#: Pairs of classes (two digests each) of so many rows at most are sent to all tasks.
+BROADCAST_PAIRS = 200_000
 
 
 def _tokened(docs: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
@@ -45,9 +48,9 @@ def _score(k1: float, b: float) -> Column:
     return F.col("times") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
 
 
-def _summed(hit: DataFrame, query_key: str, key: str, k1: float, b: float) -> DataFrame:
-    part = hit.select(query_key, key, "term", "pos", _score(k1, b).alias("part"))
-    out = part.groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
+def _summed(hit: DataFrame, by: list[str], k1: float, b: float) -> DataFrame:
+    part = hit.select(*by, "term", "pos", _score(k1, b).alias("part"))
+    out = part.groupBy(*by).agg(F.round(F.sum("part"), 6).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("matched_terms"))
     return out.where("score > 0")
 
 
@@ -61,19 +64,48 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame, qu
     weighted = durable(terms.join(df, "term").join(F.broadcast(corpus)), "weighted-terms")
     if weighted.count() <= BROADCAST_TERMS:  # a term that every document has is then no hot key
         weighted = F.broadcast(weighted)
-    return _summed(post.join(weighted, "term"), query_key, key, k1, b)
-
-
-def prefiltered_bm25(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame, query_key: str, eligible: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """bm25 as if each query had an index of its own, of the documents eligible for it: eligible has query, key.
-
-    Frequencies and mean length are counted per query, for its own terms only."""
-    post, size = _hits(docs, key, fields, terms)
-    own = eligible.select(query_key, key).distinct()
-    corpus = own.join(size, key).groupBy(query_key).agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
-    hit = durable(own.join(post, key).join(terms, [query_key, "term"]), "eligible-postings")
-    df = hit.groupBy(query_key, "term").agg(F.count("*").alias("df"))
-    return _summed(hit.join(df, [query_key, "term"]).join(corpus, query_key), query_key, key, k1, b)
+    return _summed(post.join(weighted, "term"), [query_key, key], k1, b)
+
+
+def view_index(docs: DataFrame, key: str, fields: dict[str, int], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(view, dc, key, term, tf, length; view, dc, key, length) of documents in several views, dc being a document's class; one pass over the texts.
+
+    Only postings of the queries' vocabulary leave the scan. A key may stand in several views; a null view or class is kept apart."""
+    post, size = _hits(docs.select(F.struct("view", "dc", key).alias("_unit"), *fields), "_unit", fields, terms)
+    return post.select("_unit.*", "term", "tf", "length"), size.select("_unit.*", "length")
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], left_by: list[str], right_by: list[str]) -> DataFrame:
+    """Inner join on columns of which some may be hot on both sides: the right side goes to all tasks where it is small, else keys are dealt."""
+    right = durable(right, "asked")
+    if right.count() <= BROADCAST_TERMS:
+        return left.join(F.broadcast(right), on)
+    key = F.struct(*on).alias("_on")
+    got = split_join(left.withColumn("_on", key), right.select(key, *[c for c in right.columns if c not in on]), "_on", left_by, right_by)
+    return got.drop("_on")
+
+
+def bm25_within(post: DataFrame, size: DataFrame, key: str, terms: DataFrame, query_key: str, allowed: DataFrame, own: bool, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(view, query, key, score, matched_terms) of pairs whose classes are allowed, by the index of view_index.
+
+    terms: query, qc (its class), term, times, pos; allowed: distinct (qc, dc). own: frequencies and mean length are those of the
+    documents allowed for the query, as if each query had an index of its own; else those of the whole view. They are the same for all
+    queries of a class, and are summed over classes of documents, so what is shuffled grows with postings and with pairs of classes;
+    pairs of a query and a document are made only where they share a term."""
+    small = F.broadcast(allowed) if allowed.count() <= BROADCAST_PAIRS else allowed
+    mean = F.greatest(F.sum("sum_length") / F.sum("n"), F.lit(1.0)).alias("avgdl")
+    sizes = size.groupBy("view", "dc").agg(F.count("*").alias("n"), F.sum("length").alias("sum_length"))
+    have = post.groupBy("view", "dc", "term").agg(F.count("*").alias("df"))
+    if own:
+        corpus = sizes.join(small, "dc").groupBy("view", "qc").agg(F.sum("n").alias("n"), mean)
+        asked = _met(have, terms.select("qc", "term").distinct(), ["term"], ["view", "dc"], ["qc"])
+        df = asked.join(small, ["qc", "dc"]).groupBy("view", "qc", "term").agg(F.sum("df").alias("df"))
+        weighted = terms.join(df, ["qc", "term"]).join(corpus, ["view", "qc"])
+    else:
+        df = have.groupBy("view", "term").agg(F.sum("df").alias("df"))
+        weighted = terms.join(df, "term").join(F.broadcast(sizes.groupBy("view").agg(F.sum("n").alias("n"), mean)), "view")  # a row a view
+    hit = _met(post, weighted, ["view", "term"], ["dc", key], [query_key]).join(small, ["qc", "dc"])
+    return _summed(hit, ["view", query_key, key], k1, b)
 
 
 def top(scored: DataFrame, query_key: str, order: list, k: int) -> DataFrame:

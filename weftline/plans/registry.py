@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunk_id, token_estimate, tokens
 from ..operators import checks, deals, fusion, lexical, metrics, runs, vectors
 from ..shared import durable
-from . import corpora, dealplans, modelruns, reports, retrieval, scopes
+from . import corpora, dealplans, generators, modelruns, reports, retrieval, scopes
 
 FIELDS = {"text": 1, "source": 2}
 FLAGSHIP = "lexical_summary"
@@ -226,7 +226,7 @@ def blocking_gate(spark, d):
 
 _NAMES = "tokenize postings_df bm25_topk matched_terms case_scores lexical_summary reason_counts recall_ceiling expected_ranks cosine_topk validate_vectors normalize_vectors rrf_many parent_child_topk budget_cutoff best_by_dimension duplicate_keys manifest content_hash diff_tables unsafe_values chunk_ids run_manifest_counts latency_summary provider_status usage_totals coverage_summary opaque_ids unknown_ids dedupe_evidence duplicate_sources_topk blocking_gate"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
-for _part in (scopes, retrieval, corpora, modelruns, dealplans, reports):
+for _part in (scopes, retrieval, generators, corpora, modelruns, dealplans, reports):
     QUERIES |= _part.QUERIES
 
 _TOK = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
@@ -288,5 +288,5 @@ ORACLE = {
     "duplicate_sources_topk": f"WITH {_BM25} SELECT item_id, count(source) - count(DISTINCT source) AS n_repeated FROM rk JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1",
     "blocking_gate": f"WITH {_CASES}, s AS (SELECT avg(recall_5) < 1 AS a, bool_or(forbidden_hit) AS b, bool_or(len(rs) > 0) AS c FROM cs) SELECT 'lexical' AS method, concat_ws(',', CASE WHEN a THEN 'summary_recall_at_5' END, CASE WHEN b THEN 'forbidden_hit_rate' END, CASE WHEN c THEN 'all_cases_pass_blocking_gate' END) AS failed_gates, NOT (a OR b OR c) AS passed FROM s",
 }
-for _part in (scopes, retrieval, corpora, modelruns, dealplans, reports):
+for _part in (scopes, retrieval, generators, corpora, modelruns, dealplans, reports):
     ORACLE |= _part.ORACLE

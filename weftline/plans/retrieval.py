@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import context, diagnosis, eligibility, fusion, lexical, metrics
+from ..operators import context, diagnosis, eligibility, fusion, joins, lexical, metrics
+from ..shared import durable
 from . import roles, scopes
 from .roles import BOUNDARY_SQL, RUNTIME_SQL, SQL, told_sql
 from .roles import table as _t
@@ -349,13 +350,23 @@ def expand_documents(spark, d):
 _ASK = "ask AS (SELECT s_suppkey AS q, p_name || ' ' || p_type AS text FROM supplier JOIN part ON p_partkey = s_suppkey)"
 
 
-def _asked(spark, d):
+def asked(spark, d):
     return _t(spark, d, "supplier").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("q"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
 
 
+#: What of a case, and of a chunk or document, decides whether one may be indexed for the other.
+CASE_CLASS = ["scope", "ask_types", "ask_industries", "ask_tags", "effective_on"]
+CHUNK_CLASS = ["document_type", "scope_type", "applicable", "excluded", "industries", "tags", "status", "effective_from", "effective_until"]
+
+
 def _eligible_bm25(spark, d):
-    pairs = roles.told(spark, d, roles.met(spark, d)).where(eligibility.chunk_eligible()).select("q", "chunk")
-    return lexical.prefiltered_bm25(roles.chunks(spark, d), "chunk", {"content": 1, "section": 2}, lexical.query_terms(_asked(spark, d), "q", "text"), "q", pairs)
+    """All cases over all chunks, each case with an index of the chunks that are eligible for it."""
+    cases = roles.cases(spark, d).withColumn("qc", joins.class_of(CASE_CLASS))
+    chunks = roles.chunks(spark, d).withColumn("view", F.lit("chunk")).withColumn("dc", joins.class_of(CHUNK_CLASS))
+    allowed = joins.class_pairs(cases.select("qc", *CASE_CLASS), chunks.select("dc", *CHUNK_CLASS), scopes.runtime_filters(), eligibility.chunk_eligible())
+    terms = durable(lexical.query_terms(asked(spark, d), "q", "text").join(cases.select("q", "qc"), "q"), "case-terms")
+    post, size = lexical.view_index(chunks, "chunk", {"content": 1, "section": 2}, terms)
+    return lexical.bm25_within(post, size, "chunk", terms, "q", allowed, own=True)
 
 
 def prefilter_bm25(spark, d):
@@ -386,7 +397,7 @@ def query_overlap(spark, d):
     w = want.join(first, "doc").withColumn("chunk", F.coalesce("chunk", "first_chunk")).select("q", "item", "chunk")
     c = roles.chunks(spark, d).select("chunk", tokens("title").alias("title"), tokens("summary").alias("summary"), tokens("content").alias("content"))
     found = _rows(spark, d).select("q", "item").distinct().withColumn("found", F.lit(True))
-    ask = _asked(spark, d).select("q", tokens("text").alias("t")).join(roles.cases(spark, d).select("q", (F.size("scope") > 0).alias("asked")), "q")
+    ask = asked(spark, d).select("q", tokens("text").alias("t")).join(roles.cases(spark, d).select("q", (F.size("scope") > 0).alias("asked")), "q")
     o = w.join(c, "chunk").join(ask, "q").join(found, ["q", "item"], "left")
     return diagnosis.separability(o.select("q", F.arrays_overlap("t", "title").alias("title"), F.arrays_overlap("t", "summary").alias("summary"), F.arrays_overlap("t", "content").alias("content"), F.coalesce("found", F.lit(False)).alias("found"), "asked"), "q")
 
@@ -438,7 +449,7 @@ _CURRENT = f"({scopes._BASE_OK} AND (scope_type = 'global_policy' OR {scopes._OW
 _BY_MODE = f"({scopes._BASE_OK} AND CASE WHEN scope_type = 'global_policy' THEN true WHEN scope_type <> 'solution_specific' AND document_type IN ('case_study', 'commercial_rule') THEN list_has_all(scope, applicable) ELSE {scopes._OWN} END)"
 _R13 = {r: f"NOT ({scopes.RULE_SQL[r][0]})" for r in ("R1", "R2", "R3")}
 _TOK = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
-_PRE = f"""{SQL}, {_ASK}, {told_sql('met', 'pairs')}, el AS (SELECT q, chunk FROM pairs WHERE {_ELIGIBLE}),
+_PRE = f"""{SQL}, {_ASK}, el AS (SELECT q, chunk FROM cases, chunks WHERE {_ELIGIBLE}),
     tk AS (SELECT chunk, unnest({_TOK.format('content')}) AS term, 1 AS w FROM chunks UNION ALL SELECT chunk, unnest({_TOK.format('section')}), 2 FROM chunks), tf AS (SELECT chunk, term, sum(w) AS tf FROM tk GROUP BY ALL), ln AS (SELECT chunk, sum(tf) AS length FROM tf GROUP BY 1),
     qt AS (SELECT q, t AS term, count(*) AS times, min(i) AS pos FROM (SELECT q, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT q, {_TOK.format('text')} AS ts FROM ask)) GROUP BY ALL),
     cq AS (SELECT q, count(*) AS n, greatest(avg(coalesce(length, 0)), 1) AS avgdl FROM el LEFT JOIN ln USING (chunk) GROUP BY q), hq AS (SELECT q, chunk, term, tf, length, times, pos FROM el JOIN tf USING (chunk) JOIN ln USING (chunk) JOIN qt USING (q, term)), dq AS (SELECT q, term, count(*) AS df FROM hq GROUP BY ALL),

@@ -154,7 +154,7 @@ def attempt_comparison(spark, d):
     return e.attempt_comparison(e.confusion(first, "full_allowed", ["scope_type"]), e.confusion(second, "full_allowed", ["scope_type"]), ["scope_type"])
 
 
-def _runtime_filters():
+def runtime_filters():
     """What the runtime rules ask of lists; a document without industries, tags or solutions is no mismatch."""
     size = F.size
     return [
@@ -167,20 +167,24 @@ def _runtime_filters():
 
 def eligible_pairs(spark, d):
     """All cases by all chunks: the pairs without a runtime reason."""
-    pairs = joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), _runtime_filters(), "q", "chunk", F.size(e.runtime_reasons()) == 0)
+    pairs = joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), runtime_filters(), "q", "chunk", F.size(e.runtime_reasons()) == 0)
     return pairs.select("q", "chunk")
 
 
-def operational_pairs(spark, d):
-    """All cases by all chunks under the first-generation filters: an empty list lets nothing through."""
+def operational_filters():
+    """(filters on lists, condition on pairs) of the first generation: an empty list of types or industries lets nothing through."""
     yes = F.lit(True)
     asked = {"effective_on": F.col("effective_on"), "document_types": F.col("ask_types"), "industries": F.col("ask_industries"), "solution_ids": F.when(F.size("scope") > 0, F.col("scope")), "tags": F.when(F.size("ask_tags") > 0, F.col("ask_tags"))}
     filters = [
         joins.Overlap("document_types", F.col("ask_types"), F.array("document_type"), yes), joins.Overlap("industries", F.col("ask_industries"), F.col("industries"), yes),
         joins.Overlap("solution_ids", F.col("scope"), F.col("applicable"), F.size("scope") > 0), joins.Overlap("tags", F.col("ask_tags"), F.col("tags"), F.size("ask_tags") > 0),
     ]
-    pairs = roles.cases(spark, d)
-    return joins.overlap_join(pairs, roles.chunks(spark, d), filters, "q", "chunk", e.operational_filter(pairs, asked)).select("q", "chunk")
+    return filters, e.operational_filter(None, asked)
+
+
+def operational_pairs(spark, d):
+    """All cases by all chunks under the first-generation filters: an empty list lets nothing through."""
+    return joins.overlap_join(roles.cases(spark, d), roles.chunks(spark, d), operational_filters()[0], "q", "chunk", operational_filters()[1]).select("q", "chunk")
 
 
 def effective_documents(spark, d):
@@ -252,6 +256,7 @@ _STRATEGY = {
     "S3": _named(candidate_excludes_operational_scope=_EXC, **{_SUBSET: f"scope_type <> 'global_policy' AND {_BEYOND}"}, document_type_not_allowed=_TYPE, industry_not_allowed=_INDUSTRY, tag_not_allowed=_TAG, document_not_active=f"NOT {ACTIVE_SQL}"),
     "S4": BOUNDARY_SQL,
 }
+OPERATIONAL = "status = 'approved' AND (effective_until IS NULL OR effective_on <= effective_until) AND list_contains(ask_types, document_type) AND list_has_any(industries, ask_industries) AND (len(scope) = 0 OR list_has_any(applicable, scope)) AND (len(ask_tags) = 0 OR list_has_any(tags, ask_tags))"
 _BASE_OK = f"({ACTIVE_SQL} AND NOT ({_TYPE}) AND NOT ({_INDUSTRY}) AND NOT ({_TAG}) AND NOT {_EXC})"
 _SPECIFIC, _MULTI, _CROSS, _GLOBAL = f"(scope_type = 'solution_specific' AND {_OWN})", f"(scope_type = 'multi_solution' AND {_OWN})", "(scope_type = 'cross_cutting_requirement' AND list_has_any(applicable, scope))", "(scope_type = 'global_policy')"
 _RANK = f"CASE WHEN {_SPECIFIC} THEN 0 WHEN {_MULTI} THEN 2 WHEN {_CROSS} THEN 3 WHEN {_GLOBAL} THEN 4 ELSE 99 END"
@@ -275,7 +280,7 @@ _GROUPS = "GROUPING SETS ((q), (mode), (scope_type), (source), ())"
 _ALL = f"{SQL}, {told_sql('(SELECT q, doc, chunk FROM cases, chunks)')}"
 ORACLE = {
     "eligible_pairs": f"WITH {SQL} SELECT q, chunk FROM cases, chunks WHERE {RUNTIME_SQL} = ''",
-    "operational_pairs": f"WITH {SQL} SELECT q, chunk FROM cases, chunks WHERE status = 'approved' AND (effective_until IS NULL OR effective_on <= effective_until) AND list_contains(ask_types, document_type) AND list_has_any(industries, ask_industries) AND (len(scope) = 0 OR list_has_any(applicable, scope)) AND (len(ask_tags) = 0 OR list_has_any(tags, ask_tags))",
+    "operational_pairs": f"WITH {SQL} SELECT q, chunk FROM cases, chunks WHERE {OPERATIONAL}",
     "effective_documents": f"""WITH {SQL}, x AS (SELECT doc, min(effective_from) AS a, min(effective_until) AS b FROM chunks GROUP BY doc)
         SELECT doc, count(*) AS n_cases, min(effective_on) AS first_on, max(effective_on) AS last_on, CAST(sum(q) AS BIGINT) AS sum_q FROM x JOIN cases ON effective_on BETWEEN coalesce(a, DATE '0001-01-01') AND coalesce(b, DATE '9999-12-31') GROUP BY doc""",
     "all_pairs_confusion": f"""WITH {_ALL}, pw AS (SELECT *, {_MODE} AS mode, CASE WHEN override_mode IS NULL THEN 'document_default' ELSE 'chunk_override' END AS source, {_BAD} AS violating, {_allows(_MODE)} AND {" AND ".join(_FILTERS.values())} AS full_allowed FROM told)

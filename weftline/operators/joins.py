@@ -89,6 +89,7 @@ def overlap_join(queries: DataFrame, documents: DataFrame, filters: list[Overlap
         return F.transform(_product(lists), lambda c: F.concat_ws(_SEPARATOR, F.lit(p), F.array_join(c, _SEPARATOR)))
 
     index = index.withColumn("_key", F.explode(F.concat(*[keyed(p) for p in used]) if used else none))
+    asked, index = durable(asked, "lists-asked"), durable(index, "lists-indexed")  # split_join reads both twice
     met = split_join(asked, index, "_key", ["_q"], ["_d"])
     for i in n:
         one = F.get("_combo", F.lit(i))
@@ -107,7 +108,8 @@ def class_of(columns: list[str]) -> Column:
 
 def class_pairs(queries: DataFrame, documents: DataFrame, filters: list[Overlap], holds: Column) -> DataFrame:
     """Distinct (qc, dc) whose rows pass overlap_join's filters and `holds`; the sides have their class beside the columns it is made of."""
-    pairs = overlap_join(queries.dropDuplicates(["qc"]), documents.dropDuplicates(["dc"]), filters, "qc", "dc", holds)
+    asked, had = durable(queries.dropDuplicates(["qc"]), "query-classes"), durable(documents.dropDuplicates(["dc"]), "document-classes")
+    pairs = overlap_join(asked, had, filters, "qc", "dc", holds)
     return durable(pairs.select("qc", "dc"), "class-pairs")
 
 

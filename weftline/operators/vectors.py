@@ -17,11 +17,16 @@ def valid(v, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _bound(c: Column, f) -> Column:
+    """f of c, with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unit(v) -> Column:
     v = F.col(v) if isinstance(v, str) else v
-    v = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
+    both = lambda w: F.named_struct(F.lit("w"), w, F.lit("n"), norm(w))
+    return _bound(F.transform(v, lambda x: x.cast("double")), lambda w: _bound(both(w), lambda s: F.transform(s["w"], lambda x: x / s["n"])))
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096, part: int = 1 << 16) -> DataFrame:
@@ -65,9 +70,8 @@ def hash_embedding(text: Column, mode: str, dim: int) -> Column:
     hexes = [digest]
     for _ in range(steps - 1):
         hexes.append(F.sha2(F.unhex(hexes[-1]), 256))
-    every = F.concat(*hexes)
-    value = lambda i: F.conv(F.substring(every, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))
+    value = lambda h, i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0
+    return unit(_bound(F.concat(*hexes), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: value(h, i))))
 
 
 def embedding_delta(chunks: DataFrame, known: DataFrame, version: str, model: str, chunk: str, content: str) -> tuple[DataFrame, DataFrame]:

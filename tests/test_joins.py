@@ -42,6 +42,22 @@ def test_interval_join_against_all_pairs(spark, monkeypatch, least):
     assert joins.interval_join(left, "lo", "hi", right.limit(0), "at", ("i", "p")).count() == 0
 
 
+def test_interval_totals_against_all_pairs_without_making_them(spark, monkeypatch):
+    r, day = random.Random(4), lambda n: datetime.date(1999, 12, 1) + datetime.timedelta(n)
+    a = [(i, r.choice([None, day(r.randint(-40, 300))]), r.choice([None, day(r.randint(-40, 300))])) for i in range(120)] + [(500, day(9), day(9)), (501, day(9), day(8)), (502, None, None), (503, None, None)]
+    p = [(i, day(r.randint(0, 200))) for i in range(80)] + [(900, None), (901, day(9)), (902, day(9))]
+    left, right = spark.createDataFrame(a, "i int, lo date, hi date"), spark.createDataFrame(p, "p int, at date")
+    monkeypatch.setattr(joins, "split_join", None)  # makes pairs
+    got = {x.i: (x.n, x.first, x.last, x.total) for x in joins.interval_totals(left, "lo", "hi", right, "at", "p").collect()}
+    want = {}
+    for i, lo, hi in a:
+        met = [(at, k) for k, at in p if at and (lo is None or lo <= at) and (hi is None or at <= hi)]
+        if met:
+            want[i] = (len(met), min(met)[0], max(met)[0], sum(k for _, k in met))
+    assert got == want
+    assert joins.interval_totals(left, "lo", "hi", right.limit(0), "at", "p").count() == 0
+
+
 def plain_differences(a, b, path=""):
     if type(a) is not type(b):
         return [path or "$"]

@@ -150,3 +150,52 @@ def test_run_folders(spark, tmp_path):
     told, warned = runs.runs_of_folders(folders)
     assert sorted((x.run, x.json_success, x.schema_success, x.n_validation_errors, x.total_tokens) for x in told.collect()) == [("r1", True, True, 0, 7), ("two", True, False, 3, None)]
     assert sorted(map(tuple, warned.collect())) == [("r3", "run_metadata.json", "missing"), ("r4", "run_metadata.json", "unreadable")]
+
+
+def test_pairs_are_told_as_before_and_no_wide_row_is_shuffled(spark):
+    from weftline.plans import roles
+
+    d = "/root/testdata/sf0.001"
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got, want = roles.pairs(spark, d), roles.told(spark, d, roles.met(spark, d))
+        assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 5 < want._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+        assert got.select(*got.columns).exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_match_solutions_scores_texts_that_are_alike_once(spark, monkeypatch):
+    from weftline.operators import matching
+
+    q = spark.createDataFrame([(i, ["red ring", "red bolt", None, "ring of red"][i % 4]) for i in range(200)], "q int, text string")
+    c = spark.createDataFrame([(i, ["red ring", "bolt", "red red plate"][i % 3], 300 - i) for i in range(150)], "s int, content string, place int")
+    seen, split = [], matching.split_join
+    monkeypatch.setattr(matching, "split_join", lambda *a, **k: seen.append(split(*a, **k)) or seen[-1])
+    rows = matching.match_solutions(q, c, "q", "text", "s", "content", k=4).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.q, []).append((r["rank"], r.s, tuple(r.matched)))
+    ring, bolt, plate = ([s for s, content, _ in sorted(c.collect(), key=lambda x: x[2]) if content == t] for t in ("red ring", "bolt", "red red plate"))
+    for i in range(200):
+        first = [] if i % 4 == 2 else bolt[:4] if i % 4 == 1 else ring[:4]
+        assert [s for _, s, _ in sorted(got.get(i, []))] == first and plate
+    assert seen[0].count() < 20  # pairs of texts, where pairs of rows are thousands
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_cosine_topk_scores_a_few_queries_at_a_time(spark, monkeypatch, rows):
+    from weftline.operators import vectors
+
+    r = random.Random(6)
+    data = [(i, [float(r.randint(-2, 2)) for _ in range(3)] + [1.0]) for i in range(90)]
+    df = spark.createDataFrame(data, "k long, v array<double>")
+    monkeypatch.setattr(vectors, "SCORES", rows * 40)
+    got = {}
+    for x in vectors.cosine_topk(df, df.where("k < 20"), "k", "v", 5, part=40).collect():
+        got.setdefault(x.query_id, []).append((-x.score, x.k))
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for i, v in data[:20]:
+        want = sorted((-round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 8), k) for k, w in data)[:5]
+        assert [x for x, _ in sorted(got[i])] == pytest.approx([x for x, _ in want])

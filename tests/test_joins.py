@@ -199,3 +199,16 @@ def test_cosine_topk_scores_a_few_queries_at_a_time(spark, monkeypatch, rows):
     for i, v in data[:20]:
         want = sorted((-round(sum(a * b for a, b in zip(v, w)) / norm(v) / norm(w), 8), k) for k, w in data)[:5]
         assert [x for x, _ in sorted(got[i])] == pytest.approx([x for x, _ in want])
+
+
+def test_reports_that_are_equal_are_not_parsed_and_only_named_nodes_leave_a_task(spark):
+    same = [(i, '{"a": [1, {"source_id": "s1"}]}') for i in range(50)]
+    a, b = spark.createDataFrame([*same, (90, '{"a": {"b": 1}, "c.d": 1}')], "k int, j string"), spark.createDataFrame([*same, (90, '{"a": {"b": 2}, "c.d": 1, "c": {"d": 2}}')], "k int, j string")
+    got = nested.differences(a, b, "k", "j")
+    assert sorted((x.k, x.path, x.change) for x in got.collect()) == [(90, "a.b", "value"), (90, "c", "added")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # nodes of either side were rows before
+    odd = spark.createDataFrame([(1, '{"source\\u005fid": "s1"}'), (2, '{"x": "source_id"}'), (3, '{"source_id": ["s1", "s9", 4]}'), (4, None)], "k int, j string")
+    told, unknown = nested.reference_counts(odd, "k", "j", ["source_id"], spark.createDataFrame([("s1",)], "id string"), "id")
+    assert sorted((x.k, x.n_references, x.passed, x.n_unknown, x.first_path) for x in told.collect()) == [(1, 1, True, 0, None), (2, 0, False, 0, None), (3, 2, False, 1, "source_id[1]"), (4, 0, False, 0, None)]
+    assert [(x.k, x.path, x.id) for x in unknown.collect()] == [(3, "source_id[1]", "s9")]
+    assert {x.path for x in nested.named(odd, "k", "j", ["source_id"]).collect()} == {"source_id", "source_id[0]", "source_id[1]", "source_id[2]"}

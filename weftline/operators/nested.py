@@ -16,22 +16,26 @@ NODES = "path string, parent string, field string, kind string, size int, value
 _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "int", float: "double", type(None): "null"}
 
 
-def _walk(value: object, path: str, parent: str | None, field: str | None, out: list[tuple]) -> None:
+def _walk(value: object, path: str, parent: str | None, field: str | None, out: list[tuple], fields: frozenset | None = None, only: type | None = None) -> None:
+    """Adds all nodes, or those of the names and the type asked for."""
     todo = [(value, path, parent, field)]
     while todo:
         value, path, parent, field = todo.pop()
-        many = isinstance(value, (dict, list))
-        out.append((path or "$", parent, field, _KINDS[type(value)], len(value) if many else None, None if many else json.dumps(value, ensure_ascii=False)))
-        if isinstance(value, dict):
+        kind = type(value)
+        many = kind is dict or kind is list
+        if (fields is None or field in fields) and (only is None or kind is only):
+            out.append((path or "$", parent, field, _KINDS[kind], len(value) if many else None, None if many else json.dumps(value, ensure_ascii=False)))
+        if kind is dict:
             todo += [(v, f"{path}.{k}" if path else k, path or "$", k) for k, v in value.items()]
-        elif isinstance(value, list):
+        elif kind is list:
             todo += [(v, f"{path}[{i}]", path or "$", field) for i, v in enumerate(value)]
 
 
-def nodes(df: DataFrame, key: str, column: str) -> DataFrame:
+def nodes(df: DataFrame, key: str, column: str, fields: list[str] | None = None, only: type | None = None) -> DataFrame:
     """key and NODES of each value: kind, number of fields or elements of a container, JSON text of anything else.
 
-    field is the name under which a node, or the array that holds it, stands."""
+    field is the name under which a node, or the array that holds it, stands. fields, only: names and a type of which alone rows are made."""
+    wanted = None if fields is None else frozenset(fields)
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +46,10 @@ def nodes(df: DataFrame, key: str, column: str) -> DataFrame:
                     continue
                 before = len(rows)
                 try:
-                    _walk(json.loads(text), "", None, None, rows)
+                    _walk(json.loads(text), "", None, None, rows, wanted, only)
                 except ValueError:
-                    rows.append(("$", None, None, "broken", None, text))
+                    if wanted is None:
+                        rows.append(("$", None, None, "broken", None, text))
                 at += [i] * (len(rows) - before)
             cols = list(zip(*rows, strict=True)) or [()] * 6
             arrays = [pa.array(c, pa.int32() if i == 4 else pa.string()) for i, c in enumerate(cols)]
@@ -53,22 +58,63 @@ def nodes(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.col(column).cast("string").alias("_text")).mapInArrow(run, f"{key} {kind}, {NODES}")
 
 
+def _by_path(text: str | None) -> dict[str, list[tuple]]:
+    """kind, size and value of the nodes of a text, by path; names with dots may give several nodes one path."""
+    rows: list[tuple] = []
+    if text is not None:
+        try:
+            _walk(json.loads(text), "", None, None, rows)
+        except ValueError:
+            rows.append(("$", None, None, "broken", None, text))
+    out: dict[str, list[tuple]] = {}
+    for path, _, _, kind, size, value in rows:
+        out.setdefault(path, []).append((kind, size, value))
+    return out
+
+
+def _differences(a: dict[str, list[tuple]], b: dict[str, list[tuple]]) -> dict[str, str]:
+    """change by path, without what lies below another differing path."""
+    out = {path: "removed" for path in a if path not in b}
+    for path, now in b.items():
+        if path not in a:
+            out[path] = "added"
+            continue
+        for (was, n, old), (kind, size, value) in zip(sorted(a[path], key=repr), sorted(now, key=repr), strict=False):
+            if was != kind:
+                out.setdefault(path, "type")
+            elif kind == "array" and n != size:
+                out.setdefault(path, "length")
+            elif old != value:
+                out.setdefault(path, "value")
+        if len(a[path]) != len(now):
+            out.setdefault(path, "removed" if len(a[path]) > len(now) else "added")
+    if "$" in out:
+        return {"$": out["$"]}
+    return {p: c for p, c in out.items() if not any(p[i] in ".[" and p[:i] in out for i in range(1, len(p)))}
+
+
 def differences(expected: DataFrame, actual: DataFrame, key: str, column: str, ignored: list[str] = ()) -> DataFrame:
     """key, path, change (added, removed, type, length, value) of two JSON columns of the same key, each key once a side.
 
     Nothing below a differing node is told. Arrays of different lengths differ as a whole. Paths that end with one of `ignored` are left
     out at last, so what lies below them is left out too. A key of one side alone differs in its whole value ($)."""
-    a, b = (nodes(df, key, column).select(key, "path", *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "size", "value")]) for df, side in ((expected, "a"), (actual, "b")))
-    j = a.join(b, [key, "path"], "full")
-    change = F.when(F.col("a_kind").isNull(), "added").when(F.col("b_kind").isNull(), "removed").when(F.col("a_kind") != F.col("b_kind"), "type")
-    change = change.when((F.col("a_kind") == "array") & (F.col("a_size") != F.col("b_size")), "length").when(~F.col("a_value").eqNullSafe(F.col("b_value")), "value")
-    unlike = j.withColumn("change", change).where("change is not null").select(key, "path", "change")
-    # every prefix that ends before a dot or a bracket, and the whole value
-    at = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substr(F.col("path"), i, F.lit(1)).isin(".", "["))
-    above = F.concat(F.array(F.lit("$")), F.transform(at, lambda i: F.substr(F.col("path"), F.lit(1), i - 1)))
-    up = unlike.where("path <> '$'").select(key, "path", F.explode(F.array_distinct(F.filter(above, lambda p: p != ""))).alias("above"))
-    hidden = up.join(unlike.select(key, F.col("path").alias("above")), [key, "above"], "left_semi").select(key, "path").distinct()
-    told = unlike.join(hidden, [key, "path"], "left_anti")
+    j = expected.select(key, F.col(column).cast("string").alias("a")).join(actual.select(key, F.col(column).cast("string").alias("b")), key, "full")
+    # both texts of a key are in one row: equal ones are not parsed, and of the others only paths that differ leave the task
+    unlike = j.where(~F.col("a").eqNullSafe(F.col("b")))
+    kind = dict(unlike.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, changes = [], [], []
+            for i, (x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                told = _differences(_by_path(x), _by_path(y))
+                at += [i] * len(told)
+                paths += told
+                changes += told.values()
+            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(changes, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "path", "change"])
+
+    told = unlike.select(key, "a", "b").mapInArrow(run, f"{key} {kind}, path string, change string")
     for suffix in ignored:
         told = told.where(~F.endswith("path", F.lit(suffix)))
     return told
@@ -76,17 +122,42 @@ def differences(expected: DataFrame, actual: DataFrame, key: str, column: str, i
 
 def references(df: DataFrame, key: str, column: str, fields: list[str]) -> DataFrame:
     """key, path, id: the strings that stand under one of these names, or in an array under it, at any depth."""
-    found = nodes(df, key, column).where(F.col("field").isin(*fields) & (F.col("kind") == "string"))
+    found = nodes(_naming(df, column, fields), key, column, fields, str)
     return found.select(key, "path", F.expr("get_json_object(concat('[', value, ']'), '$[0]')").alias("id"))
 
 
+def _naming(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """Rows whose text can hold one of these names: it stands there as it is, or something is escaped."""
+    text = F.col(column).cast("string")
+    may = F.contains(text, F.lit("\\"))
+    for name in fields:
+        may |= F.contains(text, F.lit(name))
+    return df.where(may)
+
+
+def reference_counts(df: DataFrame, key: str, column: str, fields: list[str], known: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n_references, passed: it has references and knows all, n_unknown, first_path: the least path of those; key, path, id of those unknown).
+
+    References are looked up once and gathered once by key."""
+    used = references(df, key, column, fields)
+    ids = known.select(F.col(id_column).cast("string").alias("id")).distinct().withColumn("_known", F.lit(True))
+    told = used.join(ids, "id", "left").withColumn("_unknown", F.col("_known").isNull())
+    n = told.groupBy(key).agg(F.count("*").alias("n"), F.count_if("_unknown").alias("u"), F.min(F.when(F.col("_unknown"), F.col("path"))).alias("first_path"))
+    none = F.lit(0)
+    out = df.select(key).join(n, key, "left").select(key, F.coalesce("n", none).alias("n_references"), F.coalesce("u", none).alias("n_unknown"), "first_path")
+    out = out.select(key, "n_references", ((F.col("n_references") > 0) & (F.col("n_unknown") == 0)).alias("passed"), "n_unknown", "first_path")
+    return out, told.where("_unknown").select(key, "path", "id")
+
+
 def references_exist(df: DataFrame, key: str, column: str, fields: list[str], known: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     """(key, n_references, passed: it has references and knows all; key, path, id of those unknown)."""
-    used = references(df, key, column, fields)
-    unknown = used.join(known.select(F.col(id_column).cast("string").alias("id")).distinct(), "id", "left_anti").select(key, "path", "id")
-    n = used.groupBy(key).agg(F.count("*").alias("n")).join(unknown.groupBy(key).agg(F.count("*").alias("u")), key, "left")
-    told = df.select(key).join(n, key, "left")
-    return told.select(key, F.coalesce("n", F.lit(0)).alias("n_references"), (F.col("n").isNotNull() & F.col("u").isNull()).alias("passed")), unknown
+    told, unknown = reference_counts(df, key, column, fields, known, id_column)
+    return told.select(key, "n_references", "passed"), unknown
+
+
+def named(df: DataFrame, key: str, column: str, fields: list[str]) -> DataFrame:
+    """key and NODES of what stands under one of these names, or in an array under it; texts that hold none are not parsed."""
+    return nodes(_naming(df, column, fields), key, column, fields)
 
 
 # Names that a report must not hold, suitabilities that may be recommended, and urgent levels.

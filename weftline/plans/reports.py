@@ -40,9 +40,7 @@ def nested_differences(spark, d):
 def output_references(spark, d):
     """Orders with the sources their report names at any depth, and whether all of them are known."""
     known = _t(spark, d, "part").where("p_partkey % 50 <> 3").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    told, unknown = nested.references_exist(_side(spark, d, True), "o", "report", ["source_id"], known, "id")
-    first = unknown.groupBy("o").agg(F.count("*").alias("n_unknown"), F.min("path").alias("first_path"))
-    return told.join(first, "o", "left").select("o", "n_references", "passed", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), "first_path")
+    return nested.reference_counts(_side(spark, d, True), "o", "report", ["source_id"], known, "id")[0]
 
 
 _ID = lambda c, n: f"concat('{c}', CAST({n} AS STRING))"
@@ -63,7 +61,7 @@ def report_checks(spark, d):
         of("true", f"named_struct('id', {_ID('a', 'x.line')}, 'priority', CASE WHEN x.line % 2 = 1 THEN 'P0' ELSE 'P1' END, 'gaps', array({_ID('g', 'x.line + 1')}))") + " AS actions",
     )
     differs = nested_differences(spark, d).groupBy("o").agg(F.collect_set("path").alias("paths"))  # of one report
-    leaks = nested.nodes(_side(spark, d, True), "o", "report").where(F.col("field").isin(*nested.INTERNAL_KEYS)).groupBy("o").agg(F.count("*").alias("leaks"))
+    leaks = nested.named(_side(spark, d, True), "o", "report", nested.INTERNAL_KEYS).groupBy("o").agg(F.count("*").alias("leaks"))
     j = x.join(differs.withColumnRenamed("o", "case_id"), "case_id", "left").join(leaks.withColumnRenamed("o", "case_id"), "case_id", "left")
     told = nested.report_issues(F.coalesce("paths", F.array().cast("array<string>")), F.coalesce("leaks", F.lit(0)))
     each = j.select("case_id", *[c.cast("long").alias(n) for n, c in told.items()])

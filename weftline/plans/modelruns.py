@@ -121,8 +121,9 @@ def _run_files(spark, d):
 
 def _folders(spark, d):
     path = fresh_path(spark, "runs")
-    _run_files(spark, d).repartition("run").write.partitionBy("run", "name").text(path)
-    return sources.read_folders(spark, f"{path}/*/*/*.txt", runs.RUN_FILES, r"run=([^/]+)/name=([^/]+)/[^/]+$")
+    # tasks move their files in place themselves: the driver would do so one by one
+    _run_files(spark, d).repartition("run").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run", "name").text(path)
+    return sources.read_folders(spark, path, runs.RUN_FILES, r"run=([^/]+)/name=([^/]+)/[^/]+$")
 
 
 def run_folders(spark, d):

@@ -141,8 +141,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def read_folders(spark: SparkSession, path: str, names: list[str], place: str = r"([^/]+)/([^/]+)$") -> DataFrame:
     """folder and one column a name (without its ending): the text of that file in the folder, null where there is none.
 
-    path: a glob of files that fit a task each; place: a pattern of a file's path with its folder and name. All are listed and read in one
+    path: a folder of such folders at any depth, which tasks list, or a glob, which the driver expands; files fit a task each. place: a pattern of a file's path with its folder and name. All are listed and read in one
     pass, and a folder has as many rows as it has files."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_f"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_f"))
     at = files.select(F.regexp_extract("_f", place, 1).alias("folder"), F.regexp_extract("_f", place, 2).alias("_name"), "value").where(F.col("folder") != "")
     return at.groupBy("folder").agg(*[F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n.rsplit(".", 1)[0]) for n in names])

@@ -212,3 +212,25 @@ def test_reports_that_are_equal_are_not_parsed_and_only_named_nodes_leave_a_task
     assert sorted((x.k, x.n_references, x.passed, x.n_unknown, x.first_path) for x in told.collect()) == [(1, 1, True, 0, None), (2, 0, False, 0, None), (3, 2, False, 1, "source_id[1]"), (4, 0, False, 0, None)]
     assert [(x.k, x.path, x.id) for x in unknown.collect()] == [(3, "source_id[1]", "s9")]
     assert {x.path for x in nested.named(odd, "k", "j", ["source_id"]).collect()} == {"source_id", "source_id[0]", "source_id[1]", "source_id[2]"}
+
+
+def test_split_join_sends_no_side_whole_through_the_driver(spark):
+    a, b = spark.range(1000).selectExpr("id AS i", "id % 7 AS k"), spark.range(1000).selectExpr("id AS j", "id % 7 AS k")
+    plan = joins.split_join(a, b, "k", ["i"], ["j"])
+    physical = plan._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [k" in physical and plan.count() == sum(len(range(i, 1000, 7)) ** 2 for i in range(7))
+
+
+def test_statuses_that_decide_alike_are_one_class(spark):
+    from weftline.operators import eligibility
+
+    x = spark.createDataFrame([("draft",), ("deprecated",), ("expired",), ("approved",), ("else",), (None,)], "status string")
+    assert [r.c for r in x.select(eligibility.status_class().alias("c")).collect()] == ["other", "expired", "expired", "approved", "other", None]
+
+
+def test_folders_are_read_from_their_root_at_any_depth(spark, tmp_path):
+    for run in ("a", "b"):
+        (tmp_path / f"run={run}" / "name=x.json").mkdir(parents=True)
+        (tmp_path / f"run={run}" / "name=x.json" / "part-0.txt").write_text(f'{{"r": "{run}"}}')
+    got = sources.read_folders(spark, str(tmp_path), ["x.json", "y.json"], r"run=([^/]+)/name=([^/]+)/[^/]+$")
+    assert sorted(map(tuple, got.select("folder", "x", "y").collect())) == [("a", '{"r": "a"}', None), ("b", '{"r": "b"}', None)]

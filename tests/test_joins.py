@@ -234,3 +234,47 @@ def test_folders_are_read_from_their_root_at_any_depth(spark, tmp_path):
         (tmp_path / f"run={run}" / "name=x.json" / "part-0.txt").write_text(f'{{"r": "{run}"}}')
     got = sources.read_folders(spark, str(tmp_path), ["x.json", "y.json"], r"run=([^/]+)/name=([^/]+)/[^/]+$")
     assert sorted(map(tuple, got.select("folder", "x", "y").collect())) == [("a", '{"r": "a"}', None), ("b", '{"r": "b"}', None)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_dated_pairs_and_totals_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "PIECE", 3)
+    if not few:  # as with large tables
+        monkeypatch.setattr(joins, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(joins, "BROADCAST_PAIRS", 0)
+        monkeypatch.setattr(joins.split_join, "__defaults__", (5, 2))
+    r, day = random.Random(5), lambda n: datetime.date(1999, 12, 1) + datetime.timedelta(n)
+    q = [(i, r.choice("ab"), r.choice([None, day(r.randint(0, 60))])) for i in range(40)] + [(None, "a", day(9)), (None, "a", day(9)), (7, "b", day(9)), (90, "none", day(9))]
+    c = [(i, r.choice("xyz"), r.choice([None, day(r.randint(-9, 70))]), r.choice([None, day(r.randint(-9, 70))])) for i in range(60)] + [(None, "x", None, None), (5, "x", day(9), day(9)), (6, "x", day(9), day(8))]
+    c = [(i, k, f"g{k in 'xy'}", lo, hi) for i, k, lo, hi in c]
+    pairs = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "none")]
+    queries, documents = spark.createDataFrame(q, "q int, qc string, at date"), spark.createDataFrame(c, "d int, dc string, g string, lo date, hi date")
+    allowed = spark.createDataFrame(pairs, "qc string, dc string")
+    want = [(i, a, at, k, g) for i, a, at in q for k, b, g, lo, hi in c if (a, b) in pairs and (at is None or ((lo is None or lo <= at) and (hi is None or at <= hi)))]
+    by = lambda x: tuple((v is None, v) for v in x)
+    got = joins.dated_pairs(queries, documents, allowed, "at", "lo", "hi", "q", "d")
+    assert sorted(((x.q, x.d) for x in got.collect()), key=by) == sorted(((i, k) for i, _, _, k, _ in want), key=by)
+    totals = [((x.q, x.qc, x["at"], x.g), x.n) for x in joins.dated_totals(queries, documents, allowed, "at", "lo", "hi", ["g"]).collect()]
+    rows = [(i, a, at, g) for i, a, at in q for g in ("gTrue", "gFalse")]
+    counted = [(row, sum(1 for x in want if (x[0], x[1], x[2], x[4]) == row) // rows.count(row)) for row in rows]
+    assert sorted(totals, key=lambda x: by(map(str, x[0]))) == sorted(((row, n) for row, n in counted if n), key=lambda x: by(map(str, x[0])))
+    assert joins.dated_pairs(queries.limit(0), documents, allowed, "at", "lo", "hi", "q", "d").count() == 0 == joins.dated_totals(queries, documents.limit(0), allowed, "at", "lo", "hi", ["g"]).count()
+
+
+def test_all_pairs_confusion_makes_no_pair_of_a_case_and_a_chunk(spark, monkeypatch, tmp_path):
+    from weftline.plans import scopes
+
+    for name in ("supplier", "part"):
+        t, key = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"), {"supplier": "s_suppkey", "part": "p_partkey"}[name]
+        # two lots of rows that the rules cannot tell apart
+        t.unionByName(t.withColumn(key, F.col(key) + 3 * 5 * 7 * 4 * 9 * 100 * 11 * 13 * 17)).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made, split = [], joins.split_join
+    monkeypatch.setattr(joins, "split_join", lambda *a, **k: made.append(split(*a, **k)) or made[-1])
+    rows = scopes.all_pairs_confusion(spark, str(tmp_path)).where("q is null and mode is null and scope_type is null and source is null").collect()
+    n_made = [x.count() for x in made]
+    made.clear()
+    pairs = scopes.eligible_pairs(spark, str(tmp_path))
+    n = pairs.count()
+    assert rows[0].n_pairs == spark.read.parquet(f"{tmp_path}/supplier.parquet").count() * spark.read.parquet(f"{tmp_path}/part.parquet").count()
+    assert max(x.count() for x in made) < n and all(x < rows[0].n_pairs // 4 for x in n_made)

@@ -40,6 +40,40 @@ def test_bm25_repeats_add_and_ties_go_to_the_smaller_id(spark):
     assert [(r.q, r.id, r.rank, r.matched_terms) for r in sorted(rows, key=lambda r: r.rank)] == [(9, 1, 1, ["red"]), (9, 2, 2, ["red"])]
 
 
+@pytest.mark.parametrize("scores", [1 << 22, 60])
+def test_bm25_top_is_the_top_of_all_pairs_and_makes_none(spark, monkeypatch, scores):
+    import random
+
+    r, words = random.Random(scores), ["red", "fox", "blue", "a", "b", "c", "d"]
+    texts = [None, "", "zz"] + [" ".join(r.choices(words, k=r.randint(1, 12))) for _ in range(25)]
+    docs = spark.createDataFrame([(i, texts[i * 7 % 28]) for i in range(90)] + [(None, "red fox")], "id long, text string").repartition(3)
+    q = spark.createDataFrame([("x", "red red fox"), ("y", "a b zz none"), ("z", ""), (None, "blue d"), ("w", " ".join(words))], "q string, t string")
+    terms = lexical.query_terms(q, "q", "t")
+    order = ["q", "rank", "id", "score", "matched_terms"]
+    want = one(lexical.top(lexical.bm25(docs, "id", {"text": 1}, terms, "q"), "q", [F.desc("score"), "id"], 4).select(*order).orderBy(*order[:2]).where("q is not null"))
+    monkeypatch.setattr(lexical, "SCORES", scores)
+    none = lexical.bm25_top(docs.limit(0), "id", {"text": 1}, terms, "q", 4).count(), lexical.bm25_top(docs, "id", {"text": 1}, terms.limit(0), "q", 4, matched=True).count()
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "_summed", None)  # makes all pairs
+        rows = lexical.bm25_top(docs, "id", {"text": 1}, terms, "q", 4, matched=True)
+        got = one(rows.select(*order).orderBy(*order[:2]).where("q is not null"))
+        assert rows.where("q is null").count() == 4
+    m.undo()
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    joined = one(lexical.bm25_top(docs, "id", {"text": 1}, terms, "q", 4, matched=True).select(*order).orderBy(*order[:2]).where("q is not null"))
+    assert got == want == joined and len(got) == 12 and none == (0, 0)
+
+
+def test_folding_asks_only_what_is_beyond_ascii(spark):
+    texts = ["plain", "", None, "Straße", "ＡＰＩ", "a\u0301b", "x…Ⅳ", "tail \U0001d400", "\x00 é ï 要求", "ﬁ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import unicodedata
+
+    got = df.select(normalize("t"))
+    assert [x for (x,) in one(got)] == [t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split(" ")) for t in texts]
+    assert "regexp_replace(t" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_metrics_known_answers(spark):
     cases = spark.createDataFrame([(1, 1, False), (2, 1, False), (3, 1, True)], "q long, minimum_hits int, request_error boolean")
     ranked = spark.createDataFrame([(1, "A", 1, False), (1, "Z", 2, False), (1, "B", 3, False), (2, "Z", 1, False), (2, "B", 2, False), (2, "C", 3, True)], "q long, d string, rank int, forbidden boolean")

@@ -21,9 +21,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- roles of the tables: `documents` are the corpus, `benchmark` the queries, `labels.toxic` marks what is forbidden
 
 
-def _bm25_top(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _bm25_top(spark: SparkSession, d: str, k: int, matched: bool = False) -> DataFrame:
     terms = lexical.query_terms(_t(spark, d, "benchmark"), "item_id", "text")
-    return lexical.top(lexical.bm25(_t(spark, d, "documents"), "doc_id", FIELDS, terms, "item_id"), "item_id", [F.desc("score"), "doc_id"], k)
+    return lexical.bm25_top(_t(spark, d, "documents"), "doc_id", FIELDS, terms, "item_id", k, matched)
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def bm25_topk(spark, d):
 
 
 def matched_terms(spark, d):
-    return _bm25_top(spark, d, 5).select("item_id", "doc_id", F.array_join("matched_terms", " ").alias("matched"))
+    return _bm25_top(spark, d, 5, matched=True).select("item_id", "doc_id", F.array_join("matched_terms", " ").alias("matched"))
 
 
 def _scores(spark, d):

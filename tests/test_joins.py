@@ -278,3 +278,18 @@ def test_all_pairs_confusion_makes_no_pair_of_a_case_and_a_chunk(spark, monkeypa
     n = pairs.count()
     assert rows[0].n_pairs == spark.read.parquet(f"{tmp_path}/supplier.parquet").count() * spark.read.parquet(f"{tmp_path}/part.parquet").count()
     assert max(x.count() for x in made) < n and all(x < rows[0].n_pairs // 4 for x in n_made)
+
+
+def test_pairwise_confusion_goes_over_all_cases_by_all_chunks(spark):
+    from weftline.operators import eligibility
+    from weftline.plans import roles, scopes
+
+    d = "/root/testdata/sf0.001"
+    every = roles.cases(spark, d).select("q").crossJoin(roles.chunks(spark, d).select("doc", "chunk"))
+    label = roles.told(spark, d, every).withColumns(eligibility.effective_label("override_mode"))
+    want = eligibility.pairwise(label, F.col("mode")).where("false_exclusion or false_inclusion or conflict")
+    got = scopes.pairwise_confusion(spark, d)
+    want = want.select(got.columns)
+    met = roles.met(spark, d).select("q", "chunk")
+    assert want.join(met, ["q", "chunk"], "left_anti").count() > 0  # pairs without a line item
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()

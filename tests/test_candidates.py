@@ -134,3 +134,60 @@ def test_places_of_expected_items(spark):
     x = candidates.item_places(ranked, gold, {"current_rank": "G0", "prefilter_rank": "G1", "enriched_rank": "G2", "dual_rank": "G4"})
     got = {(r.q, r.item): (r.current_rank, r.prefilter_rank, r.enriched_rank, r.dual_rank, r.n_ineligible_ahead, r.sibling_ahead) for r in x.collect()}
     assert got == {(1, "c11"): (3, None, None, 2, 1, True), (1, "c20"): (None, 1, None, None, 1, False), (1, "d3"): (4, None, None, None, 1, False), (2, "c11"): (None, None, None, None, 0, False)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_best_within_classes_and_dates_makes_no_pair_outside_a_task(spark, monkeypatch, small):
+    import datetime
+
+    from weftline.operators import vectors, within
+
+    if small:  # as with large tables: several blocks, parts, batches and steps
+        monkeypatch.setattr(within, "LEAST", 3)
+        monkeypatch.setattr(within, "BLOCK", 4)
+        monkeypatch.setattr(within, "COUNTED", 2)
+        monkeypatch.setattr(within, "PART", 20)
+        monkeypatch.setattr(within, "BROADCAST_TERMS", 0)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rnd, day = random.Random(4), lambda n: datetime.date(1999, 12, 20) + datetime.timedelta(n)
+    some = lambda: rnd.choice([None, day(rnd.randrange(30))])
+    docs = [(v, i // 3, None if v == "b" else i, f"d{rnd.randrange(4)}", some(), some(), " ".join(rnd.choices(WORDS, k=rnd.randrange(5)))) for v in ("a", "b") for i in range(60)]
+    docs += [("a", 90, 270, "d0", None, None, None), ("a", 90, 271, "d0", None, None, "")]
+    cases = [(i, f"q{i % 3}", some(), " ".join(rnd.choices(WORDS + ["none"], k=3))) for i in range(13)] + [(20, "q7", day(3), "red"), (21, "q2", None, "")]
+    met = {"all": {("q0", "d0"), ("q1", "d2"), ("q2", "d3"), ("q2", "d1")}, "eligible": {("q0", "d0"), ("q0", "d1"), ("q1", "d2"), ("q2", "d0"), ("q2", "d1"), ("q2", "d2")}}
+    try:
+        units = spark.createDataFrame([(*r, r[6] or "") for r in docs], "view string, doc long, chunk long, dc string, effective_from date, effective_until date, text string, t string")
+        q = spark.createDataFrame(cases, "q long, qc string, effective_on date, text string")
+        coded = lambda df, c: df.withColumn(c, F.md5(F.col(c).cast("binary")))
+        units, q = coded(units, "dc").withColumn("v", vectors.hash_bytes(F.col("t"), "x", 4)), coded(q, "qc").withColumn("v", vectors.hash_bytes(F.col("text"), "y", 4))
+        terms = lexical.query_terms(q, "q", "text")
+        allowed = {n: within.Allowed(coded(coded(spark.createDataFrame(sorted(p), "qc string, dc string"), "qc"), "dc"), starts=n == "eligible", own=n == "eligible") for n, p in met.items()}
+        rows = within.best(within.prepared(units, {"text": 1}, terms), q, terms, allowed, 5, vector=True).collect()
+        vector = {(k, t): v for k, df in (("x", units.select("t", vectors.hash_embedding(F.col("t"), "x", 4))), ("y", q.select("text", vectors.hash_embedding(F.col("text"), "y", 4)))) for t, v in df.distinct().collect()}
+        none = within.best(within.prepared(units.limit(0), {"text": 1}, terms), q, terms, allowed, 5, vector=True).count()
+        nobody = within.best(within.prepared(units, {"text": 1}, terms), q.limit(0), terms.limit(0), allowed, 5, vector=False).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, want = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got[r["filter"], r.view, r.method, r.q].append((round(-r.score, 6), r.doc, -1 if r.chunk is None else r.chunk))
+    for name, pairs in met.items():
+        for i, qc, on, text in cases:
+            for view in ("a", "b"):
+                base = [x for x in docs if x[0] == view]
+                mine = [x for x in base if (qc, x[3]) in pairs and (on is None or ((name == "all" or x[4] is None or x[4] <= on) and (x[5] is None or on <= x[5])))]
+                corpus = mine if name == "eligible" else base
+                bags = {id(x): Counter((x[6] or "").split()) for x in corpus}
+                avg = max(sum(sum(b.values()) for b in bags.values()) / max(1, len(corpus)), 1.0)
+                for x in mine:
+                    bag, score, key = bags[id(x)], 0.0, (x[1], -1 if x[2] is None else x[2])
+                    for term, times in Counter(text.split()).items():
+                        df = sum(1 for b in bags.values() if b[term])
+                        score += times * math.log(1 + (len(corpus) - df + 0.5) / (df + 0.5)) * bag[term] * 2.5 / (bag[term] + 1.5 * (0.25 + 0.75 * sum(bag.values()) / avg)) if bag[term] else 0
+                    if score > 0:
+                        want[name, view, "lexical_v1", i].append((round(-score, 6), *key))
+                    want[name, view, "vector_v1", i].append((round(-sum(a * b for a, b in zip(vector["x", x[6] or ""], vector["y", text])), 6), *key))
+    want = {k: sorted(v)[:5] for k, v in want.items()}
+    assert got.keys() == want.keys() and none == 0 == nobody
+    for k, v in want.items():
+        assert [x[1:] for x in got[k]] == [x[1:] for x in v] and all(abs(a[0] - b[0]) <= 2e-6 for a, b in zip(got[k], v))

@@ -293,3 +293,19 @@ def test_pairwise_confusion_goes_over_all_cases_by_all_chunks(spark):
     met = roles.met(spark, d).select("q", "chunk")
     assert want.join(met, ["q", "chunk"], "left_anti").count() > 0  # pairs without a line item
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_folders_are_written_by_tasks_without_sparks_writer(spark, tmp_path, monkeypatch):
+    from weftline.plans import modelruns
+
+    wrote = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.text", lambda *a, **k: wrote.append(a))
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.text", lambda *a, **k: wrote.append(a))
+    files = spark.createDataFrame([("a", "x.json", "1\né"), ("a", "y.json", ""), ("b c", "x.json", "{}")], "folder string, name string, value string")
+    for _ in range(2):  # a task may be tried again
+        sources.write_folders(files, f"file://{tmp_path}/runs")
+    got = sources.read_folders(spark, f"file://{tmp_path}/runs", ["x.json"])
+    assert sorted(map(tuple, got.where("folder = 'a'").collect())) == [("a", "1\né")] and got.count() == 2
+    sources.write_folders(files.limit(0), f"file:{tmp_path}/none")
+    assert sources.read_folders(spark, f"file:{tmp_path}/none", ["x.json"]).count() == 0
+    assert modelruns.run_folders(spark, "/root/testdata/sf0.001").count() > 0 and not wrote

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import checks, metrics, responses, runs
-from ..shared import fresh_path
+from ..shared import durable, fresh_path
 from . import retrieval, roles
 from .roles import table as _t
 
@@ -121,9 +121,9 @@ def _run_files(spark, d):
 
 def _folders(spark, d):
     path = fresh_path(spark, "runs")
-    # tasks move their files in place themselves: the driver would do so one by one
-    _run_files(spark, d).repartition("run").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run", "name").text(path)
-    return sources.read_folders(spark, path, runs.RUN_FILES, r"run=([^/]+)/name=([^/]+)/[^/]+$")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sources.write_folders(_run_files(spark, d).withColumnRenamed("run", "folder").repartition(parts, "folder"), path)
+    return durable(sources.read_folders(spark, path, runs.RUN_FILES), "folders")  # a summary asks for the files three times
 
 
 def run_folders(spark, d):
